@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secret_scan, sharding, simhash, toxicity
+from . import decontaminate, line_dedup, packing, secret_scan, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash_pigeonring": simhash.op3_simhash_pigeonring,
+        "op4_line_spread": line_dedup.op4_line_spread,
         "op5_concat_and_cut": packing.op5_concat_and_cut,
         "op6_secret_ledger": secret_scan.op6_secret_ledger,
+        "op8_template_windows": decontaminate.op8_template_windows,
         "op9_toxicity_lexicon": toxicity.op9_toxicity_lexicon,
         "op10_histogram_sort": sharding.op10_histogram_sort,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secret_ledger": secret_scan.ORACLE_SQL}
+    return {"op4_line_spread": line_dedup.ORACLE_SQL, "op6_secret_ledger": secret_scan.ORACLE_SQL, "op8_template_windows": decontaminate.ORACLE_SQL}
