@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, secret_scan, sharding, simhash, toxicity
+from . import decontaminate, line_dedup, packing, secret_scan, sharding, simhash, surrogates, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_spread": line_dedup.op4_line_spread,
         "op5_concat_and_cut": packing.op5_concat_and_cut,
         "op6_secret_ledger": secret_scan.op6_secret_ledger,
+        "op7_keyed_surrogates": surrogates.op7_keyed_surrogates,
         "op8_template_windows": decontaminate.op8_template_windows,
         "op9_toxicity_lexicon": toxicity.op9_toxicity_lexicon,
         "op10_histogram_sort": sharding.op10_histogram_sort,
