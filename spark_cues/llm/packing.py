@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +18,12 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, ship_package
 
 WINDOW, END_ID = 4096, 2
-#: Words kept with their ids in a Python worker; the table starts anew when it is full.
-CACHE_WORDS = 400_000
-#: Python's white space beyond Unicode's White_Space; the tokenizer doesn't split there.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Words and pieces kept with their ids in a Python worker (some 50 and 200 MB); a full table starts anew.
+CACHE_WORDS, CACHE_PIECES = 250_000, 1_000_000
+#: Python's white space beyond Unicode's White_Space, letters whose lower case depends on others or changes length, special tokens.
+_ODD = re.compile("[\x1c-\x1f\u03a3\u0130]|<\\|")
+#: Fixed value: the tokenizer's own pattern.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 def default_tokenizer() -> str:
@@ -29,34 +33,56 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts, word by word: the tokenizer drops white space, so words don't touch each other.
+    """Ids of whole texts, word by word.
 
-    Texts with separators that Python and the tokenizer treat differently go to the tokenizer whole.
+    The tokenizer composes, lowers and drops white space, then cuts at fixed patterns, so what lies between spaces can be
+    encoded alone.  Words are looked up; unknown ones are cut into the tokenizer's own pieces, and unknown
+    pieces are encoded many at a time, split at the ids that end a word.  Texts where Python's
+    white space or lower case could differ go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _learn_pieces(self, new: list[str]) -> None:
+        if len(self.pieces) + len(new) > CACHE_PIECES:
+            self.pieces.clear()
+        for at in range(0, len(new), 2048):
+            part = new[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):  # a piece that isn't one word to the tokenizer
+                self.pieces.update((x, self.whole(x)) for x in part)
+                continue
+            raw, places = ids.tobytes(), [0, *(cuts * 4).tolist()]
+            self.pieces.update((x, raw[i:j]) for x, i, j in zip(part, places, places[1:], strict=False))
+
     def learn(self, texts: list[str]) -> None:
         new: set[str] = set()
         for text in texts:
             new.update(text.split())
-        new.difference_update(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            for text in texts:
-                new.update(text.split())
-        words = list(new)
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(code.ids, dtype="<u4").tobytes()
+        fresh = new.difference(self.words)
+        if len(self.words) + len(fresh) > CACHE_WORDS:
+            self.words.clear()
+            fresh = new
+        cut = {w: (w,) if w.isalpha() else _PIECES.findall(w) for w in fresh}
+        needed = {p for parts in cut.values() for p in parts}
+        missing = needed.difference(self.pieces)
+        if len(self.pieces) + len(missing) > CACHE_PIECES:
+            missing = needed
+        self._learn_pieces(list(missing))
+        self.words.update((w, b"".join([self.pieces[p] for p in parts])) for w, parts in cut.items())
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """One little-endian unsigned 32-bit string for each text, texts taken in groups of some megabytes."""
@@ -67,9 +93,10 @@ class WordEncoder:
                 size += len(texts[to])
                 to += 1
             part, at = texts[at:to], to
-            self.learn([x for x in part if not _SEPARATORS.search(x)])
-            for text in part:
-                yield self.whole(text) if _SEPARATORS.search(text) else b"".join(map(self.known.__getitem__, text.split()))
+            plain = [None if _ODD.search(x) else x.lower() if x.isascii() else unicodedata.normalize("NFC", x).lower() for x in part]
+            self.learn([x for x in plain if x is not None])
+            for text, low in zip(part, plain, strict=True):
+                yield self.whole(text) if low is None else b"".join(map(self.words.__getitem__, low.split()))
 
 
 _encoders: dict[str, WordEncoder] = {}
