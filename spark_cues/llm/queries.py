@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mih, packing, secret_scan, sharding, simhash, surrogates, toxicity
+from . import chat, decontaminate, line_dedup, mih, packing, secret_scan, sharding, simhash, surrogates, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_multi_index_hashing": mih.op1_multi_index_hashing,
+        "op2_hmm_transcripts": chat.op2_hmm_transcripts,
         "op3_simhash_pigeonring": simhash.op3_simhash_pigeonring,
         "op4_line_spread": line_dedup.op4_line_spread,
         "op5_concat_and_cut": packing.op5_concat_and_cut,
