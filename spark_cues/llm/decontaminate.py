@@ -40,23 +40,43 @@ def named_template(text: Column) -> Column:
     return _canonical(_words(F.lower(F.regexp_replace(text, _NAME, NAME))))
 
 
-def _windows(template: Column, least: int = WINDOW) -> Column:
-    """Hash of every window of five template words; a shorter text is one window of what it has."""
+_ROW = "struct<h:bigint,slots:array<string>>"
+
+
+def _windows(template: Column, raw: Column, least: int = WINDOW) -> Column:
+    """``(h, slots)`` of every window of five template words: its hash, and the words behind its placeholders.
+
+    ``slots`` has a place for each word of the window, null where the template has the word itself; it is null
+    where there is no placeholder at all.  A shorter text is one window of what it has.
+    """
     hashed = lambda t, i: F.xxhash64(*[F.get(t, i + k) for k in range(WINDOW)])
-    one = lambda x: F.when(F.size(x["t"]) >= least, F.transform(F.sequence(F.lit(0), F.greatest(F.size(x["t"]) - WINDOW, F.lit(0))), lambda i: hashed(x["t"], i))).otherwise(F.array().cast("array<bigint>"))
+    held = lambda x: F.filter(x, lambda v: v.isNotNull())
+    none = F.lit(None).cast("array<string>")
+
+    def rows(x: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(x["t"]) - WINDOW, F.lit(0)))
+        plain = F.transform(places, lambda i: F.struct(hashed(x["t"], i).alias("h"), none.alias("slots")))
+        values = F.zip_with(x["t"], x["r"], lambda t, r: F.when(t.isin(NUMBER, UNIT, NAME), r))
+        bound = lambda v: F.transform(places, lambda i: F.struct(hashed(x["t"], i).alias("h"), _or_null(F.slice(v, i + 1, F.lit(WINDOW)), held).alias("slots")))
+        slotted = F.transform(F.array(values), bound)[0]
+        return F.when(F.size(x["t"]) < least, F.array().cast(f"array<{_ROW}>")).when(F.exists(x["t"], lambda t: t.isin(NUMBER, UNIT, NAME)), slotted).otherwise(plain)
+
     # The template is bound once, as a lambda's argument, not evaluated again for each window.
-    return F.transform(F.array(F.struct(template.alias("t"))), one)[0]
+    return F.transform(F.array(F.struct(template.alias("t"), raw.alias("r"))), rows)[0]
 
 
-def _all_windows(text: Column, least: int = WINDOW) -> Column:
-    """Pairs ``(channel, hashes)``: plain templates, and named ones where a text has names."""
-    named = F.when(F.regexp_like(text, F.lit(_NAME)), _windows(named_template(text), least)).otherwise(F.array().cast("array<bigint>"))
-    return F.array(F.struct(F.lit(0).alias("channel"), _windows(plain_template(text), least).alias("hashes")), F.struct(F.lit(1).alias("channel"), named.alias("hashes")))
+def _or_null(values: Column, held) -> Column:
+    return F.transform(F.array(values), lambda v: F.when(F.size(held(v)) > 0, v))[0]
 
 
 def _exploded(rows: DataFrame, keep: list[str], least: int = WINDOW) -> DataFrame:
-    both = rows.select(*keep, F.explode(_all_windows(F.col("text"), least)).alias("c"))
-    return both.select(*keep, F.col("c.channel").alias("channel"), F.posexplode("c.hashes").alias("pos", "h"))
+    """``(keep, channel, pos, h, slots)``: plain templates in channel 0, and named ones of texts with names in channel 1."""
+    text = F.col("text")
+    raw = _words(F.lower(text))
+    named = F.when(F.regexp_like(text, F.lit(_NAME)), _windows(named_template(text), raw, least)).otherwise(F.array().cast(f"array<{_ROW}>"))
+    channel = lambda n, w: F.struct(F.lit(n).alias("channel"), w.alias("windows"))
+    both = rows.select(*keep, F.explode(F.array(channel(0, _windows(plain_template(text), raw, least)), channel(1, named))).alias("c"))
+    return both.select(*keep, F.col("c.channel").alias("channel"), F.posexplode("c.windows").alias("pos", "w")).select(*keep, "channel", "pos", "w.h", "w.slots")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -72,40 +92,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("k"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
-    grams = cut(_exploded(items, ["item"], 1).select("item", "channel", F.col("pos").alias("b"), "h").distinct())
+    grams = cut(_exploded(items, ["item"], 1).select("item", "channel", F.col("pos").alias("b"), "h", F.col("slots").alias("asked")))
     sizes = grams.groupBy("item").agg(F.count_distinct("b").alias("windows"))
-    side = grams.select("item", "channel", "b", "h")
-    if grams.count() <= BROADCAST_WINDOWS:
-        side = F.broadcast(side)
-    hits = materialize(_exploded(rows.where("text is not null"), ["k", "t"], 1).join(side, ["channel", "h"]).select("k", "t", "item", "channel", "pos", "b"), "window-hits")
+    side = F.broadcast(grams) if grams.count() <= BROADCAST_WINDOWS else grams
+    hits = materialize(_exploded(rows.where("text is not null"), ["k", "t"], 1).join(side, ["channel", "h"]).select("k", "t", "item", "channel", "pos", "b", "asked", F.col("slots").alias("told")), "window-hits")
     enough = F.col("matched") >= F.lit(similarity) * F.col("windows")
     likely = hits.groupBy("k", "t", "item").agg(F.count_distinct("b").alias("matched")).join(sizes, "item").where(enough).select("k", "t", "item")
     kept = hits.join(likely, ["k", "t", "item"], "left_semi")
-    consistent = _consistent(kept, rows.join(likely.select("k", "t").distinct(), ["k", "t"], "left_semi").dropDuplicates(["k", "t"]), items)
-    found = kept.withColumn("d", F.col("pos") - F.col("b")).join(consistent, ["k", "t", "item", "channel", "d"], "left_semi")
+    found = kept.withColumn("d", F.col("pos") - F.col("b")).join(_broken(kept), ["k", "t", "item", "channel", "d"], "left_anti")
     out = found.groupBy("k", "t", "item").agg(F.count_distinct("b").alias("matched")).join(sizes, "item").where(enough)
     return out.select(F.when(F.col("k") != _NONE, F.col("k")).alias("doc_id"), F.col("t").alias("text_hash"), F.col("item").alias("item_id"), "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"))
 
 
-def _slots(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``(keep, channel, at, value)`` of each placeholder: the word that stands there."""
-    raw = _words(F.lower(F.col("text")))
-    named = _words(F.lower(F.regexp_replace("text", _NAME, NAME)))
-    both = lambda channel, shape: F.struct(F.lit(channel).alias("channel"), F.arrays_zip(shape.alias("shape"), raw.alias("value")).alias("places"))
-    places = rows.select(*keep, F.explode(F.array(both(0, _canonical(raw)), both(1, _canonical(named)))).alias("c")).select(*keep, "c.channel", F.posexplode("c.places").alias("at", "p"))
-    return places.where(F.col("p.shape").isin(NUMBER, UNIT, NAME)).select(*keep, "channel", "at", F.col("p.value").alias("value"))
-
-
-def _consistent(hits: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Alignments ``(k, t, item, channel, d)`` whose slot values map one to one (or that have no slots)."""
-    lines = hits.withColumn("d", F.col("pos") - F.col("b"))
-    places = lines.select("k", "t", "item", "channel", "d", F.explode(F.sequence("b", F.col("b") + WINDOW - 1)).alias("at")).distinct()
-    pairs = places.join(_slots(items, ["item"]).withColumnRenamed("value", "asked"), ["item", "channel", "at"])
-    pairs = pairs.withColumn("spot", F.col("at") + F.col("d")).join(_slots(docs, ["k", "t"]).select("k", "t", "channel", F.col("at").alias("spot"), F.col("value").alias("told")), ["k", "t", "channel", "spot"])
+def _broken(hits: DataFrame) -> DataFrame:
+    """Alignments ``(k, t, item, channel, d)`` whose slot values don't map one to one."""
     group = ["k", "t", "item", "channel", "d"]
-    distinct = pairs.select(*group, "asked", "told").distinct()
-    broken = distinct.groupBy(*group).agg(F.count("*").alias("n"), F.count_distinct("asked").alias("a"), F.count_distinct("told").alias("b")).where("n <> a or n <> b")
-    return lines.select(*group).distinct().join(broken, group, "left_anti")
+    pairs = hits.where("asked is not null").select("k", "t", "item", "channel", (F.col("pos") - F.col("b")).alias("d"), F.explode(F.arrays_zip("asked", "told")).alias("p"))
+    distinct = pairs.where("p.asked is not null").select(*group, "p.asked", "p.told").distinct()
+    return distinct.groupBy(*group).agg(F.count("*").alias("n"), F.count_distinct("asked").alias("a"), F.count_distinct("told").alias("b")).where("n <> a or n <> b").select(*group)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
