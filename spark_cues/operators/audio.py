@@ -127,7 +127,7 @@ def range_features(pcm: DataFrame, ranges: DataFrame, chunk: int) -> DataFrame:
     """``rms`` and ``zcr`` of ``ranges (media_id, range_no, start, end)``: samples meet ranges through the chunks they cover."""
     rate = pcm.groupBy("media_id").agg(F.first("sample_rate").alias("rate"))
     spans = ranges.join(rate, "media_id").select("media_id", "range_no", F.floor(F.col("start") * F.col("rate")).cast("bigint").alias("lo"), F.floor(F.col("end") * F.col("rate")).cast("bigint").alias("hi")).where("hi > lo")
-    spread = spans.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("lo") / chunk), F.floor((F.col("hi") - 1) / chunk))).cast("bigint"))
+    spread = spans.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("lo") / chunk).cast("bigint"), F.floor((F.col("hi") - 1) / chunk).cast("bigint"))))
     first, last = F.greatest(F.col("lo") - F.col("chunk_no") * chunk, F.lit(0)).cast("int"), F.least(F.col("hi") - F.col("chunk_no") * chunk, F.size("samples").cast("bigint")).cast("int")
     part = spread.join(pcm, ["media_id", "chunk_no"]).where(last > first).withColumn("x", F.slice("samples", first + 1, last - first))
     sign = F.transform("x", lambda v: F.signum(v))

@@ -96,7 +96,7 @@ def uniform_picks(extents: DataFrame, gap: float = 5.0) -> DataFrame:
     """``(media_id, i, seconds)``: 1 to 8 picks spaced evenly over ``last_end``, for media without valid ones."""
     n = F.greatest(F.lit(1), F.least(F.lit(8), F.floor(F.col("last_end") / max(gap, 10.0)))).cast("int")
     rows = extents.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(1), "n")))
-    return rows.select("media_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("last_end") * F.col("i") / (F.col("n") + 1), 1).alias("seconds"))
+    return rows.select("media_id", F.col("i").cast("bigint").alias("i"), (F.floor(F.col("last_end") * F.col("i") / (F.col("n") + 1) * 10 + 0.5) / 10).alias("seconds"))
 
 
 def classify_source(path: Column) -> Column:

@@ -21,7 +21,7 @@ grouped as (select *, sum(b) over (partition by media_id, track order by seq row
 @query(
     "media_report",
     f"""with {fx.CUES_SQL}, {_PHRASES}
-    select media_id, track, count(*) as n_cues, max(g) as n_phrases, max(round(greatest(coalesce(start - pe, 0.0), 0.0), 3)) as longest_pause,
+    select media_id, track, count(*) as n_cues, cast(max(g) as bigint) as n_phrases, max(round(greatest(coalesce(start - pe, 0.0), 0.0), 3)) as longest_pause,
       round(sum(len(list_filter(string_split(text, ' '), lambda x: x <> ''))) / round(sum("end" - start), 3), 6) as words_per_second from grouped group by media_id, track""",
 )
 def media_report(spark, sf):
@@ -31,7 +31,7 @@ def media_report(spark, sf):
 @query(
     "w02_merge_phrases",
     f"""with {fx.CUES_SQL}, {_PHRASES}
-    select media_id, g as phrase_no, min(seq) as first_seq, count(*) as n_cues, round(arg_min(start, seq), 3) as start, round(arg_max("end", seq), 3) as "end", trim(string_agg(t, ' ' order by seq)) as text
+    select media_id, cast(g as bigint) as phrase_no, min(seq) as first_seq, count(*) as n_cues, round(arg_min(start, seq), 3) as start, round(arg_max("end", seq), 3) as "end", trim(string_agg(t, ' ' order by seq)) as text
     from grouped group by media_id, track, g""",
 )
 def merge_phrases(spark, sf):
@@ -159,7 +159,7 @@ def merge_group_faults(spark, sf):
 @query(
     "w04_fix_merge_groups",
     f"""with {_FAULTS}, member as (select media_id, batch_id, list_min(members) as first, unnest(members) as number from merge_groups)
-    select p.media_id, p.batch_id, p.number, coalesce(m.first, p.number) as group_key from placed p join faults f on p.media_id = f.media_id and p.batch_id = f.batch_id and f.repairable
+    select p.media_id, p.batch_id, p.number, cast(coalesce(m.first, p.number) as bigint) as group_key from placed p join faults f on p.media_id = f.media_id and p.batch_id = f.batch_id and f.repairable
     left join member m on p.media_id = m.media_id and p.batch_id = m.batch_id and p.number = m.number""",
 )
 def fix_merge_groups(spark, sf):
@@ -171,7 +171,7 @@ def fix_merge_groups(spark, sf):
     "w03_merge_by_groups",
     f"""with {_FAULTS}, member as (select media_id, batch_id, list_min(members) as first, unnest(members) as number from merge_groups),
     fixed as (select p.*, {_STRIP} as t, case when f.repairable then coalesce(m.first, p.number) end as k from placed p left join faults f on p.media_id = f.media_id and p.batch_id = f.batch_id
-      left join member m on p.media_id = m.media_id and p.batch_id = m.batch_id and p.number = m.number),
+      left join member m on f.repairable and p.media_id = m.media_id and p.batch_id = m.batch_id and p.number = m.number),
     r as (select *, lag(t) over w as pt, lag("end") over w as pe from fixed window w as (partition by media_id, batch_id order by seq)),
     g as (select *, case when k is null then 100000 + sum(case when pt is null or regexp_matches(pt, '[.!?…؟。！？]\\s*$') or round(start - pe, 6) > 2.0 then 1 else 0 end) over (partition by media_id, batch_id order by seq rows unbounded preceding) else k end as gk from r),
     i as (select *, lag("end") over (partition by media_id, batch_id, gk order by seq) as ge from g),
@@ -303,13 +303,16 @@ def distribute_words(spark, sf):
 
 
 def _segments(spark, sf):
-    """Long cues with words timed evenly; every fourth word comes 120 ms early; every fifth segment has no word times."""
-    said = X.words(F.col("text"))
-    n, dur = F.size("w"), F.col("end_ms") - F.col("start_ms")
-    at = lambda i: (F.col("start_ms") + F.floor(i * dur / n)) / 1000.0
-    early = lambda i: F.when(F.pmod(F.col("seq") + i, F.lit(4)) == 0, 0.12).otherwise(0.0)
-    timed = F.transform("w", lambda x, i: F.struct(x.alias("word"), F.when(F.col("seq") % 5 != 4, at(i)).alias("start"), F.when(F.col("seq") % 5 != 4, at(i + 1) - early(i)).alias("end")))
-    return fx.long_cues(spark, sf).withColumn("w", said).select("media_id", "seq", "start", "end", "text", timed.alias("words"))
+    """Long cues with words timed evenly; every fourth word ends 120 ms early; every fifth segment has no word times."""
+
+    def timed(v):
+        at = lambda i: (F.col("start_ms") + F.floor(i * (F.col("end_ms") - F.col("start_ms")) / F.size(v["w"]))) / 1000.0
+        early = lambda i: F.when(F.pmod(F.col("seq") + i, F.lit(4)) == 0, 0.12).otherwise(0.0)
+        known = F.col("seq") % 5 != 4
+        return F.transform(v["w"], lambda x, i: F.struct(x.alias("word"), F.when(known, at(i)).alias("start"), F.when(known, at(i + 1) - early(i)).alias("end")))
+
+    said = F.transform(F.array(F.struct(X.words(F.col("text")).alias("w"))), timed)[0]
+    return fx.long_cues(spark, sf).select("media_id", "seq", "start", "end", "text", said.alias("words"))
 
 
 @query("f03_split_by_words")
@@ -334,22 +337,22 @@ def _eights(spark, sf):
 @query(
     "w09_distribute_chars",
     f"""with {_PIECES}, t as (select *, start + sum((e - start) * length(piece) / length(text)) over (partition by media_id, seq order by piece_no rows unbounded preceding) as z from parts)
-    select media_id, seq, cast(piece_no as integer) as piece_no, round(case when piece_no = n - 1 then e else least(z, e) end, 3) as "end" from t""",
+    select media_id, seq, cast(piece_no as integer) as piece_no, round(case when piece_no = n - 1 then e else least(z, e) end + 1e-7, 3) as "end" from t""",
 )
 def distribute_chars(spark, sf):
     out = intervals.timed_pieces(_eights(spark, sf), ["media_id", "seq"], F.length("piece"), F.length("text"))
-    return out.select("media_id", "seq", "piece_no", F.round("piece_end", 3).alias("end"))
+    return out.select("media_id", "seq", "piece_no", F.round(F.col("piece_end") + 1e-7, 3).alias("end"))
 
 
 @query(
     "w10_distribute_display",
     f"""with {_PIECES}, s as (select *, sum(length(piece)) over (partition by media_id, seq) as chars from parts),
     t as (select *, start + sum(greatest(0.5, (e - start) * length(piece) / chars)) over (partition by media_id, seq order by piece_no rows unbounded preceding) as z from s)
-    select media_id, seq, cast(piece_no as integer) as piece_no, round(least(z, e), 3) as "end" from t""",
+    select media_id, seq, cast(piece_no as integer) as piece_no, round(least(z, e) + 1e-7, 3) as "end" from t""",
 )
 def distribute_display(spark, sf):
     out = intervals.timed_pieces(_eights(spark, sf), ["media_id", "seq"], F.length("piece"), least=0.5, force_last=False)
-    return out.select("media_id", "seq", "piece_no", F.round("piece_end", 3).alias("end"))
+    return out.select("media_id", "seq", "piece_no", F.round(F.col("piece_end") + 1e-7, 3).alias("end"))
 
 
 @query(
@@ -374,7 +377,7 @@ def order_merge(spark, sf):
 @query(
     "f11_uniform_picks",
     f"""with {fx.CUES_SQL}, e as (select media_id, max("end") as z, greatest(1, least(8, cast(floor(max("end") / 10) as integer))) as n from cues group by media_id)
-    select media_id, i, round(z * i / (n + 1), 1) as seconds from (select *, unnest(range(1, n + 1)) as i from e)""",
+    select media_id, i, floor(z * i / (n + 1) * 10 + 0.5) / 10 as seconds from (select *, unnest(range(1, n + 1)) as i from e)""",
 )
 def uniform_picks(spark, sf):
     return selection.uniform_picks(rollups.media_extent(fx.cues(spark, sf)).select("media_id", "last_end"))
@@ -391,13 +394,13 @@ def valid_timestamps(spark, sf):
     return selection.valid_timestamps(picks, fx.cues(spark, sf)).select("media_id", "i", "seconds")
 
 
-_ANSWERS = """answers as (select media_id, seq // 24 as batch_id, seq as pos, case when seq % 24 = 5 and (seq // 24) % 5 = 1 then idx || '-' || (seq + 3) else idx end as idx, case when seq % 11 = 3 then '' when seq % 7 = 2 then text || text || text || text else upper(text) end as text from cues where not (seq % 24 = 7 and (seq // 24) % 5 = 0))"""
+_ANSWERS = """answers as (select media_id, seq // 24 as batch_id, seq as pos, case when seq % 24 = 5 and (seq // 24) % 5 = 1 then idx || '-' || (seq + 3) else idx end as idx, case when seq % 11 = 3 then '' when seq % 7 = 2 then text || text || text || text else translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') end as text from cues where not (seq % 24 = 7 and (seq // 24) % 5 = 0))"""
 
 
 def _answers(cues):
     batch = F.floor(F.col("seq") / 24)
     idx = F.when((F.col("seq") % 24 == 5) & (batch % 5 == 1), F.concat("idx", F.lit("-"), (F.col("seq") + 3).cast("string"))).otherwise(F.col("idx"))
-    text = F.when(F.col("seq") % 11 == 3, "").when(F.col("seq") % 7 == 2, F.concat("text", "text", "text", "text")).otherwise(F.upper("text"))
+    text = F.when(F.col("seq") % 11 == 3, "").when(F.col("seq") % 7 == 2, F.concat("text", "text", "text", "text")).otherwise(fx.upper("text"))
     kept = cues.where(~((F.col("seq") % 24 == 7) & (batch % 5 == 0)))
     return kept.select("media_id", "track", batch.alias("batch_id"), F.col("seq").alias("pos"), idx.alias("idx"), text.alias("text"))
 
@@ -433,10 +436,10 @@ def srt_fallback(spark, sf):
     return reconcile.srt_fallback(cues, _answers(cues)).select("media_id", "seq", "text")
 
 
-@query("j06_apply_refinements", f"""with {fx.CUES_SQL} select media_id, seq, case when seq % 3 = 0 then trim(upper(text)) else text end as text from cues""")
+@query("j06_apply_refinements", f"""with {fx.CUES_SQL} select media_id, seq, case when seq % 3 = 0 then trim(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) else text end as text from cues""")
 def apply_refinements(spark, sf):
     cues = fx.cues(spark, sf)
-    line = F.concat(F.lit("["), F.col("seq").cast("string"), F.lit("] "), F.when(F.col("seq") % 3 == 0, F.upper("text")).otherwise(""))
+    line = F.concat(F.lit("["), F.col("seq").cast("string"), F.lit("] "), F.when(F.col("seq") % 3 == 0, fx.upper("text")).otherwise(""))
     lines = cues.select("media_id", "track", F.col("seq").alias("pos"), line.alias("line"))
     return reconcile.apply_refinements(cues, lines).select("media_id", "seq", "text")
 

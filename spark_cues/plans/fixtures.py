@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def upper(column: str):
+    """Upper case of plain Latin letters, which both engines agree on."""
+    return F.translate(column, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def _timed(rows: DataFrame) -> DataFrame:
     """Times for ``(media_id, lang, seq, text, n)``: 300 ms and 350 ms a word, and a gap by position."""
     turn = (F.col("media_id") * 7 + F.col("seq") * 13) % 10

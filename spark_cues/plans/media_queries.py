@@ -269,7 +269,7 @@ def metadata(spark, sf):
 
 @query(
     "s07_tracks",
-    """select page_id as media_id, bucket, code, pos, ext, url from pages, (values ('subtitles', 'en', 0, 'srt'), ('subtitles', 'en', 1, 'vtt'), ('automatic_captions', 'en-orig', 0, 'srt'), ('automatic_captions', 'fr', 0, 'vtt')) t(bucket, code, pos, ext) where bucket <> 'subtitles' or page_id % 2 = 0""",
+    """select page_id as media_id, bucket, code, cast(pos as bigint) as pos, ext, url from pages, (values ('subtitles', 'en', 0, 'srt'), ('subtitles', 'en', 1, 'vtt'), ('automatic_captions', 'en-orig', 0, 'srt'), ('automatic_captions', 'fr', 0, 'vtt')) t(bucket, code, pos, ext) where bucket <> 'subtitles' or page_id % 2 = 0""",
 )
 def read_tracks(spark, sf):
     return sources.read_tracks(_raw_media(spark, sf))
@@ -300,10 +300,10 @@ def recogniser_segments(spark, sf):
     return sources.recogniser_segments(raw).drop("words")
 
 
-@query("v01_map_model", """select doc_id as media_id, upper(substr(text, 1, 50)) as raw, length(text) // 3 as input_tokens, 1 as output_tokens from documents""")
+@query("v01_map_model", """select doc_id as media_id, substr(text, 1, 50) || '!' as raw, length(text) // 3 as input_tokens, cast(1 as bigint) as output_tokens from documents""")
 def map_model(spark, sf):
     requests = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("media_id"), F.substring("text", 1, 50).alias("prompt"), X.estimate_tokens(F.col("text")).alias("size"))
-    make = lambda: lambda row: {"raw": row["prompt"].upper(), "input_tokens": row["size"], "output_tokens": 1}
+    make = lambda: lambda row: {"raw": row["prompt"] + "!", "input_tokens": row["size"], "output_tokens": 1}
     return models.map_model(requests, make, "translate").select("media_id", "raw", "input_tokens", "output_tokens")
 
 

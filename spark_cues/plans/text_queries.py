@@ -79,14 +79,13 @@ def strip_playlist_params(spark, sf):
 
 @query(
     "x13_initial_prompt",
-    """with m as (select doc_id, 'Title ' || doc_id as title, trim(substr(text, 1, 200)) as d, list_transform(range(0, doc_id % 20), lambda x: 'tag' || x)[1:15] as tags from documents)
+    """with m as (select doc_id, 'Title ' || doc_id as title, trim(string_split_regex(trim(substr(text, 1, 200)), chr(10) || '\\s*' || chr(10))[1], ' ' || chr(10)) as d, list_transform(range(0, doc_id % 20), lambda x: 'tag' || x)[1:15] as tags from documents)
     select doc_id as media_id, substr(array_to_string(list_filter([title, d, array_to_string(tags, ', ')], lambda x: trim(x) <> ''), '. '), 1, 800) as prompt from m""",
 )
 def initial_prompt(spark, sf):
     n = (F.col("doc_id") % 20).cast("int")
     tags = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda x: F.concat(F.lit("tag"), x.cast("string")))).otherwise(F.array().cast("array<string>"))
     one = F.trim(F.substring("text", 1, 200))
-    # The first paragraph is the text's start: these texts have no blank lines.
     return fx.table(spark, sf, "documents").select(F.col("doc_id").alias("media_id"), X.initial_prompt(F.concat(F.lit("Title "), F.col("doc_id").cast("string")), one, tags).alias("prompt"))
 
 
@@ -110,9 +109,9 @@ def entries(spark, sf):
     return reconcile.entries_json(c, ["media_id", "batch_id"], True)
 
 
-@query("x17_answers_from_json", f"""with {fx.CUES_SQL} select media_id, seq // 24 as batch_id, seq % 24 as pos, idx, upper(text) as text from cues where (seq // 24) % 5 <> 4""")
+@query("x17_answers_from_json", f"""with {fx.CUES_SQL} select media_id, seq // 24 as batch_id, seq % 24 as pos, idx, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') as text from cues where (seq // 24) % 5 <> 4""")
 def answers_from_json(spark, sf):
-    c = fx.cues(spark, sf).withColumn("batch_id", F.floor(F.col("seq") / 24)).withColumn("text", F.upper("text"))
+    c = fx.cues(spark, sf).withColumn("batch_id", F.floor(F.col("seq") / 24)).withColumn("text", fx.upper("text"))
     raw = reconcile.entries_json(c, ["media_id", "batch_id"]).select("media_id", "batch_id", F.when(F.col("batch_id") % 5 == 4, "no answer").otherwise(F.concat(F.lit("Here:\n```json\n"), "entries", F.lit("\n```\n"))).alias("raw"))
     return reconcile.answer_rows(raw)
 
