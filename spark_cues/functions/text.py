@@ -111,7 +111,7 @@ def mark_rtl(c: Column) -> Column:
     return F.when(starts_rtl(c), F.concat(F.lit(RTL_OPEN), c, F.lit(RTL_CLOSE))).otherwise(c)
 
 
-def space_lines(c: Column, spacing: int, spacer: str = " ") -> Column:
+def space_lines(c: Column, spacing: int, spacer: str = "\u00a0") -> Column:
     """A spacer row between text lines when ``spacing`` is over 0."""
     return F.array_join(F.split(c, "\n", -1), f"\n{spacer}\n") if spacing > 0 else c
 

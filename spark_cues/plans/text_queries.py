@@ -53,7 +53,7 @@ def wrap_mid(spark, sf):
 
 @query(
     "x09_rtl_and_spacing",
-    f"""with {fx.LONG_CUES_SQL} select media_id, seq, regexp_matches(text, '^[^\\p{{L}}]*[؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-ﻼ]') as rtl, text as marked, replace(replace(text, '. ', '.' || chr(10)), chr(10), chr(10) || ' ' || chr(10)) as spaced from long_cues""",
+    f"""with {fx.LONG_CUES_SQL} select media_id, seq, regexp_matches(text, '^[^\\p{{L}}]*[؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-ﻼ]') as rtl, text as marked, replace(replace(text, '. ', '.' || chr(10)), chr(10), chr(10) || chr(160) || chr(10)) as spaced from long_cues""",
 )
 def rtl_and_spacing(spark, sf):
     t = F.col("text")
