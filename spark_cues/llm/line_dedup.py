@@ -55,10 +55,9 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, min_words: int = MIN
     Lines are cut at line feeds and compared without outer spaces, tabs and carriage returns.  A line on ``sites``
     or more sites stays once, where (doc_id, text hash, position) is smallest, and goes everywhere else; lines
     under ``min_words`` words stay.  A null site counts as no site.  Null texts stay null; a text may become
-    empty, its row stays.  A null id sorts first; repeated rows are treated alike; an empty table stays empty.
+    empty, its row stays.  A null id sorts first; repeated rows are treated alike; an empty table stays empty.  A column ``n_removed`` of ``docs`` is replaced.
     """
-    if {"n_removed", "__k", "__t"} & set(docs.columns):
-        raise ValueError("n_removed, __k and __t must not be columns")
+    docs = docs.drop("n_removed")
     lines = materialize(line_table(docs, min_words, id_col, text_col, site_col), "lines")
     found = boilerplate_lines(lines, sites)
     here = F.struct("__k", "__t", "pos")

@@ -133,13 +133,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOL
     a slot is the bucket's counted start plus the row's place in it.  Rows cross the network once.
 
     A row's size is its text's UTF-8 bytes (null: none) plus 16.  A null id sorts as the smallest; repeated
-    rows take separate slots, in any order; an empty table gives no rows.  The new columns must not be in ``docs``.
+    rows take separate slots, in any order; an empty table gives no rows.  Columns of ``docs`` named like the new ones are replaced.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    text, taken = F.col(text_col).cast("string"), {"size", "shard", "slot", "__h", "__d", "__b"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are already there")
+    docs, text = docs.drop("size", "shard", "slot"), F.col(text_col).cast("string")
     named = docs.withColumns({"size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + FIXED_BYTES, "__h": F.xxhash64(F.coalesce(text, F.lit(""))), "__d": F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW))})
     keys = cut(named.select("__h", "__d", "size"))
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]

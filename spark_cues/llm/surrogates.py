@@ -131,14 +131,17 @@ def _email(key: str, value: Column, digest: Column) -> Column:
 def surrogate(value: Column, attempt: Column, key: str) -> Column:
     """The replacement of an entity: same kind, script, case, gender and layout, and always the same for one entity."""
 
-    def made(value: Column, kind: Column, who: Column, digest: Column) -> Column:
+    # Short names run out: from the fourth attempt on a surrogate is longer than what it stands for.
+    longer = lambda text, attempt: F.concat(text, F.repeat(F.when(F.regexp_like(text, F.lit(r"\p{IsCyrillic}")), "на").otherwise("na"), F.floor(attempt.cast("int") / 4).cast("int")))
+
+    def made(value: Column, kind: Column, who: Column, digest: Column, attempt: Column) -> Column:
         ip = F.concat_ws(".", *[(F.pmod(_byte(digest, i), F.lit(254)) + 1).cast("string") for i in range(4)])
-        out = F.when(kind == "email", _email(key, value, digest)).when(kind == "ip", ip).when(kind.isin(*_DIGIT_KINDS), _layout(value, _digits(kind, who, digest)))
-        return out.when(kind == "given", _given(key, value)).otherwise(_in_class(value, digest))
+        out = F.when(kind == "email", _email(key, F.concat(longer(F.substring_index(value, "@", 1), attempt), F.lit("@"), F.substring_index(value, "@", -1)), digest)).when(kind == "ip", ip).when(kind.isin(*_DIGIT_KINDS), _layout(value, _digits(kind, who, digest)))
+        return out.when(kind == "given", _given(key, value)).otherwise(_in_class(longer(value, attempt), digest))
 
     known = lambda x: F.struct(x["value"].alias("value"), x["attempt"].alias("attempt"), x["kind"].alias("kind"), _identity(x["value"], x["kind"]).alias("who"))
     first = _let(F.struct(value.alias("value"), attempt.alias("attempt"), kind_of(value).alias("kind")), known)
-    return _let(first, lambda x: _let(_digest(key, x["kind"], x["attempt"], x["who"]), lambda d: made(x["value"], x["kind"], x["who"], d)))
+    return _let(first, lambda x: _let(_digest(key, x["kind"], x["attempt"], x["who"]), lambda d: made(x["value"], x["kind"], x["who"], d, x["attempt"])))
 
 
 def _retries(found: DataFrame, key: str) -> DataFrame:
@@ -166,10 +169,9 @@ def replace_personal_data(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str =
     Replacement needs no join: a surrogate is a function of key and entity.  Only entities whose surrogate collided
     (usually none) are joined back, to the documents that hold them.  Equal entities get equal surrogates in all
     documents and different ones different surrogates.  Null texts stay null, with no entities;
-    null ids, repeated rows and empty tables pass through.
+    null ids, repeated rows and empty tables pass through.  A column ``entities`` of ``docs`` is replaced.
     """
-    if "entities" in docs.columns or "__retry" in docs.columns:
-        raise ValueError("entities and __retry must not be columns")
+    docs = docs.drop("entities")
     text = F.col(text_col).cast("string")
     mentions = docs.select(F.explode(entities(text)).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
     found = mentions.select(identity(F.col("value")).alias("who"), kind_of(F.col("value")).alias("kind")).distinct()
