@@ -39,8 +39,8 @@ def stream_phase(lines: DataFrame, patterns: DataFrame, path: str, checkpoint: s
 _END = (".", "!", "?", "…", "؟", "。", "！", "？")
 
 
-def stream_merge_phrases(cues: DataFrame, gap: float = 2.0, idle_ms: int = 60_000) -> DataFrame:
-    """Phrases of live captions ``(media_id, seq, start, end, text)``: the open phrase is held until a sentence end, a pause or ``idle_ms``.
+def stream_merge_phrases(cues: DataFrame, gap: float = 2.0, idle_ms: int | None = 60_000) -> DataFrame:
+    """Phrases of live captions ``(media_id, seq, start, end, text)``: the open phrase is held until a sentence end, a pause or ``idle_ms`` (None: no timer, as for a finite replay).
 
     A cue that starts before the last one's end is late and comes out alone, with ``late`` true.  Cues of one trigger are taken by ``seq``.
     """
@@ -69,13 +69,14 @@ def stream_merge_phrases(cues: DataFrame, gap: float = 2.0, idle_ms: int = 60_00
             held = None
         if held:
             state.update(tuple(held))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["media_id", "first_seq", "start", "end", "text", "late"])
 
     kind = "first_seq bigint, start double, end double, text string, done boolean"
-    return cues.groupBy("media_id").applyInPandasWithState(step, schema, kind, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return cues.groupBy("media_id").applyInPandasWithState(step, schema, kind, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def stream_text(tokens: DataFrame) -> DataFrame:
