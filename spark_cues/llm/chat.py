@@ -84,16 +84,17 @@ def fit_roles(lines: DataFrame, role_col: str = "role", conversations: int = FIT
     role = F.array_position(F.array(*map(F.lit, ROLES)), F.lower(F.col(role_col))).cast("int") - 1
     first = F.col("line_no") == F.min("line_no").over(Window.partitionBy("conv", "turn", "piece"))
     known = lines.join(chosen, "conv").withColumn("state", role * 2 + F.when(first, 0).otherwise(1)).where("state >= 0")
-    w = Window.partitionBy("conv").orderBy("turn", "piece", "line_no")
-    steps = cut(known.select("state", "symbol", F.lag("state").over(w).alias("before")))
+    # Steps over the edges of chunks are left out, so that no task sorts a whole long conversation.
+    w = Window.partitionBy("conv", "chunk").orderBy("turn", "piece", "line_no")
+    steps = cut(known.select("state", "symbol", F.lag("state").over(w).alias("before"), (F.col("chunk") <= 0).alias("opening")))
     emit, move, start = np.ones((len(STATES), SYMBOLS)), np.full((len(STATES),) * 2, 0.5), np.full(len(STATES), 0.5)
     for s, x, n in steps.groupBy("state", "symbol").count().collect():
         emit[s, x] += n
-    for s, b, n in steps.groupBy("state", "before").count().collect():
-        if b is None:
-            start[s] += n
-        else:
+    for s, b, opening, n in steps.groupBy("state", "before", "opening").count().collect():
+        if b is not None:
             move[b, s] += n
+        elif opening:
+            start[s] += n
     for r in range(len(ROLES)):  # a line goes on only with the turn of its own role
         move[:, 2 * r + 1][[s for s in range(len(STATES)) if s // 2 != r]] = 1e-9
         start[2 * r + 1] = 1e-9
