@@ -18,13 +18,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    is a local temporary folder made and set as the checkpoint folder.
+    is a local temporary folder made and used for the session.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-cues-")
-        spark.conf.set("spark.checkpoint.dir", found)
     context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_cues_scratch", None)
+    if not found:
+        found = context._cues_scratch = "file://" + tempfile.mkdtemp(prefix="spark-cues-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(found)
     return found.rstrip("/")
