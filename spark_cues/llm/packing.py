@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, ship_package
 
 WINDOW, END_ID = 4096, 2
-#: Words and pieces kept with their ids in a Python worker (some 50 and 200 MB); a full table starts anew.
-CACHE_WORDS, CACHE_PIECES = 250_000, 1_000_000
+#: Words and pieces kept with their ids in a Python worker (some 50 and 120 MB); a full table starts anew.
+CACHE_WORDS, CACHE_PIECES = 250_000, 600_000
 #: Python's white space beyond Unicode's White_Space, letters whose lower case depends on others or changes length, special tokens.
 _ODD = re.compile("[\x1c-\x1f\u03a3\u0130]|<\\|")
 #: Fixed value: the tokenizer's own pattern.
