@@ -112,7 +112,11 @@ def usage_by_stage(spark, sf):
     return rollups.usage_by_stage(fx.llm_calls(spark, sf))
 
 
-@query("g03_usage_report")
+@query(
+    "g03_usage_report",
+    f"""with {fx.LLM_SQL}, e as (select stage, arg_min(model, event_id) as model, count(*) as calls, sum(input_tokens) as i, sum(output_tokens) as o from llm_calls group by stage), a as (from e union all select null, null, sum(calls), sum(i), sum(o) from e)
+    select stage, coalesce(stage || ' (' || model || ')', 'total') || ' calls: ' || format('{{:,}}', cast(calls as bigint)) || ' in: ' || format('{{:,}}', cast(i as bigint)) || ' out: ' || format('{{:,}}', cast(o as bigint)) as line from a""",
+)
 def usage_report(spark, sf):
     return rollups.usage_report(rollups.usage_by_stage(fx.llm_calls(spark, sf)))
 

@@ -103,7 +103,10 @@ def request_lines(spark, sf):
     return reconcile.numbered_lines(c, ["media_id", "batch_id"], F.concat(F.lit("["), "idx", F.lit("] "), "text"))
 
 
-@query("x16_entries_json")
+@query(
+    "x16_entries_json",
+    f"""with {fx.CUES_SQL} select media_id, seq // 24 as batch_id, cast(to_json(list(struct_pack(index := idx, text := text, target_words := cast(greatest(4, round_even(("end" - start) * 3.0 * 0.85, 0)) as integer)) order by seq)) as varchar) as entries from cues group by media_id, seq // 24""",
+)
 def entries(spark, sf):
     c = fx.cues(spark, sf).withColumn("batch_id", F.floor(F.col("seq") / 24)).withColumn("target_words", X.word_budget(F.col("end") - F.col("start"), F.lit(3.0)))
     return reconcile.entries_json(c, ["media_id", "batch_id"], True)
