@@ -74,14 +74,16 @@ def _byte(digest: Column, i: Column | int) -> Column:
 
 
 _LETTERS = "".join(CLASSES)
-#: For each letter, where its class starts (from 1) and how many letters it has.
-_PLACES = [(_LETTERS.index(c[0]) + 1, len(c)) for c in CLASSES for _ in c]
+#: For each letter, where its class starts (from 1, three digits) and how many letters it has (two digits): two literals, not two arrays.
+_STARTS = "".join(f"{_LETTERS.index(c[0]) + 1:03d}" for c in CLASSES for _ in c)
+_SIZES = "".join(f"{len(c):02d}" for c in CLASSES for _ in c)
 
 
 def _in_class(value: Column, digest: Column) -> Column:
     """Every letter or digit by one of its class, chosen by the digest; other signs stay."""
-    starts, sizes = F.lit([x[0] for x in _PLACES]), F.lit([x[1] for x in _PLACES])
-    pick = lambda p, i: F.substring(F.lit(_LETTERS), F.element_at(starts, p) + F.pmod(_byte(digest, i), F.element_at(sizes, p)), F.lit(1))
+    start = lambda p: F.substring(F.lit(_STARTS), p * 3 - 2, F.lit(3)).cast("int")
+    size = lambda p: F.substring(F.lit(_SIZES), p * 2 - 1, F.lit(2)).cast("int")
+    pick = lambda p, i: F.substring(F.lit(_LETTERS), start(p) + F.pmod(_byte(digest, i), size(p)), F.lit(1))
     one = lambda c, i: _let(F.instr(F.lit(_LETTERS), c), lambda p: F.when(p > 0, pick(p, i)).otherwise(c))
     return F.array_join(F.transform(_chars(value), one), "")
 
@@ -152,7 +154,8 @@ def _retries(found: DataFrame, key: str) -> DataFrame:
     """
     tried = cut(found.where("kind <> 'given'").withColumn("attempt", F.lit(0)))
     for _ in range(MAX_ROUNDS):
-        named = tried.withColumn("as", identity(surrogate(F.col("who"), F.col("attempt").cast("string"), key)))
+        # Cut, so that the long expression is planned and computed once a round.
+        named = cut(tried.withColumn("as", identity(surrogate(F.col("who"), F.col("attempt").cast("string"), key))))
         first = named.groupBy("kind", "as").agg(F.min(F.struct("attempt", "who")).alias("first"), F.count("*").alias("n"))
         shared = named.join(first.where("n > 1"), ["kind", "as"]).where(F.struct("attempt", "who") != F.col("first")).select("kind", "who")
         real = named.join(tried.select("kind", F.col("who").alias("as")), ["kind", "as"], "left_semi").select("kind", "who")
