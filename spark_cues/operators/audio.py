@@ -34,12 +34,12 @@ def zero_crossing_rate(pcm: DataFrame, chunk: int) -> DataFrame:
     per = pcm.where(F.size("samples") > 0).select("media_id", "chunk_no", F.size("samples").alias("n"), inside.alias("c"), F.element_at(sign, 1).alias("first"), F.element_at(sign, -1).alias("last"))
     edge = F.when(F.lag("last").over(Window.partitionBy("media_id").orderBy("chunk_no")) != F.col("first"), 1).otherwise(0)
     sums = per.withColumn("e", edge).groupBy("media_id").agg(F.sum("n").alias("n"), F.sum(F.col("c") + F.col("e")).alias("c"))
-    return sums.select("media_id", F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.col("c") / F.col("n"), 6)).alias("zcr"))
+    return sums.select("media_id", F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.col("c") / F.col("n"), 9)).alias("zcr"))
 
 
 def speech_density(pcm: DataFrame, chunk: int, frame: int, threshold_db: float = -40.0) -> DataFrame:
     """Share of frames at or over a level."""
-    return frame_rms(pcm, frame, chunk).groupBy("media_id").agg(F.round(F.avg((F.col("rms") >= 10 ** (threshold_db / 20)).cast("int")), 6).alias("density"))
+    return frame_rms(pcm, frame, chunk).groupBy("media_id").agg(F.round(F.avg((F.col("rms") >= 10 ** (threshold_db / 20)).cast("int")), 9).alias("density"))
 
 
 def trim_points(pcm: DataFrame, budgets: DataFrame, chunk: int, frame: int, threshold_db: float = -40.0) -> DataFrame:
@@ -137,7 +137,7 @@ def range_features(pcm: DataFrame, ranges: DataFrame, chunk: int) -> DataFrame:
     w = Window.partitionBy("media_id", "range_no").orderBy("chunk_no")
     edged = per.withColumn("e", F.when(F.lag("b").over(w) != F.col("a"), 1).otherwise(0))
     sums = edged.groupBy("media_id", "range_no").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("c") + F.col("e")).alias("c"))
-    return sums.select("media_id", "range_no", F.col("n").alias("n_samples"), F.round(F.sqrt(F.col("s") / F.col("n")), 6).alias("rms"), F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.col("c") / F.col("n"), 6)).alias("zcr"))
+    return sums.select("media_id", "range_no", F.col("n").alias("n_samples"), F.round(F.sqrt(F.col("s") / F.col("n")), 6).alias("rms"), F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.col("c") / F.col("n"), 9)).alias("zcr"))
 
 
 def silent_gaps(pcm: DataFrame, cues: DataFrame, chunk: int, least: float = 0.3, threshold_db: float = -40.0) -> DataFrame:

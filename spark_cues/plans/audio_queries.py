@@ -18,12 +18,12 @@ def frame_rms(spark, sf):
     return audio.frame_rms(fx.pcm(spark, sf), FRAME, CHUNK)
 
 
-@query("a02_zero_crossing_rate", f"with {_SAMPLES}, c as (select media_id, x, lag(sign(x)) over (partition by media_id order by pos) as p from s) select media_id, round(sum(case when p is not null and p <> sign(x) then 1 else 0 end) / count(*), 6) as zcr from c group by media_id")
+@query("a02_zero_crossing_rate", f"with {_SAMPLES}, c as (select media_id, x, lag(sign(x)) over (partition by media_id order by pos) as p from s) select media_id, round(sum(case when p is not null and p <> sign(x) then 1 else 0 end) / count(*), 9) as zcr from c group by media_id")
 def zero_crossing_rate(spark, sf):
     return audio.zero_crossing_rate(fx.pcm(spark, sf), CHUNK)
 
 
-@query("a03_speech_density", f"with {_FRAMES} select media_id, round(avg(case when rms >= pow(10, -18 / 20.0) then 1 else 0 end), 6) as density from frames group by media_id")
+@query("a03_speech_density", f"with {_FRAMES} select media_id, round(avg(case when rms >= pow(10, -18 / 20.0) then 1 else 0 end), 9) as density from frames group by media_id")
 def speech_density(spark, sf):
     return audio.speech_density(fx.pcm(spark, sf), CHUNK, FRAME, -18.0)
 
@@ -78,7 +78,7 @@ def peak(spark, sf):
 
 _RANGES = "ranges as (select media_id, chunk_no as range_no, chunk_no + 0.25 as a, chunk_no + 1.75 as z from pcm where chunk_no % 3 = 0)"
 _FEATURES = f"""{_SAMPLES}, {_RANGES}, r as (select media_id, range_no, pos, x, lag(sign(x)) over (partition by media_id, range_no order by pos) as p from ranges join s using (media_id) where pos >= floor(a * 64) and pos < floor(z * 64)),
-features as (select media_id, range_no, count(*) as n_samples, round(sqrt(sum(x * x) / count(*)), 6) as rms, round(sum(case when p is not null and p <> sign(x) then 1 else 0 end) / count(*), 6) as zcr from r group by media_id, range_no)"""
+features as (select media_id, range_no, count(*) as n_samples, round(sqrt(sum(x * x) / count(*)), 6) as rms, round(sum(case when p is not null and p <> sign(x) then 1 else 0 end) / count(*), 9) as zcr from r group by media_id, range_no)"""
 
 
 def _ranges(pcm):

@@ -1,7 +1,6 @@
 """Every registered query of the library against its SQL counterpart, on the smallest tables."""
 
-import math
-
+import pandas as pd
 import pytest
 from spark_cues.plans import registry
 
@@ -20,11 +19,13 @@ def db(tiny):
 
 def comparable(frame):
     def cell(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)) or v != v:
+        if hasattr(v, "__iter__") and not isinstance(v, str):
+            return str(list(v))
+        if pd.isna(v):
             return ""
         if isinstance(v, float):
-            return repr(v + 0.0) if v != int(v) else str(int(v))
-        return str(list(v)) if hasattr(v, "__iter__") and not isinstance(v, str) else str(v)
+            return str(int(v)) if v == int(v) else repr(float(v))
+        return str(v)
 
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(map(cell, row)) for row in frame.itertuples(index=False))
