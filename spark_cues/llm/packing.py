@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, ship_package
 
 WINDOW, END_ID = 4096, 2
-#: Words and pieces kept with their ids in a Python worker (some 50 and 200 MB); a full table starts anew.
-CACHE_WORDS, CACHE_PIECES = 250_000, 1_000_000
+#: Words and pieces kept with their ids in a Python worker (some 200 MB); a full table starts anew.
+CACHE_WORDS = 1_000_000
 #: Python's white space beyond Unicode's White_Space, letters whose lower case depends on others or changes length, special tokens.
-_ODD = re.compile("[\x1c-\x1f\u03a3\u0130]|<\\|")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\u03a3", "\u0130", "<|")
 #: Fixed value: the tokenizer's own pattern.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -37,8 +37,8 @@ class WordEncoder:
 
     The tokenizer composes, lowers and drops white space, then cuts at fixed patterns, so what lies between spaces can be
     encoded alone.  Words are looked up; unknown ones are cut into the tokenizer's own pieces, and unknown
-    pieces are encoded many at a time, split at the ids that end a word.  Texts where Python's
-    white space or lower case could differ go to the tokenizer whole.
+    pieces are encoded many at a time, split at the ids that end a word.  A piece is a word too, so one table holds
+    both.  Texts where Python's white space or lower case could differ go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -49,54 +49,55 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        #: Two bytes an id where the vocabulary allows.
+        self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
+        self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def _learn_pieces(self, new: list[str]) -> None:
-        if len(self.pieces) + len(new) > CACHE_PIECES:
-            self.pieces.clear()
         for at in range(0, len(new), 2048):
             part = new[at : at + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):  # a piece that isn't one word to the tokenizer
-                self.pieces.update((x, self.whole(x)) for x in part)
+                self.known.update((x, self.whole(x)) for x in part)
                 continue
-            raw, places = ids.tobytes(), [0, *(cuts * 4).tolist()]
-            self.pieces.update((x, raw[i:j]) for x, i, j in zip(part, places, places[1:], strict=False))
-
-    def learn(self, texts: list[str]) -> None:
-        new: set[str] = set()
-        for text in texts:
-            new.update(text.split())
-        fresh = new.difference(self.words)
-        if len(self.words) + len(fresh) > CACHE_WORDS:
-            self.words.clear()
-            fresh = new
-        cut = {w: (w,) if w.isalpha() else _PIECES.findall(w) for w in fresh}
-        needed = {p for parts in cut.values() for p in parts}
-        missing = needed.difference(self.pieces)
-        if len(self.pieces) + len(missing) > CACHE_PIECES:
-            missing = needed
-        self._learn_pieces(list(missing))
-        self.words.update((w, b"".join([self.pieces[p] for p in parts])) for w, parts in cut.items())
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """One little-endian unsigned 32-bit string for each text, texts taken in groups of some megabytes."""
+            raw, places = ids.tobytes(), [0, *(cuts * self.kind.itemsize).tolist()]
+            self.known.update((x, raw[i:j]) for x, i, j in zip(part, places, places[1:], strict=False))
+
+    def learn(self, words: set[str]) -> None:
+        fresh = words.difference(self.known)
+        if len(self.known) + len(fresh) > CACHE_WORDS:
+            self.known.clear()
+            fresh = words
+        cut = {w: _PIECES.findall(w) for w in fresh if not w.isalpha()}
+        pieces = fresh.difference(cut)
+        pieces.update(p for parts in cut.values() for p in parts if p not in self.known)
+        self._learn_pieces(list(pieces))
+        ids = self.known.__getitem__
+        # A word of one piece is that piece.
+        self.known.update([(w, b"".join(map(ids, parts))) for w, parts in cut.items() if w not in pieces])
+
+    def codes(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text in turn, as bytes of ``kind``; texts are taken in groups of some megabytes, each split once."""
         at = 0
         while at < len(texts):
             to, size = at, 0
-            while to < len(texts) and (to == at or size < 4_000_000):
+            while to < len(texts) and (to == at or size < 2_000_000):
                 size += len(texts[to])
                 to += 1
             part, at = texts[at:to], to
-            plain = [None if _ODD.search(x) else x.lower() if x.isascii() else unicodedata.normalize("NFC", x).lower() for x in part]
-            self.learn([x for x in plain if x is not None])
-            for text, low in zip(part, plain, strict=True):
-                yield self.whole(text) if low is None else b"".join(map(self.words.__getitem__, low.split()))
+            plain = [None if any(x in text for x in _ODD) else (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split() for text in part]
+            self.learn(set().union(*filter(None, plain)))
+            ids = self.known.__getitem__
+            for text, words in zip(part, plain, strict=True):
+                yield self.whole(text) if words is None else b"".join(map(ids, words))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """One little-endian unsigned 32-bit string for each text."""
+        return (np.frombuffer(x, dtype=self.kind).astype("<u4").tobytes() for x in self.codes(texts))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -119,18 +120,15 @@ def _slices(batch: pa.RecordBatch, column: int, limit: int = 8_000_000) -> Itera
 
 
 def _tokenize(path: str, end_id: int):
-    tail = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, ids = TaskContext.get().partitionId(), 0, encoder(path)
+        tail, mark, width = np.array([end_id], dtype=ids.kind).tobytes(), b"4" if ids.kind.itemsize == 4 else b"", ids.kind.itemsize
         for batch in (x for b in batches for x in _slices(b, 1)):
-            codes = [x + tail for x in ids.encode([x or "" for x in batch.column(1).to_pylist()])]
-            sizes = np.array([len(x) // 4 for x in codes], dtype=np.int64)
+            codes = [mark + x + tail for x in ids.codes([x or "" for x in batch.column(1).to_pylist()])]
+            sizes = np.array([len(x) // width for x in codes], dtype=np.int64)
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
-            narrow = [np.frombuffer(x, dtype="<u4") for x in codes]
-            packed = [x.astype("<u2").tobytes() if not len(x) or x.max() < 65536 else b"4" + x.tobytes() for x in narrow]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(codes), part)), pa.array(starts), pa.array(sizes), pa.array(packed, pa.binary())], names=["doc_id", "part", "part_start", "doc_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(codes), part)), pa.array(starts), pa.array(sizes), pa.array(codes, pa.binary())], names=["doc_id", "part", "part_start", "doc_tokens", "ids"])
 
     return run
 
