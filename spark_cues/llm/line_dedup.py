@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import cut, materialize
 
 #: A line on at least this many distinct sites is boilerplate.
 SITES = 8
@@ -14,6 +14,8 @@ MIN_WORDS = 5
 LOG_K = 12
 #: Estimates within this share of the threshold, or one site, are counted exactly.
 BAND = 0.15
+#: Lines with this fraction of all occurrences, of which there can be no more than so many, are joined by broadcast.
+FREQUENT = 1000
 _NONE = -(1 << 63)
 
 
@@ -30,23 +32,33 @@ def line_table(docs: DataFrame, min_words: int, id_col: str, text_col: str, site
     return long.select("__k", "__t", "pos", "site", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def boilerplate_lines(lines: DataFrame, sites: int) -> DataFrame:
-    """``(h1, h2, first)`` of lines on ``sites`` or more distinct sites; ``first`` is the smallest ``(__k, __t, pos)``.
+def _by_line(lines: DataFrame, side: DataFrame, frequent: DataFrame, how: str = "left_semi") -> list[DataFrame]:
+    """``lines`` joined to ``side`` by hash, in two parts: frequent lines in the tasks that read them, the others by shuffle."""
+    few, key = F.broadcast(frequent), ["h1", "h2"]
+    return [lines.join(F.broadcast(side.join(few, key, "left_semi")), key, how), lines.join(few, key, "left_anti").join(side.join(few, key, "left_anti"), key, how)]
+
+
+def boilerplate_lines(lines: DataFrame, sites: int) -> tuple[DataFrame, DataFrame]:
+    """``(h1, h2, first)`` of lines on ``sites`` or more distinct sites, ``first`` the smallest ``(__k, __t, pos)``; and the frequent lines.
 
     Lines with fewer occurrences than ``sites`` can't qualify and get no sketch.  The others get one sketch per
-    line hash, built in each task and merged by aggregation, so a frequent line costs one sketch a task.
+    line hash.  Frequent lines, each with a thousandth of all occurrences and so at most a thousand, get one in each task, merged by
+    aggregation, so that no task reads all occurrences of one line.
     """
-    often = lines.groupBy("h1", "h2").agg(F.count("site").alias("n"), (F.min("site") != F.max("site")).alias("mixed")).where(F.col("n") >= sites)
-    often = often.where("mixed") if sites > 1 else often
-    likely = lines.join(often.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    spread = materialize(
-        likely.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_K)).alias("estimate"), F.min(F.struct("__k", "__t", "pos")).alias("first")), "line-spread"
-    )
+    total, key = lines.count(), ["h1", "h2"]
+    counts = lines.groupBy(*key).agg(F.count("*").alias("rows"), F.count("site").alias("n"), (F.min("site") != F.max("site")).alias("mixed"))
+    spread_out = (F.col("n") >= sites) & (F.col("mixed") if sites > 1 else F.lit(True))
+    often = cut(counts.where((F.col("rows") * FREQUENT >= total) | spread_out))
+    frequent = often.where(F.col("rows") * FREQUENT >= total).select(*key)
+    sketched = lambda rows: rows.groupBy(*key).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_K)).alias("estimate"), F.min(F.struct("__k", "__t", "pos")).alias("first"))
+    few, rest = _by_line(lines, often.where(spread_out).select(*key), frequent)
+    spread = materialize(sketched(few).unionByName(sketched(rest)), "line-spread")
     margin = max(1.0, BAND * sites)
-    sure = spread.where(F.col("estimate") > sites + margin).select("h1", "h2", "first")
-    near = spread.where(F.abs(F.col("estimate") - sites) <= margin).select("h1", "h2", "first")
-    counted = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= sites)
-    return sure.unionByName(near.join(counted.select("h1", "h2"), ["h1", "h2"], "left_semi"))
+    sure = spread.where(F.col("estimate") > sites + margin).select(*key, "first")
+    near = spread.where(F.abs(F.col("estimate") - sites) <= margin).select(*key, "first")
+    exact = lambda rows: rows.groupBy(*key).agg(F.count_distinct("site").alias("n")).where(F.col("n") >= sites)
+    few, rest = _by_line(lines, near.select(*key), frequent)
+    return sure.unionByName(near.join(exact(few).unionByName(exact(rest)).select(*key), key, "left_semi")), frequent
 
 
 def remove_boilerplate(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -59,9 +71,10 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, min_words: int = MIN
     """
     docs = docs.drop("n_removed")
     lines = materialize(line_table(docs, min_words, id_col, text_col, site_col), "lines")
-    found = boilerplate_lines(lines, sites)
+    found, frequent = boilerplate_lines(lines, sites)
+    few, rest = _by_line(lines, found, frequent, "inner")
     here = F.struct("__k", "__t", "pos")
-    gone = lines.join(found, ["h1", "h2"]).where(here != F.col("first")).groupBy("__k", "__t").agg(F.collect_set("pos").alias("gone"))
+    gone = few.unionByName(rest).where(here != F.col("first")).groupBy("__k", "__t").agg(F.collect_set("pos").alias("gone"))
     keyed = docs.select("*", *_doc_key(id_col, text_col)).join(gone.hint("shuffle_hash"), ["__k", "__t"], "left")
     parts = F.split(text_col, "\n", -1)
     both = F.array(F.struct(parts.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone").alias("kept")))
