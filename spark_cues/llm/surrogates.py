@@ -130,8 +130,11 @@ def _email(key: str, value: Column, digest: Column) -> Column:
     return F.concat(_in_class(local, digest), F.lit("@"), _let(_digest(key, F.lit("domain"), F.lower(domain)), lambda d: _in_class(name, d)), top)
 
 
-def surrogate(value: Column, attempt: Column, key: str) -> Column:
-    """The replacement of an entity: same kind, script, case, gender and layout, and always the same for one entity."""
+def surrogate(value: Column, attempt: Column, key: str, kind: Column | None = None) -> Column:
+    """The replacement of an entity: same kind, script, case, gender and layout, and always the same for one entity.
+
+    ``kind`` is given where the value doesn't show it, as an identity of bare digits.
+    """
 
     # Short names run out: from the fourth attempt on a surrogate is longer than what it stands for.
     longer = lambda text, attempt: F.concat(text, F.repeat(F.when(F.regexp_like(text, F.lit(r"\p{IsCyrillic}")), "на").otherwise("na"), F.floor(attempt.cast("int") / 4).cast("int")))
@@ -142,7 +145,7 @@ def surrogate(value: Column, attempt: Column, key: str) -> Column:
         return out.when(kind == "given", _given(key, value)).otherwise(_in_class(longer(value, attempt), digest))
 
     known = lambda x: F.struct(x["value"].alias("value"), x["attempt"].alias("attempt"), x["kind"].alias("kind"), _identity(x["value"], x["kind"]).alias("who"))
-    first = _let(F.struct(value.alias("value"), attempt.alias("attempt"), kind_of(value).alias("kind")), known)
+    first = _let(F.struct(value.alias("value"), attempt.alias("attempt"), (kind_of(value) if kind is None else kind).alias("kind")), known)
     return _let(first, lambda x: _let(_digest(key, x["kind"], x["attempt"], x["who"]), lambda d: made(x["value"], x["kind"], x["who"], d, x["attempt"])))
 
 
@@ -155,7 +158,7 @@ def _retries(found: DataFrame, key: str) -> DataFrame:
     tried = cut(found.where("kind <> 'given'").withColumn("attempt", F.lit(0)))
     for _ in range(MAX_ROUNDS):
         # Cut, so that the long expression is planned and computed once a round.
-        named = cut(tried.withColumn("as", identity(surrogate(F.col("who"), F.col("attempt").cast("string"), key))))
+        named = cut(tried.withColumn("as", _identity(surrogate(F.col("who"), F.col("attempt").cast("string"), key, F.col("kind")), F.col("kind"))))
         first = named.groupBy("kind", "as").agg(F.min(F.struct("attempt", "who")).alias("first"), F.count("*").alias("n"))
         shared = named.join(first.where("n > 1"), ["kind", "as"]).where(F.struct("attempt", "who") != F.col("first")).select("kind", "who")
         real = named.join(tried.select("kind", F.col("who").alias("as")), ["kind", "as"], "left_semi").select("kind", "who")

@@ -60,3 +60,14 @@ def test_edges(spark):
     assert got.columns == ["doc_id", "text", "entities"]
     assert len({r["text"] for r in got.collect()}) == 1 and got.count() == 3
     assert sg.replace_personal_data(docs.limit(0)).count() == 0
+
+
+def test_retries_check_the_numbers_that_are_written(spark, monkeypatch):
+    # Few digests, so that numbers collide at the first attempt.
+    monkeypatch.setattr(sg, "_digest", lambda key, *parts: F.sha2(F.pmod(F.xxhash64(F.concat_ws("|", F.lit(key), *parts)), F.lit(500)).cast("string"), 256))
+    numbers = [f"{100 + k}-{10 + k}-{1000 + k}" for k in range(60)]
+    first = spark.createDataFrame([(n,) for n in numbers], "v string").select(sg.surrogate(F.col("v"), F.lit("0"), "k").alias("s"))
+    assert first.distinct().count() < len(numbers)
+    new = run(spark, [f"ssn {n}" for n in numbers])
+    assert len(set(new)) == len(numbers) and not set(new) & {f"ssn {n}" for n in numbers}
+    assert all(re.fullmatch(r"ssn \d{3}-\d{2}-\d{4}", t) for t in new)
