@@ -19,7 +19,11 @@ BROADCAST_WINDOWS = 1_000_000
 _NONE = -(1 << 63)
 #: A capitalised word after a letter, digit, comma or semicolon and one space: inside a sentence.
 _NAME = r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)"
-_APART = r"[^\p{L}\p{N}<>]+"
+#: A capitalised word anywhere, also where a text or a sentence begins; and one that only this pattern takes.
+_ANY_NAME = r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}+)"
+_INITIAL = r"(?<![\p{L}\p{N}])(?<![\p{L}\p{N},;] )\p{Lu}\p{Ll}"
+#: Between words.  A point or comma between digits is part of a number: 1,500 and 3.5 are one word each.
+_APART = r"(?:[^\p{L}\p{N}<>.,]|(?<![0-9])[.,]|[.,](?![0-9]))+"
 
 
 def _words(text: Column) -> Column:
@@ -40,6 +44,11 @@ def named_template(text: Column) -> Column:
     return _canonical(_words(F.lower(F.regexp_replace(text, _NAME, NAME))))
 
 
+def initial_template(text: Column) -> Column:
+    """As the named template, with capitalised words that begin a text or a sentence as names too."""
+    return _canonical(_words(F.lower(F.regexp_replace(text, _ANY_NAME, NAME))))
+
+
 _ROW = "struct<h:bigint,slots:array<string>>"
 
 
@@ -65,25 +74,38 @@ def _windows(template: Column, raw: Column, least: int = WINDOW) -> Column:
     return F.transform(F.array(F.struct(template.alias("t"), raw.alias("r"))), rows)[0]
 
 
+_PLACED = "struct<pos:int,h:bigint,slots:array<string>>"
+
+
+def _placed(windows: Column) -> Column:
+    """Windows with their places."""
+    return F.transform(windows, lambda w, i: F.struct(i.alias("pos"), w["h"].alias("h"), w["slots"].alias("slots")))
+
+
 def _or_null(values: Column, held) -> Column:
     return F.transform(F.array(values), lambda v: F.when(F.size(held(v)) > 0, v))[0]
 
 
 def _exploded(rows: DataFrame, keep: list[str], least: int = WINDOW) -> DataFrame:
-    """``(keep, channel, pos, h, slots)``: plain templates in channel 0, and named ones of texts with names in channel 1."""
+    """``(keep, channel, pos, h, slots)``: plain templates in channel 0, named ones of texts with names in channel 1, and those with initial names in channel 2.
+
+    Channel 2 has no windows of placeholders alone, which any run of capitalised words would fill.
+    """
     text = F.col("text")
     raw = _words(F.lower(text))
     named = F.when(F.regexp_like(text, F.lit(_NAME)), _windows(named_template(text), raw, least)).otherwise(F.array().cast(f"array<{_ROW}>"))
+    wordless = lambda w: F.coalesce(F.size(F.filter(w["slots"], lambda v: v.isNull())) == 0, F.lit(False))
+    initial = F.when(F.regexp_like(text, F.lit(_INITIAL)), F.filter(_placed(_windows(initial_template(text), raw, least)), lambda w: ~wordless(w))).otherwise(F.array().cast(f"array<{_PLACED}>"))
     channel = lambda n, w: F.struct(F.lit(n).alias("channel"), w.alias("windows"))
-    both = rows.select(*keep, F.explode(F.array(channel(0, _windows(plain_template(text), raw, least)), channel(1, named))).alias("c"))
-    return both.select(*keep, F.col("c.channel").alias("channel"), F.posexplode("c.windows").alias("pos", "w")).select(*keep, "channel", "pos", "w.h", "w.slots")
+    both = rows.select(*keep, F.explode(F.array(channel(0, _placed(_windows(plain_template(text), raw, least))), channel(1, _placed(named)), channel(2, initial))).alias("c"))
+    return both.select(*keep, F.col("c.channel").alias("channel"), F.explode("c.windows").alias("w")).select(*keep, "channel", "w.pos", "w.h", "w.slots")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(doc_id, text_hash, item_id, matched, windows, coverage)`` for documents that hold a benchmark item.
 
     A window of five template words matches by hash; the share of an item's windows found in a document,
-    by either template and along alignments whose slots are consistent, must reach ``similarity``.  Slots are consistent
+    by any of the templates and along alignments whose slots are consistent, must reach ``similarity``.  Slots are consistent
     if, over an alignment, each benchmark value stands for one document value and the other way round: copies
     and re-parameterised questions pass, texts that only share a shape don't.  Items of under five words
     are found where their first five template places fill (a shorter item matches only a text of just those words).

@@ -49,3 +49,20 @@ def test_edge_tables(spark):
 def test_the_join_needs_no_broadcast(spark, monkeypatch, limit):
     monkeypatch.setattr(dc, "BROADCAST_WINDOWS", limit)
     assert find(spark, [ITEM, CLEAN]) == {(0, 1): 1.0}
+
+
+def test_names_that_begin_sentences_are_parameters(spark):
+    item = "Natalia sold clips to 48 of her friends in April. Natalia then sold half as many clips in May. How many clips did she sell altogether in April and May?"
+    again = item.replace("Natalia", "Weng").replace("48", "72")
+    mixed = item.replace("Natalia sold", "Weng sold").replace("Natalia then", "Omar then")
+    assert find(spark, [again, f"{CLEAN}. {again} {CLEAN}", CLEAN, mixed], [(1, item)]).keys() == {(0, 1), (1, 1)}
+
+
+def test_capitalised_words_alone_are_no_copy(spark):
+    assert find(spark, ["One. Two. Three. Four. Five. Six. Seven."], [(1, "Alpha. Beta. Gamma. Delta. Omega. Sigma. Kappa.")]) == {}
+
+
+def test_numbers_of_another_shape_are_parameters(spark):
+    item = "a farmer sells 900 apples for 2 dollars each and then buys 3 new trees for the garden how much money does he have left over"
+    again = item.replace("900", "1,500").replace("2 dollars", "3.5 dollars")
+    assert find(spark, [again, item.replace("3 new", "12,500.75 new"), f"{again}, 1."], [(1, item)]) == {(0, 1): 1.0, (1, 1): 1.0, (2, 1): 1.0}
