@@ -99,7 +99,7 @@ def _search(coder: Coder, ids, vectors, codes, k: int, radius: int):
         q_ids, q, q_codes = ids.value, vectors.value, codes.value
         best: list[list[tuple[float, int]]] = [[] for _ in q_ids]
         for row_ids, x in _blocks(batches, q.shape[1]):
-            index = MultiIndex(coder.parts(x))
+            index, repeats = MultiIndex(coder.parts(x)), len(np.unique(row_ids)) < len(row_ids)
             for i in range(len(q_ids)):
                 at = index.within(q_codes[i], radius)
                 at = at[row_ids[at] != q_ids[i]]
@@ -109,6 +109,10 @@ def _search(coder: Coder, ids, vectors, codes, k: int, radius: int):
                 if len(best[i]) == k:
                     near = score <= best[i][-1][0]
                     at, score = at[near], score[near]
+                if repeats and len(at) > 4 * k:  # a repeated id is one candidate, at its nearest row
+                    order = np.lexsort((score, row_ids[at]))
+                    once = order[np.unique(row_ids[at][order], return_index=True)[1]]
+                    at, score = at[once], score[once]
                 if len(at) > 4 * k:
                     near = score <= np.partition(score, 4 * k)[4 * k]
                     at, score = at[near], score[near]

@@ -67,3 +67,20 @@ def test_many_blocks_of_queries(spark, monkeypatch):
     data = [(k, v.tolist()) for k, v in enumerate(x)]
     got = search(spark, data, data[:20], k=3)
     assert set(got) == set(range(20)) and all(len(v) == 3 for v in got.values())
+
+
+def test_a_much_repeated_id_hides_no_other_row():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(scale=0.01, size=(60, 8)), rng.normal(size=(40, 8))]) + 1
+    ids = np.array([7] * 60 + list(range(100, 140)))
+    coder, share = mih.fit_coder(x, 5), lambda v: SimpleNamespace(value=v)
+    query = np.ones((1, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x.tolist())], names=["id", "x"])
+    run = mih._search(coder, share(np.array([1])), share(query), share(coder.parts(query)), 5, coder.bits)
+    got = [(v, s) for b in run([batch]) for v, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    want = plain(list(zip(ids.tolist(), x.tolist(), strict=True)), [(1, query[0])], 5)[1]
+    assert [v for v, _ in got] == [i for _, i in want]
