@@ -27,9 +27,9 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}",
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)",
-    "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]?\d{4}){3}(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]?\d{4}){3}(?:[ -]?\d{3})?(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\d{4}[ -]\d{6}[ -]\d{4,5}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])\d{13,19}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "phone": r"(?<![\p{L}\p{N}])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\+(?=(?:[ .()-]{0,2}\d){7,15}(?![\p{L}\p{N}]))[1-9]\d{0,14}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,12})*(?![\p{L}\p{N}])",
     "given": rf"(?<!\p{{L}})(?:{_GIVEN})(?!\p{{L}})",
     "surname": rf"(?<=(?:{_GIVEN}) )\p{{Lu}}\p{{Ll}}+(?!\p{{L}})",
 }
@@ -39,9 +39,27 @@ HINT = rf"[@\d]|(?<!\p{{L}})(?=[\p{{Lu}}])(?:{_GIVEN})(?!\p{{L}})"
 _DIGIT_KINDS = ("card", "ssn", "phone")
 
 
+def pattern(text: Column) -> Column:
+    """``ANY``, and the text's own surnames wherever they stand."""
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERNS["surname"]), F.lit(0)))
+    own = lambda n: F.when(F.size(n) > 0, F.concat(F.lit(rf"{ANY}|(?<!\p{{L}})(?:"), F.array_join(n, "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit(ANY))
+    return _let(names, own)
+
+
+def matches(text: Column) -> Column:
+    """What the patterns match, in order: entities, and numbers as long as a card's that are none."""
+    return F.when(F.regexp_like(text, F.lit(HINT)), F.regexp_extract_all(text, pattern(text), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def is_entity(value: Column) -> Column:
+    """A number in the layout of a card, but for four groups of four digits, must pass the card checksum."""
+    loose = F.regexp_like(value, F.lit(r"^\d[\d -]{11,}\d$")) & ~F.regexp_like(value, F.lit(r"^\d{4}([ -]?\d{4}){3}$|^\d{3}[ .-]\d{3}[ .-]\d{4}$"))
+    return F.when(loose, _luhn(F.regexp_replace(value, r"\D", "")) == 0).otherwise(True)
+
+
 def entities(text: Column) -> Column:
     """The text's entities in order."""
-    return F.when(F.regexp_like(text, F.lit(HINT)), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.filter(matches(text), is_entity)
 
 
 def _let(value: Column, body) -> Column:
@@ -51,7 +69,7 @@ def _let(value: Column, body) -> Column:
 
 def kind_of(value: Column) -> Column:
     kind = F.when(F.contains(value, F.lit("@")), "email").when(F.regexp_like(value, F.lit(rf"^{_OCTET}(\.{_OCTET}){{3}}$")), "ip")
-    kind = kind.when(F.regexp_like(value, F.lit(r"^\d{4}([ -]?\d{4}){3}$")), "card").when(F.regexp_like(value, F.lit(r"^\d{3}-\d{2}-\d{4}$")), "ssn")
+    kind = kind.when(F.regexp_like(value, F.lit(r"^\d{4}([ -]?\d{4}){3}([ -]?\d{3})?$|^\d{4}[ -]\d{6}[ -]\d{4,5}$|^\d{13,19}$")), "card").when(F.regexp_like(value, F.lit(r"^\d{3}-\d{2}-\d{4}$")), "ssn")
     return kind.when(F.regexp_like(value, F.lit(r"\d")), "phone").when(value.isin(*[n for names in GIVEN.values() for n in names]), "given").otherwise("surname")
 
 
@@ -190,8 +208,8 @@ def replace_personal_data(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str =
         keyed = docs.withColumns({"__k": F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)), "__t": F.xxhash64(text)})
         marked = keyed.join(maps.hint("shuffle_hash"), ["__k", "__t"], "left").drop("__k", "__t")
     attempt = lambda m: F.coalesce(F.get(F.array(F.element_at("__retry", m)), F.lit(0)), F.lit(0)).cast("string")
-    fresh = F.transform(entities(text), lambda m: surrogate(m, attempt(m), key))
-    woven = F.array_join(F.zip_with(F.split(text, ANY, -1), fresh, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
+    fresh = F.transform(matches(text), lambda m: F.when(is_entity(m), surrogate(m, attempt(m), key)).otherwise(m))
+    woven = F.array_join(F.zip_with(F.split(text, pattern(text), -1), fresh, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
     some = F.regexp_like(text, F.lit(HINT))
     # The kinds come from the old text, so they are computed before it is replaced.
     out = marked.withColumn("entities", F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.transform(entities(text), kind_of)))

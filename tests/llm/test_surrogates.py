@@ -71,3 +71,14 @@ def test_retries_check_the_numbers_that_are_written(spark, monkeypatch):
     new = run(spark, [f"ssn {n}" for n in numbers])
     assert len(set(new)) == len(numbers) and not set(new) & {f"ssn {n}" for n in numbers}
     assert all(re.fullmatch(r"ssn \d{3}-\d{2}-\d{4}", t) for t in new)
+
+
+def test_more_forms_of_numbers_and_lone_surnames(spark):
+    forms = ["(888) 555-6841", "+1 (888) 555-6841", "+44 20 7946 0958", "+49 30 123456", "3782 822463 10005", "378282246310005", "6304000000000000000"]
+    new = run(spark, [f"so {f}, yes" for f in forms] + ["order 378282246310006 and 2024 123456 12345"])
+    for old, text in zip(forms, new[:-1], strict=True):
+        assert old not in text and re.sub(r"\d", "0", text) == re.sub(r"\d", "0", f"so {old}, yes")
+    assert new[-1] == "order 378282246310006 and 2024 123456 12345"
+    lone, other = run(spark, ["Smith rang. John Smith said Smithson and Smith left.", "Smith rang."])
+    name = lone.split()[0]
+    assert name != "Smith" and re.fullmatch(rf"{name} rang\. \w+ {name} said Smithson and {name} left\.", lone) and other == "Smith rang."
