@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..runtime import cut, materialize
 SITES = 8
 #: Lines of fewer words (gaps between words, plus one) are left alone.
 MIN_WORDS = 5
+#: The pipeline also takes lines of so many characters as long (scripts without spaces), and shorter ones on at least so many sites as boilerplate.
+LONG_CHARS, SHORT_SITES = 20, 16
 LOG_K = 12
 #: Estimates within this share of the threshold, or one site, are counted exactly.
 BAND = 0.15
@@ -24,11 +28,12 @@ def _doc_key(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("__k"), F.xxhash64(text_col).alias("__t")]
 
 
-def line_table(docs: DataFrame, min_words: int, id_col: str, text_col: str, site_col: str) -> DataFrame:
+def line_table(docs: DataFrame, min_words: int, id_col: str, text_col: str, site_col: str, counted: Callable[[Column], Column] | None = None) -> DataFrame:
     """``(__k, __t, pos, site, h1, h2)`` of every line long enough: 128 bits of hash, no text."""
     lines = docs.select(*_doc_key(id_col, text_col), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
     trimmed = lines.withColumn("line", F.btrim("line", F.lit(" \t\r")))
-    long = trimmed.where(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) >= min_words - 1)
+    spaced = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) >= min_words - 1
+    long = trimmed.where(counted(F.col("line")) if counted else spaced)
     return long.select("__k", "__t", "pos", "site", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
@@ -61,16 +66,16 @@ def boilerplate_lines(lines: DataFrame, sites: int) -> tuple[DataFrame, DataFram
     return sure.unionByName(near.join(exact(few).unionByName(exact(rest)).select(*key), key, "left_semi")), frequent
 
 
-def remove_boilerplate(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", counted: Callable[[Column], Column] | None = None) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and ``n_removed``.
 
     Lines are cut at line feeds and compared without outer spaces, tabs and carriage returns.  A line on ``sites``
     or more sites stays once, where (doc_id, text hash, position) is smallest, and goes everywhere else; lines
-    under ``min_words`` words stay.  A null site counts as no site.  Null texts stay null; a text may become
+    under ``min_words`` words stay, or, where ``counted`` is given, those it is false for.  A null site counts as no site.  Null texts stay null; a text may become
     empty, its row stays.  A null id sorts first; repeated rows are treated alike; an empty table stays empty.  A column ``n_removed`` of ``docs`` is replaced.
     """
     docs = docs.drop("n_removed")
-    lines = materialize(line_table(docs, min_words, id_col, text_col, site_col), "lines")
+    lines = materialize(line_table(docs, min_words, id_col, text_col, site_col, counted), "lines")
     found, frequent = boilerplate_lines(lines, sites)
     few, rest = _by_line(lines, found, frequent, "inner")
     here = F.struct("__k", "__t", "pos")
@@ -83,6 +88,17 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, min_words: int = MIN
     return keyed.withColumns({text_col: text, "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}).select(*docs.columns, "n_removed")
 
 
+def is_long(line: Column) -> Column:
+    """Five words, whatever space parts them, or ``LONG_CHARS`` characters."""
+    return (F.size(F.split(line, r"[\s\p{Z}]+", -1)) >= MIN_WORDS) | (F.length(line) >= LONG_CHARS)
+
+
+def remove_all_boilerplate(docs: DataFrame) -> DataFrame:
+    """As ``remove_boilerplate``, for lines of every length: long ones on ``SITES`` sites, and short ones that hold a letter or digit on ``SHORT_SITES``."""
+    rest = remove_boilerplate(docs, counted=is_long).drop("n_removed")
+    return remove_boilerplate(rest, SHORT_SITES, counted=lambda x: ~is_long(x) & F.regexp_like(x, F.lit(r"[\p{L}\p{N}]"))).drop("n_removed")
+
+
 def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_boilerplate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")).select("doc_id", "text", "n_removed")
 

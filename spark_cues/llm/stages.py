@@ -17,7 +17,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines leave the texts but for their first place; every document stays."""
-    return line_dedup.remove_boilerplate(docs).drop("n_removed")
+    return line_dedup.remove_all_boilerplate(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

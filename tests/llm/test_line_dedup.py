@@ -50,3 +50,13 @@ def test_null_ids_repeats_and_empty_tables(spark):
     got = line_dedup.remove_boilerplate(spark.createDataFrame(data, SCHEMA), sites=3)
     assert sorted((r["doc_id"] or -1, r["text"], r["n_removed"]) for r in got.collect()) == [(-1, LINE, 0), (1, "", 1), (1, "", 1), (1, "more", 1)]
     assert line_dedup.remove_boilerplate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_the_stage_takes_short_lines_and_scripts_without_spaces(spark):
+    from spark_cues.llm import stages
+
+    tabs, chinese, short, few = "accept\tall\tour\tuses\tnow", "本网站使用小型文本文件以改善您的浏览体验。", "All rights reserved.", "Yes."
+    data = [(k, "\n".join([f"own {k}", "", tabs, chinese, short, *([few] if k < 10 else [])]), f"s{k}") for k in range(20)]
+    out = stages.line_dedup_stage(spark, spark.createDataFrame(data, "doc_id long, text string, source string"), "")
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got == {k: t if k == 0 else "\n".join([f"own {k}", "", *([few] if k < 10 else [])]) for k, t, _ in data}
