@@ -306,8 +306,8 @@ def recogniser_segments(spark, sf):
 
 @query("v01_map_model", """select doc_id as media_id, substr(text, 1, 50) || '!' as raw, length(text) // 3 as input_tokens, cast(1 as bigint) as output_tokens from documents""")
 def map_model(spark, sf):
-    requests = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("media_id"), F.substring("text", 1, 50).alias("prompt"), X.estimate_tokens(F.col("text")).alias("size"))
-    make = lambda: lambda row: {"raw": row["prompt"] + "!", "input_tokens": row["size"], "output_tokens": 1}
+    requests = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("media_id"), F.col("text").alias("prompt"), X.estimate_tokens(F.col("text")).alias("size"))
+    make = lambda: lambda row: {"raw": row["prompt"][:50] + "!", "input_tokens": row["size"], "output_tokens": 1}
     return models.map_model(requests, make, "translate").select("media_id", "raw", "input_tokens", "output_tokens")
 
 

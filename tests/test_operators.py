@@ -137,3 +137,14 @@ def test_empty_tables(spark):
     durations = spark.createDataFrame([], "media_id long, duration double")
     assert phrases.media_report(none).count() == 0 and intervals.find_gaps(none, durations).count() == 0
     assert intervals.best_clone_window(none).count() == 0 and intervals.cues_in_windows(none).count() == 0
+
+
+def test_v01_hands_whole_texts_to_the_model(spark, tiny, monkeypatch):
+    from spark_cues.operators import models
+    from spark_cues.plans import registry
+
+    seen, mapped = [], models.map_model
+    monkeypatch.setattr(models, "map_model", lambda requests, *rest: seen.append(requests) or mapped(requests, *rest))
+    registry.queries()["v01_map_model"](spark, tiny)
+    want = spark.read.parquet(f"{tiny}/documents.parquet").selectExpr("doc_id as media_id", "text as prompt")
+    assert seen[0].select("media_id", "prompt").exceptAll(want).count() == 0
