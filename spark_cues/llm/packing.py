@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, ship_package
 
 WINDOW, END_ID = 4096, 2
-#: Words and pieces kept with their ids in a Python worker (some 200 MB); a full table starts anew.
-CACHE_WORDS = 1_000_000
+#: Words and pieces kept with their ids in a Python worker: two generations of so many entries (some 100 MB in all).
+CACHE_WORDS = 250_000
 #: Python's white space beyond Unicode's White_Space, letters whose lower case depends on others or changes length, special tokens.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\u03a3", "\u0130", "<|")
+#: The sign that stands for each byte in the merge model: printable bytes for themselves, the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: Fixed value: the tokenizer's own pattern.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -36,9 +39,11 @@ class WordEncoder:
     """Ids of whole texts, word by word.
 
     The tokenizer composes, lowers and drops white space, then cuts at fixed patterns, so what lies between spaces can be
-    encoded alone.  Words are looked up; unknown ones are cut into the tokenizer's own pieces, and unknown
-    pieces are encoded many at a time, split at the ids that end a word.  A piece is a word too, so one table holds
-    both.  Texts where Python's white space or lower case could differ go to the tokenizer whole.
+    encoded alone.  Words are looked up; unknown ones are cut into the tokenizer's own pieces, and unknown pieces go to
+    its merge model one by one.  A piece is a word too, so one table holds both.  The table has two generations: what is
+    looked up moves to the young one, and when that is full the old one goes, so common words stay and rare ones
+    leave.  Texts where Python's white space or lower case could differ go to the tokenizer whole, and so do words with code
+    points that are unassigned in Python's tables, as newer tables (or older ones) may class them otherwise.
     """
 
     def __init__(self, path: str):
@@ -46,39 +51,38 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
         #: Two bytes an id where the vocabulary allows.
-        self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def _learn_pieces(self, new: list[str]) -> None:
-        for at in range(0, len(new), 2048):
-            part = new[at : at + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):  # a piece that isn't one word to the tokenizer
-                self.known.update((x, self.whole(x)) for x in part)
-                continue
-            raw, places = ids.tobytes(), [0, *(cuts * self.kind.itemsize).tolist()]
-            self.known.update((x, raw[i:j]) for x, i, j in zip(part, places, places[1:], strict=False))
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.known.get(piece) or self.old.get(piece)
+        if found is None:
+            written = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            found = self._packed([t.id for t in self.model.tokenize(written)])
+        self.known[piece] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() or "Cn" not in map(unicodedata.category, word):
+            return self._piece(word) if word.isalpha() else b"".join(map(self._piece, _PIECES.findall(word)))
+        return self.whole(word)
 
     def learn(self, words: set[str]) -> None:
-        fresh = words.difference(self.known)
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known.clear()
-            fresh = words
-        cut = {w: _PIECES.findall(w) for w in fresh if not w.isalpha()}
-        pieces = fresh.difference(cut)
-        pieces.update(p for parts in cut.values() for p in parts if p not in self.known)
-        self._learn_pieces(list(pieces))
-        ids = self.known.__getitem__
-        # A word of one piece is that piece.
-        self.known.update([(w, b"".join(map(ids, parts))) for w, parts in cut.items() if w not in pieces])
+        """Make the young generation hold ``words``."""
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        for word in words.difference(known):
+            known[word] = old[word] if word in old else self._word(word)
 
     def codes(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text in turn, as bytes of ``kind``; texts are taken in groups of some megabytes, each split once."""

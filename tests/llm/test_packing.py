@@ -47,3 +47,20 @@ def test_empty_table(spark):
 def test_wide_ids_survive_storage():
     ids = np.array([1, 70_000], dtype="<u4")
     assert packing.unpack_ids(b"4" + ids.tobytes()).tolist() == [1, 70_000]
+
+
+def test_every_code_point_has_the_tokenizer_s_ids(tokenizer):
+    coder = packing.WordEncoder(packing.default_tokenizer())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b {c}" for c in points[at : at + 256]) for at in range(0, len(points), 256)]
+    want = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [text for text, raw, w in zip(texts, coder.encode(texts), want, strict=True) if np.frombuffer(raw, "<u4").tolist() != w.ids]
+    assert not wrong
+
+
+def test_a_small_table_of_words_changes_nothing(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    coder = packing.WordEncoder(packing.default_tokenizer())
+    texts = [" ".join(f"word{k % 7} other, {k}" for k in range(j, j + 9)) for j in range(40)]
+    for text in texts:
+        assert np.frombuffer(next(coder.encode([text])), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
