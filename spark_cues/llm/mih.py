@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,11 @@ FIT_ROWS = 20_000
 #: Rotations of as many bits as there are dimensions each; substrings of this many bits.
 ROTATIONS, SUBSTRING = 2, 16
 #: The radius holds this share of the fitted rows' true neighbours.
-COVER = 0.985
-#: Queries of one pass, broadcast: at most 4096 * (8 * dimensions + code) bytes, 2.5 MB at 64 dimensions.
-QUERY_BLOCK = 4096
+COVER = 0.95
+#: Queries of one pass, broadcast: at most 32,768 * (8 * dimensions + code) bytes, 18 MB at 64 dimensions.
+QUERY_BLOCK = 32_768
+#: Queries that a task probes together, and pairs that it reranks together.
+PROBE_BLOCK, RERANK_BLOCK = 64, 32_768
 #: Rows that are indexed together in a task.
 INDEX_BLOCK = 16_384
 _COUNTS = np.bitwise_count(np.arange(1 << SUBSTRING, dtype=np.uint32)).astype(np.uint8)
@@ -74,49 +77,80 @@ def fit_coder(sample: np.ndarray, k: int = K, rotations: int = ROTATIONS, cover:
     return Coder(mean, rotation, int(np.quantile(found, cover)) if len(found) else rotation.shape[1])
 
 
+def reaches(radius: int, tables: int) -> list[int]:
+    """Bits that each substring is probed within: a code within ``radius`` lies within one of them, as all exceeded would add up to more."""
+    whole, left = divmod(radius, tables)
+    return [whole if i <= left else whole - 1 for i in range(tables)]
+
+
+def _ball(reach: int) -> np.ndarray:
+    """All differences of a substring in at most ``reach`` bits."""
+    return np.flatnonzero(_COUNTS <= reach).astype(np.uint16)
+
+
 class MultiIndex:
     """A block of rows, indexed by each substring of its codes."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes, self.tables = codes, []
-        for part in codes.T:
-            order = np.argsort(part, kind="stable")
-            values, starts = np.unique(part[order], return_index=True)
-            self.tables.append((values, np.append(starts, len(order)), order))
+        self.codes, self.tables = codes, [np.unique(part, return_inverse=True) for part in codes.T]
+        self.wide = _wide(codes)
+
+    def probed(self, asked: np.ndarray, radius: int) -> np.ndarray:
+        """Which rows (columns) the probes of each code (rows) hit.
+
+        A table's ball is enumerated while it is smaller than the table; beyond that (wide radii) the table's distinct values are compared.
+        """
+        hit = np.zeros((len(asked), len(self.codes)), dtype=bool)
+        for part, (values, place), reach in zip(asked.T, self.tables, reaches(radius, len(self.tables)), strict=True):
+            if reach < 0:
+                continue
+            ball = _ball(reach)
+            if len(ball) < len(values):
+                at = np.minimum(np.searchsorted(values, part[:, None] ^ ball), len(values) - 1)
+                near = np.zeros((len(part), len(values)), dtype=bool)
+                row, col = np.nonzero(values[at] == part[:, None] ^ ball)
+                near[row, at[row, col]] = True
+            else:
+                near = _COUNTS[part[:, None] ^ values] <= reach
+            hit |= near[:, place]
+        return hit
+
+    def pairs(self, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places ``(code, row)`` of every row within ``radius`` bits of each code, by code and row."""
+        code, row = np.nonzero(self.probed(asked, radius))
+        near = np.bitwise_count(self.wide[row] ^ _wide(asked)[code]).sum(axis=1) <= radius
+        return code[near], row[near]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Every row within ``radius`` bits: with m substrings one differs in at most floor(radius / m) bits."""
-        reach, marked = radius // len(self.tables), np.zeros(len(self.codes), dtype=bool)
-        for part, (values, starts, order) in zip(code, self.tables, strict=True):
-            for k in np.flatnonzero(_COUNTS[values ^ part] <= reach):
-                marked[order[starts[k] : starts[k + 1]]] = True
-        at = np.flatnonzero(marked)
-        return at[_COUNTS[self.codes[at] ^ code].sum(axis=1) <= radius]
+        """Every row within ``radius`` bits of one code."""
+        return self.pairs(code[None], radius)[1]
+
+
+def _wide(codes: np.ndarray) -> np.ndarray:
+    """Codes as 64-bit words."""
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 4)))).view(np.uint64)
 
 
 def _search(coder: Coder, ids, vectors, codes, k: int, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q, q_codes = ids.value, vectors.value, codes.value
         best: list[list[tuple[float, int]]] = [[] for _ in q_ids]
+        bound = np.full(len(q_ids), np.inf)
         for row_ids, x in _blocks(batches, q.shape[1]):
-            index, repeats = MultiIndex(coder.parts(x)), len(np.unique(row_ids)) < len(row_ids)
-            for i in range(len(q_ids)):
-                at = index.within(q_codes[i], radius)
-                at = at[row_ids[at] != q_ids[i]]
-                if not len(at):
-                    continue
-                score = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
-                if len(best[i]) == k:
-                    near = score <= best[i][-1][0]
-                    at, score = at[near], score[near]
-                if repeats and len(at) > 4 * k:  # a repeated id is one candidate, at its nearest row
-                    order = np.lexsort((score, row_ids[at]))
-                    once = order[np.unique(row_ids[at][order], return_index=True)[1]]
-                    at, score = at[once], score[once]
-                if len(at) > 4 * k:
-                    near = score <= np.partition(score, 4 * k)[4 * k]
-                    at, score = at[near], score[near]
-                best[i] = _merged(best[i] + list(zip(score.tolist(), row_ids[at].tolist(), strict=True)), k)
+            index = MultiIndex(coder.parts(x))
+            for at in range(0, len(q_ids), PROBE_BLOCK):
+                asked, row = index.pairs(q_codes[at : at + PROBE_BLOCK], radius)
+                asked += at
+                other = row_ids[row] != q_ids[asked]
+                asked, row = asked[other], row[other]
+                score = _distances(q, x, asked, row)
+                near = score <= bound[asked]
+                asked, row, score = asked[near], row[near], score[near]
+                edges = np.searchsorted(asked, np.arange(at, min(at + PROBE_BLOCK, len(q_ids)) + 1))
+                for i, (a, b) in enumerate(pairwise(edges.tolist()), at):
+                    if a < b:
+                        best[i] = _merged(best[i] + _nearest_once(score[a:b], row_ids[row[a:b]], k), k)
+                        bound[i] = best[i][-1][0] if len(best[i]) == k else np.inf
         rows = [(int(q_ids[i]), v, s) for i, found in enumerate(best) for s, v in found]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
@@ -124,6 +158,28 @@ def _search(coder: Coder, ids, vectors, codes, k: int, radius: int):
     return run
 
 
+def _distances(q: np.ndarray, x: np.ndarray, asked: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each pair, in double precision, a bounded number of pairs at a time."""
+    out = np.empty(len(row))
+    for at in range(0, len(row), RERANK_BLOCK):
+        part = slice(at, at + RERANK_BLOCK)
+        gap = x[row[part]] - q[asked[part]]
+        out[part] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return out
+
+
+def _nearest_once(score: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[float, int]]:
+    """At least the ``k`` nearest ids, with ties, each at its nearest row."""
+    if len(score) > 4 * k:
+        order = np.lexsort((score, ids))
+        once = order[np.unique(ids[order], return_index=True)[1]]
+        score, ids = score[once], ids[once]
+        if len(score) > k:
+            near = score <= np.partition(score, k - 1)[k - 1]
+            score, ids = score[near], ids[near]
+    return list(zip(score.tolist(), ids.tolist(), strict=True))
+
+
 def _merged(found: list[tuple[float, int]], k: int) -> list[tuple[float, int]]:
     """The ``k`` nearest, one for each id, ties to the smaller id."""
     out, seen = [], set()

@@ -84,3 +84,50 @@ def test_a_much_repeated_id_hides_no_other_row():
     got = [(v, s) for b in run([batch]) for v, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
     want = plain(list(zip(ids.tolist(), x.tolist(), strict=True)), [(1, query[0])], 5)[1]
     assert [v for v, _ in got] == [i for _, i in want]
+
+
+def test_the_ball_is_enumerated_or_scanned_alike():
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 1 << 16, (3000, 8)).astype(np.uint16)
+    index = mih.MultiIndex(codes)
+    for radius in (0, 3, 7, 9, 20, 41):
+        assert sum(t + 1 for t in mih.reaches(radius, 8)) == radius + 1
+        hit = index.probed(codes[:5], radius)
+        for i in range(5):
+            gaps = np.bitwise_count(codes ^ codes[i])
+            assert hit[i].tolist() == (gaps <= np.array(mih.reaches(radius, 8))).any(axis=1).tolist()
+            assert index.within(codes[i], radius).tolist() == np.flatnonzero(gaps.sum(axis=1) <= radius).tolist()
+
+
+def test_recall_on_the_given_vectors(spark):
+    import os
+
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables here")
+    rows = [(r["vec_id"], np.array(r["embedding"], dtype=float)) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    got = {}
+    for r in mih.op1_multi_index_hashing(spark, path).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == set(ids[ids % 100 == 0].tolist())
+    found = 0
+    for q in got:
+        far = np.linalg.norm(x - x[ids == q], axis=1)
+        far[ids == q] = np.inf
+        found += len(got[q] & set(ids[np.argsort(far, kind="stable")[:10]].tolist()))
+    assert found >= 0.9 * 10 * len(got)
+    # These vectors point in all directions alike: a true neighbour is some 70 degrees away, so the probes hit most rows.
+    coder = mih.fit_coder(x)
+    codes = coder.parts(x)
+    share = mih.MultiIndex(codes).probed(codes[ids % 100 == 0], coder.radius).mean()
+    assert 0.5 < share < 0.9
+
+
+def test_probes_prune_where_vectors_lie_in_groups():
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(200, 64))
+    x = np.repeat(centres, 20, axis=0) + rng.normal(scale=0.15, size=(4000, 64))
+    coder = mih.fit_coder(x)
+    codes = coder.parts(x)
+    assert mih.MultiIndex(codes).probed(codes[:100], coder.radius).mean() < 0.1
