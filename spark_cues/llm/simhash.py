@@ -42,9 +42,9 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1)
+        texts = batch.column(2)
         out = np.fromiter((fingerprint(texts[i].as_py()) for i in range(len(texts))), dtype=np.uint64, count=len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["doc_id", "t", "fp"])
 
 
 def _keys() -> F.Column:
@@ -108,8 +108,8 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in np.flatnonzero(np.diff(bounds) > 1):
             part = rows[bounds[k] : bounds[k + 1]]
             for i, j in _forest(part[:, 3].view(np.uint64), int(part[0, 0] >> 25)):
-                a.append(part[i, 4])
-                b.append(part[j, 4])
+                a.append(part[i, 3])
+                b.append(part[j, 3])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a)), pa.array(np.array(b))], names=["a", "b"])
 
@@ -128,14 +128,27 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(classes: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between class representatives, enough of them to connect every group."""
-    keyed = classes.select("fp", "rep", F.explode(_keys()).alias("key"))
+    """Links ``(a, b)`` between fingerprints, enough of them to connect every group."""
+    keyed = classes.select("fp", F.explode(_keys()).alias("key"))
     large = keyed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("n"))
     dealt = keyed.join(large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
     pairs = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    pairs = pairs.select("key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), "fp", "rep")
-    return pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_link_groups, "a long, b long")
+    pairs = pairs.select("key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), "fp")
+    return pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp").mapInArrow(_link_groups, "a long, b long")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, t, fp, part, component_id)`` of every row: text digest, fingerprint, smallest fingerprint and smallest id reachable."""
+    ship_package(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    prints = cut(narrow.mapInArrow(_fingerprints, "doc_id long, t long, fp long"))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = connected_components(_links(classes.select("fp")), "a", "b")
+    parts = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
+    named = parts.join(parts.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("fp", "part", "component_id")
+    return prints.join(named, "fp").select("doc_id", "t", "fp", "part", "component_id")
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,32 +156,29 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     Equal fingerprints form one class; classes are linked at 3 or fewer differing bits by pigeonring
     chains; ``component_id`` is the smallest doc_id reachable.  A null text counts as empty; texts without
-    words share fingerprint zero and are one class.  Rows with a null id get a fingerprint and the
-    component of their class (null where no member has an id).  Repeated rows stay.
+    words share fingerprint zero and are one class.  Rows with a null id link like any other and get the
+    component of their group (null where no member has an id).  Repeated rows stay; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = cut(narrow.mapInArrow(_fingerprints, "doc_id long, fp long"))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = connected_components(_links(classes.where("rep is not null")), "a", "b")
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keep one row of each near-duplicate group, the one with the smallest doc_id; columns unchanged.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Keep one row of each near-duplicate group; columns unchanged.
 
-    Rows with a null doc_id can't be told apart and all stay; of rows that repeat a doc_id one stays.
+    The row kept has the group's smallest doc_id and, where that id stands on several texts of the group, the
+    smallest digest of the text.  An id may stand in several groups and stay in each.  Of rows that repeat both id and
+    text any one stays.  Rows with a null doc_id can't be named in a result and all stay.  An empty table stays empty.
     """
-    groups = near_duplicate_components(docs)
-    kept = cut(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__n")))
-    rows = docs.join(kept, docs["doc_id"] == kept["__keep"], "left")
-    once = rows.where("__n = 1 or doc_id is null").select(docs["*"])
-    repeated = kept.where("__n > 1").select("__keep")
+    rows = _grouped(docs, id_col, text_col).where("doc_id is not null").groupBy("part", F.struct("doc_id", "t").alias("row")).agg(F.count("*").alias("n"))
+    kept = cut(rows.groupBy("part").agg(F.min(F.struct("row", "n")).alias("x")).select(F.col("x.row.doc_id").alias("__k"), F.col("x.row.t").alias("__t"), F.col("x.n").alias("__n")))
+    key = ["__k", "__t"]
+    keyed = docs.withColumns({"__k": F.col(id_col).cast("long"), "__t": F.xxhash64(F.col(text_col).cast("string"))})
+    # A left join, so that rows without an id pass in the same reading.
+    once = keyed.join(kept, key, "left").where("__n = 1 or __k is null").select(*docs.columns)
+    repeated = kept.where("__n > 1").select(*key)
     if repeated.isEmpty():
         return once
-    return once.unionByName(docs.join(repeated, docs["doc_id"] == repeated["__keep"], "left_semi").dropDuplicates(["doc_id"]))
+    return once.unionByName(keyed.join(repeated, key, "left_semi").dropDuplicates(key).select(*docs.columns))
 
 
 def op3_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,15 @@ def test_long_chain_of_links(spark):
     links = [(k, k + 1) for k in range(70)] + [(200, 201), (201, 201), (None, 3), (200, 201)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert got == {**{k: 0 for k in range(71)}, 200: 200, 201: 200}
+
+
+def test_repeated_ids_are_told_apart_by_text(spark):
+    one, two = "some words of the first text here", "another text that shares nothing at all"
+    docs = spark.createDataFrame([(2, two, "a", 1), (5, one, "b", 1), (5, two, "c", 1), (5, one, "d", 1), (7, one, "e", 1)], SCHEMA)
+    kept = simhash.drop_near_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(2, two), (5, one)]
+
+
+def test_rows_without_ids_link_others(spark):
+    got = simhash.near_duplicate_components(spark.createDataFrame([(None, "a b c", "x", 1), (4, "a b c", "x", 1), (None, "z", "x", 1)], SCHEMA)).collect()
+    assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == [(-1, -1), (-1, 4), (4, 4)]
