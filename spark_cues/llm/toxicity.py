@@ -75,7 +75,15 @@ def lexicon_hits(folded: str, automaton: ahocorasick.Automaton) -> list[tuple[in
             spared.append((start, end - 1))
         elif weight > best.get(start, 0.0):
             best[start] = weight
-    return [(k, w) for k, w in sorted(best.items()) if not any(a <= k < b for a, b in spared)]
+    out, at, until = [], 0, 0
+    spared.sort()
+    for start, weight in sorted(best.items()):  # both lists in order: each phrase is looked at once
+        while at < len(spared) and spared[at][0] <= start:
+            until = max(until, spared[at][1])
+            at += 1
+        if start >= until:
+            out.append((start, weight))
+    return out
 
 
 def features(folded: str, automaton: ahocorasick.Automaton) -> list[float]:
@@ -97,12 +105,22 @@ def _scores(lexicon: Lexicon):
 
 
 def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    entries, toxics = [], []
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), pa.array(toxics, pa.int64())], names=["entry", "toxic"])
+
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = set(fold(text).split())
             found = {f" {w} " for w in words if len(w) > 2}
             found.update(f" {w[:n]}" for w in words for n in STEM_LETTERS if len(w) >= n)
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string()), pa.array([toxic] * len(found), pa.int64())], names=["entry", "toxic"])
+            entries += sorted(found)
+            toxics += [toxic] * len(found)
+            if len(entries) > 50_000:
+                yield made()
+                entries, toxics = [], []
+    yield made()
 
 
 def _measured(lexicon: Lexicon):
@@ -137,14 +155,15 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, except
     """Fit entries, weights and calibration on at most ``rows`` labelled rows outside the held-out fifth.
 
     The rows are those with the smallest hash of the id, so the sample doesn't depend on order.  A document's
-    label is the largest of its non-null labels.  One half of them (by another hash) gives the entries and their smoothed log odds
+    label is the largest of its non-null labels; of texts with one id the smallest is taken.  One half of them (by another hash) gives the entries and their smoothed log odds
     ratios, the other the logistic calibration.  Without both labels the lexicon is empty.
     """
     ship_package(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("long").alias("toxic")).where(~held_out(F.col("id")))
     # At most `rows` ids: a bounded table.
     chosen = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(rows))
-    sample = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(chosen, "id").dropDuplicates(["id"]).select("text", "toxic", (F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(2)) == 0).alias("first")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(chosen, "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    sample = cut(texts.select("text", "toxic", (F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(2)) == 0).alias("first")))
     n = {(r["first"], r["toxic"]): r["count"] for r in sample.groupBy("first", F.col("toxic")).count().collect()}
     pos, neg = n.get((True, 1), 0), n.get((True, 0), 0)
     if not pos or not neg or not n.get((False, 1)) or not n.get((False, 0)):

@@ -50,3 +50,38 @@ def test_held_out_accuracy(spark):
     n = {(r["toxic"], r["predicted"]): r["count"] for r in got}
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.8
     assert n.get((0, 1), 0) / (n[0, 0] + n.get((0, 1), 0)) < 0.02
+
+
+def plain_hits(folded, lexicon):
+    """Every word start in turn, all entries and all phrases tried there."""
+    spared = [k for phrase in map(tox.fold, lexicon.exceptions) for at in range(len(folded)) if folded.startswith(phrase, at) for k in range(at, at + len(phrase) - 1)]
+    found = [(k, max((w for e, w in lexicon.weights.items() if folded.startswith(e, k)), default=0.0)) for k in range(len(folded))]
+    return [(k, w) for k, w in found if w > 0 and k not in spared]
+
+
+def test_hits_and_scores_match_a_plain_version(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    lexicon = tox.Lexicon({" idiot": 5.0, " clown": 4.0, " clown ": 4.5, " trash ": 4.0, " fish": 3.0, " stupid ": 2.5, " can": 2.6})
+    pool = "clown fish shoes class trash can bin idiot idiots 1diot not stupid pond scum word other".split()
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 40))) for _ in range(200)]
+    automaton = lexicon.automaton()
+    for t in texts:
+        assert tox.lexicon_hits(tox.fold(t), automaton) == plain_hits(tox.fold(t), lexicon)
+    got = tox.toxicity_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lexicon).collect()
+    for r in got:
+        folded, b = tox.fold(texts[r["doc_id"]]), lexicon.coefficients
+        words, total = len(folded.split()), sum(w for _, w in plain_hits(folded, lexicon))
+        logit = b[0] + b[1] * math.log1p(100 * total / max(50, words)) + b[2] * math.log1p(total) + b[3] * math.log1p(words) / 5
+        assert abs(r["score"] - 1 / (1 + math.exp(-logit))) < 1e-9
+
+
+def test_long_texts_with_many_phrases_take_linear_time():
+    import time
+
+    automaton, folded = LEXICON.automaton(), tox.fold("trash can idiot " * 100_000)
+    began = time.process_time()
+    assert len(tox.lexicon_hits(folded, automaton)) == 100_000
+    assert time.process_time() - began < 20
