@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, ship_package
+from ..runtime import cut, materialize, ship_package
 
 SHARDS = 40
 #: A splitter may miss its target by this share of a shard's bytes; groups of equal texts under it stay whole.
 TOLERANCE = 0.01
 #: Probes between the bounds of one open splitter in one round.
 PROBES = 32
+#: Probes of all splitters in one round, about.
+MOST_PROBES = 1_000_000
 #: Text bytes of one bucket: the exchange has whole shards cut into buckets of about this size.
 BUCKET_BYTES = 128 << 20
 FIXED_BYTES = 16
@@ -91,18 +94,23 @@ class _Splitter:
 def find_splitters(keys: DataFrame, targets: list[int], slack: float, total: int, probes: int = PROBES, max_rounds: int = 80) -> tuple[list[tuple[int, int]], int]:
     """Keys ``(hash, doc)`` with about ``targets`` bytes below, and the rounds it took.
 
-    Each round counts exact bytes below every probe with one narrow pass over ``keys (h, doc, n)``; the
-    driver holds ``len(targets) * (probes + 1)`` numbers, whatever the input.
+    Each round counts exact bytes below every probe with one narrow pass over ``keys (h, doc, n)``.  The
+    driver holds a few numbers for each probe: some ``len(targets) * probes``, and fewer probes a target where targets are many
+    (a million in all, or two for each target).
     """
+    probes = max(2, min(probes, MOST_PROBES // max(1, len(targets))))
     splitters = [_Splitter(t, total) for t in targets]
     for rounds in range(max_rounds):
         asked = sorted({p for s in splitters if s.open(slack) for p in s.probes(probes)})
         if not asked:
             return [s.best[1] for s in splitters], rounds
         below = _below(keys, asked)[0]
-        for s in splitters:
-            for key, n in zip(asked, below, strict=True):
-                s.take(key, n)
+        for s in splitters:  # counts rise with the keys, so two searches find the bounds next to the target
+            under, over = bisect_right(below, s.target) - 1, bisect_left(below, s.target)
+            places = {over} if under < 0 else {bisect_left(below, below[under]), under, over}
+            for at in sorted(places):
+                if at < len(asked):
+                    s.take(asked[at], below[at])
     return [s.best[1] for s in splitters], max_rounds
 
 
@@ -115,20 +123,23 @@ def _below(keys: DataFrame, probes: list[tuple[int, int]]) -> tuple[list[int], l
     return np.cumsum(size)[:-1].tolist(), np.cumsum(rows)[:-1].tolist()
 
 
-def _assign(grid: np.ndarray):
+def _assign(grid: np.ndarray, starts: np.ndarray):
+    """A key's bucket and the bucket's first slot."""
+
     def run(h, doc):
         import pandas as pd
 
-        return pd.Series(_cells(grid, h.to_numpy(), doc.to_numpy()))
+        bucket = _cells(grid, h.to_numpy(), doc.to_numpy())
+        return pd.DataFrame({"b": bucket.astype(np.int32), "start": starts[bucket]})
 
-    return F.pandas_udf(run, "long")
+    return F.pandas_udf(run, "b int, start long")
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with ``size, shard, slot``: shards of near equal bytes, slots gapless from 0 in each shard.
 
     Rows are sorted by (hash of text, doc_id), so equal texts lie side by side and share a shard unless
-    the group is too large for the tolerance, when it is split by doc_id.  Splitters come from exact counts.  Shards larger
+    the group is too large for the tolerance, when it is split by doc_id (by row where one id repeats that text so often).  Splitters come from exact counts.  Shards larger
     than ``bucket_bytes`` are cut into buckets by further splitters, so that no task holds a whole shard;
     a slot is the bucket's counted start plus the row's place in it.  Rows cross the network once.
 
@@ -141,17 +152,21 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOL
     named = docs.withColumns({"size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + FIXED_BYTES, "__h": F.xxhash64(F.coalesce(text, F.lit(""))), "__d": F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW))})
     keys = cut(named.select("__h", "__d", "size"))
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    same = keys.groupBy("__h", "__d").agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+    if not same.where((F.col("rows") > 1) & (F.col("n") > tolerance * total / shards)).isEmpty():
+        # One text with one id fills much of a shard: its rows are told apart by a number that is written with them.
+        named = materialize(named.withColumn("__d", F.monotonically_increasing_id()), "numbered")
+        keys = cut(named.select("__h", "__d", "size"))
     buckets = shards * max(1, -(-total // (shards * bucket_bytes)))
     per = buckets // shards
     targets = [total * k // buckets for k in range(1, buckets)]
     splitters, _ = find_splitters(keys, targets, tolerance * total / buckets, total)
     grid = np.array(sorted(splitters), dtype=np.int64).reshape(-1, 2)
     rows = [0, *_below(keys, [tuple(x) for x in grid.tolist()])[1]] if buckets > 1 else [0]
-    starts = [rows[b] - rows[b - b % per] for b in range(buckets)]
-    dealt = named.withColumn("__b", _assign(grid)("__h", "__d").cast("int")).repartitionById(buckets, F.col("__b"))
+    starts = np.array([rows[b] - rows[b - b % per] for b in range(buckets)], dtype=np.int64)
+    dealt = named.withColumn("__a", _assign(grid, starts)("__h", "__d")).withColumns({"__b": F.col("__a.b"), "__start": F.col("__a.start")}).drop("__a").repartitionById(buckets, F.col("__b"))
     place = F.row_number().over(Window.partitionBy("__b").orderBy("__h", "__d")).cast("long") - 1
-    start = F.element_at(F.lit(starts).cast("array<bigint>"), F.col("__b") + 1)
-    return dealt.withColumns({"shard": F.floor(F.col("__b") / per).cast("int"), "slot": start + place}).drop("__h", "__d", "__b")
+    return dealt.withColumns({"shard": F.floor(F.col("__b") / per).cast("int"), "slot": F.col("__start") + place}).drop("__h", "__d", "__b", "__start")
 
 
 def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,34 @@ def test_empty_table(spark):
 def test_below_counts_exactly(spark):
     keys = spark.createDataFrame([(5, 1, 10), (5, 2, 20), (7, 0, 30), (-3, 9, 40)], "h long, d long, n long")
     assert sharding._below(keys, [(-3, 0), (5, 2), (7, sharding._LOW), (9, 0)])[0] == [0, 50, 70, 100]
+
+
+def test_rows_that_repeat_text_and_id_are_split_too(spark):
+    data = [(k if k % 2 else None, "one text", "x") for k in [1, 2] * 2000]
+    got = sharding.shard_by_bytes(spark.createDataFrame(data, SCHEMA).repartition(5), 40).collect()
+    sizes = check(got, data, 40)
+    assert len(sizes) == 40 and max(sizes.values()) <= 1.05 * sum(sizes.values()) / 40
+
+
+def test_many_splitters_take_few_steps(monkeypatch):
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    h = np.sort(rng.integers(-(1 << 62), 1 << 62, 200_000))
+    size = rng.integers(20, 200, len(h))
+    upto = np.concatenate([[0], np.cumsum(size)])
+
+    def below(keys, probes):
+        at = np.searchsorted(h, [p[0] for p in probes], side="left")
+        return upto[at].tolist(), at.tolist()
+
+    monkeypatch.setattr(sharding, "_below", below)
+    total, n = int(upto[-1]), 5000
+    targets = [total * k // n for k in range(1, n)]
+    began = time.process_time()
+    found, rounds = sharding.find_splitters(None, targets, total / n, total)
+    assert time.process_time() - began < 60 and rounds < 20
+    got = upto[np.searchsorted(h, [f[0] for f in found], side="left")]
+    assert np.abs(got - targets).max() <= total / n
