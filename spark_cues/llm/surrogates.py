@@ -9,57 +9,117 @@ from ..runtime import cut
 
 DEFAULT_KEY = "spark-cues-demo-key"
 _NONE = -(1 << 63)
-MAX_ROUNDS = 20
+#: Rounds of collision checks; from the eighth attempt on numbers grow by a digit, again every eight, so a full space empties.
+MAX_ROUNDS = 48
 
 # Given names by script and gender.  A surrogate comes from the same list.
 GIVEN = {
-    ("latin", "f"): ("Alice", "Anna", "Carmen", "Charlotte", "Claire", "Elena", "Emma", "Greta", "Isabel", "Julia", "Laura", "Linda", "Lucia", "Maria", "Mary", "Nina", "Olivia", "Patricia", "Sarah", "Sophie"),
-    ("latin", "m"): ("Andreas", "Carlos", "David", "Diego", "Felix", "George", "Hans", "Henry", "James", "John", "Klaus", "Louis", "Michael", "Oliver", "Paul", "Pedro", "Peter", "Pierre", "Robert", "Thomas"),
+    ("latin", "f"): (
+        "Alice", "Amina", "Anna", "Ayşe", "Beatriz", "Camille", "Carmen", "Caroline", "Catherine", "Charlotte", "Claire", "Deborah", "Elena", "Elizabeth", "Emily", "Emma", "Fatima", "Francesca", "Giulia", "Greta", "Hannah", "Helena",
+        "Ingrid", "Isabel", "Jennifer", "Jessica", "Johanna", "Julia", "Karen", "Katarzyna", "Laura", "Leila", "Linda", "Lucia", "Margaret", "Maria", "Mariana", "Mary", "Monika", "Nancy", "Nina", "Olivia", "Patricia", "Priya", "Rebecca",
+        "Sabine", "Sarah", "Sofia", "Sophie", "Susan", "Theresa", "Ursula", "Valentina", "Victoria", "Yasmin", "Zeynep",
+    ),
+    ("latin", "m"): (
+        "Ahmed", "Alejandro", "Ali", "Andreas", "Andrew", "Anthony", "Antonio", "Arjun", "Brian", "Carlos", "Charles", "Daniel", "David", "Diego", "Edward", "Emil", "Felix", "Fernando", "Francisco", "George", "Giovanni", "Hans", "Hassan",
+        "Henry", "Hiroshi", "Ibrahim", "James", "Jason", "Javier", "John", "Joseph", "Kenneth", "Kevin", "Klaus", "Lars", "Laurent", "Louis", "Luca", "Marco", "Matthew", "Mehmet", "Michael", "Mohammed", "Nicolas", "Oliver", "Omar",
+        "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Rafael", "Raj", "Richard", "Robert", "Ronald", "Stefan", "Steven", "Thomas", "Timothy", "William", "Wolfgang", "Yusuf",
+    ),
     ("cyrillic", "f"): ("Анна", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна"),
     ("cyrillic", "m"): ("Алексей", "Борис", "Виктор", "Дмитрий", "Иван", "Николай", "Олег", "Сергей"),
-}
+}
+# What stands before a surname, besides a given name; and what may stand between.
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Professor", "Sir", "Madam", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora", "Signor", "Signora", "господин", "госпожа")
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "la", "le", "bin", "al")
 # Letters and digits are replaced within their class, so script, case and shape stay.
 CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèìòùâêîôûäëïöüãõåæø", "çñßśźżčšž", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "0123456789")
 
-_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
+
+
+def _any_of(words) -> str:
+    """An alternation by first letter, so that few branches are tried at a place."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (w[0], -len(w), w)):
+        heads.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{head}(?:{'|'.join(rest)})" for head, rest in heads.items())
+
+
+#: Every given name, also in capitals.
+_NAMES = {n: n for names in GIVEN.values() for n in names} | {n.upper(): n for names in GIVEN.values() for n in names}
+_GIVEN = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_any_of(_NAMES)})(?!\p{{L}})"
+#: One word of a surname, as in Smith, McDonald, O'Brien, Smith-Jones or SMITH.
+_SURNAME = r"(?:\p{Lu}['’])?\p{Lu}\p{L}+(?:['’-]\p{Lu}\p{L}+)*"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_AFTER = r"(?![\p{L}\p{N}])"
 #: Kinds in order of precedence; a match is of the first kind whose pattern fits it whole.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}",
+    "iban": r"(?<![\p{L}\p{N}])(?=[A-Z]{2}\d)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)",
-    "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]?\d{4}){3}(?:[ -]?\d{3})?(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\d{4}[ -]\d{6}[ -]\d{4,5}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])\d{13,19}(?![\p{L}\p{N}])",
+    "card": rf"(?<![\p{{L}}\p{{N}}])\d{{4}}(?:[ -]?\d{{4}}){{3}}(?:[ -]?\d{{3}})?{_AFTER}|(?<![\p{{L}}\p{{N}}])\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}}{_AFTER}|(?<![\p{{L}}\p{{N}}+])\d{{13,19}}{_AFTER}",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\+(?=(?:[ .()-]{0,2}\d){7,15}(?![\p{L}\p{N}]))[1-9]\d{0,14}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,12})*(?![\p{L}\p{N}])",
-    "given": rf"(?<!\p{{L}})(?:{_GIVEN})(?!\p{{L}})",
-    "surname": rf"(?<=(?:{_GIVEN}) )\p{{Lu}}\p{{Ll}}+(?!\p{{L}})",
+    "phone": rf"(?<![\p{{L}}\p{{N}}])(?:\+?\d{{1,3}}[ .-]?)?\(\d{{2,4}}\)[ .-]?\d{{3}}[ .-]?\d{{3,4}}{_AFTER}|(?<![\p{{L}}\p{{N}}])(?:\+\d{{1,3}}[ .-])?\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}{_AFTER}"
+    rf"|(?<![\p{{L}}\p{{N}}])\+(?=(?:[ .()-]{{0,2}}\d){{7,15}}{_AFTER})[1-9]\d{{0,14}}(?:[ .-]?\(\d{{1,4}}\))?(?:[ .-]?\d{{1,12}})*{_AFTER}|(?<![\p{{L}}\p{{N}}.,+-])[2-9]\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}-])",
+    "given": _GIVEN,
+    "surname": rf"(?<!\p{{L}})(?:(?=\p{{Lu}})(?:{_any_of(_NAMES)})(?!\p{{L}})|(?:{_any_of(TITLES)})\.?)(?= (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}({_SURNAME})(?!\p{{L}}))",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: All kinds but surnames, which a text's own pattern adds; each branch first looks at one sign.
+ANY = "|".join(rf"(?:{PATTERNS[k]})" for k in ("email", "iban")) + r"|(?=[\d(+])(?:" + "|".join(rf"(?:{PATTERNS[k]})" for k in ("ip", "card", "ssn", "phone")) + f")|{PATTERNS['given']}"
 #: What a text must hold to have any entity at all: looked for before the costly pattern.
-HINT = rf"[@\d]|(?<!\p{{L}})(?=[\p{{Lu}}])(?:{_GIVEN})(?!\p{{L}})"
+HINT = rf"[@\d]|{_GIVEN}|(?<!\p{{L}})(?:{_any_of(TITLES)})(?!\p{{L}})"
 _DIGIT_KINDS = ("card", "ssn", "phone")
+#: Set around matches; a code point that no text should hold (one that does is cut in two passes).
+_SIGN = "\ufdd0"
 
 
 def pattern(text: Column) -> Column:
-    """``ANY``, and the text's own surnames wherever they stand."""
-    names = F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERNS["surname"]), F.lit(0)))
-    own = lambda n: F.when(F.size(n) > 0, F.concat(F.lit(rf"{ANY}|(?<!\p{{L}})(?:"), F.array_join(n, "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit(ANY))
+    """``ANY``, and the text's own surnames wherever they stand, also in capitals."""
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERNS["surname"]), F.lit(1)))
+    # Longer names first, so that Smith-Lee isn't taken as Smith.
+    sized = lambda n: F.array_sort(F.transform(F.array_distinct(F.concat(n, F.transform(n, F.upper))), lambda x: F.struct((-F.length(x)).alias("size"), x.alias("name"))))
+    every = lambda n: F.array_join(F.transform(sized(n), lambda x: x["name"]), "|")
+    own = lambda n: F.when(F.size(n) > 0, F.concat(F.lit(rf"{ANY}|(?<!\p{{L}})(?:"), every(n), F.lit(r")(?!\p{L})"))).otherwise(F.lit(ANY))
     return _let(names, own)
 
 
-def matches(text: Column) -> Column:
-    """What the patterns match, in order: entities, and numbers as long as a card's that are none."""
-    return F.when(F.regexp_like(text, F.lit(HINT)), F.regexp_extract_all(text, pattern(text), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def parts(text: Column) -> Column:
+    """The text cut at what the patterns match: gaps at even places, matches at odd ones; null for a null text."""
+    marked = F.split(F.regexp_replace(text, pattern(text), F.lit(f"{_SIGN}$0{_SIGN}")), _SIGN, -1)
+    twice = F.flatten(F.zip_with(F.split(text, pattern(text), -1), F.regexp_extract_all(text, pattern(text), F.lit(0)), lambda gap, m: F.when(m.isNull(), F.array(gap)).otherwise(F.array(gap, m))))
+    return F.when(text.isNull() | ~F.regexp_like(text, F.lit(HINT)), F.when(text.isNotNull(), F.array(text))).when(F.contains(text, F.lit(_SIGN)), twice).otherwise(marked)
 
 
-def is_entity(value: Column) -> Column:
-    """A number in the layout of a card, but for four groups of four digits, must pass the card checksum."""
-    loose = F.regexp_like(value, F.lit(r"^\d[\d -]{11,}\d$")) & ~F.regexp_like(value, F.lit(r"^\d{4}([ -]?\d{4}){3}$|^\d{3}[ .-]\d{3}[ .-]\d{4}$"))
-    return F.when(loose, _luhn(F.regexp_replace(value, r"\D", "")) == 0).otherwise(True)
+def entities_of(cut_text: Column) -> Column:
+    """The entities among the parts of a text, in order; none for a null."""
+    found = F.filter(cut_text, lambda x, i: (F.pmod(i, F.lit(2)) == 1) & is_entity(x))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def entities(text: Column) -> Column:
     """The text's entities in order."""
-    return F.filter(matches(text), is_entity)
+    return entities_of(parts(text))
+
+
+def is_entity(value: Column) -> Column:
+    """A number in the layout of a card, but for four groups of four digits, must pass the card checksum; an account number its own."""
+    loose = F.regexp_like(value, F.lit(r"^\d[\d -]{11,}\d$")) & ~F.regexp_like(value, F.lit(r"^\d{4}([ -]?\d{4}){3}$|^\d{3}[ .-]\d{3}[ .-]\d{4}$"))
+    account = F.regexp_like(value, F.lit(_IBAN))
+    return F.when(loose, _luhn(F.regexp_replace(value, r"\D", "")) == 0).when(account, _mod97(F.replace(value, F.lit(" "), F.lit(""))) == 1).otherwise(True)
+
+
+_IBAN = r"^[A-Z]{2}\d{2}[A-Z0-9 ]{8,}$"
+
+
+def _mod97(account: Column) -> Column:
+    """The remainder of an account number, its first four signs moved to the end and letters read as 10 to 35."""
+    signs = F.transform(_chars(F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, F.lit(1), F.lit(4)))), lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1)
+    return F.aggregate(signs, F.lit(0), lambda acc, v: F.pmod(F.when(v > 9, acc * 100 + v).otherwise(acc * 10 + v), F.lit(97)))
+
+
+def _account(value: Column, digest: Column) -> Column:
+    """Signs within their class behind the same country, with check digits that fit."""
+    country = F.substring(value, F.lit(1), F.lit(2))
+    made = lambda body: F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0"), body)
+    return _let(F.substring(_in_class(value, digest), F.lit(5), F.length(value)), made)
 
 
 def _let(value: Column, body) -> Column:
@@ -69,16 +129,18 @@ def _let(value: Column, body) -> Column:
 
 def kind_of(value: Column) -> Column:
     kind = F.when(F.contains(value, F.lit("@")), "email").when(F.regexp_like(value, F.lit(rf"^{_OCTET}(\.{_OCTET}){{3}}$")), "ip")
+    kind = kind.when(F.regexp_like(value, F.lit(_IBAN)), "iban")
     kind = kind.when(F.regexp_like(value, F.lit(r"^\d{4}([ -]?\d{4}){3}([ -]?\d{3})?$|^\d{4}[ -]\d{6}[ -]\d{4,5}$|^\d{13,19}$")), "card").when(F.regexp_like(value, F.lit(r"^\d{3}-\d{2}-\d{4}$")), "ssn")
-    return kind.when(F.regexp_like(value, F.lit(r"\d")), "phone").when(value.isin(*[n for names in GIVEN.values() for n in names]), "given").otherwise("surname")
+    return kind.when(F.regexp_like(value, F.lit(r"\d")), "phone").when(value.isin(*_NAMES), "given").otherwise("surname")
 
 
 def _identity(value: Column, kind: Column) -> Column:
-    return F.when(kind.isin(*_DIGIT_KINDS), F.regexp_replace(value, r"\D", "")).when(kind == "email", F.lower(value)).otherwise(value)
+    by_kind = F.when(kind.isin(*_DIGIT_KINDS), F.regexp_replace(value, r"\D", "")).when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
+    return by_kind.when(kind == "email", F.lower(value)).when(kind == "surname", F.initcap(F.lower(value))).otherwise(value)
 
 
 def identity(value: Column) -> Column:
-    """What makes two mentions one entity: digits of a number, an address in lower case, else the value."""
+    """What makes two mentions one entity: digits of a number, an account without spaces, an address in lower case, a surname in any case."""
     return _identity(value, kind_of(value))
 
 
@@ -125,10 +187,10 @@ def _digits(kind: Column, digits: Column, digest: Column) -> Column:
     return F.when(kind == "ssn", _in_class(digits, digest)).otherwise(_let(kept, lambda x: F.when(kind == "card", card(x)).otherwise(x)))
 
 
-def _layout(value: Column, digits: Column) -> Column:
-    """The digits set into the value's signs."""
-    before = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), r"\D", ""))
-    put = lambda d: F.transform(_chars(value), lambda c, i: F.when((c >= "0") & (c <= "9"), F.substring(d, before(i) + 1, F.lit(1))).otherwise(c))
+def _layout(value: Column, digits: Column, signs: str = "0-9") -> Column:
+    """The digits (or other ``signs``) set into the value's places for them."""
+    before = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), f"[^{signs}]", ""))
+    put = lambda d: F.transform(_chars(value), lambda c, i: F.when(F.regexp_like(c, F.lit(f"[{signs}]")), F.substring(d, before(i) + 1, F.lit(1))).otherwise(c))
     return F.array_join(_let(digits, put), "")
 
 
@@ -136,9 +198,10 @@ def _given(key: str, value: Column) -> Column:
     """A keyed rotation of the name's own list: one to one, and never the name itself."""
     found = []
     for (script, gender), names in GIVEN.items():
+        base = F.initcap(F.lower(value))
         every, shift = F.lit(list(names)), F.pmod(_byte(_digest(key, F.lit(script), F.lit(gender)), 0), F.lit(len(names) - 1)) + 1
-        found.append(F.when(value.isin(*names), F.get(every, F.pmod(F.array_position(every, value).cast("int") - 1 + shift, F.lit(len(names))))))
-    return F.coalesce(*found)
+        found.append(F.when(base.isin(*names), F.get(every, F.pmod(F.array_position(every, base).cast("int") - 1 + shift, F.lit(len(names))))))
+    return _let(F.coalesce(*found), lambda new: F.when(value == F.upper(value), F.upper(new)).otherwise(new))
 
 
 def _email(key: str, value: Column, digest: Column) -> Column:
@@ -157,9 +220,14 @@ def surrogate(value: Column, attempt: Column, key: str, kind: Column | None = No
     # Short names run out: from the fourth attempt on a surrogate is longer than what it stands for.
     longer = lambda text, attempt: F.concat(text, F.repeat(F.when(F.regexp_like(text, F.lit(r"\p{IsCyrillic}")), "на").otherwise("na"), F.floor(attempt.cast("int") / 4).cast("int")))
 
+    # Number spaces fill up: every eighth attempt adds a digit.
+    wider = lambda text, attempt: F.concat(text, F.repeat(F.lit("0"), F.floor(attempt.cast("int") / 8).cast("int")))
+
     def made(value: Column, kind: Column, who: Column, digest: Column, attempt: Column) -> Column:
         ip = F.concat_ws(".", *[(F.pmod(_byte(digest, i), F.lit(254)) + 1).cast("string") for i in range(4)])
-        out = F.when(kind == "email", _email(key, F.concat(longer(F.substring_index(value, "@", 1), attempt), F.lit("@"), F.substring_index(value, "@", -1)), digest)).when(kind == "ip", ip).when(kind.isin(*_DIGIT_KINDS), _layout(value, _digits(kind, who, digest)))
+        out = F.when(kind == "email", _email(key, F.concat(longer(F.substring_index(value, "@", 1), attempt), F.lit("@"), F.substring_index(value, "@", -1)), digest)).when(kind == "ip", ip)
+        out = out.when(kind.isin(*_DIGIT_KINDS), _layout(wider(value, attempt), _digits(kind, wider(who, attempt), digest)))
+        out = out.when(kind == "iban", _layout(wider(value, attempt), _account(wider(who, attempt), digest), "A-Z0-9"))
         return out.when(kind == "given", _given(key, value)).otherwise(_in_class(longer(value, attempt), digest))
 
     known = lambda x: F.struct(x["value"].alias("value"), x["attempt"].alias("attempt"), x["kind"].alias("kind"), _identity(x["value"], x["kind"]).alias("who"))
@@ -197,23 +265,23 @@ def replace_personal_data(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str =
     """
     docs = docs.drop("entities")
     text = F.col(text_col).cast("string")
-    mentions = docs.select(F.explode(entities(text)).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    cut_up = docs.withColumn("__parts", parts(text))
+    own = entities_of(F.col("__parts"))
+    mentions = cut_up.select(F.explode(own).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
     found = mentions.select(identity(F.col("value")).alias("who"), kind_of(F.col("value")).alias("kind")).distinct()
     retries = _retries(found, key)
-    marked = docs.withColumn("__retry", F.lit(None).cast("map<string,int>"))
+    marked = cut_up.withColumn("__retry", F.lit(None).cast("map<string,int>"))
     if not retries.isEmpty():
-        rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("__k"), F.xxhash64(text).alias("__t"), F.explode(F.array_distinct(entities(text))).alias("value"))
+        keys = {"__k": F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)), "__t": F.xxhash64(text)}
+        rows = cut_up.select(keys["__k"].alias("__k"), keys["__t"].alias("__t"), F.explode(F.array_distinct(own)).alias("value"))
         held = rows.withColumns({"who": identity(F.col("value")), "kind": kind_of(F.col("value"))}).join(retries, ["who", "kind"])
         maps = held.groupBy("__k", "__t").agg(F.map_from_entries(F.collect_set(F.struct("value", "attempt"))).alias("__retry"))
-        keyed = docs.withColumns({"__k": F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)), "__t": F.xxhash64(text)})
-        marked = keyed.join(maps.hint("shuffle_hash"), ["__k", "__t"], "left").drop("__k", "__t")
+        marked = cut_up.withColumns(keys).join(maps, ["__k", "__t"], "left").drop("__k", "__t")
     attempt = lambda m: F.coalesce(F.get(F.array(F.element_at("__retry", m)), F.lit(0)), F.lit(0)).cast("string")
-    fresh = F.transform(matches(text), lambda m: F.when(is_entity(m), surrogate(m, attempt(m), key)).otherwise(m))
-    woven = F.array_join(F.zip_with(F.split(text, pattern(text), -1), fresh, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
-    some = F.regexp_like(text, F.lit(HINT))
-    # The kinds come from the old text, so they are computed before it is replaced.
-    out = marked.withColumn("entities", F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.transform(entities(text), kind_of)))
-    return out.withColumn(text_col, F.when(some, woven).otherwise(text)).select(*docs.columns, "entities")
+    fresh = F.transform("__parts", lambda x, i: F.when((F.pmod(i, F.lit(2)) == 1) & is_entity(x), surrogate(x, attempt(x), key)).otherwise(x))
+    # The kinds come from the old text's parts.
+    out = marked.withColumn("entities", F.transform(own, kind_of)).withColumn(text_col, F.array_join(fresh, ""))
+    return out.select(*docs.columns, "entities")
 
 
 def op7_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
