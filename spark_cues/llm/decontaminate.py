@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..runtime import cut, materialize
 
 WINDOW, SIMILARITY = 5, 0.8
+#: Items of fewer words than a window, but at least so many, are looked for as they stand.
+SHORT = 4
 # Words that are written as a unit.
 UNITS = (
     "mm", "cm", "km", "mg", "kg", "ml", "cl", "mph", "kmh", "lb", "lbs", "oz", "ft", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre",
@@ -35,12 +37,8 @@ def _canonical(words: Column) -> Column:
     return F.transform(words, lambda x: F.when((x >= "0") & (x < ":"), NUMBER).when(x.isin(*UNITS), UNIT).otherwise(x))
 
 
-def plain_template(text: Column) -> Column:
-    return _canonical(_words(F.lower(text)))
-
-
 def named_template(text: Column) -> Column:
-    """As the plain template, with capitalised words inside sentences as names."""
+    """Numbers, units and capitalised words inside sentences as placeholders."""
     return _canonical(_words(F.lower(F.regexp_replace(text, _NAME, NAME))))
 
 
@@ -49,24 +47,30 @@ def initial_template(text: Column) -> Column:
     return _canonical(_words(F.lower(F.regexp_replace(text, _ANY_NAME, NAME))))
 
 
-_ROW = "struct<h:bigint,slots:array<string>>"
+_ROW = "struct<h:bigint,slots:array<string>,own:boolean>"
 
 
 def _windows(template: Column, raw: Column, least: int = WINDOW) -> Column:
-    """``(h, slots)`` of every window of five template words: its hash, and the words behind its placeholders.
+    """``(h, slots, own)`` of every window of five template words: its hash, the words behind its placeholders, and whether it has a word of its own.
 
     ``slots`` has a place for each word of the window, null where the template has the word itself; it is null
-    where there is no placeholder at all.  A shorter text is one window of what it has.
+    where there is no placeholder at all.  A window of placeholders alone, which any run of numbers would fill, is hashed by
+    its own words and has no slots.  A shorter text is one window of what it has.
     """
     hashed = lambda t, i: F.xxhash64(*[F.get(t, i + k) for k in range(WINDOW)])
     held = lambda x: F.filter(x, lambda v: v.isNotNull())
     none = F.lit(None).cast("array<string>")
 
+    def bound_window(t: Column, r: Column, slots: Column, i: Column) -> Column:
+        n = F.least(F.size(t) - i, F.lit(WINDOW))
+        row = lambda v: F.when(F.size(held(v)) < n, F.struct(hashed(t, i).alias("h"), F.when(F.size(held(v)) > 0, v).alias("slots"), F.lit(True).alias("own"))).otherwise(F.struct(hashed(r, i).alias("h"), none.alias("slots"), F.lit(False).alias("own")))
+        return F.transform(F.array(F.slice(slots, i + 1, F.lit(WINDOW))), row)[0]
+
     def rows(x: Column) -> Column:
         places = F.sequence(F.lit(0), F.greatest(F.size(x["t"]) - WINDOW, F.lit(0)))
-        plain = F.transform(places, lambda i: F.struct(hashed(x["t"], i).alias("h"), none.alias("slots")))
+        plain = F.transform(places, lambda i: F.struct(hashed(x["t"], i).alias("h"), none.alias("slots"), F.lit(True).alias("own")))
         values = F.zip_with(x["t"], x["r"], lambda t, r: F.when(t.isin(NUMBER, UNIT, NAME), r))
-        bound = lambda v: F.transform(places, lambda i: F.struct(hashed(x["t"], i).alias("h"), _or_null(F.slice(v, i + 1, F.lit(WINDOW)), held).alias("slots")))
+        bound = lambda v: F.transform(places, lambda i: bound_window(x["t"], x["r"], v, i))
         slotted = F.transform(F.array(values), bound)[0]
         return F.when(F.size(x["t"]) < least, F.array().cast(f"array<{_ROW}>")).when(F.exists(x["t"], lambda t: t.isin(NUMBER, UNIT, NAME)), slotted).otherwise(plain)
 
@@ -74,31 +78,40 @@ def _windows(template: Column, raw: Column, least: int = WINDOW) -> Column:
     return F.transform(F.array(F.struct(template.alias("t"), raw.alias("r"))), rows)[0]
 
 
-_PLACED = "struct<pos:int,h:bigint,slots:array<string>>"
+_PLACED = "struct<pos:int,h:bigint,slots:array<string>,own:boolean>"
 
 
 def _placed(windows: Column) -> Column:
     """Windows with their places."""
-    return F.transform(windows, lambda w, i: F.struct(i.alias("pos"), w["h"].alias("h"), w["slots"].alias("slots")))
-
+    return F.transform(windows, lambda w, i: F.struct(i.alias("pos"), w["h"].alias("h"), w["slots"].alias("slots"), w["own"].alias("own")))
 
-def _or_null(values: Column, held) -> Column:
-    return F.transform(F.array(values), lambda v: F.when(F.size(held(v)) > 0, v))[0]
 
+def _exploded(rows: DataFrame, keep: list[str], lengths: list[int], least: int = 1) -> DataFrame:
+    """``(keep, channel, pos, h, slots, own)``: plain templates in channel 0, named ones of texts with names in channel 1, and those with initial names in channel 2.
 
-def _exploded(rows: DataFrame, keep: list[str], least: int = WINDOW) -> DataFrame:
-    """``(keep, channel, pos, h, slots)``: plain templates in channel 0, named ones of texts with names in channel 1, and those with initial names in channel 2.
-
-    Channel 2 has no windows of placeholders alone, which any run of capitalised words would fill.
+    Channels 1 and 2 have no windows of placeholders alone.  Further channels, numbered by length, hold
+    the runs of so many words that ``lengths`` asks for.
     """
-    text = F.col("text")
-    raw = _words(F.lower(text))
-    named = F.when(F.regexp_like(text, F.lit(_NAME)), _windows(named_template(text), raw, least)).otherwise(F.array().cast(f"array<{_ROW}>"))
-    wordless = lambda w: F.coalesce(F.size(F.filter(w["slots"], lambda v: v.isNull())) == 0, F.lit(False))
-    initial = F.when(F.regexp_like(text, F.lit(_INITIAL)), F.filter(_placed(_windows(initial_template(text), raw, least)), lambda w: ~wordless(w))).otherwise(F.array().cast(f"array<{_PLACED}>"))
+    text, raw = F.col("text"), F.col("__raw")
+    nothing = F.array().cast(f"array<{_PLACED}>")
+    own = lambda windows: F.filter(_placed(windows), lambda w: w["own"])
     channel = lambda n, w: F.struct(F.lit(n).alias("channel"), w.alias("windows"))
-    both = rows.select(*keep, F.explode(F.array(channel(0, _placed(_windows(plain_template(text), raw, least))), channel(1, _placed(named)), channel(2, initial))).alias("c"))
-    return both.select(*keep, F.col("c.channel").alias("channel"), F.explode("c.windows").alias("w")).select(*keep, "channel", "w.pos", "w.h", "w.slots")
+    channels = [
+        channel(0, _placed(_windows(_canonical(raw), raw, least))),
+        channel(1, F.when(F.regexp_like(text, F.lit(_NAME)), own(_windows(named_template(text), raw, least))).otherwise(nothing)),
+        channel(2, F.when(F.regexp_like(text, F.lit(_INITIAL)), own(_windows(initial_template(text), raw, least))).otherwise(nothing)),
+    ]
+    channels += [channel(n, _placed(_runs(raw, n))) for n in lengths]
+    # The words are a column of their own, so that a text is split once for all channels that need them.
+    both = rows.withColumn("__raw", _words(F.lower(text))).select(*keep, F.explode(F.array(*channels)).alias("c"))
+    return both.select(*keep, F.col("c.channel").alias("channel"), F.explode("c.windows").alias("w")).select(*keep, "channel", "w.pos", "w.h", "w.slots", "w.own")
+
+
+def _runs(words: Column, n: int) -> Column:
+    """Every run of ``n`` words as a window without slots."""
+    run = lambda r: lambda i: F.struct(F.xxhash64(*[F.get(r, i + k) for k in range(n)]).alias("h"), F.lit(None).cast("array<string>").alias("slots"), F.lit(True).alias("own"))
+    every = lambda r: F.when(F.size(r) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(r) - n, F.lit(0))), run(r))).otherwise(F.array().cast(f"array<{_ROW}>"))
+    return F.transform(F.array(words), every)[0]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -107,17 +120,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     A window of five template words matches by hash; the share of an item's windows found in a document,
     by any of the templates and along alignments whose slots are consistent, must reach ``similarity``.  Slots are consistent
     if, over an alignment, each benchmark value stands for one document value and the other way round: copies
-    and re-parameterised questions pass, texts that only share a shape don't.  Items of under five words
-    are found where their first five template places fill (a shorter item matches only a text of just those words).
+    and re-parameterised questions pass, texts that only share a shape don't.  Windows of placeholders alone don't count, unless
+    an item has no others; they then match by their own words.  Items of four words are found wherever these
+    words stand in a row; shorter ones only in a text of just these words.
     Null texts and null item ids match nothing; a null doc_id is carried; repeated rows give one result; empty
     tables give no rows.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("k"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
-    grams = cut(_exploded(items, ["item"], 1).select("item", "channel", F.col("pos").alias("b"), "h", F.col("slots").alias("asked")))
+    words = F.size(_words(F.lower("text")))
+    lengths = sorted(r["n"] for r in items.select(words.alias("n")).where(F.col("n").between(SHORT, WINDOW - 1)).distinct().collect())
+    every = _exploded(items.withColumn("__n", words), ["item", "__n"], lengths).where((F.col("channel") < SHORT) | (F.col("channel") == F.col("__n")))
+    every = cut(every.select("item", "channel", F.col("pos").alias("b"), "h", F.col("slots").alias("asked"), "own"))
+    plain = every.where("own").select("item").distinct()
+    grams = cut(every.where("own").unionByName(every.join(plain, "item", "left_anti")).drop("own"))
     sizes = grams.groupBy("item").agg(F.count_distinct("b").alias("windows"))
     side = F.broadcast(grams) if grams.count() <= BROADCAST_WINDOWS else grams
-    hits = materialize(_exploded(rows.where("text is not null"), ["k", "t"], 1).join(side, ["channel", "h"]).select("k", "t", "item", "channel", "pos", "b", "asked", F.col("slots").alias("told")), "window-hits")
+    told = _exploded(rows.where("text is not null"), ["k", "t"], lengths).drop("own")
+    hits = materialize(told.join(side, ["channel", "h"]).select("k", "t", "item", "channel", "pos", "b", "asked", F.col("slots").alias("told")), "window-hits")
     enough = F.col("matched") >= F.lit(similarity) * F.col("windows")
     likely = hits.groupBy("k", "t", "item").agg(F.count_distinct("b").alias("matched")).join(sizes, "item").where(enough).select("k", "t", "item")
     kept = hits.join(likely, ["k", "t", "item"], "left_semi")

@@ -66,3 +66,15 @@ def test_numbers_of_another_shape_are_parameters(spark):
     item = "a farmer sells 900 apples for 2 dollars each and then buys 3 new trees for the garden how much money does he have left over"
     again = item.replace("900", "1,500").replace("2 dollars", "3.5 dollars")
     assert find(spark, [again, item.replace("3 new", "12,500.75 new"), f"{again}, 1."], [(1, item)]) == {(0, 1): 1.0, (1, 1): 1.0, (2, 1): 1.0}
+
+
+def test_an_item_of_four_words_is_found_inside_a_text(spark):
+    texts = ["Then she said: name the largest planet, please.", "Name the largest planet", "name the largest red planet", CLEAN]
+    assert set(find(spark, texts, [(1, "Name the largest planet"), (2, OTHER)])) == {(0, 1), (1, 1)}
+
+
+def test_runs_of_numbers_have_no_vote(spark):
+    item = "add the numbers 1 2 3 4 5 6 7 8 9 10 11 12 and tell me what the whole sum of them is"
+    again = item.replace("1 2 3 4 5 6 7 8 9 10 11 12", "21 22 23 24 25 26 27 28 29 30 31 32")
+    got = find(spark, [item, again, " ".join(map(str, range(100, 160))), "1 2 3 4 5 6", "7 8 9 1 2 3"], [(1, item), (2, "1 2 3 4 5 6")])
+    assert got == {(0, 1): 1.0, (1, 1): 1.0, (0, 2): 1.0, (3, 2): 1.0}
