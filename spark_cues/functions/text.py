@@ -83,10 +83,6 @@ def ends_sentence(c: Column) -> Column:
     return F.regexp_like(c, F.lit(PHRASE_END))
 
 
-def ends_long(c: Column) -> Column:
-    return F.right(strip(c), F.lit(1)).isin(*LONG_END)
-
-
 def wrap_mid(c: Column, at: int = 42, reach: int = 10) -> Column:
     """Texts over ``at`` characters get one line break.
 

@@ -226,7 +226,11 @@ def resegment_captions(phrases: DataFrame, keys: list[str], most_chars: int = 30
 
 
 def split_for_display(cues: DataFrame, keys: list[str], most: int = 120) -> DataFrame:
-    """Captions over ``most`` characters cut for display; pieces timed by characters, half a second each at least."""
-    flat = F.regexp_replace("text", r"\s*\n\s*", " ")
-    parts = cues.withColumn("__flat", flat).select(*keys, "start", "end", F.posexplode(pack_display(F.col("__flat"), most)).alias("piece_no", "piece"))
+    """Captions over ``most`` characters, white space collapsed, cut for display; pieces timed by characters, half a second each at least.
+
+    Captions that fit stay as they are, with their line breaks and times.
+    """
+    flat = strip(F.regexp_replace("text", r"[\s\p{Z}]+", " "))
+    pieces = F.when(F.length("__flat") > most, pack_display(F.col("__flat"), most)).otherwise(F.array("text"))
+    parts = cues.withColumn("__flat", flat).select(*keys, "start", "end", F.posexplode(pieces).alias("piece_no", "piece"))
     return timed_pieces(parts, keys, F.length("piece"), least=0.5, force_last=False)

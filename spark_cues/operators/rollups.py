@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_budget, word_count
@@ -63,9 +63,13 @@ def bench_summary(runs: DataFrame) -> DataFrame:
 
 def dedup_terms(lists: DataFrame, keys: list[str], terms: str, cap: int) -> DataFrame:
     """Terms trimmed, blanks and repeats (any case) dropped, first ones kept in order, at most ``cap``."""
-    rows = lists.select(*keys, F.posexplode(terms).alias("pos", "term")).withColumn("term", F.trim("term")).where("term <> ''")
-    once = rows.groupBy(*keys, F.lower("term").alias("low")).agg(F.min(F.struct("pos", "term")).alias("x"))
-    return once.groupBy(*keys).agg(F.transform(F.slice(F.array_sort(F.collect_list("x")), 1, cap), lambda x: x["term"]).alias(terms))
+    trimmed = F.transform(terms, lambda t, i: F.struct(F.lower(F.trim(t)).alias("low"), i.alias("pos"), F.trim(t).alias("term")))
+    # Sorted by term, then place, a first mention is one whose predecessor is another term: no shuffle, and no comparison of all pairs.
+    by_term = F.array_sort(F.filter(trimmed, lambda x: x["term"] != ""))
+    first = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["low"] != x["low"]))
+    in_order = F.array_sort(F.transform(F.transform(F.array(by_term), first)[0], lambda x: F.struct(x["pos"].alias("pos"), x["term"].alias("term"))))
+    kept = F.transform(F.slice(in_order, 1, cap), lambda x: x["term"])
+    return lists.select(*keys, kept.alias(terms)).where(F.size(terms) > 0)
 
 
 def theme_catalog(themes: DataFrame) -> DataFrame:
@@ -100,11 +104,21 @@ def oversize(cues: DataFrame) -> DataFrame:
     return cues.withColumns({"asr": (chars > 84) | (seconds > 5.0), "caption": chars > 300, "display": F.length(F.regexp_replace("text", "\n", " ")) > 120})
 
 
-def artifact_validity(artifacts: DataFrame, least: int = 1024) -> DataFrame:
-    """``valid``: media by size, SRT by a timestamp arrow, JSON by parsing; the stage's kind is its path's ending."""
+def artifact_validity(artifacts: DataFrame, least: int = 1024, required: dict[str, list[str]] | None = None) -> DataFrame:
+    """``valid``: media by size, SRT by a timestamp arrow, JSON by parsing; the stage's kind is its path's ending.
+
+    The arrow and the JSON are looked for in the whole ``content`` where the table has it, else in ``head``.  ``required`` names,
+    for a stage, the keys that its JSON must hold if it is an object; the stage ``thumbs`` must be a list that isn't empty.
+    """
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    arrow = F.regexp_like("head", F.lit(r"\d{2}:\d{2}:\d{2},\d{3} --> "))
-    valid = F.when(kind == "srt", arrow).when(kind == "json", F.try_parse_json("head").isNotNull()).otherwise(F.col("bytes") >= least)
+    body = F.col("content" if "content" in artifacts.columns else "head")
+    arrow = F.regexp_like(body, F.lit(r"\d{2}:\d{2}:\d{2},\d{3}\s*-->"))
+    parsed, stage = F.try_parse_json(body).isNotNull(), F.col("stage") if "stage" in artifacts.columns else F.lit("")
+    for name, keys in (required or {}).items():
+        lacks = F.size(F.array_except(F.lit(keys), F.json_object_keys(body))) > 0
+        parsed = parsed & ~((stage == name) & F.coalesce(lacks, F.lit(False)))
+    parsed = parsed & ((stage != "thumbs") | (F.coalesce(F.json_array_length(body), F.lit(0)) > 0))
+    valid = F.when(kind == "srt", arrow).when(kind == "json", parsed).otherwise(F.col("bytes") >= least)
     return artifacts.withColumn("valid", F.coalesce(valid, F.lit(False)))
 
 
@@ -126,7 +140,3 @@ def overflow_report(clips: DataFrame, over: float = 1.05) -> DataFrame:
     """Clips longer than ``over`` times their target: how many, and the seconds beyond, a medium."""
     late = clips.where(F.col("actual_dur") > F.col("target_dur") * over)
     return late.groupBy("media_id").agg(F.count("*").alias("n_over"), F.round(F.sum(F.col("actual_dur") - F.col("target_dur")), 3).alias("excess"))
-
-
-def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return rows.withColumn("seq", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint"))

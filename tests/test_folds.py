@@ -138,3 +138,11 @@ def test_translations_match_a_plain_loop(spark):
         got.setdefault(r["media_id"], []).append((r["start"], r["end"], r["text"]))
     for m, cues, answers in cases:
         assert sorted(got[m]) == plain_translate(cues, answers), (cues, answers)
+
+
+def test_captions_that_fit_stay_and_others_are_measured_collapsed(spark):
+    long = "  ".join(f"word{k}" for k in range(30))
+    rows = spark.createDataFrame([(1, 0, "two\nlines here", 0.0, 0.2), (1, 1, "a" + " " * 200 + "b", 1.0, 2.0), (1, 2, long, 2.0, 8.0)], "media_id long, seq long, text string, start double, end double")
+    got = folds.split_for_display(rows, ["media_id", "seq"]).orderBy("seq", "piece_no").collect()
+    assert [(r["piece"], r["piece_start"], r["piece_end"]) for r in got[:2]] == [("two\nlines here", 0.0, 0.2), ("a" + " " * 200 + "b", 1.0, 2.0)]
+    assert len(got) > 3 and " ".join(r["piece"] for r in got[2:]) == " ".join(long.split()) and got[-1]["piece_end"] <= 8.0

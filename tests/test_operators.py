@@ -148,3 +148,27 @@ def test_v01_hands_whole_texts_to_the_model(spark, tiny, monkeypatch):
     registry.queries()["v01_map_model"](spark, tiny)
     want = spark.read.parquet(f"{tiny}/documents.parquet").selectExpr("doc_id as media_id", "text as prompt")
     assert seen[0].select("media_id", "prompt").exceptAll(want).count() == 0
+
+
+def test_artifacts_are_judged_by_their_whole_content(spark):
+    rows = spark.createDataFrame(
+        [
+            ("a.srt", "srt", "x" * 90 + "\n00:00:01,000-->00:00:02,000\nhi", 10),
+            ("b.srt", "srt", "no arrow --> here", 10),
+            ("c.json", "meta", '{"title": "' + "t" * 90 + '", "id": null}', 10),
+            ("d.json", "meta", '{"title": 1}', 10),
+            ("e.json", "thumbs", "[]", 10),
+            ("f.json", "thumbs", '[{"path": "x"}]', 10),
+            ("g.json", "meta", "{broken", 10),
+            ("h.mp4", "media", None, 2000),
+        ],
+        "path string, stage string, content string, bytes long",
+    )
+    got = rollups.artifact_validity(rows, required={"meta": ["title", "id"]}).orderBy("path").collect()
+    assert [r["valid"] for r in got] == [True, False, True, False, False, True, False, True]
+
+
+def test_terms_keep_their_first_spelling_and_order(spark):
+    rows = spark.createDataFrame([(1, ["b", " A", "a", None, "", "B ", "c", "d"]), (2, []), (3, None), (4, [" "])], "k long, terms array<string>")
+    got = {r["k"]: r["terms"] for r in rollups.dedup_terms(rows, ["k"], "terms", 3).collect()}
+    assert got == {1: ["b", "A", "c"]}
