@@ -448,3 +448,17 @@ def apply_refinements(spark, sf):
 def pending(spark, sf):
     clips = fx.tts_segments(spark, sf)
     return reconcile.pending(clips.select("media_id", "seq"), clips.where("actual_dur is not null"), ["media_id", "seq"])
+
+
+@query(
+    "j07_media_without_cues",
+    f"""with {fx.CUES_SQL}, captioned as (select * from cues where lang = 'en'), durations as (select doc_id as media_id, n_chars / 5.0 as duration from documents), every as (
+      select media_id, 0.0 as gap_start, start as gap_end from captioned where seq = 0
+      union all select media_id, "end", coalesce(lead(start) over (partition by media_id order by seq), duration) from captioned join durations using (media_id)
+      union all select media_id, 0.0, duration from durations where media_id not in (select media_id from captioned))
+    select media_id, round(gap_start, 3) as gap_start, round(gap_end, 3) as gap_end from every where gap_end - gap_start > 5.0""",
+)
+def media_without_cues(spark, sf):
+    """Gaps where only English media have captions: the others are one gap each."""
+    durations = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("media_id"), (F.col("n_chars") / 5.0).alias("duration"))
+    return intervals.find_gaps(fx.cues(spark, sf).where("lang = 'en'"), durations).withColumns(R3("gap_start", "gap_end"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.dimensions import LANGUAGES, PHASES, SPEAKABLE, THEMES, caption_codes, codes, languages, phases, themes, values_sql
 from ..operators import audio, intervals, models, rollups, selection
+from ..runtime import scratch_path
 from ..sources import media as sources
 from . import fixtures as fx
 from .registry import query
@@ -316,3 +317,27 @@ def map_synthesise(spark, sf):
     todo = fx.tts_segments(spark, sf).where("actual_dur is null").select("media_id", "seq", "idx")
     make = lambda: lambda row: {"samples": [0.0] * (8000 * (len(row["idx"]) + 1)), "sample_rate": 16000}
     return models.map_synthesise(todo, make).select("media_id", "seq", F.round("actual_dur", 3).alias("actual_dur"))
+
+
+@query(
+    "v02_map_recognise",
+    f"""with {fx.CUES_SQL}, {fx.DURATIONS_SQL}, every as (
+      select media_id, 0.0 as gap_start, start as gap_end from cues where seq = 0
+      union all select media_id, "end", coalesce(lead(start) over (partition by media_id order by seq), duration) from cues join durations using (media_id)),
+    gaps as (select media_id, round(gap_start, 3) as gap_start, round(gap_end, 3) as gap_end from every where gap_end - gap_start > 5.0)
+    select media_id, gap_start, gap_end, round(gap_end - 1.0, 3) as "end", 'heard in ' || media_id as text from gaps""",
+)
+def map_recognise(spark, sf):
+    """Gaps heard by a stand-in that finds one segment in each."""
+    gaps = intervals.find_gaps(fx.cues(spark, sf), fx.durations(spark, sf)).select("media_id", F.round("gap_start", 3).alias("gap_start"), F.round("gap_end", 3).alias("gap_end"))
+    make = lambda: lambda row: {"segments": [{"start": row["gap_start"], "end": row["gap_end"] - 1.0, "text": f"heard in {row['media_id']}"}]}
+    heard = models.map_recognise(gaps, make).select("media_id", "gap_start", "gap_end", F.explode("segments").alias("s"))
+    return heard.select("media_id", "gap_start", "gap_end", F.round("s.end", 3).alias("end"), "s.text")
+
+
+@query("s08_json_docs", """select doc_id, text, lang, cast(n_chars as bigint) as n_chars from documents""")
+def json_docs(spark, sf):
+    """Documents written as JSON lines and read back."""
+    path = scratch_path(spark, "json-docs")
+    sources.write_json_docs(fx.table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars"), path)
+    return sources.read_json_docs(spark, path, "doc_id bigint, text string, lang string, n_chars bigint")

@@ -225,3 +225,9 @@ def parse_srt_flat(spark, sf):
 def sanitize_srt(spark, sf):
     dirty = srt.srt_documents(fx.cues(spark, sf), ["media_id"]).select("media_id", F.concat(F.lit("```srt\n"), F.replace("srt", F.lit("\n\n"), F.lit("\n\n\n")), F.lit("```")).alias("text"))
     return srt.sanitize_srt(dirty, ["media_id"])
+
+
+@query("t03_cut_text", """select doc_id as media_id, case when length(text) > 500 then substr(text, 1, 500) || '…' else text end as brief, case when length(text) > 4000 then substr(text, 1, 4000) else text end as sample from documents""")
+def cut_text(spark, sf):
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("media_id"), "text")
+    return docs.select("media_id", X.cut_text(F.col("text"), 500, "…").alias("brief"), X.cut_text(F.col("text"), 4000).alias("sample"))
