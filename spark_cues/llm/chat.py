@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import cut, materialize, ship_package
 
@@ -22,9 +23,10 @@ SPEAKERS = {"user": 1, "human": 1, "you": 1, "customer": 1, "question": 1, "q":
 NONE, DASH, OTHER = 0, 4, 5
 MARKS, LENGTHS = 6, 6
 SYMBOLS = MARKS * LENGTHS * 2 * 2
-#: Turns of one chunk: the unit of work, however long the conversation.
-CHUNK_TURNS = 256
+#: A chunk, the unit of work however long a conversation or a turn, holds so many turns of so many lines: it is cut by lines.
+CHUNK_TURNS, TURN_LINES = 256, 8
 FIT_CONVERSATIONS = 20_000
+_NO_CONV = -(1 << 63)
 _MARK = r"^\s*(?:#+\s*|\*\*|<\||\[|>)?\s*(\p{L}{1,15})\s*(?:\*\*|\|>|\])?\s*[:>\]]\s*"
 _DASH = r"^\s*(?:[-–—]|>{1,2})\s+"
 
@@ -63,15 +65,42 @@ class RoleModel:
     emit: np.ndarray
 
 
+def _lines_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted pieces with the number of lines that their conversation has before them in this partition."""
+    conv, total = None, 0
+    for batch in batches:
+        ids, sizes = batch.column("c").to_numpy(), batch.column("n").to_numpy()
+        sums = np.cumsum(sizes) - sizes
+        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))[: len(ids)]
+        before = sums - np.repeat(sums[starts], np.diff(np.append(starts, len(ids))))
+        if len(ids):
+            if ids[0] == conv:
+                before[ids == conv] += total
+            conv, total = ids[-1], int(before[-1] + sizes[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], names=[*batch.schema.names, "before"])
+
+
 def transcript_lines(turns: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(conv, chunk, turn, piece, line_no, line, symbol, *keep)``: numbered, non-blank lines of transcript pieces.
 
     Exact repeats of a row count once; pieces with one place in a conversation are told apart by a digest of their text.
-    Null texts have no lines; a null conversation is one of its own; null places come first.
+    Null texts have no lines; a null conversation is one of its own; null places come first.  Chunks are cut by lines:
+    pieces are dealt by ranges of (conversation, turn, piece), and prefix sums within and over the ranges place each line.
     """
-    rows = turns.select(F.col(conv_col).cast("long").alias("conv"), F.coalesce(F.col(order_col).cast("long"), F.lit(-1)).alias("turn"), F.col(text_col).cast("string").alias("text"), *keep).distinct()
-    lines = rows.select("conv", F.floor(F.col("turn") / CHUNK_TURNS).alias("chunk"), "turn", F.xxhash64("text", *keep).alias("piece"), *keep, F.posexplode(_with_gaps(F.split("text", "\n", -1))).alias("line_no", "x"))
-    lines = lines.select(*[c for c in lines.columns if c != "x"], "x.line", "x.gap").where(F.regexp_like("line", F.lit(r"\S")))
+    ship_package(turns.sparkSession)
+    rows = turns.select(F.col(conv_col).cast("long").alias("conv"), F.coalesce(F.col(order_col).cast("long"), F.lit(-1)).alias("turn"), F.col(text_col).cast("string").alias("text"), *keep).where("text is not null").distinct()
+    rows = rows.select("conv", "turn", F.xxhash64("text", *keep).alias("piece"), *keep, "text", F.coalesce("conv", F.lit(_NO_CONV)).alias("c"), F.size(F.split("text", "\n", -1)).cast("long").alias("n"))
+    ranged = rows.repartitionByRange("c", "turn", "piece").sortWithinPartitions("c", "turn", "piece")
+    # Written once: the ranges, and with them the numbers of the chunks, mustn't change if a task runs again.
+    placed = materialize(ranged.mapInArrow(_lines_before, T.StructType([*rows.schema, T.StructField("before", T.LongType())])).withColumn("part", F.spark_partition_id()), "transcript-pieces")
+    totals = placed.groupBy("c", "part").agg(F.max(F.col("before") + F.col("n")).alias("total"))
+    # Only a conversation that goes over the edge of a range needs a base: two rows a range at most.
+    whole = totals.groupBy("c").agg(F.count("*").alias("parts")).where("parts > 1").select("c")
+    so_far = Window.partitionBy("c").orderBy("part")
+    bases = totals.join(whole, "c", "left_semi").select("c", "part", (F.sum("total").over(so_far) - F.col("total")).alias("base"))
+    at = (F.coalesce("base", F.lit(0)) + F.col("before") + F.col("line_no")) / (CHUNK_TURNS * TURN_LINES)
+    lines = placed.join(F.broadcast(bases), ["c", "part"], "left").select("conv", "turn", "piece", *keep, "base", "before", F.posexplode(_with_gaps(F.split("text", "\n", -1))).alias("line_no", "x"))
+    lines = lines.select("conv", F.floor(at).alias("chunk"), "turn", "piece", *keep, "line_no", "x.line", "x.gap").where(F.regexp_like("line", F.lit(r"\S")))
     return lines.withColumn("symbol", symbol(F.col("line"), F.col("gap"))).drop("gap")
 
 
@@ -161,22 +190,35 @@ def _matrices(model: RoleModel):
 
 
 def _stitch(model: RoleModel):
-    """Entry and exit state of each chunk of a conversation, from its chunks' matrices (one small row each)."""
+    """Entry and exit state of each chunk of a conversation, from its chunks' matrices in order.
+
+    Forwards, one matrix at a time, only the best way into each state is kept: six small numbers a chunk.
+    """
     n = len(model.start)
 
-    def run(rows):
-        rows = rows.sort_values("chunk")
-        each = [np.array(x).reshape(n + 1, n) for x in rows["scores"]]
-        score, back = each[0][n], []
-        for m in each[1:]:
-            every = score[:, None] + m[:n]
-            back.append(every.argmax(axis=0))
-            score = every.max(axis=0)
-        ends = [int(score.argmax())]
+    def ends(conv: int, chunks: list[int], back: list[np.ndarray], score: np.ndarray) -> pa.RecordBatch:
+        out = [int(score.argmax())]
         for b in reversed(back):
-            ends.append(int(b[ends[-1]]))
-        ends.reverse()
-        return rows.assign(before=[-1, *ends[:-1]], after=ends)[["c", "chunk", "before", "after"]]
+            out.append(int(b[out[-1]]))
+        out.reverse()
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([conv] * len(out), chunks, [-1, *out[:-1]], out)], names=["c", "chunk", "before", "after"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, chunks, back, score = None, [], [], None
+        for batch in batches:
+            for c, chunk, flat in zip(*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)), strict=True):
+                m = np.asarray(flat).reshape(n + 1, n)
+                if c != conv:
+                    if chunks:
+                        yield ends(conv, chunks, back, score)
+                    conv, chunks, back, score = int(c), [], [], m[n]
+                else:
+                    every = score[:, None] + m[:n]
+                    back.append(every.argmax(axis=0).astype(np.int8))
+                    score = every.max(axis=0)
+                chunks.append(int(chunk))
+        if chunks:
+            yield ends(conv, chunks, back, score)
 
     return run
 
@@ -199,13 +241,13 @@ def parse_transcripts(lines: DataFrame, model: RoleModel) -> DataFrame:
     that of one Viterbi pass, and no task holds a whole long conversation.
     """
     ship_package(lines.sparkSession)
-    none = F.lit(-(1 << 63))
+    none = F.lit(_NO_CONV)
     named = lines.select(F.coalesce("conv", none).alias("c"), "chunk", "turn", "piece", F.col("line_no").cast("long").alias("line_no"), F.col("symbol").cast("long").alias("symbol"))
     chunks = named.groupBy("c").agg(F.count_distinct("chunk").alias("n")).where("n > 1").select("c")
     place = ["c", "chunk", "turn", "piece", "line_no"]
     ordered = lambda df: df.repartition("c", "chunk").sortWithinPartitions(*place)
     matrices = ordered(named.join(chunks, "c", "left_semi")).select(*place, "symbol").mapInArrow(_matrices(model), "c long, chunk long, scores array<double>")
-    ends = matrices.groupBy("c").applyInPandas(_stitch(model), "c long, chunk long, before long, after long")
+    ends = matrices.repartition("c").sortWithinPartitions("c", "chunk").mapInArrow(_stitch(model), "c long, chunk long, before long, after long")
     framed = named.join(ends, ["c", "chunk"], "left").select(*place, F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("after", F.lit(-1)).alias("after"), "symbol")
     found = materialize(ordered(framed).mapInArrow(_decode(model), "c long, chunk long, turn long, piece long, line_no long, role_no long, begun long"), "decoded")
     begun = found.groupBy("c", "chunk").agg(F.max("begun").alias("n"))

@@ -63,6 +63,49 @@ def test_long_conversations_are_cut_in_chunks_with_the_same_result(spark, monkey
     assert sorted(map(tuple, parsed(spark, rows)[1].select(*place).collect())) == whole
 
 
+def test_a_long_turn_is_cut_in_chunks_and_parsed_like_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK_TURNS", 5)
+    text = "\n".join(x for k in range(150) for x in (f"User: what about {k}?", "Assistant: It is long.", "And goes on.", ""))
+    rows = [(7, 0, "user", text, "x"), *((8, None, "user", f"Q: one of {k}", "x") for k in range(300)), *turns(4)]
+    lines = chat.transcript_lines(spark.createDataFrame(rows, SCHEMA).repartition(3), keep=("role",)).cache()
+    sizes = lines.groupBy("conv", "chunk").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 40 and sizes.where("conv = 8").count() >= 8
+    fitted = chat.fit_roles(lines)
+    got = {tuple(r[:4]): (r["role"], r["turn_no"]) for r in chat.parse_transcripts(lines, fitted).select("conv", "turn", "piece", "line_no", "role", "turn_no").collect()}
+    want = {}
+    for conv in (7, 8, 0, 3):
+        of = lines.where(F.col("conv") == conv).orderBy("turn", "piece", "line_no").collect()
+        assert [r["chunk"] for r in of] == sorted(r["chunk"] for r in of)
+        turn = -1
+        for r, state in zip(of, chat.viterbi(fitted, np.array([r["symbol"] for r in of]), None), strict=True):
+            turn += state % 2 == 0
+            want[conv, r["turn"], r["piece"], r["line_no"]] = (chat.ROLES[state // 2], turn)
+    assert {k: v for k, v in got.items() if k[0] in (7, 8, 0, 3)} == want
+
+
+def test_fitted_counts_match_plain_loops(spark):
+    lines = chat.transcript_lines(spark.createDataFrame(turns(12), SCHEMA), keep=("role",)).cache()
+    got, n = chat.fit_roles(lines), len(chat.STATES)
+    emit, move, start = np.ones((n, chat.SYMBOLS)), np.full((n, n), 0.5), np.full(n, 0.5)
+    before = {}
+    for r in lines.orderBy("conv", "turn", "piece", "line_no").collect():
+        conv, last = r["conv"], before.get(r["conv"])
+        state = chat.ROLES.index(r["role"]) * 2 + (last is not None and last[1] == r["turn"])
+        emit[state, r["symbol"]] += 1
+        if last is None:
+            start[state] += 1
+        else:
+            move[last[0], state] += 1
+        before[conv] = (state, r["turn"])
+    for s in range(0, n, 2):
+        start[s + 1] = 1e-9
+        for b in range(n):
+            if b // 2 != s // 2:
+                move[b, s + 1] = 1e-9
+    for a, b in ((got.start, start), (got.move, move), (got.emit, emit)):
+        assert np.allclose(a, np.log(b / b.sum(axis=-1, keepdims=True)))
+
+
 def test_edges(spark):
     rows = turns(6) + [(None, 0, "user", "Q: hello?", "x"), (90, None, "user", "hi", "x"), (91, 0, None, None, "x"), (92, 0, "user", "", "x"), (93, 0, "user", "same", "x"), (93, 0, "user", "same", "x"), (94, 0, "user", "line\n" * 5000, "x")]
     lines, got = parsed(spark, rows)
