@@ -66,26 +66,35 @@ def fade_gain(pos: Column, total: Column, fade_in: Column, fade_out: Column) ->
 def mix_timeline(clips: DataFrame, durations: DataFrame, rate: int, chunk: int = 4096, tail_ms: int = 300) -> DataFrame:
     """``(media_id, chunk_no, sample_rate, samples)``: clips ``(media_id, start, samples)`` added up on a timeline.
 
-    Sums shuffle by (medium, chunk), so a long medium spreads over tasks.  The timeline ends 0.1 s after the last sound, or at
-    the duration if later; the last ``tail_ms`` of sound fade out; a peak over 1 is scaled to 1.
+    Samples are dealt once by (medium, chunk), so a long medium spreads over tasks, and summed and put in arrays there; what
+    follows handles a row a chunk.  The timeline ends 0.1 s after the last sound, or at the duration if later; the last
+    ``tail_ms`` of sound fade out; a peak over 1 is scaled to 1.
     """
     total = F.floor((F.col("duration") + 2) * rate).cast("bigint")
-    rows = clips.select("media_id", F.floor(F.col("start") * rate).cast("bigint").alias("at"), F.posexplode("samples").alias("i", "x")).join(durations, "media_id")
-    placed = rows.select("media_id", (F.col("at") + F.col("i")).alias("pos"), F.col("x").cast("double").alias("x"), total.alias("total")).where("pos < total and pos >= 0")
-    mixed = placed.groupBy("media_id", F.floor(F.col("pos") / chunk).cast("bigint").alias("chunk_no"), "pos").agg(F.round(F.sum("x"), 6).alias("x"))
-    ends = durations.join(mixed.where("x <> 0").groupBy("media_id").agg((F.max("pos") + 1).alias("sound")), "media_id", "left")
+    rows = clips.join(durations, "media_id").select("media_id", F.floor(F.col("start") * rate).cast("bigint").alias("at"), total.alias("total"), F.posexplode("samples").alias("i", "x"))
+    placed = rows.withColumn("pos", F.col("at") + F.col("i")).where("pos < total and pos >= 0")
+    dealt = placed.select("media_id", F.floor(F.col("pos") / chunk).cast("bigint").alias("chunk_no"), (F.col("pos") % chunk).cast("int").alias("i"), F.col("x").cast("double").alias("x")).repartition("media_id", "chunk_no")
+    sums = dealt.groupBy("media_id", "chunk_no", "i").agg(F.round(F.sum("x"), 6).alias("x"))
+    chunks = sums.groupBy("media_id", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
+    origin = F.col("chunk_no") * chunk
+    sound = F.max(origin + F.array_max(F.transform(F.filter("s", lambda p: p["x"] != 0), lambda p: p["i"])) + 1)
+    ends = durations.join(chunks.groupBy("media_id").agg(sound.alias("sound")), "media_id", "left")
     stop = F.coalesce("sound", F.floor(F.col("duration") * rate).cast("bigint"))
     limits = ends.select("media_id", stop.alias("stop"), F.least(F.greatest(stop + int(0.1 * rate), F.floor(F.col("duration") * rate).cast("bigint")), total).alias("length"))
-    shaped = mixed.join(limits, "media_id").where("pos < length")
     tail = F.least(F.lit(int(tail_ms * rate / 1000)), F.floor(F.col("stop") / 2))
-    faded = shaped.withColumn("x", F.when(F.col("pos") < F.col("stop"), F.col("x") * fade_gain(F.col("pos"), F.col("stop"), F.lit(0), tail)).otherwise(F.col("x")))
-    peaks = faded.groupBy("media_id").agg(F.max(F.abs("x")).alias("peak"))
-    loud = faded.join(peaks, "media_id").withColumn("x", F.round(F.col("x") / F.greatest("peak", F.lit(1.0)), 6))
+    faded = lambda p: F.when(origin + p["i"] < F.col("stop"), p["x"] * fade_gain(origin + p["i"], F.col("stop"), F.lit(0), tail)).otherwise(p["x"])
+    inside = F.filter("s", lambda p: origin + p["i"] < F.col("length"))
+    shaped = chunks.join(limits, "media_id").select("media_id", "chunk_no", F.transform(inside, lambda p: F.struct(p["i"].alias("i"), faded(p).alias("x"))).alias("s"))
+    peaks = shaped.groupBy("media_id").agg(F.max(F.array_max(F.transform("s", lambda p: F.abs(p["x"])))).alias("peak"))
     counted = limits.withColumn("chunk_no", F.explode(F.when(F.col("length") > 0, F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / chunk).cast("bigint")))))
-    sounds = loud.groupBy("media_id", "chunk_no").agg(F.map_from_entries(F.collect_list(F.struct((F.col("pos") % chunk).cast("int"), F.col("x")))).alias("m"))
-    size = F.least(F.lit(chunk), F.col("length") - F.col("chunk_no") * chunk).cast("int")
-    filled = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float"))
-    return counted.join(sounds, ["media_id", "chunk_no"], "left").select("media_id", "chunk_no", F.lit(rate).alias("sample_rate"), filled.alias("samples"))
+    size = F.least(F.lit(chunk), F.col("length") - origin).cast("int")
+    # Silence goes before each sample that doesn't follow its neighbour, and after the last.
+    given = F.coalesce("s", F.expr("cast(array() as array<struct<i:int,x:double>>)"))
+    before = F.concat(F.array(F.lit(-1)), F.transform(given, lambda p: p["i"]))
+    spaced = F.transform(given, lambda p, k: F.concat(F.array_repeat(F.lit(0.0), p["i"] - F.get(before, k) - 1), F.array(F.round(p["x"] / F.greatest("peak", F.lit(1.0)), 6))))
+    filled = F.concat(F.flatten(spaced), F.array_repeat(F.lit(0.0), size - 1 - F.element_at(before, -1)))
+    whole = counted.join(shaped, ["media_id", "chunk_no"], "left").join(peaks, "media_id", "left")
+    return whole.select("media_id", "chunk_no", F.lit(rate).alias("sample_rate"), filled.cast("array<float>").alias("samples"))
 
 
 def peak_scale(pcm: DataFrame) -> DataFrame:

@@ -41,21 +41,25 @@ def apply_translations(cues: DataFrame, answers: DataFrame, keys: list[str] = KE
     """
     number = lambda c: F.when(F.regexp_like(F.trim(c), F.lit(r"^\d+$")), F.trim(c).cast("bigint"))
     known = cues.select(*keys, "seq", F.col("idx").alias("label"), number(F.col("idx")).alias("n"), "start", "end", F.col("text").alias("original"))
-    said = answers.select(*keys, "pos", F.trim("idx").alias("label"), range_index(F.trim("idx")).alias("r"), clean_llm_text(F.col("text")).alias("new"))
+    said = answers.select(*keys, F.col("pos").cast("bigint").alias("pos"), F.trim("idx").alias("label"), range_index(F.trim("idx")).alias("r"), clean_llm_text(F.col("text")).alias("new"))
     ranged = said.where("r is not null and r.b > r.a and new <> ''").select(*keys, "pos", "label", "new", F.col("r.a").alias("a"), F.col("r.b").alias("b"))
-    first = known.select(*keys, F.col("n").alias("a"), F.col("seq").alias("from_seq"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("label").alias("a_label"))
-    last = known.select(*keys, F.col("n").alias("b"), F.col("end").alias("b_end"))
-    spans = ranged.join(first, [*keys, "a"]).join(last, [*keys, "b"], "left")
-    whole = spans.where("b_end is not null")
-    absorbed = whole.select(*keys, F.explode(F.sequence(F.col("a") + 1, "b")).alias("n"), "pos").groupBy(*keys, "n").agg(F.min("pos").alias("gone"))
-    single = said.where("r is null").join(known, [*keys, "label"]).join(absorbed, [*keys, "n"], "left").where("gone is null or gone > pos")
-    kept = whole.select(*keys, "pos", "from_seq", F.col("label").alias("idx"), F.col("a_start").alias("start"), F.col("b_end").alias("end"), F.col("new").alias("text"))
-    alone = spans.where("b_end is null").select(*keys, "pos", "from_seq", F.col("a_label").alias("idx"), F.col("a_start").alias("start"), F.col("a_end").alias("end"), F.col("new").alias("text"))
-    plain = single.select(*keys, "pos", F.col("seq").alias("from_seq"), F.col("label").alias("idx"), "start", "end", F.when(F.col("new") != "", F.col("new")).otherwise(F.col("original")).alias("text"))
-    given = kept.unionByName(alone).unionByName(plain)
-    taken = given.select(*keys, F.col("from_seq").alias("seq")).distinct()
-    rest = known.join(taken, [*keys, "seq"], "left_anti").join(absorbed.select(*keys, "n"), [*keys, "n"], "left_anti")
-    return given.unionByName(rest.select(*keys, F.lit(None).cast("bigint").alias("pos"), F.col("seq").alias("from_seq"), F.col("label").alias("idx"), "start", "end", F.col("original").alias("text")))
+    begun = ranged.join(known.select(*keys, F.col("n").alias("a")), [*keys, "a"], "left_semi")
+    spans = begun.join(known.select(*keys, F.col("n").alias("b"), F.col("end").alias("b_end")), [*keys, "b"], "left")
+    # By number: the ranges that begin at a cue, and the first answer whose range has swallowed it.
+    covered = spans.withColumn("n", F.explode(F.sequence("a", F.when(F.col("b_end").isNotNull(), F.col("b")).otherwise(F.col("a")))))
+    begins = F.collect_list(F.when(F.col("n") == F.col("a"), F.struct("pos", "label", "new", "b_end")))
+    marks = covered.groupBy(*keys, "n").agg(F.min(F.when(F.col("n") > F.col("a"), F.col("pos"))).alias("gone"), begins.alias("begins"))
+    singles = said.where("r is null").groupBy(*keys, "label").agg(F.collect_list(F.struct("pos", "new")).alias("singles"))
+    both = known.join(marks, [*keys, "n"], "left").join(singles, [*keys, "label"], "left")
+    row = lambda pos, label, end, text: F.struct(pos.alias("pos"), F.col("seq").alias("from_seq"), label.alias("idx"), F.col("start").alias("start"), end.alias("end"), text.alias("text"))
+    label, end, original = F.col("label"), F.col("end"), F.col("original")
+    wide = F.transform("begins", lambda x: row(x["pos"], F.when(x["b_end"].isNotNull(), x["label"]).otherwise(label), F.coalesce(x["b_end"], end), x["new"]))
+    live = F.filter("singles", lambda x: F.col("gone").isNull() | (F.col("gone") > x["pos"]))
+    plain = F.transform(live, lambda x: row(x["pos"], label, end, F.when(x["new"] != "", x["new"]).otherwise(original)))
+    given = F.concat(F.coalesce(wide, F.array()), F.coalesce(plain, F.array()))
+    own = F.when(F.col("gone").isNull(), F.array(row(F.lit(None).cast("bigint"), label, end, original)))
+    rows = both.withColumn("given", given).select(*keys, F.explode(F.when(F.size("given") > 0, F.col("given")).otherwise(own)).alias("x"))
+    return rows.select(*keys, "x.*")
 
 
 def srt_fallback(cues: DataFrame, answers: DataFrame, keys: list[str] = KEY) -> DataFrame:

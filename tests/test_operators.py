@@ -1,3 +1,4 @@
+import math
 import random
 
 from spark_cues.operators import audio, intervals, models, phrases, reconcile, rollups, selection
@@ -99,6 +100,68 @@ def test_mixing_adds_fades_and_limits_the_peak(spark):
     assert got == [0.5] * 4 + [1.0] * 4 + [0.5] * 4 + [0.0] * 4
 
 
+def test_mix_with_gaps_and_overlaps_matches_a_loop(spark):
+    clips = [(1, 0.25, [0.5, -0.5, 0.75]), (1, 0.5, [0.9, 0.4]), (1, 4.0, [0.0, 0.25, 0.0]), (1, -0.25, [0.3] * 3), (2, 9.0, [1.0]), (3, 0.0, [])]
+    durations = {1: 3.0, 2: 1.0, 3: 0.5}
+    rate, chunk, want = 8, 4, {}
+    for m, duration in durations.items():
+        total, mix = math.floor((duration + 2) * rate), {}
+        for c, start, xs in clips:
+            for k, x in enumerate(xs):
+                pos = math.floor(start * rate) + k
+                if c == m and 0 <= pos < total:
+                    mix[pos] = round(mix.get(pos, 0.0) + x, 6)
+        stop = max((p + 1 for p, x in mix.items() if x), default=math.floor(duration * rate))
+        length, tail = min(max(stop, math.floor(duration * rate)), total), min(int(500 * rate / 1000), stop // 2)
+        out = [mix.get(p, 0.0) for p in range(length)]
+        if tail >= 2:
+            for p in range(stop - tail, min(stop, length)):
+                out[p] *= 0.5 * (1 - math.cos(math.pi * (stop - 1 - p) / (tail - 1)))
+        peak = max([1.0, *map(abs, out)])
+        want[m] = [round(x / peak, 6) for x in out]
+    frame = spark.createDataFrame(clips, "media_id long, start double, samples array<float>")
+    got = audio.mix_timeline(frame, spark.createDataFrame(list(durations.items()), "media_id long, duration double"), rate, chunk, tail_ms=500)
+    found = {}
+    for r in got.orderBy("media_id", "chunk_no").collect():
+        found.setdefault(r["media_id"], []).extend(r["samples"])
+    assert {m: [round(x, 4) for x in xs] for m, xs in found.items()} == {m: [round(x, 4) for x in xs] for m, xs in want.items()}
+
+
+def test_translations_match_a_loop(spark):
+    rng, cues, answers, want = random.Random(5), [], [], []
+    for m in range(40):
+        own = [(m, "source", k, rng.choice([str(k + 1)] * 9 + [f"x{k}"]), float(k), k + 0.5 if rng.random() < 0.95 else None, f"t{k}") for k in range(rng.randint(1, 12))]
+        said = []
+        for p in range(rng.randint(0, 10)):
+            a = rng.randint(1, 14)
+            said.append((m, "source", p, rng.choice([str(a), f"{a}-{a + rng.randint(-1, 4)}", f" {a} ", "x3"]), rng.choice([f"new{p}", "", " ", "two  words"])))
+        cues, answers = cues + own, answers + said
+        by_label, gone, given = {c[3]: c for c in own}, {}, []
+        ranges = [(p, i.strip(), *map(int, i.split("-")), " ".join(t.split())) for _, _, p, i, t in said if "-" in i]
+        ranges = [r for r in ranges if r[3] > r[2] and r[4] and str(r[2]) in by_label]
+        for p, label, a, b, text in ranges:
+            first, last = by_label[str(a)], by_label.get(str(b))
+            if last and last[5] is not None:
+                given.append((m, p, first[2], label, first[4], last[5], text))
+                for n in range(a + 1, b + 1):
+                    gone[str(n)] = min(p, gone.get(str(n), p))
+            else:
+                given.append((m, p, first[2], first[3], first[4], first[5], text))
+        for _, _, p, i, t in said:
+            c = by_label.get(i.strip())
+            if "-" not in i and c and gone.get(c[3], p + 1) > p:
+                given.append((m, p, c[2], c[3], c[4], c[5], " ".join(t.split()) or c[6]))
+        taken = {g[2] for g in given}
+        given += [(m, None, c[2], c[3], c[4], c[5], c[6]) for c in own if c[2] not in taken and c[3] not in gone]
+        want += given
+    got = reconcile.apply_translations(
+        spark.createDataFrame(cues, "media_id long, track string, seq long, idx string, start double, end double, text string"),
+        spark.createDataFrame(answers, "media_id long, track string, pos long, idx string, text string"),
+    )
+    found = got.select("media_id", "pos", "from_seq", "idx", "start", "end", "text").collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
+
+
 def test_tempo_modes(spark):
     rows = spark.createDataFrame([(2.0, 1.0), (1.02, 1.0), (0.5, 1.0), (0.9, 1.0), (0.0, 1.0)], "actual_dur double, budget double")
     plan = lambda **k: [(round(r["tempo"], 4), r["outcome"]) for r in audio.tempo_plan(rows, **k).collect()]
