@@ -173,6 +173,7 @@ def loose_json(c: Column) -> Column:
 
 def clean_asr_text(c: Column, collapse_digits: bool = True) -> Column:
     """Phantom captions out; a character or word said three times or more, once; white space to one space."""
+    # The two patterns of repeats that are collapsed.
     out = F.regexp_replace(c, PHANTOM, "")
     out = F.regexp_replace(out, r"(.)\1{2,}" if collapse_digits else r"(\D)\1{2,}", "$1")
     out = F.regexp_replace(out, r"(?U)\b(\S+)(?:\s+\1){2,}\b", "$1")
@@ -181,6 +182,7 @@ def clean_asr_text(c: Column, collapse_digits: bool = True) -> Column:
 
 def clean_llm_text(c: Column) -> Column:
     """Time tags, length hints, arrows, wrapper tags, code fences and a leading number out of a model's line."""
+    # The patterns that are taken out of a line, in order.
     out = F.regexp_replace(c, r"\[\d{1,2}(?::\d{2}){1,2}(?:[.,]\d+)?\]", "")
     out = F.regexp_replace(out, r"(?i)\[duration:\s*[\d.]+s?\s*\|\s*target:\s*~?\d+\s*words?\]", "")
     out = F.regexp_replace(out, r"\d{2}:\d{2}:\d{2},\d{3}\s*-->\s*\d{2}:\d{2}:\d{2},\d{3}", "")

@@ -17,13 +17,13 @@ def parse_srt(docs: DataFrame, text: str = "text", flat: bool = False) -> DataFr
     """
     keep = [c for c in docs.columns if c != text]
     body = strip(F.regexp_replace(text, "\r\n?", "\n"))
-    blocks = docs.select(*keep, F.posexplode(F.split(body, r"\n\s*\n", -1)).alias("__p", "__b")).withColumn("__l", F.split(strip(F.col("__b")), "\n", -1))
-    good = blocks.where((F.size("__l") >= 3) & F.regexp_like(F.get("__l", F.lit(1)), F.lit(_ARROW)))
+    split = F.transform(F.split(body, r"\n\s*\n", -1), lambda x: F.split(strip(x), "\n", -1))
+    # Numbered within the document's own array: no shuffle, and documents with equal columns don't mix.
+    good = F.filter(split, lambda x: (F.size(x) >= 3) & F.regexp_like(F.get(x, F.lit(1)), F.lit(_ARROW)))
+    blocks = docs.select(*keep, F.posexplode(good).alias("seq", "__l"))
     stamp = lambda k: srt_to_seconds(F.regexp_extract(F.get("__l", F.lit(1)), _ARROW, k))
     lines = F.transform(F.slice("__l", F.lit(3), F.size("__l")), lambda x: strip(x) if flat else x)
-    rows = good.select(*keep, "__p", strip(F.get("__l", F.lit(0))).alias("idx"), stamp(1).alias("start"), stamp(2).alias("end"), F.array_join(lines, " " if flat else "\n").alias("text"))
-    w = Window.partitionBy(*keep).orderBy("__p")
-    return rows.withColumn("seq", (F.row_number().over(w) - 1).cast("bigint")).drop("__p").select(*keep, "seq", "idx", "start", "end", "text")
+    return blocks.select(*keep, F.col("seq").cast("bigint").alias("seq"), strip(F.get("__l", F.lit(0))).alias("idx"), stamp(1).alias("start"), stamp(2).alias("end"), F.array_join(lines, " " if flat else "\n").alias("text"))
 
 
 def read_srt(spark: SparkSession, path: str, flat: bool = False) -> DataFrame:

@@ -30,6 +30,14 @@ def test_documents_are_parsed(spark):
     assert srt.parse_srt(docs, flat=True).orderBy("seq").first()["text"] == "Hello there"
 
 
+def test_documents_with_equal_columns_keep_their_own_numbers(spark):
+    block = "{0}\n00:00:0{0},000 --> 00:00:0{0},500\nline {0}"
+    docs = spark.createDataFrame([(1, "\n\n".join(block.format(k) for k in ks)) for ks in ((1, 2), (3, 4), (5,))], "media_id long, text string")
+    want = [(0, "1"), (0, "3"), (0, "5"), (1, "2"), (1, "4")]
+    assert sorted((r["seq"], r["idx"]) for r in srt.parse_srt(docs).collect()) == want
+    assert sorted((r["seq"], r["idx"]) for r in srt.parse_srt(docs.select("text")).collect()) == want
+
+
 def test_model_output_is_rebuilt(spark):
     docs = spark.createDataFrame([(1, DIRTY)], "media_id long, text string")
     text = srt.sanitize_srt(docs, ["media_id"]).first()["text"]
