@@ -58,12 +58,11 @@ def _windows(template: Column, raw: Column, least: int = WINDOW) -> Column:
     its own words and has no slots.  A shorter text is one window of what it has.
     """
     hashed = lambda t, i: F.xxhash64(*[F.get(t, i + k) for k in range(WINDOW)])
-    held = lambda x: F.filter(x, lambda v: v.isNotNull())
     none = F.lit(None).cast("array<string>")
 
     def bound_window(t: Column, r: Column, slots: Column, i: Column) -> Column:
-        n = F.least(F.size(t) - i, F.lit(WINDOW))
-        row = lambda v: F.when(F.size(held(v)) < n, F.struct(hashed(t, i).alias("h"), F.when(F.size(held(v)) > 0, v).alias("slots"), F.lit(True).alias("own"))).otherwise(F.struct(hashed(r, i).alias("h"), none.alias("slots"), F.lit(False).alias("own")))
+        held, own = (lambda v: F.exists(v, lambda x: x.isNotNull())), (lambda v: F.exists(v, lambda x: x.isNull()))
+        row = lambda v: F.when(own(v), F.struct(hashed(t, i).alias("h"), F.when(held(v), v).alias("slots"), F.lit(True).alias("own"))).otherwise(F.struct(hashed(r, i).alias("h"), none.alias("slots"), F.lit(False).alias("own")))
         return F.transform(F.array(F.slice(slots, i + 1, F.lit(WINDOW))), row)[0]
 
     def rows(x: Column) -> Column:
