@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, line_dedup, mih, packing, secret_scan, sharding, simhash, surrogates, toxicity
+from . import chat, decontaminate, fingerprints, line_dedup, mih, packing, secret_scan, sharding, simhash, surrogates, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_template_windows": decontaminate.op8_template_windows,
         "op9_toxicity_lexicon": toxicity.op9_toxicity_lexicon,
         "op10_histogram_sort": sharding.op10_histogram_sort,
+        "op11_feast_whitening": whitening.op11_feast_whitening,
         "op12_bottom_k": fingerprints.op12_bottom_k,
     }
 
