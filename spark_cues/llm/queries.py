@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, line_dedup, mih, packing, secret_scan, sharding, simhash, surrogates, toxicity, whitening
+from . import chat, decontaminate, fingerprints, line_dedup, mih, negatives, packing, secret_scan, sharding, simhash, surrogates, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_histogram_sort": sharding.op10_histogram_sort,
         "op11_feast_whitening": whitening.op11_feast_whitening,
         "op12_bottom_k": fingerprints.op12_bottom_k,
+        "op13_str_tree": negatives.op13_str_tree,
     }
 
 

@@ -248,15 +248,15 @@ def identity_error(fit: DataFrame, whitener: Whitener) -> float:
     return float(np.abs(np.array(total[m:]).reshape(m, m) / whitener.n - np.outer(mean, mean) - np.eye(m)).max())
 
 
-def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """``(vec_id, x)`` of rows whose vector is finite throughout, as whole numbers ``floor(scale * c)``.
+def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """``(vec_id, *keep, x)`` of rows whose vector is finite throughout, as whole numbers ``floor(scale * c)``.
 
     Left out: null and empty vectors, and those with null, NaN or infinite entries.  Entries must stay below 2^53 in size.
     """
     c = F.col(vector_col).cast("array<double>")
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     kept = vectors.where(c.isNotNull() & (F.size(c) > 0) & F.forall(c, finite))
-    return kept.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(c, lambda v: F.floor(v * scale).cast("long")).alias("x"))
+    return kept.select(F.col(id_col).cast("long").alias("vec_id"), *keep, F.transform(c, lambda v: F.floor(v * scale).cast("long")).alias("x"))
 
 
 def _of_one_length(rows: DataFrame) -> DataFrame:
@@ -265,10 +265,6 @@ def _of_one_length(rows: DataFrame) -> DataFrame:
     return rows.where(F.size("x") == (lengths["n"] if lengths else 0))
 
 
-def _long(value: Column) -> Column:
-    return value.cast("long")
-
-
 def whitened(vectors: DataFrame, components: int = COMPONENTS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(vec_id, component, n, deviation, whitened, explained, identity_error)`` of every usable row and component.
 
@@ -303,4 +299,4 @@ def whitened(vectors: DataFrame, components: int = COMPONENTS, id_col: str = "ve
 
 
 def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("deviation", _long(F.col("deviation")))
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("deviation", F.col("deviation").cast("long"))
