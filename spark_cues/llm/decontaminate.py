@@ -25,7 +25,8 @@ _NAME = r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)"
 _ANY_NAME = r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}+)"
 _INITIAL = r"(?<![\p{L}\p{N}])(?<![\p{L}\p{N},;] )\p{Lu}\p{Ll}"
 #: Between words.  A point or comma between digits is part of a number: 1,500 and 3.5 are one word each.
-_APART = r"(?:[^\p{L}\p{N}<>.,]|(?<![0-9])[.,]|[.,](?![0-9]))+"
+#: Runs need no group of their own, whose repeats would each take a frame of the stack: empty pieces are dropped.
+_APART = r"[^\p{L}\p{N}<>.,]++|(?<![0-9])[.,]|[.,](?![0-9])"
 
 
 def _words(text: Column) -> Column:
