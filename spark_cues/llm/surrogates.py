@@ -47,18 +47,18 @@ def _any_of(words) -> str:
 _NAMES = {n: n for names in GIVEN.values() for n in names} | {n.upper(): n for names in GIVEN.values() for n in names}
 _GIVEN = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_any_of(_NAMES)})(?!\p{{L}})"
 #: One word of a surname, as in Smith, McDonald, O'Brien, Smith-Jones or SMITH.
-_SURNAME = r"(?:\p{Lu}['’])?\p{Lu}\p{L}+(?:['’-]\p{Lu}\p{L}+)*"
+_SURNAME = r"(?:\p{Lu}['’])?\p{Lu}\p{L}+(?:['’-]\p{Lu}\p{L}++)*+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _AFTER = r"(?![\p{L}\p{N}])"
 #: Kinds in order of precedence; a match is of the first kind whose pattern fits it whole.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "iban": r"(?<![\p{L}\p{N}])(?=[A-Z]{2}\d)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)",
     "card": rf"(?<![\p{{L}}\p{{N}}])\d{{4}}(?:[ -]?\d{{4}}){{3}}(?:[ -]?\d{{3}})?{_AFTER}|(?<![\p{{L}}\p{{N}}])\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}}{_AFTER}|(?<![\p{{L}}\p{{N}}+])\d{{13,19}}{_AFTER}",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "phone": rf"(?<![\p{{L}}\p{{N}}])(?:\+?\d{{1,3}}[ .-]?)?\(\d{{2,4}}\)[ .-]?\d{{3}}[ .-]?\d{{3,4}}{_AFTER}|(?<![\p{{L}}\p{{N}}])(?:\+\d{{1,3}}[ .-])?\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}{_AFTER}"
-    rf"|(?<![\p{{L}}\p{{N}}])\+(?=(?:[ .()-]{{0,2}}\d){{7,15}}{_AFTER})[1-9]\d{{0,14}}(?:[ .-]?\(\d{{1,4}}\))?(?:[ .-]?\d{{1,12}})*{_AFTER}|(?<![\p{{L}}\p{{N}}.,+-])[2-9]\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}-])",
+    rf"|(?<![\p{{L}}\p{{N}}])\+(?=(?:[ .()-]{{0,2}}\d){{7,15}}{_AFTER})[1-9]\d{{0,14}}(?:[ .-]?\(\d{{1,4}}\))?(?:[ .-]?\d{{1,12}}){{0,14}}{_AFTER}|(?<![\p{{L}}\p{{N}}.,+-])[2-9]\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}-])",
     "given": _GIVEN,
     "surname": rf"(?<!\p{{L}})(?:(?=\p{{Lu}})(?:{_any_of(_NAMES)})(?!\p{{L}})|(?:{_any_of(TITLES)})\.?)(?= (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}({_SURNAME})(?!\p{{L}}))",
 }
