@@ -33,7 +33,8 @@ LEAST_DOCS, LEAST_WEIGHT, ENTRIES = 8, 2.5, 400
 
 _FULLWIDTH = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 _FOLD = _FULLWIDTH | {ord(k): v for k, v in HOMOGLYPHS.items()}
-_MIXED = re.compile(r"(?<![^\W\d_])[0134578@$!]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])")
+#: A whole run before a letter; a run is looked at once, however long.
+_MIXED = re.compile(r"(?<![0134578@$!])[0134578@$!]++(?=[^\W\d_])")
 _APART = re.compile(r"[\W_]+")
 _DIGITS = str.maketrans(DIGITS)
 
