@@ -27,8 +27,9 @@ SYMBOLS = MARKS * LENGTHS * 2 * 2
 CHUNK_TURNS, TURN_LINES = 256, 8
 FIT_CONVERSATIONS = 20_000
 _NO_CONV = -(1 << 63)
-_MARK = r"^\s*(?:#+\s*|\*\*|<\||\[|>)?\s*(\p{L}{1,15})\s*(?:\*\*|\|>|\])?\s*[:>\]]\s*"
-_DASH = r"^\s*(?:[-–—]|>{1,2})\s+"
+#: Runs of space are taken once and never given back, so a long one costs its length.
+_MARK = r"^\s*+(?:#++\s*+|\*\*|<\||\[|>)?+\s*+(\p{L}{1,15})\s*+(?:\*\*|\|>|\])?\s*+[:>\]]\s*+"
+_DASH = r"^\s*+(?:[-–—]|>{1,2})\s++"
 
 
 def _mark(line: Column) -> Column:
