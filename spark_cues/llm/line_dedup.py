@@ -94,9 +94,15 @@ def is_long(line: Column) -> Column:
 
 
 def remove_all_boilerplate(docs: DataFrame) -> DataFrame:
-    """As ``remove_boilerplate``, for lines of every length: long ones on ``SITES`` sites, and short ones that hold a letter or digit on ``SHORT_SITES``."""
-    rest = remove_boilerplate(docs, counted=is_long).drop("n_removed")
-    return remove_boilerplate(rest, SHORT_SITES, counted=lambda x: ~is_long(x) & F.regexp_like(x, F.lit(r"[\p{L}\p{N}]"))).drop("n_removed")
+    """As ``remove_boilerplate``, for lines of every length: long ones on ``SITES`` sites, and short ones that hold a letter or digit on ``SHORT_SITES``.
+
+    Columns are those of ``docs``, one named ``n_removed`` included.
+    """
+    given = "n_removed" in docs.columns
+    rest = docs.withColumnRenamed("n_removed", "__given") if given else docs
+    rest = remove_boilerplate(rest, counted=is_long).drop("n_removed")
+    rest = remove_boilerplate(rest, SHORT_SITES, counted=lambda x: ~is_long(x) & F.regexp_like(x, F.lit(r"[\p{L}\p{N}]"))).drop("n_removed")
+    return rest.withColumnRenamed("__given", "n_removed").select(*docs.columns) if given else rest
 
 
 def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
