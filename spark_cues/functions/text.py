@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as a regular expression that covers Unicode's, as caption tools strip it.
 WS = r"[\p{Z}\s\x{85}]"
+#: The same signs as a list.
+_SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # The three sets of sentence ends that different steps use.
 PHRASE_END = r"[.!?…؟。！？]\s*$"
 LONG_END = (".", "!", "?", "…", "؟", "。", "！", "？")
@@ -22,7 +24,7 @@ _ARABIC = r"؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿"
 
 def strip(c: Column) -> Column:
     """Without white space at either end, Unicode's included."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def words(c: Column) -> Column:
@@ -143,6 +145,7 @@ def keyterms(c: Column, most: int = 100) -> Column:
 
 def range_index(c: Column) -> Column:
     """``a-b`` (hyphen or en dash) as ``(a, b)``; null otherwise."""
+    # Fixed value: how models write a range of numbers.
     pattern = r"^(\d+)\s*[-–]\s*(\d+)$"
     return F.when(F.regexp_like(c, F.lit(pattern)), F.struct(F.regexp_extract(c, pattern, 1).cast("bigint").alias("a"), F.regexp_extract(c, pattern, 2).cast("bigint").alias("b")))
 
@@ -171,12 +174,21 @@ def loose_json(c: Column) -> Column:
     return F.when(found != "", found)
 
 
+#: A word, or the end of one from a word boundary on, said three times or more; the last time may go on after a word
+#: boundary.  Words that end in a letter have a boundary after each time, others only after the last one.
+_REPEATED_WORD = r"(?U)\b(?=\S{1,1000}+(?!\S))(\S++)(?:(?:\s++\1\b){2,}+|(?:\s++\1(?=\s))++\s++\1\b)"
+
+
 def clean_asr_text(c: Column, collapse_digits: bool = True) -> Column:
-    """Phantom captions out; a character or word said three times or more, once; white space to one space."""
-    # The two patterns of repeats that are collapsed.
+    """Phantom captions out; a character or word said three times or more, once; white space to one space.
+
+    A run of repeats is folded as it is read, however long: nothing once taken is given back.  Repeated words of more than a
+    thousand signs stay.
+    """
     out = F.regexp_replace(c, PHANTOM, "")
+    # Fixed value: a sign said three times or more.
     out = F.regexp_replace(out, r"(.)\1{2,}" if collapse_digits else r"(\D)\1{2,}", "$1")
-    out = F.regexp_replace(out, r"(?U)\b(\S+)(?:\s+\1){2,}\b", "$1")
+    out = F.regexp_replace(out, _REPEATED_WORD, "$1")
     return strip(F.regexp_replace(out, rf"{WS}{{2,}}", " "))
 
 

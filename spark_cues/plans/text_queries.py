@@ -166,7 +166,20 @@ def effective_source_language(spark, sf):
     return fx.table(spark, sf, "documents").select(F.col("doc_id").alias("media_id"), X.effective_source_language(source, F.when(F.col("doc_id") % 4 == 0, F.col("lang")).otherwise("")).alias("source"))
 
 
-@query("p01_clean_asr_text")
+def _repeats_sql() -> str:
+    """Repeats folded by looking at a sign's or word's neighbours: one goes if it follows its like and has another on either side."""
+    word = lambda c: f"regexp_matches({c}, '^[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]$')"
+    ends = lambda w, s: f"(ends_with({w}, {s}) and case when {w} = {s} then {word(f'{s}[1]')} else {word(f'{w}[length({w}) - length({s})]')} <> {word(f'{s}[1]')} end)"
+    begins = lambda w, s: f"(starts_with({w}, {s}) and case when {w} = {s} then {word(f'{s}[-1]')} else {word(f'{w}[length({s}) + 1]')} <> {word(f'{s}[-1]')} end)"
+    second = f"coalesce({ends('w[i - 1]', 'w[i]')} and {begins('w[i + 1]', 'w[i]')}, false)"
+    later = f"coalesce(i > 2 and {begins('w[i]', 'w[i - 1]')} and {ends('w[i - 2]', 'w[i - 1]')}, false)"
+    return f"""signs as (select media_id, seq, regexp_extract_all(text, '(?s).') as c from long_cues),
+        once as (select media_id, seq, array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: not coalesce(c[i] = c[i - 1] and ((i > 2 and c[i] = c[i - 2]) or c[i] = c[i + 1]), false)), lambda i: c[i]), '') as text from signs),
+        words as (select media_id, seq, string_split_regex(trim(text), '\\s+') as w from once),
+        folded as (select media_id, seq, trim(array_to_string(list_transform(range(1, len(w) + 1), lambda i: case when i > 1 and {second} then '' when {later} then substr(w[i], length(w[i - 1]) + 1) else ' ' || w[i] end), '')) as text from words)"""
+
+
+@query("p01_clean_asr_text", f"with {fx.LONG_CUES_SQL}, {_repeats_sql()} select media_id, seq, text from folded where text <> ''")
 def clean_asr_text(spark, sf):
     return fx.long_cues(spark, sf).withColumn("text", X.clean_asr_text(F.col("text"))).where("text <> ''").select("media_id", "seq", "text")
 
