@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: White space as a regular expression that covers Unicode's, as caption tools strip it.
 WS = r"[\p{Z}\s\x{85}]"
 #: The same signs as a list.
-_SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # The three sets of sentence ends that different steps use.
 PHRASE_END = r"[.!?…؟。！？]\s*$"
 LONG_END = (".", "!", "?", "…", "؟", "。", "！", "？")
@@ -24,7 +24,7 @@ _ARABIC = r"؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿"
 
 def strip(c: Column) -> Column:
     """Without white space at either end, Unicode's included."""
-    return F.btrim(c, F.lit(_SPACES))
+    return F.btrim(c, F.lit(SPACES))
 
 
 def words(c: Column) -> Column:

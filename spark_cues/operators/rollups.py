@@ -79,15 +79,19 @@ def theme_catalog(themes: DataFrame) -> DataFrame:
 def latest_phase(lines: DataFrame, patterns: DataFrame, last: int = 20) -> DataFrame:
     """``(run_id, status)``: of the last matching line among the last ``last``; the first pattern in priority wins in a line.
 
-    Synthesis shows its segment count.  A run without a match is ``processing``.
+    Synthesis shows its segment count.  A run without a match is ``processing``.  ``patterns`` is a small dimension: it becomes
+    one chain of conditions, so that the lines are read once and aggregated once.
     """
-    top = lines.groupBy("run_id").agg(F.max("line_no").alias("top"))
-    recent = lines.join(top, "run_id").where(F.col("line_no") > F.col("top") - last)
-    hits = recent.join(F.broadcast(patterns), F.contains(F.col("line"), F.col("pattern")))
-    best = hits.groupBy("run_id").agg(F.min_by(F.struct("status", "line"), F.struct(-F.col("line_no"), "priority")).alias("x"))
+    chain = F.lit(None).cast("string")
+    for p in reversed(patterns.orderBy("priority").collect()):
+        chain = F.when(F.contains("line", F.lit(p["pattern"])), F.lit(p["status"])).otherwise(chain)
+    marked = lines.select("run_id", "line_no", "line", chain.alias("status"))
+    hit = F.when(F.col("status").isNotNull(), F.col("line_no"))
+    # The newest matching line of all is the newest among the last ones, or none of those matches.
+    best = marked.groupBy("run_id").agg(F.max("line_no").alias("top"), F.max_by(F.struct("line_no", "status", "line"), hit).alias("x"))
     part = F.regexp_extract("x.line", r"segment (\d+/\d+)", 1)
     status = F.when((F.col("x.status") == "synthesising") & (part != ""), F.concat(F.lit("synthesising segment "), part)).otherwise(F.col("x.status"))
-    return top.join(best, "run_id", "left").select("run_id", F.coalesce(status, F.lit("processing")).alias("status"))
+    return best.select("run_id", F.coalesce(F.when(F.col("x.line_no") > F.col("top") - last, status), F.lit("processing")).alias("status"))
 
 
 def budget_violations(source: DataFrame, translated: DataFrame, rates: DataFrame, keys: list[str], tolerance: float = 1.5) -> DataFrame:

@@ -1,16 +1,35 @@
-"""Streaming forms of the roll-ups and merges."""
+"""Streaming forms of the roll-ups and merges.
+
+State by key needs a store with column families: queries are started within :func:`state_store`, or in a session whose
+``spark.sql.streaming.stateStore.providerClass`` is set to the same.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.rollups import latest_phase
 from ..runtime import ship_package
+from .processors import PhraseMerger, RunLog, TokenText
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started within the block keep their state in RocksDB; the session's own setting is as before afterwards."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
 
 
 def stream_usage(calls: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
@@ -20,87 +39,77 @@ def stream_usage(calls: DataFrame, late: str = "10 minutes", width: str = "5 min
     return out.select(F.col("window.start").alias("window_start"), "stage", "calls", "input_tokens", "output_tokens")
 
 
-def stream_phase(lines: DataFrame, patterns: DataFrame, path: str, checkpoint: str, last: int = 20):
-    """A query that keeps each run's ``last`` lines in ``path`` and, beside them, its status; restarts from ``checkpoint``."""
+def stream_statuses(lines: DataFrame, patterns: DataFrame, last: int = 20) -> DataFrame:
+    """``(run_id, version, status)`` of arriving lines ``(run_id, line_no, line)``: a row for each run in a trigger, the highest version is the newest.
+
+    A run's state is its ``last`` lines by number; runs without new lines aren't touched.  ``patterns`` is a small dimension.
+    """
+    ship_package(lines.sparkSession)
+    known = [(r["priority"], r["status"], r["pattern"]) for r in patterns.select("priority", "status", "pattern").collect()]
+    schema = "run_id bigint, version bigint, status string"
+    return lines.select("run_id", "line_no", "line").groupBy("run_id").transformWithStateInPandas(RunLog(known, last), schema, "update", "none")
+
+
+def stream_phase(lines: DataFrame, patterns: DataFrame, path: str, checkpoint: str, last: int = 20) -> StreamingQuery:
+    """A query that writes the statuses of each trigger's runs to ``path``/status/v<trigger>; restarts from ``checkpoint``."""
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark, before = batch.sparkSession, f"{path}/lines/v{number - 1}"
-        recent = batch.select("run_id", "line_no", "line")
-        if number > 0:
-            recent = recent.unionByName(spark.read.parquet(before))
-        top = recent.groupBy("run_id").agg(F.max("line_no").alias("top"))
-        kept = recent.dropDuplicates(["run_id", "line_no"]).join(top, "run_id").where(F.col("line_no") > F.col("top") - last).drop("top")
-        kept.write.mode("overwrite").parquet(f"{path}/lines/v{number}")
-        latest_phase(spark.read.parquet(f"{path}/lines/v{number}"), patterns, last).write.mode("overwrite").parquet(f"{path}/status/v{number}")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.select("run_id", "status").write.mode("overwrite").parquet(f"{path}/status/v{number}")
 
-    return lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with state_store(lines.sparkSession):
+        return stream_statuses(lines, patterns, last).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-_END = (".", "!", "?", "…", "؟", "。", "！", "？")
+def current_statuses(spark: SparkSession, path: str) -> DataFrame:
+    """Each run's newest ``(run_id, status)`` among those that :func:`stream_phase` wrote."""
+    rows = spark.read.schema("run_id bigint, status string").parquet(f"{path}/status/*")
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"/v(\d+)/[^/]*$", 1).cast("bigint")
+    return rows.groupBy("run_id").agg(F.max_by("status", number).alias("status"))
 
 
-def stream_merge_phrases(cues: DataFrame, gap: float = 2.0, idle_ms: int | None = 60_000) -> DataFrame:
-    """Phrases of live captions ``(media_id, seq, start, end, text)``: the open phrase is held until a sentence end, a pause or ``idle_ms`` (None: no timer, as for a finite replay).
+def stream_merge_phrases(cues: DataFrame, gap: float = 2.0, idle_ms: int | None = 60_000, delay: str = "30 seconds") -> DataFrame:
+    """Phrases of live captions ``(media_id, first_seq, start, end, text, late)``: the open phrase is held until a sentence end or a pause.
 
-    A cue that starts before the last one's end is late and comes out alone, with ``late`` true.  Cues of one trigger are taken by ``seq``.
+    Cues ``(media_id, seq, start, end, text, ts)`` may come ``delay`` late by their event time ``ts``; they are taken in its order, so the rows
+    don't depend on triggers.  A phrase open for ``idle_ms`` of event time ends there.  A cue that starts before the end of the one before it
+    comes out alone, with ``late`` true.  Rows with a null ``seq`` only move the time.  With ``idle_ms`` None there are no event times: a finite
+    replay, cues of one trigger taken by ``seq``, the last phrase held.
     """
     ship_package(cues.sparkSession)
     schema = "media_id bigint, first_seq bigint, start double, end double, text string, late boolean"
+    wanted = ["media_id", "seq", "start", "end", "text"]
+    if idle_ms is None:
+        return cues.select(*wanted).groupBy("media_id").transformWithStateInPandas(PhraseMerger(gap, None), schema, "append", "none")
+    timed = cues.select(*wanted, "ts").withWatermark("ts", delay)
+    return timed.groupBy("media_id").transformWithStateInPandas(PhraseMerger(gap, idle_ms), schema, "append", "eventtime")
+
+
+def write_phrases(merged: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """A query that writes phrases to ``path``/phrases and, as a side output, late cues to ``path``/late, a folder a trigger; a repeated trigger replaces its own."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        for name, rows in (("phrases", batch.where("not late")), ("late", batch.where("late"))):
+            rows.drop("late").write.mode("overwrite").parquet(f"{path}/{name}/trigger={number}")
+        batch.unpersist()
+
+    with state_store(merged.sparkSession):
+        return merged.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else None
-        out = []
-        if state.hasTimedOut:
-            state.remove()
-            if held:
-                yield pd.DataFrame([(key[0], held[0], held[1], held[2], held[3].strip(), False)], columns=["media_id", "first_seq", "start", "end", "text", "late"])
-            return
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            text = (row.text or "").strip()
-            if held and row.start < held[2]:
-                out.append((key[0], row.seq, row.start, row.end, text, True))
-                continue
-            if held and (held[4] or round(row.start - held[2], 6) > gap):
-                out.append((key[0], held[0], held[1], held[2], held[3].strip(), False))
-                held = None
-            held = [held[0], held[1], row.end, f"{held[3]} {text}", text.endswith(_END)] if held else [row.seq, row.start, row.end, text, text.endswith(_END)]
-        if held and held[4]:
-            out.append((key[0], held[0], held[1], held[2], held[3].strip(), False))
-            held = None
-        if held:
-            state.update(tuple(held))
-            if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["media_id", "first_seq", "start", "end", "text", "late"])
-
-    kind = "first_seq bigint, start double, end double, text string, done boolean"
-    return cues.groupBy("media_id").applyInPandasWithState(step, schema, kind, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def stream_text(tokens: DataFrame) -> DataFrame:
+
+def stream_text(tokens: DataFrame, limit_ms: int | None = None, delay: str = "30 seconds") -> DataFrame:
     """Texts of requests from tokens ``(request_id, token_no, token, done)``, in token order, given out once complete.
 
-    A request is complete when its last token (``done``) and all before it have come, in whatever order.
+    A request is complete when its last token (``done``) and all before it have come, in whatever order.  A repeated number counts once.
+    With ``limit_ms`` tokens have an event time ``ts``; what isn't complete so long after its last token comes out as
+    it is, and the rows have a column ``complete``.  Rows with a null ``token_no`` only move the time.
     """
     ship_package(tokens.sparkSession)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        numbers, texts, last = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], -1)
-        for row in pd.concat(list(batches)).itertuples(index=False):
-            if row.token_no not in numbers:
-                numbers.append(int(row.token_no))
-                texts.append(row.token or "")
-            last = int(row.token_no) if row.done else last
-        if last >= 0 and len(numbers) == last + 1:
-            state.remove()
-            yield pd.DataFrame([(key[0], "".join(t for _, t in sorted(zip(numbers, texts, strict=True))))], columns=["request_id", "text"])
-        else:
-            state.update((numbers, texts, last))
-            yield pd.DataFrame({"request_id": pd.Series(dtype="int64"), "text": pd.Series(dtype="object")})
-
-    return tokens.groupBy("request_id").applyInPandasWithState(step, "request_id bigint, text string", "numbers array<bigint>, texts array<string>, last bigint", "append", GroupStateTimeout.NoTimeout)
+    wanted = ["request_id", "token_no", "token", "done"]
+    if limit_ms is None:
+        return tokens.select(*wanted).groupBy("request_id").transformWithStateInPandas(TokenText(None), "request_id bigint, text string", "append", "none")
+    timed = tokens.select(*wanted, "ts").withWatermark("ts", delay)
+    return timed.groupBy("request_id").transformWithStateInPandas(TokenText(limit_ms), "request_id bigint, text string, complete boolean", "append", "eventtime")
 
 
 def text_concat(tokens: DataFrame) -> DataFrame:
@@ -109,15 +118,87 @@ def text_concat(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("request_id").agg(F.array_join(F.transform(parts, lambda x: x["token"]), "").alias("text"))
 
 
-def stream_new_media(arrivals: DataFrame, path: str, checkpoint: str, keys: list[str]):
-    """A query that adds arriving rows whose keys are new to the table at ``path``; a repeated batch adds nothing."""
+class Manifest:
+    """Which batches of a table are committed, and which buckets each one's keys fall into: a small file for each batch, put in place by a rename."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path, jvm = path, spark._jvm
+        self.of = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest/{name}")
+        self.fs = self.of("x").getFileSystem(spark._jsc.hadoopConfiguration())
+        self.read = lambda file: bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(file)).decode()
+
+    def committed(self) -> dict[int, dict]:
+        if not self.fs.exists(self.of("x").getParent()):
+            return {}
+        out = {}
+        for status in self.fs.listStatus(self.of("x").getParent()):
+            name = status.getPath().getName()
+            if name.endswith(".json"):
+                file = self.fs.open(status.getPath())
+                out[int(name.removesuffix(".json"))] = json.loads(self.read(file))
+                file.close()
+        return out
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
-        if number > 0:
-            new = new.join(spark.read.parquet(path).where(F.col("__batch") != number).select(*keys), keys, "left_anti")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        new.withColumn("__batch", F.lit(number)).write.mode("overwrite").partitionBy("__batch").parquet(path)
+    def commit(self, number: int, entry: dict) -> None:
+        draft, final = self.of(f"{number}.draft"), self.of(f"{number}.json")
+        file = self.fs.create(draft, True)
+        file.write(bytearray(json.dumps(entry).encode()))
+        file.close()
+        if not self.fs.rename(draft, final):
+            raise OSError(f"batch {number} could not be committed")
 
-    return arrivals.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+#: Buckets of the key index; batches after which the index is written anew as one.
+KEY_BUCKETS, FOLD_AFTER = 64, 50
+
+
+def add_new(batch: DataFrame, number: int, path: str, keys: list[str], buckets: int = KEY_BUCKETS, fold_after: int = FOLD_AFTER) -> None:
+    """Add the rows of ``batch`` whose keys the table at ``path`` lacks, as batch ``number``; a committed number adds nothing.
+
+    Rows go to ``path``/__batch=<number>/__bucket=<b>, keys alone to an index beside them, and a manifest entry makes both count.  Only
+    index buckets that the batch's keys fall into are read.  After a crash before the entry, the repeated batch
+    replaces what the first try wrote.  Of rows that repeat a key in a batch one stays; null keys are keys too.
+    """
+    spark = batch.sparkSession
+    manifest = Manifest(spark, path)
+    done = manifest.committed()
+    if number in done:
+        return
+    index = f"{path}/_keys"
+    dealt = batch.dropDuplicates(keys).withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+    touched = sorted(r[0] for r in dealt.select("__bucket").distinct().collect())  # at most `buckets`
+    base = max((n for n, e in done.items() if e["base"]), default=-1)
+    live = {n: e for n, e in done.items() if n >= base}
+    # The index up to a base stands in the base's folder; a later batch has its own.
+    folders = [f"{index}/{'base' if n == base else 'batch'}={n}/__bucket={b}" for n, e in live.items() for b in (e["all"] if n == base else e["buckets"]) if b in touched]
+    new = dealt
+    if folders:
+        known = spark.read.schema(dealt.select(*keys).schema).parquet(*folders)
+        same = [dealt[k].eqNullSafe(known[k]) for k in keys]
+        new = dealt.join(known, same, "left_anti")
+    new.write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/__batch={number}")
+    dealt.unpersist()
+    added = spark.read.schema(dealt.schema).parquet(f"{path}/__batch={number}").select(*keys, "__bucket")
+    added.write.mode("overwrite").partitionBy("__bucket").parquet(f"{index}/batch={number}")
+    own = sorted(r[0] for r in added.select("__bucket").distinct().collect())
+    every = sorted({b for n, e in live.items() for b in (e["all"] if n == base else e["buckets"])} | set(own))
+    fold = len(live) + 1 > fold_after
+    if fold:
+        old = [f"{index}/{'base' if n == base else 'batch'}={n}" for n, e in live.items() if (e["all"] if n == base else e["buckets"])]
+        whole = added
+        for folder in old:
+            whole = whole.unionByName(spark.read.schema(added.schema).parquet(folder))
+        whole.write.mode("overwrite").partitionBy("__bucket").parquet(f"{index}/base={number}")
+    manifest.commit(number, {"buckets": own, "base": fold, "all": every if fold else []})
+
+
+def read_added(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of committed batches; what a crash left uncommitted isn't seen."""
+    numbers = sorted(n for n, e in Manifest(spark, path).committed().items() if e["buckets"])
+    return spark.read.option("basePath", path).parquet(*[f"{path}/__batch={n}" for n in numbers]).drop("__batch", "__bucket") if numbers else spark.createDataFrame([], "__none int").limit(0)
+
+
+def stream_new_media(arrivals: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+    """A query that adds arriving rows whose keys are new to the table at ``path``; a repeated batch adds nothing."""
+    write = lambda batch, number: add_new(batch, number, path, keys)
+    return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
