@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut, materialize
@@ -16,8 +16,10 @@ UNITS = (
     "kilometres", "gram", "grams", "kilogram", "kilograms", "liter", "liters", "litre", "litres", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent",
 )
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
-#: Benchmarks of up to this many windows are broadcast (some tens of bytes each); larger ones are joined by shuffle.
-BROADCAST_WINDOWS = 1_000_000
+#: Benchmarks of up to this many windows and bytes are broadcast; larger ones are joined by shuffle.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: Word pairs that a first look at each text may ask for; a benchmark that needs more does without that look.
+PROBES = 20_000
 _NONE = -(1 << 63)
 #: A capitalised word after a letter, digit, comma or semicolon and one space: inside a sentence.
 _NAME = r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)"
@@ -135,8 +137,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     plain = every.where("own").select("item").distinct()
     grams = cut(every.where("own").unionByName(every.join(plain, "item", "left_anti")).drop("own"))
     sizes = grams.groupBy("item").agg(F.count_distinct("b").alias("windows"))
-    side = F.broadcast(grams) if grams.count() <= BROADCAST_WINDOWS else grams
-    told = _exploded(rows.where("text is not null"), ["k", "t"], lengths).drop("own")
+    slots = F.coalesce(F.aggregate("asked", F.lit(0), lambda n, w: n + 16 + F.coalesce(F.length(w), F.lit(0))), F.lit(0))
+    size = grams.agg(F.count("*").alias("rows"), F.sum(64 + 4 * slots).alias("bytes")).first()
+    side = F.broadcast(grams) if size["rows"] <= BROADCAST_WINDOWS and (size["bytes"] or 0) <= BROADCAST_BYTES else grams
+    probes = _probes(items, similarity)
+    near = rows.where("text is not null") if probes is None else rows.where(_holds_a_probe(_words(F.lower("text")), probes))
+    told = _exploded(near, ["k", "t"], lengths).drop("own")
     hits = materialize(told.join(side, ["channel", "h"]).select("k", "t", "item", "channel", "pos", "b", "asked", F.col("slots").alias("told")), "window-hits")
     enough = F.col("matched") >= F.lit(similarity) * F.col("windows")
     likely = hits.groupBy("k", "t", "item").agg(F.count_distinct("b").alias("matched")).join(sizes, "item").where(enough).select("k", "t", "item")
@@ -146,6 +152,45 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     return out.select(F.when(F.col("k") != _NONE, F.col("k")).alias("doc_id"), F.col("t").alias("text_hash"), F.col("item").alias("item_id"), "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"))
 
 
+def _probes(items: DataFrame, similarity: float) -> list[int] | None:
+    """Hashes of adjacent word pairs, at least one of which stands in every text of five words or more that holds an item; None if there is no such list.
+
+    Of an item's windows more than ``1 - similarity`` are given a pair each, of words that no template replaces, so a text
+    without any of the pairs lacks too many windows.  Long words are taken first, as they are rarer; the choice affects only
+    how many texts are looked at closely.  Of an item id with several texts every window gets a pair.
+    """
+    words, masked = _words(F.lower("text")), initial_template(F.col("text"))
+    texts = items.distinct().withColumn("__w", words).withColumn("__m", masked).where(F.size("__w") >= SHORT)
+    n = F.size("__w")
+    # Four words are looked for as they stand, and so are texts of placeholders alone.
+    bare = (n < WINDOW) | ~F.exists("__m", lambda x: ~x.isin(NUMBER, UNIT, NAME))
+    w = Window.partitionBy("item")
+    texts = texts.withColumns({"windows": F.greatest(n - WINDOW + 1, F.lit(1)), "bare": bare, "one": F.count("*").over(w) == 1})
+    wanted = F.when(F.col("one"), F.floor(F.col("windows") * (1 - similarity) + 1e-9) + 1).otherwise(F.col("windows"))
+    texts = texts.withColumn("wanted", F.least(wanted, F.col("windows")))
+    one = lambda a, i: F.get(a, i)
+    pair = texts.select("item", "text", "windows", "wanted", "bare", "__w", "__m", F.explode(F.sequence(F.lit(0), n - 2)).alias("p"))
+    p = F.col("p")
+    whole = F.col("bare") | ((one("__w", p) == one("__m", p)) & (one("__w", p + 1) == one("__m", p + 1)))
+    placed = pair.where(whole).select("item", "text", "windows", "wanted", F.xxhash64(one("__w", p), one("__w", p + 1)).alias("h"), (F.length(one("__w", p)) + F.length(one("__w", p + 1))).alias("size"), F.explode(F.sequence(F.greatest(p - (WINDOW - 2), F.lit(0)), F.least(p, F.col("windows") - 1))).alias("b"))
+    best = placed.groupBy("item", "text", "wanted", "b").agg(F.max_by("h", F.struct("size", "h")).alias("h"), F.max("size").alias("size"))
+    taken = best.withColumn("rank", F.row_number().over(Window.partitionBy("item", "text").orderBy(F.desc("size"), "b"))).where("rank <= wanted")
+    taken = cut(taken.select("item", "text", "wanted", "h"))
+    covered = taken.groupBy("item", "text").agg(F.count("*").alias("covered"))
+    if not texts.join(covered, ["item", "text"], "left").where("coalesce(covered, 0) < wanted").isEmpty():
+        return None
+    found = [r["h"] for r in taken.select("h").distinct().limit(PROBES + 1).collect()]
+    return found if len(found) <= PROBES else None
+
+
+def _holds_a_probe(words: Column, probes: list[int]) -> Column:
+    """Whether a text has one of the pairs, or is shorter than a window."""
+    pairs = lambda w: F.exists(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)).isin(probes))
+    known = (lambda w: (F.size(w) < WINDOW) | pairs(w)) if probes else (lambda w: F.size(w) < WINDOW)
+    # Bound once, as a lambda's argument, so that the text is split once.
+    return F.coalesce(F.transform(F.array(words), known)[0], F.lit(False))
+
+
 def _broken(hits: DataFrame) -> DataFrame:
     """Alignments ``(k, t, item, channel, d)`` whose slot values don't map one to one."""
     group = ["k", "t", "item", "channel", "d"]

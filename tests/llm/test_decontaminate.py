@@ -78,3 +78,86 @@ def test_runs_of_numbers_have_no_vote(spark):
     again = item.replace("1 2 3 4 5 6 7 8 9 10 11 12", "21 22 23 24 25 26 27 28 29 30 31 32")
     got = find(spark, [item, again, " ".join(map(str, range(100, 160))), "1 2 3 4 5 6", "7 8 9 1 2 3"], [(1, item), (2, "1 2 3 4 5 6")])
     assert got == {(0, 1): 1.0, (1, 1): 1.0, (0, 2): 1.0, (3, 2): 1.0}
+
+
+def plain_windows(text, channel):
+    """Windows of one channel of a text: key, slots, whether it has a word of its own."""
+    import regex
+
+    words = lambda t: [w for w in regex.split(r"[^\p{L}\p{N}<>.,]|(?<![0-9])[.,]|[.,](?![0-9])", t.lower()) if w]
+    raw = words(text)
+    if channel >= dc.SHORT:
+        return [(tuple(raw[i : i + channel]), None, True) for i in range(len(raw) - channel + 1)]
+    seen = {0: None, 1: dc._NAME, 2: dc._INITIAL}[channel]
+    if seen and not regex.search(seen, text):
+        return []
+    named = text if not channel else regex.sub(dc._NAME if channel == 1 else dc._ANY_NAME, "<name>", text)
+    t = ["<num>" if w[0] in "0123456789" else "<unit>" if w in dc.UNITS else w for w in words(named)]
+    out, holes = [], ("<num>", "<unit>", "<name>")
+    for i in range(max(1, len(t) - 4) if t else 0):
+        part, said = t[i : i + 5], raw[i : i + 5]
+        if all(w in holes for w in part):
+            out.append((tuple(said), None, False))
+        else:
+            slots = [r if w in holes else None for w, r in zip(part, said, strict=True)]
+            out.append((tuple(part), slots if any(slots) else None, True))
+    return out if not channel else [(k, s, own) if own else None for k, s, own in out]
+
+
+def plain_find(texts, bench):
+    """Every window of every text against every window of every item."""
+    import regex
+
+    out = {}
+    for item, question in bench:
+        n = len([w for w in regex.split(r"[^\p{L}\p{N}<>.,]|(?<![0-9])[.,]|[.,](?![0-9])", question.lower()) if w])
+        channels = [0, 1, 2] + ([n] if n == dc.SHORT else [])
+        grams = {c: [(b, w) for b, w in enumerate(plain_windows(question, c)) if w] for c in channels}
+        if any(w[2] for ws in grams.values() for _, w in ws):
+            grams = {c: [(b, w) for b, w in ws if w[2]] for c, ws in grams.items()}
+        count = len({b for ws in grams.values() for b, _ in ws})
+        for k, text in enumerate(texts):
+            found = {}
+            for c, ws in grams.items():
+                for b, (key, asked, _) in ws:
+                    for pos, w in enumerate(plain_windows(text, c) if text else []):
+                        if w and w[0] == key:
+                            found.setdefault((c, pos - b), []).append((b, asked, w[1]))
+            matched = set()
+            for hits in found.values():
+                pairs = {(a, t) for _, asked, told in hits if asked for a, t in zip(asked, told, strict=True) if a is not None}
+                if len(pairs) == len({a for a, _ in pairs}) == len({t for _, t in pairs}):
+                    matched |= {b for b, _, _ in hits}
+            if count and len(matched) >= dc.SIMILARITY * count:
+                out[k, item] = round(len(matched) / count, 3)
+    return out
+
+
+@pytest.mark.parametrize("looked", [True, False])
+def test_every_channel_equals_a_brute_force_twin(spark, monkeypatch, looked):
+    import random
+
+    if not looked:
+        monkeypatch.setattr(dc, "_probes", lambda *x: None)
+    rng = random.Random(11)
+    names, nouns = ["Anna", "Bert", "Carla", "Dora", "Emil"], "apples pears coins stones ribbons kites lamps".split()
+
+    def question():
+        a, b, c = rng.sample(names, 2) + [rng.choice(nouns)]
+        x, y = rng.randrange(2, 90), rng.choice(["3.5", "1,200", "7", "12"])
+        return rng.choice([f"{a} has {x} {c} and gives {y} km of ribbon to {b}. How many {c} does {a} keep after {b} leaves?", f"When {a} walked {x} miles and {b} walked {y} miles, who walked further than {a}?", f"{x} {y} 9 8 7 6", f"sum {x} of {c}", f"Count the {c} that lie on the long table by the door"])
+
+    bench = [(k, question()) for k in range(14)]
+    texts = [question() for _ in range(40)] + [CLEAN, "", "Hello.", "7 8 9"]
+    for _, q in bench:
+        swap = dict(zip(names, rng.sample(names, 5), strict=True))
+        again = " ".join(next((swap[n] + w[len(n) :] for n in names if w.startswith(n)), w) for w in q.split(" "))
+        texts += [q, f"{CLEAN} {again} {CLEAN}", f"{CLEAN}. {q.upper()}", q.replace("Anna", "Bert"), " ".join(q.split()[: -len(q.split()) // 5 or None])]
+    assert find(spark, texts, bench) == plain_find(texts, bench)
+
+
+def test_a_benchmark_with_too_many_pairs_goes_without_the_first_look(spark, monkeypatch):
+    monkeypatch.setattr(dc, "PROBES", 1)
+    assert find(spark, [ITEM, CLEAN]) == {(0, 1): 1.0}
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", 0)
+    assert find(spark, [ITEM, CLEAN], [(1, ITEM), (1, OTHER), (2, "4 5 6 7 8 9")]) == {(0, 1): 1.0}
