@@ -5,31 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CAPTION_MARKS, DISPLAY_MARKS, LONG_END, strip, word_count, words
 from ..runtime import ship_package
 from .intervals import timed_pieces
+from .ranges import WIDTH, entries, range_of, with_entries, with_neighbours
 
 _MARK = "\x01"
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable, column: str, kind: str) -> DataFrame:
-    """``df`` with ``column``: what ``step(state, row) -> (state, value)`` gives along ``order`` within ``keys``.
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[object], object], step: Callable, column: str, kind: str) -> DataFrame:
+    """``df`` with ``column``: what ``step(state, row) -> (state, value)`` gives along ``order`` within ``keys``, from ``start(first row)`` on.
 
     Rows are sorted in each task and streamed through the fold, so a very long group needs no more memory than a batch.
     """
     ship_package(df.sparkSession)
+    plain = {c: c.lstrip("_") for c in df.columns}
+    by = [plain[k] for k in keys]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, at = None, None
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                here = tuple(getattr(row, k) for k in keys)
+            for row in batch.rename(columns=plain).itertuples(index=False):
+                here = tuple(getattr(row, k) for k in by)
                 if here != at:
-                    state, at = start(), here
+                    state, at = start(row), here
                 state, value = step(state, row)
                 out.append(value)
             yield batch.assign(**{column: out})
@@ -38,16 +41,32 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callab
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{names}, `{column}` {kind}")
 
 
-def merge_long(cues: DataFrame, least: float = 8.0, most: float = 30.0, pause: float = 0.3, keys: tuple[str, ...] = ("media_id", "track")) -> DataFrame:
+def merge_long(cues: DataFrame, least: float = 8.0, most: float = 30.0, pause: float = 0.3, keys: tuple[str, ...] = ("media_id", "track"), width: int = WIDTH) -> DataFrame:
     """Chunks of ``least`` to ``most`` seconds that end at sentence ends or pauses.
 
     Blank cues are left out but still count as the next cue; ``quiet_after`` (boolean, optional) marks cues followed by silence.
+    A long medium is folded in ranges of ``width`` cue numbers, each in a task of its own that knows which chunk is open where it begins.
     """
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("seq")
     silent = F.col("quiet_after") if "quiet_after" in cues.columns else F.lit(False)
-    closes = F.right(strip(F.col("text")), F.lit(1)).isin(*LONG_END) | F.coalesce(F.round(F.lead("start").over(w) - F.col("end"), 6) >= pause, F.lit(False)) | F.coalesce(silent, F.lit(False))
-    rows = cues.withColumn("closes", closes).where(strip(F.col("text")) != "").select(*keys, "seq", "start", "end", "text", "closes")
+    closes = F.right(strip(F.col("text")), F.lit(1)).isin(*LONG_END) | F.coalesce(F.round(F.col("after.start") - F.col("end"), 6) >= pause, F.lit(False)) | F.coalesce(silent, F.lit(False))
+    near = with_neighbours(cues, keys, "seq", lead=["start"], width=width)
+    rows = near.withColumn("closes", closes).where(strip(F.col("text")) != "").select(*keys, "__b", "seq", "start", "end", "text", "closes")
+
+    def follow(cols, value, at, own):
+        end, ends = cols["end"], cols["closes"]
+        for j in range(at, len(end)):
+            length = round(end[j] - value, 6)
+            if length > most and not (own and j == at):
+                return j
+            if length >= least and ends[j]:
+                return j + 1
+        return None
+
+    def reach(cols, begins):
+        return next((j + 1 for j, e in enumerate(cols["end"]) if round(e - begins[0], 6) > most), len(begins))
+
+    rows = with_entries(rows, keys, entries(rows, keys, ["seq"], "start", ["end", "closes"], follow, reach))
 
     def step(state, row):
         begun, number = state
@@ -58,21 +77,32 @@ def merge_long(cues: DataFrame, least: float = 8.0, most: float = 30.0, pause: f
         done = round(row.end - begun, 6) >= least and row.closes
         return (None if done else begun, number), number
 
-    numbered = ordered_fold(rows, keys, ["seq"], lambda: (None, -1), step, "chunk_no", "bigint")
+    entered = lambda row: (None if row.begun is None or row.begun != row.begun else row.begun, int(row.items) - 1)
+    numbered = ordered_fold(rows, [*keys, "__b"], ["seq"], entered, step, "chunk_no", "bigint")
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", strip(F.col("text")).alias("t")))), lambda x: x["t"]), " ")
     return numbered.groupBy(*keys, "chunk_no").agg(F.count("*").alias("n_cues"), F.min_by("start", "seq").alias("start"), F.max_by("end", "seq").alias("end"), texts.alias("text"))
 
 
-def dedup_min_gap(picks: DataFrame, gap: float = 5.0, keys: tuple[str, ...] = ("media_id",), column: str = "seconds", tie: str = "i") -> DataFrame:
-    """Picks at least ``gap`` seconds after the last one kept."""
+def dedup_min_gap(picks: DataFrame, gap: float = 5.0, keys: tuple[str, ...] = ("media_id",), column: str = "seconds", tie: str = "i", seconds: float = 36_000.0) -> DataFrame:
+    """Picks at least ``gap`` seconds after the last one kept; a long medium in ranges of ``seconds``, each in a task of its own."""
+    keys = list(keys)
 
     def step(last, row):
         at = getattr(row, column)
         keep = last is None or at - last >= gap
         return (at if keep else last), keep
 
-    kept = ordered_fold(picks, list(keys), [column, tie], lambda: None, step, "__keep", "boolean")
-    return kept.where("__keep").drop("__keep")
+    def follow(cols, value, at, own):
+        return next((j for j in range(at + own, len(cols[column])) if cols[column][j] - value >= gap), None)
+
+    def reach(cols, begins):
+        return next((j + 1 for j, x in enumerate(begins) if x - begins[0] >= gap), len(begins))
+
+    ranged = picks.withColumn("__b", range_of(column, seconds))
+    rows = with_entries(ranged, keys, entries(ranged, keys, [column, tie], column, [column], follow, reach))
+    entered = lambda row: None if row.begun is None or row.begun != row.begun else row.begun
+    kept = ordered_fold(rows, [*keys, "__b"], [column, tie], entered, step, "__keep", "boolean")
+    return kept.where("__keep").select(*picks.columns)
 
 
 def pack(parts: Column, most: int | Column) -> Column:

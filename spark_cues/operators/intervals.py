@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, word_count
+from .ranges import WIDTH, with_neighbours
 
 KEY = ("media_id",)
 
@@ -14,10 +15,13 @@ def _ordered(keys=KEY, *order) -> Window:
     return Window.partitionBy(*keys).orderBy(*(order or ("seq",)))
 
 
-def find_gaps(cues: DataFrame, durations: DataFrame, threshold: float = 5.0) -> DataFrame:
-    """``(media_id, gap_start, gap_end)``: head, inner and tail gaps longer than ``threshold``; all of a medium without cues."""
-    w = _ordered()
-    marked = cues.select("media_id", "seq", "start", "end", F.lead("start").over(w).alias("next"), F.lag("seq").over(w).isNull().alias("first"))
+def find_gaps(cues: DataFrame, durations: DataFrame, threshold: float = 5.0, width: int = WIDTH) -> DataFrame:
+    """``(media_id, gap_start, gap_end)``: head, inner and tail gaps longer than ``threshold``; all of a medium without cues.
+
+    A long medium is looked at in ranges of ``width`` cue numbers.
+    """
+    near = with_neighbours(cues.select("media_id", "seq", "start", "end"), list(KEY), "seq", lag=["seq"], lead=["start"], width=width)
+    marked = near.select("media_id", "seq", "start", "end", F.col("after.start").alias("next"), F.col("before").isNull().alias("first"))
     known = marked.join(durations, "media_id", "left")
     head = F.struct(F.lit(0.0).alias("a"), F.col("start").alias("b"), F.col("first").alias("on"))
     inner = F.struct(F.col("end").alias("a"), F.coalesce("next", "duration").alias("b"), F.lit(True).alias("on"))

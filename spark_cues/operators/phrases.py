@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ends_sentence, strip
+from .ranges import WIDTH, running_sum, with_neighbours
 
 KEY = ["media_id", "track"]
 
@@ -16,18 +17,20 @@ def _joined(cues: DataFrame, keys: list[str]) -> DataFrame:
     return cues.groupBy(*keys).agg(F.min("seq").alias("first_seq"), F.count("*").alias("n_cues"), F.min_by("start", "seq").alias("start"), F.max_by("end", "seq").alias("end"), strip(texts).alias("text"))
 
 
-def phrase_groups(cues: DataFrame, gap: float = 2.0, keys: list[str] = KEY) -> DataFrame:
-    """``cues`` with ``phrase_no``: a cue begins a phrase after a sentence end or a pause over ``gap`` seconds."""
-    w = Window.partitionBy(*keys).orderBy("seq")
-    before = F.lag(strip(F.col("text"))).over(w)
-    begins = before.isNull() | ends_sentence(before) | (F.round(F.col("start") - F.lag("end").over(w), 6) > gap)
-    marked = cues.withColumn("__b", begins.cast("int"))
-    return marked.withColumn("phrase_no", F.sum("__b").over(w)).drop("__b")
+def phrase_groups(cues: DataFrame, gap: float = 2.0, keys: list[str] = KEY, width: int = WIDTH) -> DataFrame:
+    """``cues`` with ``phrase_no``: a cue begins a phrase after a sentence end or a pause over ``gap`` seconds.
+
+    A long medium is numbered in ranges of ``width`` cue numbers, on top of the phrases that the ranges before it begin.
+    """
+    near = with_neighbours(cues.withColumn("__t", strip(F.col("text"))), list(keys), "seq", lag=["__t", "end"], width=width)
+    said = F.col("before.__t")
+    begins = said.isNull() | ends_sentence(said) | (F.round(F.col("start") - F.col("before.end"), 6) > gap)
+    return running_sum(near.withColumn("__s", begins.cast("int")), list(keys), "seq", F.col("__s"), "phrase_no", width).select(*cues.columns, "phrase_no")
 
 
-def merge_phrases(cues: DataFrame, gap: float = 2.0, keys: list[str] = KEY) -> DataFrame:
-    """Phrases ``(*keys, phrase_no, first_seq, n_cues, start, end, text)``; the grouping reuses the window's partitioning."""
-    return _joined(phrase_groups(cues, gap, keys), [*keys, "phrase_no"])
+def merge_phrases(cues: DataFrame, gap: float = 2.0, keys: list[str] = KEY, width: int = WIDTH) -> DataFrame:
+    """Phrases ``(*keys, phrase_no, first_seq, n_cues, start, end, text)``."""
+    return _joined(phrase_groups(cues, gap, keys, width), [*keys, "phrase_no"])
 
 
 def group_faults(groups: DataFrame, sizes: DataFrame, keys: list[str], most: int = 8) -> DataFrame:
