@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def sample_rows(pcm: DataFrame, chunk: int) -> DataFrame:
-    """``(media_id, pos, x)``: one row a sample; every chunk but the last has ``chunk`` samples."""
-    return pcm.select("media_id", F.col("chunk_no"), F.posexplode("samples").alias("i", "x")).select("media_id", (F.col("chunk_no") * chunk + F.col("i")).cast("bigint").alias("pos"), F.col("x").cast("double").alias("x"))
+from ..runtime import ship_package
 
 
-def _rms(square: Column) -> Column:
-    return F.sqrt(F.avg(square))
+def _square_sum(samples: Column) -> Column:
+    return F.aggregate(samples, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
 
 
 def frame_rms(pcm: DataFrame, frame: int, chunk: int) -> DataFrame:
-    """``(media_id, frame_no, rms)`` of whole frames; a medium with less than a frame has one of 0."""
-    rows = sample_rows(pcm, chunk).withColumn("frame_no", F.floor(F.col("pos") / frame).cast("bigint"))
-    frames = rows.groupBy("media_id", "frame_no").agg(F.count("*").alias("n"), F.round(_rms(F.col("x") * F.col("x")), 6).alias("rms"))
-    whole = frames.where(F.col("n") == frame).select("media_id", "frame_no", "rms")
-    short = pcm.select("media_id").distinct().join(whole.select("media_id"), "media_id", "left_anti").select("media_id", F.lit(0).cast("bigint").alias("frame_no"), F.lit(0.0).alias("rms"))
-    return whole.unionByName(short)
+    """``(media_id, frame_no, rms)`` of whole frames; a medium with less than a frame has one of 0.
+
+    Every chunk but the last has ``chunk`` samples.  A chunk folds the frames that lie within it; of a frame over an edge it gives
+    a count and a sum, which meet those of the chunks beside it.
+    """
+    from_, size = F.col("chunk_no") * chunk, F.size("samples")
+    numbers = F.sequence(F.floor(from_ / frame).cast("bigint"), F.floor((from_ + size - 1) / frame).cast("bigint"))
+    low = lambda f: F.greatest(f * frame - from_, F.lit(0)).cast("int")
+    high = lambda f: F.least((f + 1) * frame - from_, size.cast("bigint")).cast("int")
+    folded = F.transform(numbers, lambda f: F.struct(f.alias("frame_no"), (high(f) - low(f)).alias("n"), _square_sum(F.slice("samples", low(f) + 1, high(f) - low(f))).alias("s")))
+    parts = pcm.where(size > 0).select("media_id", F.explode(folded).alias("f")).select("media_id", "f.*")
+    rms = lambda s: F.round(F.sqrt(s / frame), 6).alias("rms")
+    inner = parts.where(F.col("n") == frame).select("media_id", "frame_no", rms(F.col("s")))
+    over = parts.where(F.col("n") < frame).groupBy("media_id", "frame_no").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    whole = inner.unionByName(over.where(F.col("n") == frame).select("media_id", "frame_no", rms(F.col("s"))))
+    length = pcm.groupBy("media_id").agg(F.sum(size).alias("n")).where(F.col("n") < frame)
+    return whole.unionByName(length.select("media_id", F.lit(0).cast("bigint").alias("frame_no"), F.lit(0.0).alias("rms")))
 
 
 def zero_crossing_rate(pcm: DataFrame, chunk: int) -> DataFrame:
@@ -63,38 +75,78 @@ def fade_gain(pos: Column, total: Column, fade_in: Column, fade_out: Column) ->
     return rise * fall
 
 
+#: Blocks that a task adds up at a time before it passes them on.
+HELD_BLOCKS = 64
+
+
+def added_blocks(pieces: DataFrame, size: int) -> DataFrame:
+    """``(media_id, chunk_no, x, seen)``: pieces ``(media_id, chunk_no, off, x)`` of blocks of ``size`` samples added up as vectors, and which samples any piece covers.
+
+    Tasks add what they read, then blocks are dealt by (medium, chunk) and added as they stream by: rows of a shuffle are blocks,
+    and a block under any number of clips takes the memory of one.
+    """
+    ship_package(pieces.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+        def rows(schema) -> pa.RecordBatch:
+            keys = list(held)
+            columns = [pa.array([k[0] for k in keys], schema.field(0).type), pa.array([k[1] for k in keys], pa.int64()), pa.array([0] * len(keys), pa.int32()), pa.array([x for x, _ in held.values()], pa.list_(pa.float64())), pa.array([seen for _, seen in held.values()], pa.list_(pa.bool_()))]
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        schema = None
+        for b in batches:
+            schema = b.schema
+            for i, (medium, chunk_no, off) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                if (medium, chunk_no) not in held:
+                    if len(held) >= HELD_BLOCKS:
+                        yield rows(schema)
+                        held.clear()
+                    held[medium, chunk_no] = np.zeros(size), np.zeros(size, dtype=bool)
+                total, seen = held[medium, chunk_no]
+                part, known = b.column(3)[i].values.fill_null(0.0).to_numpy(zero_copy_only=False), b.column(4)[i].values
+                total[off : off + len(part)] += part
+                seen[off : off + len(part)] |= True if known is None else known.to_numpy(zero_copy_only=False)
+        if held:
+            yield rows(schema)
+
+    shaped = pieces.select("media_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.col("off").cast("int").alias("off"), F.col("x").cast("array<double>").alias("x"), F.lit(None).cast("array<boolean>").alias("seen"))
+    some = shaped.mapInArrow(run, shaped.schema)
+    return some.repartition("media_id", "chunk_no").sortWithinPartitions("media_id", "chunk_no").mapInArrow(run, shaped.schema).drop("off")
+
+
 def mix_timeline(clips: DataFrame, durations: DataFrame, rate: int, chunk: int = 4096, tail_ms: int = 300) -> DataFrame:
-    """``(media_id, chunk_no, sample_rate, samples)``: clips ``(media_id, start, samples)`` added up on a timeline.
+    """``(media_id, chunk_no, sample_rate, samples, n_sounding)``: clips ``(media_id, start, samples)`` added up on a timeline.
 
-    Samples are dealt once by (medium, chunk), so a long medium spreads over tasks, and summed and put in arrays there; what
-    follows handles a row a chunk.  The timeline ends 0.1 s after the last sound, or at the duration if later; the last
-    ``tail_ms`` of sound fade out; a peak over 1 is scaled to 1.
+    Clips are cut at the chunks' edges and added up by (medium, chunk) as arrays, so a long medium spreads over tasks.  The timeline
+    ends 0.1 s after the last sound, or at the duration if later; the last ``tail_ms`` of sound fade out; a peak over 1 is
+    scaled to 1.  ``n_sounding`` counts the samples of a chunk that any clip covers.
     """
     total = F.floor((F.col("duration") + 2) * rate).cast("bigint")
-    rows = clips.join(durations, "media_id").select("media_id", F.floor(F.col("start") * rate).cast("bigint").alias("at"), total.alias("total"), F.posexplode("samples").alias("i", "x"))
-    placed = rows.withColumn("pos", F.col("at") + F.col("i")).where("pos < total and pos >= 0")
-    dealt = placed.select("media_id", F.floor(F.col("pos") / chunk).cast("bigint").alias("chunk_no"), (F.col("pos") % chunk).cast("int").alias("i"), F.col("x").cast("double").alias("x")).repartition("media_id", "chunk_no")
-    sums = dealt.groupBy("media_id", "chunk_no", "i").agg(F.round(F.sum("x"), 6).alias("x"))
-    chunks = sums.groupBy("media_id", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
+    known = clips.join(durations, "media_id").select("media_id", F.floor(F.col("start") * rate).cast("bigint").alias("at"), total.alias("total"), "samples")
+    first, last = F.greatest("at", F.lit(0)), F.least(F.col("at") + F.size("samples"), F.col("total")) - 1
+    placed = known.where(last >= first).withColumn("chunk_no", F.explode(F.sequence(F.floor(first / chunk).cast("bigint"), F.floor(last / chunk).cast("bigint"))))
+    begin, end = F.greatest(first, F.col("chunk_no") * chunk), F.least(last + 1, (F.col("chunk_no") + 1) * chunk)
+    pieces = placed.select("media_id", "chunk_no", (begin - F.col("chunk_no") * chunk).alias("off"), F.slice("samples", (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int")).alias("x"))
+    chunks = added_blocks(pieces, chunk).withColumn("x", F.transform("x", lambda v: F.round(v, 6)))
     origin = F.col("chunk_no") * chunk
-    sound = F.max(origin + F.array_max(F.transform(F.filter("s", lambda p: p["x"] != 0), lambda p: p["i"])) + 1)
+    sound = F.max(origin + F.array_max(F.transform("x", lambda v, i: F.when(v != 0, i))) + 1)
     ends = durations.join(chunks.groupBy("media_id").agg(sound.alias("sound")), "media_id", "left")
     stop = F.coalesce("sound", F.floor(F.col("duration") * rate).cast("bigint"))
     limits = ends.select("media_id", stop.alias("stop"), F.least(F.greatest(stop + int(0.1 * rate), F.floor(F.col("duration") * rate).cast("bigint")), total).alias("length"))
     tail = F.least(F.lit(int(tail_ms * rate / 1000)), F.floor(F.col("stop") / 2))
-    faded = lambda p: F.when(origin + p["i"] < F.col("stop"), p["x"] * fade_gain(origin + p["i"], F.col("stop"), F.lit(0), tail)).otherwise(p["x"])
-    inside = F.filter("s", lambda p: origin + p["i"] < F.col("length"))
-    shaped = chunks.join(limits, "media_id").select("media_id", "chunk_no", F.transform(inside, lambda p: F.struct(p["i"].alias("i"), faded(p).alias("x"))).alias("s"))
-    peaks = shaped.groupBy("media_id").agg(F.max(F.array_max(F.transform("s", lambda p: F.abs(p["x"])))).alias("peak"))
+    # Only the last chunks of sound fade: elsewhere the arrays stay as they are.
+    fading = (origin + chunk > F.col("stop") - tail) & (origin < F.col("stop"))
+    faded = F.transform("x", lambda v, i: F.when(origin + i < F.col("stop"), v * fade_gain(origin + i, F.col("stop"), F.lit(0), tail)).otherwise(v))
+    size = F.greatest(F.least(F.lit(chunk), F.col("length") - origin), F.lit(0)).cast("int")
+    shaped = chunks.join(limits, "media_id").select("media_id", "chunk_no", F.slice(F.when(fading, faded).otherwise(F.col("x")), F.lit(1), size).alias("x"), F.size(F.filter(F.slice("seen", F.lit(1), size), lambda v: v)).alias("n_sounding"))
+    peaks = shaped.groupBy("media_id").agg(F.max(F.array_max(F.transform("x", lambda v: F.abs(v)))).alias("peak"))
     counted = limits.withColumn("chunk_no", F.explode(F.when(F.col("length") > 0, F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / chunk).cast("bigint")))))
-    size = F.least(F.lit(chunk), F.col("length") - origin).cast("int")
-    # Silence goes before each sample that doesn't follow its neighbour, and after the last.
-    given = F.coalesce("s", F.expr("cast(array() as array<struct<i:int,x:double>>)"))
-    before = F.concat(F.array(F.lit(-1)), F.transform(given, lambda p: p["i"]))
-    spaced = F.transform(given, lambda p, k: F.concat(F.array_repeat(F.lit(0.0), p["i"] - F.get(before, k) - 1), F.array(F.round(p["x"] / F.greatest("peak", F.lit(1.0)), 6))))
-    filled = F.concat(F.flatten(spaced), F.array_repeat(F.lit(0.0), size - 1 - F.element_at(before, -1)))
     whole = counted.join(shaped, ["media_id", "chunk_no"], "left").join(peaks, "media_id", "left")
-    return whole.select("media_id", "chunk_no", F.lit(rate).alias("sample_rate"), filled.cast("array<float>").alias("samples"))
+    scaled = F.transform("x", lambda v: F.round(v / F.greatest("peak", F.lit(1.0)), 6))
+    filled = F.coalesce(scaled, F.array_repeat(F.lit(0.0), size)).cast("array<float>")
+    return whole.select("media_id", "chunk_no", F.lit(rate).alias("sample_rate"), filled.alias("samples"), F.coalesce("n_sounding", F.lit(0)).alias("n_sounding"))
 
 
 def peak_scale(pcm: DataFrame) -> DataFrame:

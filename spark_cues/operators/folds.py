@@ -146,7 +146,7 @@ def pack_display(text: Column, most: int = 120) -> Column:
 
 
 def shared_seconds(counts: list[int], total: float, least: float = 1.0, most: float = 30.0) -> list[float]:
-    """Seconds of pieces by their words, held between ``least`` and ``most`` over up to five rounds, then scaled to ``total``."""
+    """Seconds of pieces by their words, held between ``least`` and ``most`` over up to five rounds, then scaled to ``total``: the plain form of :func:`share_seconds`."""
     weight = [max(1, int(n)) for n in counts]
     out, fixed = [total * w / sum(weight) for w in weight], [False] * len(weight)
     for _ in range(5):
@@ -167,14 +167,36 @@ def shared_seconds(counts: list[int], total: float, least: float = 1.0, most: fl
     return out
 
 
-def distribute_words(parents: DataFrame, pieces: str = "pieces", least: float = 1.0, most: float = 30.0) -> DataFrame:
-    """Parents ``(…, start, end, pieces array<string>)`` to pieces with ``piece_no, piece, piece_start, piece_end``; a single piece keeps the span."""
-    ship_package(parents.sparkSession)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def share_seconds(counts: Column, total: Column, least: float = 1.0, most: float = 30.0) -> Column:
+    """:func:`shared_seconds` of a column of counts: five rounds over an array of (seconds, weight, fixed)."""
+    row = lambda s, w, f: F.struct(s.alias("s"), w.alias("w"), f.alias("f"))
+    add = lambda rows, f: F.aggregate(rows, F.lit(0.0), lambda a, x: a + f(x))
+
+    def spread(marked: Column) -> Column:
+        excess, free = add(marked, lambda x: x["over"]), add(marked, lambda x: F.when(x["f"], 0.0).otherwise(x["w"]))
+        both = _let(F.struct(excess.alias("e"), free.alias("w")), lambda t: F.transform(marked, lambda x: row(F.when(~x["f"] & (F.abs(t["e"]) >= 0.001) & (t["w"] > 0), x["s"] + t["e"] * x["w"] / t["w"]).otherwise(x["s"]), x["w"], x["f"])))
+        return both
+
+    def round_of(rows: Column) -> Column:
+        held = lambda x: F.when(x["f"], x["s"]).otherwise(F.least(F.greatest(x["s"], F.lit(least)), F.lit(most)))
+        marked = F.transform(rows, lambda x: F.struct(held(x).alias("s"), x["w"].alias("w"), (x["f"] | (held(x) != x["s"])).alias("f"), (x["s"] - held(x)).alias("over")))
+        return _let(marked, spread)
 
-    def spans(counts: pd.Series, total: pd.Series) -> pd.Series:
-        return pd.Series([shared_seconds(list(c), t, least, most) if len(c) else [] for c, t in zip(counts, total, strict=True)])
+    weights = F.transform(counts, lambda n: F.greatest(n.cast("double"), F.lit(1.0)))
+    begun = _let(weights, lambda w: _let(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), lambda all_: F.transform(w, lambda x: row(total * x / all_, x, F.lit(False)))))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(5)), begun, lambda rows, _: round_of(rows), lambda rows: F.transform(rows, lambda x: x["s"]))
+    scaled = lambda out: _let(F.aggregate(out, F.lit(0.0), lambda a, x: a + x), lambda sum_: F.when((F.abs(sum_ - total) > 0.001) & (sum_ > 0), F.transform(out, lambda x: x * total / sum_)).otherwise(out))
+    return F.when(F.size(counts) > 0, _let(done, scaled)).otherwise(F.array().cast("array<double>"))
 
-    seconds = F.pandas_udf(spans, "array<double>")(F.transform(pieces, word_count), F.col("end") - F.col("start"))
+
+def distribute_words(parents: DataFrame, pieces: str = "pieces", least: float = 1.0, most: float = 30.0) -> DataFrame:
+    """Parents ``(…, start, end, pieces array<string>)`` to pieces with ``piece_no, piece, piece_start, piece_end``; a single piece keeps the span."""
+    seconds = share_seconds(F.transform(pieces, word_count), F.col("end") - F.col("start"), least, most)
     timed = parents.withColumn("__s", seconds).select(*[c for c in parents.columns if c != pieces], F.posexplode(F.arrays_zip(F.col(pieces).alias("p"), F.col("__s").alias("d"))).alias("piece_no", "__x"), "__s")
     upto = F.aggregate(F.slice("__s", F.lit(1), F.col("piece_no") + 1), F.lit(0.0), lambda a, x: a + x)
     last = F.col("piece_no") == F.size("__s") - 1
@@ -185,7 +207,7 @@ def word_chunks(spoken: list, most_chars: int, most_seconds: float) -> list[tupl
     """``(start, end, text)`` of timed words, cut at the widest pause seen before a limit is passed.
 
     A pause counts once two words stand before it; words kept after such a cut are not weighed again.  Untimed words join
-    those before them and never cause a cut; a chunk that ends in one ends where it starts if nothing else is known.
+    those before them and never cause a cut; a chunk that ends in one ends where it starts if nothing else is known.  The plain form of :func:`spoken_chunks`.
     """
     out, hold, cut, widest = [], [], 0, -1.0
     text_of = lambda part: " ".join(w["word"] or "" for w in part).strip()
@@ -214,16 +236,40 @@ def word_chunks(spoken: list, most_chars: int, most_seconds: float) -> list[tupl
     return out
 
 
-def split_by_words(segments: DataFrame, most_chars: int = 84, most_seconds: float = 5.0) -> DataFrame:
-    """Segments with ``words array<struct<word,start,end>>`` to rows ``(…, piece_no, piece_start, piece_end, piece)``; segments run apart."""
-    ship_package(segments.sparkSession)
+_WORD, _CHUNK = "struct<word:string,start:double,end:double>", "struct<a:double,b:double,t:string>"
+
 
-    def run(spoken: pd.Series) -> pd.Series:
-        return pd.Series([[{"a": a, "b": b, "t": t} for a, b, t in word_chunks([dict(w) if isinstance(w, dict) else w.asDict() for w in (x if x is not None else [])], most_chars, most_seconds)] for x in spoken])
+def spoken_chunks(spoken: Column, most_chars: int = 84, most_seconds: float = 5.0) -> Column:
+    """:func:`word_chunks` of ``array<struct<word,start,end>>``, as ``array<struct<a,b,t>>``: a fold whose state is what is out, what is held, and the widest pause."""
+    text_of = lambda part: strip(F.array_join(F.transform(part, lambda w: F.coalesce(w["word"], F.lit(""))), " "))
+    start_of = lambda part: F.get(F.filter(F.transform(part, lambda w: w["start"]), lambda x: x.isNotNull()), F.lit(0))
+    end_of = lambda part: F.get(part, F.size(part) - 1)["end"]
+    chunk = lambda part: F.struct(start_of(part).alias("a"), F.coalesce(end_of(part), start_of(part)).alias("b"), text_of(part).alias("t"))
+    put = lambda out, part: F.concat(out, F.array(_let(part, chunk)))
+    state = lambda out, hold, cut, widest: F.struct(out.alias("out"), hold.alias("hold"), cut.alias("cut"), widest.alias("widest"))
+    none = state(F.array().cast(f"array<{_CHUNK}>"), F.array().cast(f"array<{_WORD}>"), F.lit(0), F.lit(-1.0))
 
-    chunks = F.pandas_udf(run, "array<struct<a:double,b:double,t:string>>")(F.col("words"))
+    def step(s: Column, w: Column) -> Column:
+        both = F.concat(s["hold"], F.array(w))
+        over = (text_of(s["hold"]) != "") & ((F.length(text_of(both)) > most_chars) | (w["end"] - F.coalesce(start_of(s["hold"]), w["start"]) > most_seconds))
+        stop = F.when(s["cut"] > 1, s["cut"]).otherwise(F.size(s["hold"]))
+        rest = F.concat(F.slice(s["hold"], stop + 1, F.size(s["hold"])), F.array(w))
+        pause = F.coalesce(w["start"] - end_of(s["hold"]), F.lit(-1.0))
+        wider = pause > s["widest"]
+        kept = state(s["out"], both, F.when(wider, F.size(s["hold"])).otherwise(s["cut"]), F.when(wider, pause).otherwise(s["widest"]))
+        closed = state(put(s["out"], F.slice(s["hold"], F.lit(1), stop)), rest, F.lit(0), F.lit(-1.0))
+        untimed = w["start"].isNull() | w["end"].isNull()
+        return F.when(untimed, state(s["out"], both, s["cut"], s["widest"])).when(over, closed).otherwise(kept)
+
+    last = lambda s: F.when(text_of(s["hold"]) != "", put(s["out"], s["hold"])).otherwise(s["out"])
+    given = F.coalesce(spoken.cast(f"array<{_WORD}>"), F.array().cast(f"array<{_WORD}>"))
+    return F.aggregate(given, none, step, last)
+
+
+def split_by_words(segments: DataFrame, most_chars: int = 84, most_seconds: float = 5.0) -> DataFrame:
+    """Segments with ``words array<struct<word,start,end>>`` to rows ``(…, piece_no, piece_start, piece_end, piece)``; segments run apart."""
     keep = [c for c in segments.columns if c != "words"]
-    return segments.select(*keep, F.posexplode(chunks).alias("piece_no", "x")).select(*keep, "piece_no", F.col("x.a").alias("piece_start"), F.col("x.b").alias("piece_end"), F.col("x.t").alias("piece"))
+    return segments.select(*keep, F.posexplode(spoken_chunks(F.col("words"), most_chars, most_seconds)).alias("piece_no", "x")).select(*keep, "piece_no", F.col("x.a").alias("piece_start"), F.col("x.b").alias("piece_end"), F.col("x.t").alias("piece"))
 
 
 def split_proportional(segments: DataFrame, keys: list[str], most_chars: int = 84) -> DataFrame:
@@ -232,15 +278,29 @@ def split_proportional(segments: DataFrame, keys: list[str], most_chars: int = 8
     return timed_pieces(parts, keys, F.length("piece"), F.greatest(F.length("text"), F.lit(1)))
 
 
+def proportional_chunks(text: Column, start: Column, end: Column, most_chars: int = 84) -> Column:
+    """A text cut by words as ``array<struct<a,b,t>>``, pieces timed by their share of its characters; the last ends with it."""
+    total = F.greatest(F.length(text), F.lit(1))
+
+    def timed(pieces: Column) -> Column:
+        share = lambda p: (end - start) * F.length(p) / total
+        upto = lambda i: start + F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0.0), lambda a, p: a + share(p))
+        return F.transform(pieces, lambda p, i: F.struct(F.least(upto(i) - share(p), end).alias("a"), F.when(i == F.size(pieces) - 1, end).otherwise(F.least(upto(i), end)).alias("b"), p.alias("t")))
+
+    return _let(pack_words(text, most_chars), timed)
+
+
 def resegment_asr(segments: DataFrame, keys: list[str], most_chars: int = 84, most_seconds: float = 5.0) -> DataFrame:
-    """Recogniser segments made caption-sized: short ones stay, timed ones split at pauses, others by share of characters."""
-    out = [*keys, "piece_no", "piece_start", "piece_end", "piece"]
+    """Recogniser segments made caption-sized: short ones stay, timed ones split at pauses, others by share of characters.
+
+    Each row picks its rule, so segments are read and taken apart once.
+    """
     fits = (F.length(strip(F.col("text"))) <= most_chars) & (F.col("end") - F.col("start") <= most_seconds)
     timed = (F.size("words") > 0) & F.forall("words", lambda x: x["start"].isNotNull() & x["end"].isNotNull())
-    marked = segments.withColumn("__r", F.when(fits, 0).when(F.coalesce(timed, F.lit(False)), 1).otherwise(2))
-    short = marked.where("`__r` = 0").select(*keys, F.lit(0).alias("piece_no"), F.col("start").alias("piece_start"), F.col("end").alias("piece_end"), strip(F.col("text")).alias("piece"))
-    spoken = split_by_words(marked.where("`__r` = 1"), most_chars, most_seconds).select(*out)
-    return short.unionByName(spoken).unionByName(split_proportional(marked.where("`__r` = 2"), keys, most_chars).select(*out))
+    start, end = F.col("start").cast("double"), F.col("end").cast("double")
+    short = F.array(F.struct(start.alias("a"), end.alias("b"), strip(F.col("text")).alias("t")))
+    pieces = F.when(fits, short).when(F.coalesce(timed, F.lit(False)), spoken_chunks(F.col("words"), most_chars, most_seconds)).otherwise(proportional_chunks(F.col("text"), start, end, most_chars))
+    return segments.select(*keys, F.posexplode(pieces).alias("piece_no", "x")).select(*keys, "piece_no", F.col("x.a").alias("piece_start"), F.col("x.b").alias("piece_end"), F.col("x.t").alias("piece"))
 
 
 def resegment_captions(phrases: DataFrame, keys: list[str], most_chars: int = 300, answers: DataFrame | None = None) -> DataFrame:

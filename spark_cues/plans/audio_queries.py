@@ -66,9 +66,8 @@ def mix_timeline(spark, sf):
     durations = pcm.groupBy("media_id").agg((F.max("chunk_no") * 0.5 + 1).alias("duration"))
     mixed = audio.mix_timeline(clips, durations, 64, 256)
     loud = F.aggregate("samples", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
-    sums = mixed.groupBy("media_id").agg(F.round(F.sum(loud), 2).alias("loudness"), F.sum(F.size("samples")).alias("length"))
-    last = pcm.groupBy("media_id").agg((F.max("chunk_no") * 32 + 64).alias("n_sounding"))
-    return sums.join(last, "media_id").select("media_id", "n_sounding", "loudness", "length")
+    sums = mixed.groupBy("media_id").agg(F.sum("n_sounding").alias("n_sounding"), F.round(F.sum(loud), 2).alias("loudness"), F.sum(F.size("samples")).alias("length"))
+    return sums.select("media_id", "n_sounding", "loudness", "length")
 
 
 @query("g10_peak", f"with {_SAMPLES} select media_id, round(max(abs(x)), 6) as peak, greatest(round(max(abs(x)), 6), 1.0) as scale from s group by media_id")

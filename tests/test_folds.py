@@ -146,3 +146,48 @@ def test_captions_that_fit_stay_and_others_are_measured_collapsed(spark):
     got = folds.split_for_display(rows, ["media_id", "seq"]).orderBy("seq", "piece_no").collect()
     assert [(r["piece"], r["piece_start"], r["piece_end"]) for r in got[:2]] == [("two\nlines here", 0.0, 0.2), ("a" + " " * 200 + "b", 1.0, 2.0)]
     assert len(got) > 3 and " ".join(r["piece"] for r in got[2:]) == " ".join(long.split()) and got[-1]["piece_end"] <= 8.0
+
+
+def test_seconds_of_columns_equal_the_plain_form(spark):
+    rng = random.Random(3)
+    rows = [(k, [rng.choice([0, 1, 2, 9, 40, 300]) for _ in range(rng.randrange(0, 9))], rng.choice([0.0, 0.5, 7.0, 33.3, 200.0])) for k in range(400)]
+    got = spark.createDataFrame(rows, "k int, c array<int>, t double").select("k", folds.share_seconds(F.col("c"), F.col("t")).alias("s")).collect()
+    for r in got:
+        _, counts, total = rows[r["k"]]
+        assert r["s"] == pytest.approx(folds.shared_seconds(counts, total) if counts else [], abs=1e-9)
+
+
+def test_chunks_of_columns_equal_the_plain_form(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(400):
+        clock, said = 0.0, []
+        for _ in range(rng.randrange(0, 30)):
+            length = rng.choice([0.2, 0.5, 2.0, 6.0])
+            said.append((rng.choice(["a", "word", "x" * 40, "", None, "end."]), *((None, None) if rng.random() < 0.1 else (round(clock, 2), round(clock + length, 2)))))
+            clock += length + rng.choice([0.0, 0.1, 0.8])
+        rows.append((k, said))
+    df = spark.createDataFrame(rows, "k int, words array<struct<word:string,start:double,end:double>>")
+    plan = df.select("k", folds.spoken_chunks(F.col("words"), 60, 5.0).alias("x"))
+    assert "Python" not in plan._jdf.queryExecution().toString()
+    for r in plan.collect():
+        assert [tuple(c) for c in r["x"]] == folds.word_chunks([word(*w) for w in rows[r["k"]][1]], 60, 5.0)
+    assert spark.createDataFrame([(None,)], "words array<struct<word:string,start:double,end:double>>").select(folds.spoken_chunks(F.col("words")).alias("x")).first()["x"] == []
+
+
+def test_segments_pick_their_rule(spark):
+    timed = [(f"w{i}", i * 0.4, i * 0.4 + 0.3) for i in range(40)]
+    rows = [(1, 0.0, 3.0, " short ", timed), (2, 0.0, 16.0, " ".join(w for w, *_ in timed), timed), (3, 10.0, 30.0, "many words " * 20, [("a", None, None)]), (4, 0.0, 9.0, "", None), (5, 1.0, 9.0, "abc", None)]
+    df = spark.createDataFrame(rows, "k int, start double, end double, text string, words array<struct<word:string,start:double,end:double>>")
+    got = {}
+    for r in folds.resegment_asr(df, ["k"]).orderBy("k", "piece_no").collect():
+        got.setdefault(r["k"], []).append((r["piece_start"], r["piece_end"], r["piece"]))
+    assert got[1] == [(0.0, 3.0, "short")] and got[5] == [(1.0, 9.0, "abc")] and 4 not in got
+    assert got[2] == folds.word_chunks([word(*w) for w in timed], 84, 5.0)
+    pieces = plain_pack(rows[2][3].split(), 84)
+    at, want = 10.0, []
+    for k, p in enumerate(pieces):
+        d = 20.0 * len(p) / len(rows[2][3])
+        want.append((at, 30.0 if k == len(pieces) - 1 else at + d, p))
+        at += d
+    assert [p for *_, p in got[3]] == pieces and all(a == pytest.approx(b) for g, w in zip(got[3], want, strict=True) for a, b in zip(g[:2], w[:2], strict=True))

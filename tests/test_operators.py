@@ -1,6 +1,9 @@
 import math
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from spark_cues.operators import audio, intervals, models, phrases, reconcile, rollups, selection
 
 CUES = "media_id long, track string, seq long, idx string, start double, end double, text string"
@@ -235,3 +238,20 @@ def test_terms_keep_their_first_spelling_and_order(spark):
     rows = spark.createDataFrame([(1, ["b", " A", "a", None, "", "B ", "c", "d"]), (2, []), (3, None), (4, [" "])], "k long, terms array<string>")
     got = {r["k"]: r["terms"] for r in rollups.dedup_terms(rows, ["k"], "terms", 3).collect()}
     assert got == {1: ["b", "A", "c"]}
+
+
+@pytest.mark.parametrize(("frame", "chunk"), [(5, 16), (7, 4), (16, 16), (40, 16), (3, 1)])
+def test_frames_over_chunk_edges_equal_plain_ones(spark, frame, chunk):
+    rng = random.Random(frame)
+    media = {m: [rng.uniform(-1, 1) for _ in range(n)] for m, n in ((0, 61), (1, 3), (2, 80), (3, 0))}
+    rows = [(m, k, 8, x[k * chunk : (k + 1) * chunk]) for m, x in media.items() for k in range(max(1, -(-len(x) // chunk)))]
+    got = {(r["media_id"], r["frame_no"]): r["rms"] for r in audio.frame_rms(spark.createDataFrame(rows, "media_id long, chunk_no long, sample_rate int, samples array<double>"), frame, chunk).collect()}
+    want = {(m, f): math.sqrt(sum(v * v for v in x[f * frame : (f + 1) * frame]) / frame) for m, x in media.items() for f in range(len(x) // frame)} | {(m, 0): 0.0 for m, x in media.items() if len(x) < frame}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_many_clips_on_one_place_are_added_as_blocks(spark):
+    clips = spark.range(3000).select(F.lit(1).cast("long").alias("media_id"), F.lit(0.5).alias("start"), F.array_repeat(F.lit(0.0001), 10).alias("samples")).repartition(6)
+    got = audio.mix_timeline(clips, spark.createDataFrame([(1, 2.0)], "media_id long, duration double"), 10, 8, tail_ms=0).orderBy("chunk_no").collect()
+    assert [round(x, 4) for r in got for x in r["samples"]] == [0.0] * 5 + [0.3] * 10 + [0.0] * 5
+    assert [r["n_sounding"] for r in got] == [3, 7, 0]
