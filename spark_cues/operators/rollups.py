@@ -108,22 +108,30 @@ def oversize(cues: DataFrame) -> DataFrame:
     return cues.withColumns({"asr": (chars > 84) | (seconds > 5.0), "caption": chars > 300, "display": F.length(F.regexp_replace("text", "\n", " ")) > 120})
 
 
-def artifact_validity(artifacts: DataFrame, least: int = 1024, required: dict[str, list[str]] | None = None) -> DataFrame:
+def artifact_validity(artifacts: DataFrame, least: int = 1024, required: dict[str, list[str]] | None = None, listing: DataFrame | None = None) -> DataFrame:
     """``valid``: media by size, SRT by a timestamp arrow, JSON by parsing; the stage's kind is its path's ending.
 
     The arrow and the JSON are looked for in the whole ``content`` where the table has it, else in ``head``.  ``required`` names,
-    for a stage, the keys that its JSON must hold if it is an object; the stage ``thumbs`` must be a list that isn't empty.
+    for a stage, the keys that its JSON must hold if it is an object; the stage ``thumbs`` must be a list that isn't empty, and with a
+    ``listing (path)`` of the files there are, one of its entries must name such a file.
     """
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     body = F.col("content" if "content" in artifacts.columns else "head")
-    arrow = F.regexp_like(body, F.lit(r"\d{2}:\d{2}:\d{2},\d{3}\s*-->"))
+    # Fixed value: a stamp, an arrow and a stamp.
+    arrow = F.regexp_like(body, F.lit(r"\d{2}:\d{2}:\d{2},\d{3}\s*-->\s*\d{2}:\d{2}:\d{2},\d{3}"))
     parsed, stage = F.try_parse_json(body).isNotNull(), F.col("stage") if "stage" in artifacts.columns else F.lit("")
     for name, keys in (required or {}).items():
         lacks = F.size(F.array_except(F.lit(keys), F.json_object_keys(body))) > 0
         parsed = parsed & ~((stage == name) & F.coalesce(lacks, F.lit(False)))
     parsed = parsed & ((stage != "thumbs") | (F.coalesce(F.json_array_length(body), F.lit(0)) > 0))
     valid = F.when(kind == "srt", arrow).when(kind == "json", parsed).otherwise(F.col("bytes") >= least)
-    return artifacts.withColumn("valid", F.coalesce(valid, F.lit(False)))
+    if listing is None:
+        return artifacts.withColumn("valid", F.coalesce(valid, F.lit(False)))
+    # The paths that lists name meet the files there are; a list with one hit is kept by its own path.
+    named = artifacts.where("stage = 'thumbs'").select(F.col("path").alias("__list"), F.explode(F.from_json(body, "array<struct<path:string>>")["path"]).alias("__file"))
+    there = named.join(listing.select(F.col("path").alias("__file")), "__file", "left_semi").select(F.col("__list").alias("__p")).distinct()
+    seen = artifacts.join(there, F.col("path") == F.col("__p"), "left")
+    return seen.withColumn("valid", F.coalesce(valid & ((stage != "thumbs") | F.col("__p").isNotNull()), F.lit(False))).drop("__p")
 
 
 def track_readiness(artifacts: DataFrame, stages: list[str]) -> DataFrame:

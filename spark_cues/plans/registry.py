@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import audio_queries, cue_queries, media_queries, stream_queries, text_queries  # noqa: F401
+    from . import audio_queries, cue_queries, media_queries, project_queries, stream_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -57,6 +57,49 @@ def artifact_layout(media: DataFrame, languages: DataFrame) -> DataFrame:
     return shared.unionByName(scoped.select("media_id", "slug", "lang", "stage", F.concat_ws("/", "slug", "lang", "file").alias("path")))
 
 
+# The thirteen artefacts of a project, whether they depend on the language, and where they lie in it.
+ARTEFACTS = (
+    ("video", False, "source/video.mp4"), ("audio", False, "source/audio.mp3"), ("video_meta", False, "source/video_meta.json"), ("source_srt", False, "transcription/source.srt"), ("source_raw_srt", False, "transcription/source.raw.srt"),
+    ("translated_raw_srt", True, "transcription/translated.raw.srt"), ("final_srt", True, "subtitles/translated.srt"), ("thumbs_meta", False, "thumbnails/meta.json"), ("description", False, "analysis/description.json"), ("final_audio", True, "tts/dubbed.wav"),
+    ("final_video", True, "tts/dubbed.mp4"), ("profile_voice", True, "voice_profile/voice.wav"), ("profile_script", True, "voice_profile/script.txt"),
+)
+
+
+def project_artefacts(tracks: DataFrame, base: str) -> DataFrame:
+    """``(media_id, lang, stage, path)`` of all thirteen artefacts of ``tracks (media_id, slug, lang)``; shared ones have one path in all languages, and a track without a language keeps all in its root."""
+    stages = F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(x).alias("scoped"), F.lit(p).alias("file")) for s, x, p in ARTEFACTS])
+    each = tracks.select("media_id", "lang", "slug", F.explode(stages).alias("s")).select("media_id", "lang", "slug", "s.*")
+    place = F.when(F.col("scoped") & F.col("lang").isNotNull(), F.concat(F.lit("/lang/"), "lang")).otherwise("")
+    return each.select("media_id", "lang", "stage", F.concat(F.lit(f"{base.rstrip('/')}/projects/"), "slug", place, F.lit("/"), "file").alias("path"))
+
+
+def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """``(path, bytes, modified)`` of every file below ``root``; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def write_language_table(rows: DataFrame, name: str, path: str, order: str = "seq", buckets: int = 64) -> DataFrame:
+    """Save rows of ``(media_id, lang, …)`` as table ``name`` at ``path``: a folder a language, bucketed by medium and sorted in it.
+
+    Written again, the table's languages among ``rows`` are replaced and its others stay.  A reader of one language opens only its
+    files, and two such tables with as many buckets join, and aggregate, by medium without an exchange.
+    """
+    spark = rows.sparkSession
+    placed = rows.select(*[c for c in rows.columns if c != "lang"], "lang").repartition(buckets, "media_id")
+    if not spark.catalog.tableExists(name):
+        placed.write.format("parquet").option("path", path).partitionBy("lang").bucketBy(buckets, "media_id").sortBy("media_id", order).saveAsTable(name)
+    else:
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        before = spark.conf.get(mode)
+        spark.conf.set(mode, "dynamic")
+        try:
+            placed.select(*spark.table(name).columns).write.mode("overwrite").insertInto(name)
+        finally:
+            spark.conf.set(mode, before)
+    return spark.table(name)
+
+
 def voice_profiles(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Profiles ``(name, voice, script)`` of listed files ``(path)``, and the names that lack a voice or a script.
 
