@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, word_count
+from ..runtime import ship_package
 from .ranges import WIDTH, with_neighbours
 
 KEY = ("media_id",)
@@ -50,28 +56,65 @@ def reference_cue(cues: DataFrame, least: float = 0.5, most: float = 10.0, chars
     return best.select("media_id", "x.*")
 
 
-def best_clone_window(cues: DataFrame, least: float = 20.0, most: float = 60.0, words: int = 20) -> DataFrame:
+def best_clone_window(cues: DataFrame, least: float = 20.0, most: float = 60.0, words: int = 20, width: int = WIDTH) -> DataFrame:
     """``(media_id, i, j, n_words)``: the run of cues spanning ``least`` to ``most`` seconds with most words; earliest on ties.
 
-    From a first cue the run grows until its span first exceeds ``most``.  Runs are found by an interval join within
-    buckets of ``most`` seconds, so only neighbouring cues meet.
+    From a first cue the run grows until its span first exceeds ``most``.  Cues stream by in order past the queue of first cues
+    whose runs are still open, so no pairs are made.  A long medium whose times never go back is cut in ranges of ``width`` cue
+    numbers, each with the next one's first cues lent to it; others stay in one piece, as a stream.
     """
-    w = _ordered()
-    numbered = cues.select("media_id", "seq", "start", "end", word_count(F.col("text")).cast("bigint").alias("n")).withColumn("total", F.sum("n").over(w))
-    bucket = lambda c: F.floor(F.col(c) / most).cast("bigint")
-    left = numbered.select("media_id", F.col("seq").alias("i"), F.col("start").alias("from"), (F.col("total") - F.col("n")).alias("before"), F.explode(F.sequence(bucket("start") - 1, bucket("start") + 1)).alias("b"))
-    right = numbered.select("media_id", F.col("seq").alias("j"), "end", "total", bucket("end").alias("b"))
-    pairs = left.join(right, ["media_id", "b"]).where("j >= i").withColumn("span", F.round(F.col("end") - F.col("from"), 6)).where(F.col("span").between(least, most))
-    # The first later cue beyond the span ends a run; only media whose ends go back can have later ones within it.
-    uneven = numbered.withColumn("d", F.col("end") - F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))).where("d < 0").select("media_id").distinct()
-    odd = numbered.join(uneven, "media_id", "left_semi")
-    over = odd.alias("a").join(odd.alias("b"), "media_id").where(F.expr(f"b.seq >= a.seq and b.end - a.start > {most}")).groupBy("media_id", F.col("a.seq").alias("i")).agg(F.min("b.seq").alias("stop"))
-    runs = pairs.join(over, ["media_id", "i"], "left").where("stop is null or j < stop").withColumn("n_words", F.col("total") - F.col("before"))
+    ship_package(cues.sparkSession)
+    counted = cues.select("media_id", "seq", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), word_count(F.col("text")).cast("bigint").alias("n"))
+    near = with_neighbours(counted, list(KEY), "seq", lag=["start", "end"], width=width)
+    back = F.coalesce((F.col("start") < F.col("before.start")) | (F.col("end") < F.col("before.end")), F.lit(False))
+    rows = near.withColumn("back", back).drop("before", "after")
+    ranges = rows.groupBy("media_id", "__b").agg(F.min("start").alias("lo"), F.max("start").alias("hi"), F.bool_or("back").alias("back"))
+    w = Window.partitionBy("media_id").orderBy("__b")
+    # A range must span a run at least, so that none reaches past the next range.
+    beside = ranges.withColumns({"left": F.lag("hi").over(w), "inner": F.lead("__b").over(w).isNotNull()}).withColumn("bad", F.col("back") | (F.col("inner") & (F.col("hi") - F.col("lo") < most)))
+    whole = beside.withColumn("one", F.max("bad").over(Window.partitionBy("media_id"))).select(F.col("media_id").alias("m"), F.col("__b").alias("b"), F.lag("__b").over(w).alias("prev"), "left", "one")
+    known = rows.join(whole, (F.col("media_id") == F.col("m")) & (F.col("__b") == F.col("b")))
+    own = F.struct(F.when(F.col("one"), 0).otherwise(F.col("b")).alias("part"), F.lit(False).alias("lent"))
+    lent = F.when(~F.col("one") & (F.col("end") <= F.col("left") + most), F.struct(F.col("prev").alias("part"), F.lit(True).alias("lent")))
+    dealt = known.withColumn("p", F.explode(F.array_compact(F.array(own, lent)))).select("media_id", F.col("p.part").cast("bigint").alias("part"), F.col("p.lent").alias("lent"), "seq", "start", "end", "n")
+    runs = dealt.repartition("media_id", "part").sortWithinPartitions("media_id", "part", "seq").mapInPandas(_best_runs(least, most), "media_id bigint, i bigint, j bigint, n_words bigint")
     best = runs.groupBy("media_id").agg(F.min_by(F.struct("i", "j", "n_words"), F.struct(-F.col("n_words"), "i", "j")).alias("x")).select("media_id", "x.*").where(F.col("n_words") >= words)
     span = cues.groupBy("media_id").agg((F.max_by("end", "seq") - F.min_by("start", "seq")).alias("span")).where(F.col("span") >= least)
     return best.join(span.select("media_id"), "media_id", "left_semi")
 
 
+def _best_runs(least: float, most: float):
+    """The best run of each part.  Open first cues stand in a queue by number, and in a heap by start, from which an end beyond their span takes them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, queue, starts, gone, total, best = None, deque(), [], set(), 0, None
+        for batch in batches:
+            out = []
+            for medium, part, lent, seq, start, end, n in zip(*(batch[c].tolist() for c in ("media_id", "part", "lent", "seq", "start", "end", "n")), strict=True):
+                if (medium, part) != at:
+                    if best:
+                        out.append((at[0], best[1], best[2], -best[0]))
+                    at, queue, starts, gone, total, best = (medium, part), deque(), [], set(), 0, None
+                if not lent:
+                    queue.append((seq, start, total))
+                    heapq.heappush(starts, (start, seq))
+                total += n
+                while starts and round(end - starts[0][0], 6) > most:
+                    gone.add(heapq.heappop(starts)[1])
+                while queue and queue[0][0] in gone:
+                    gone.discard(queue.popleft()[0])
+                # Words only grow with the run, so the first open cue that is early enough has the most.
+                first = next((q for q in queue if q[0] not in gone and round(end - q[1], 6) >= least), None)
+                if first:
+                    found = (first[2] - total, first[0], seq)
+                    best = found if best is None or found < best else best
+            yield pd.DataFrame(out, columns=["media_id", "i", "j", "n_words"])
+        if best:
+            yield pd.DataFrame([(at[0], best[1], best[2], -best[0])], columns=["media_id", "i", "j", "n_words"])
+
+    return run
+
+
 def thumbs_for_range(ranges: DataFrame, thumbs: DataFrame, width: float = 300.0) -> DataFrame:
     """Thumbnails within ``[range_start, range_end]``, ends included; ranges meet thumbnails in buckets of ``width`` seconds."""
     low, high = F.floor(F.col("range_start") / width), F.floor(F.col("range_end") / width)

@@ -63,12 +63,10 @@ def bench_summary(runs: DataFrame) -> DataFrame:
 
 def dedup_terms(lists: DataFrame, keys: list[str], terms: str, cap: int) -> DataFrame:
     """Terms trimmed, blanks and repeats (any case) dropped, first ones kept in order, at most ``cap``."""
-    trimmed = F.transform(terms, lambda t, i: F.struct(F.lower(F.trim(t)).alias("low"), i.alias("pos"), F.trim(t).alias("term")))
-    # Sorted by term, then place, a first mention is one whose predecessor is another term: no shuffle, and no comparison of all pairs.
-    by_term = F.array_sort(F.filter(trimmed, lambda x: x["term"] != ""))
-    first = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["low"] != x["low"]))
-    in_order = F.array_sort(F.transform(F.transform(F.array(by_term), first)[0], lambda x: F.struct(x["pos"].alias("pos"), x["term"].alias("term"))))
-    kept = F.transform(F.slice(in_order, 1, cap), lambda x: x["term"])
+    low = F.transform(terms, lambda t: F.lower(F.trim(t)))
+    # Distinct values keep their first places; the spelling is that of the first place, looked up for those kept alone.
+    spelt = lambda x: F.transform(F.slice(F.array_distinct(F.filter(x["low"], lambda t: t != "")), 1, cap), lambda t: F.trim(F.get(x["terms"], (F.array_position(x["low"], t) - 1).cast("int"))))
+    kept = F.transform(F.array(F.struct(low.alias("low"), F.col(terms).alias("terms"))), spelt)[0]
     return lists.select(*keys, kept.alias(terms)).where(F.size(terms) > 0)
 
 

@@ -102,3 +102,29 @@ def test_gaps_and_phrases(spark, width):
     got = phrases.phrase_groups(cues, width=width).select("media_id", "seq", "phrase_no").collect()
     assert sorted(map(tuple, got)) == want
     assert sorted(map(tuple, phrases.merge_phrases(cues, width=width).collect())) == sorted(map(tuple, phrases.merge_phrases(cues).collect()))
+
+
+def plain_window(rows, least=20.0, most=60.0, words=20):
+    out = {}
+    for m in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == m), key=lambda r: r[2])
+        best = None
+        for a in range(len(own)):
+            n = 0
+            for b in range(a, len(own)):
+                span, n = round(own[b][4] - own[a][3], 6), n + len(own[b][5].split())
+                if span > most:
+                    break
+                if span >= least and (best is None or n > best[2]):
+                    best = (own[a][2], own[b][2], n)
+        if best and best[2] >= words and own[-1][4] - own[0][3] >= least:
+            out[m] = best
+    return out
+
+
+@pytest.mark.parametrize(("width", "back"), [(30, False), (8, False), (20, True), (100_000, False)])
+def test_clone_windows_equal_all_pairs(spark, width, back):
+    for seed in (1, 2):
+        rows = [(*r[:5], " ".join(["w"] * (hash((seed, r[2])) % 7))) for r in media(seed, back, count=400)]
+        got = intervals.best_clone_window(spark.createDataFrame(rows, CUES).repartition(5), width=width, words=3)
+        assert {r["media_id"]: (r["i"], r["j"], r["n_words"]) for r in got.collect()} == plain_window(rows, words=3)
