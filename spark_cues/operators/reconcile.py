@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_llm_text, range_index, safe_edit, strip
+from ..functions.text import clean_llm_text, loose_json, range_index, safe_edit, strip
+from ..sources.srt import parse_srt, sanitize_srt
 
 KEY = ["media_id", "track"]
 ANSWER = "array<struct<index:string,text:string>>"
@@ -13,8 +14,6 @@ ANSWER = "array<struct<index:string,text:string>>"
 
 def answer_rows(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """Responses to rows ``(…, pos, idx, text)``; unusable JSON gives none."""
-    from ..functions.text import loose_json
-
     items = F.from_json(loose_json(F.col(raw)), ANSWER)
     keep = [c for c in responses.columns if c != raw]
     return responses.select(*keep, F.posexplode(items).alias("pos", "x")).select(*keep, F.col("pos").cast("bigint").alias("pos"), F.col("x.index").alias("idx"), F.col("x.text").alias("text"))
@@ -68,6 +67,25 @@ def srt_fallback(cues: DataFrame, answers: DataFrame, keys: list[str] = KEY) ->
     return both.withColumn("text", F.when(strip(F.col("__new")) != "", strip(F.col("__new"))).otherwise(F.col("text"))).select(*cues.columns)
 
 
+def translated_batches(cues: DataFrame, responses: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, from_seq, idx, start, end, text, source)``: each batch by its response's JSON, else by SRT in it, else as it was.
+
+    ``keys`` name a batch; ``responses (*keys, raw)`` are what models returned, one a batch.  A response is JSON if it holds a list with an
+    entry, whatever the entry; it is SRT if a caption can be read from it once cleaned.  ``source`` says which (json, srt, original); batches without a
+    response stay as they were.
+    """
+    marked = responses.withColumn("__json", F.size(F.from_json(loose_json(F.col("raw")), ANSWER)) > 0)
+    other = responses.where(~F.coalesce(F.size(F.from_json(loose_json(F.col("raw")), ANSWER)) > 0, F.lit(False))).select(*keys, F.col("raw").alias("text"))
+    captions = parse_srt(sanitize_srt(other, keys)).select(*keys, F.col("seq").alias("pos"), "idx", clean_llm_text(F.col("text")).alias("text"))
+    kinds = marked.where("__json").select(*keys, F.lit("json").alias("source")).unionByName(captions.select(*keys, F.lit("srt").alias("source")).distinct())
+    known = cues.join(kinds, keys, "left").withColumn("source", F.coalesce("source", F.lit("original")))
+    columns = [*keys, "from_seq", "idx", "start", "end", "text", "source"]
+    by_json = apply_translations(known.where("source = 'json'"), answer_rows(responses.select(*keys, "raw")), keys).withColumn("source", F.lit("json"))
+    by_srt = srt_fallback(known.where("source = 'srt'"), captions, keys).withColumn("from_seq", F.col("seq"))
+    as_were = known.where("source = 'original'").withColumn("from_seq", F.col("seq"))
+    return by_json.select(*columns).unionByName(by_srt.select(*columns)).unionByName(as_were.select(*columns))
+
+
 def apply_refinements(segments: DataFrame, lines: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """``[i] text`` lines by position from 0; the last wins, empty ones are ignored; words go with the old text."""
     pattern = r"^\s*\[(\d+)\]\s*(.*)$"

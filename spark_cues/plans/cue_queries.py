@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.dimensions import LANGUAGES, values_sql
 from ..functions.dimensions import languages as language_table
-from ..operators import folds, intervals, phrases, reconcile, rollups, selection
+from ..operators import documents, folds, intervals, phrases, reconcile, rollups, selection
+from ..sources import srt
 from . import fixtures as fx
 from .registry import query
 
@@ -462,3 +463,41 @@ def media_without_cues(spark, sf):
     """Gaps where only English media have captions: the others are one gap each."""
     durations = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("media_id"), (F.col("n_chars") / 5.0).alias("duration"))
     return intervals.find_gaps(fx.cues(spark, sf).where("lang = 'en'"), durations).withColumns(R3("gap_start", "gap_end"))
+
+
+def _raw_documents(spark, sf):
+    """Captions of each document as one SRT text, as a model returns it."""
+    return srt.srt_documents(fx.cues(spark, sf), ["media_id"]).select("media_id", F.concat(F.lit("```srt\n"), "srt", F.lit("```\n")).alias("text"))
+
+
+@query("f09_resegment_documents")
+def resegment_documents(spark, sf):
+    """SRT text in, SRT text of whole phrases out."""
+    return documents.resegment_documents(_raw_documents(spark, sf), ["media_id"])
+
+
+@query("f10_display_documents")
+def display_documents(spark, sf):
+    """SRT texts of long captions made fit for display."""
+    docs = srt.srt_documents(fx.long_cues(spark, sf), ["media_id"])
+    return documents.split_documents_for_display(docs, "srt").select("media_id", "was_cut", "display")
+
+
+_BATCHES = f"""{fx.CUES_SQL}, b as (select *, seq // 24 as batch_id, seq % 24 as pos, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') as up from cues)"""
+
+
+@query(
+    "j05_translated_batches",
+    f"""with {_BATCHES} select media_id, batch_id, seq as from_seq, idx, round(start, 3) as start, round("end", 3) as "end", case when batch_id % 4 = 2 or (batch_id % 4 = 0 and pos % 7 = 3) then text else up end as text,
+      case batch_id % 4 when 2 then 'original' when 1 then 'srt' else 'json' end as source from b""",
+)
+def translated_batches(spark, sf):
+    """Batches answered by JSON that skips some entries, by SRT, by nothing usable, and by JSON in a fence."""
+    c = fx.cues(spark, sf).withColumn("batch_id", F.floor(F.col("seq") / 24))
+    keys = ["media_id", "batch_id"]
+    said = c.withColumn("text", fx.upper("text"))
+    lists = reconcile.entries_json(said.where("batch_id % 4 in (0, 3) and not (batch_id % 4 = 0 and seq % 24 % 7 = 3)"), keys).select(*keys, F.concat(F.lit("Here it is:\n```json\n"), "entries", F.lit("\n```\n")).alias("raw"))
+    texts = srt.srt_documents(said.where("batch_id % 4 = 1"), keys).select(*keys, F.col("srt").alias("raw"))
+    refused = c.where("batch_id % 4 = 2").select(*keys).distinct().withColumn("raw", F.lit("I can't do that."))
+    out = reconcile.translated_batches(c, lists.unionByName(texts).unionByName(refused), keys)
+    return out.withColumns(R3("start", "end"))
