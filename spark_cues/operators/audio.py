@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -224,6 +224,32 @@ def recover_gaps(cues: DataFrame, gaps: DataFrame, recovered: DataFrame) -> Data
     return order_merge(cues.select("media_id", "seq", "start", "end", "text"), moved.select("media_id", "seq", "start", "end", "text"), keys=["media_id"])
 
 
+def validate_transcription(cues: DataFrame, pcm: DataFrame, durations: DataFrame, chunk: int, make: Callable[[], Callable] | None = None, threshold: float = 5.0, share: float = 0.3) -> DataFrame:
+    """``(media_id, seq, start, end, text, modified)``: cues with what ``make()`` recognises in the gaps that sound like speech.
+
+    Gaps longer than ``threshold`` are measured beside the medium's reference cue; those with over ``share`` of its level and a speech-like
+    rate of sign changes go to the hook, a row ``(media_id, range_no, start, end)`` each, which gives segments on the gap's own clock.
+    Media without such gaps, without a reference or with a silent one, and all if there is no hook, keep their cues.
+    """
+    from .intervals import find_gaps, reference_cue
+    from .models import map_recognise
+
+    gaps = find_gaps(cues, durations, threshold).select("media_id", F.col("gap_start").alias("start"), F.col("gap_end").alias("end"))
+    gaps = gaps.withColumn("range_no", (F.row_number().over(Window.partitionBy("media_id").orderBy("start")) - 1).cast("bigint"))
+    # The reference is one more range of its medium, so that samples are read once.
+    measured = gaps.unionByName(reference_cue(cues).select("media_id", "start", "end", F.lit(-1).cast("bigint").alias("range_no")))
+    found = range_features(pcm, measured, chunk)
+    spoken = speech_band(found.where("range_no >= 0"), found.where("range_no = -1").select("media_id", F.col("rms").alias("ref_rms")), share)
+    asked = gaps.join(spoken.select("media_id", "range_no"), ["media_id", "range_no"], "left_semi")
+    own = cues.select("media_id", "seq", "start", "end", "text")
+    if make is None:
+        return own.withColumn("modified", F.lit(False))
+    heard = map_recognise(asked.select("media_id", "range_no", "start", "end"), make).select("media_id", "range_no", F.explode("segments").alias("s")).select("media_id", "range_no", "s.start", "s.end", "s.text")
+    changed = heard.select("media_id").distinct().withColumn("__m", F.lit(True))
+    merged = recover_gaps(own, gaps, heard).join(changed, "media_id", "left")
+    return merged.select("media_id", "seq", "start", "end", "text", F.coalesce("__m", F.lit(False)).alias("modified"))
+
+
 def mix_background(dub: DataFrame, background: DataFrame, volume: float) -> DataFrame:
     """``dub + volume * background`` by chunk; the dub's length holds."""
     other = background.select("media_id", "chunk_no", F.col("samples").alias("__b"))

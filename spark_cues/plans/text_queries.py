@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import reconcile
+from ..operators import intervals, reconcile, requests
 from ..sources import srt
 from . import fixtures as fx
 from .registry import query
@@ -244,3 +244,30 @@ def sanitize_srt(spark, sf):
 def cut_text(spark, sf):
     docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("media_id"), "text")
     return docs.select("media_id", X.cut_text(F.col("text"), 500, "…").alias("brief"), X.cut_text(F.col("text"), 4000).alias("sample"))
+
+
+_ASKED = f"""{fx.CUES_SQL}, {fx.THUMBS_SQL}, n as (select media_id, count(*) as n from cues group by media_id),
+  main as (select media_id, seq // 24 as batch_id, cast(to_json(list(struct_pack(index := idx, text := text, target_words := cast(greatest(4, round_even(("end" - start) * 3.0 * 0.85, 0)) as integer)) order by seq)) as varchar) as main, min(start) as a, max("end") as z from cues group by all),
+  before as (select media_id, seq // 24 + 1 as batch_id, string_agg(idx || ': "' || text || '"', chr(10) order by seq) as t from cues join n using (media_id) where seq % 24 >= 20 and (seq // 24 + 1) * 24 < n group by all),
+  after as (select media_id, seq // 24 - 1 as batch_id, string_agg(idx || ': "' || text || '"', chr(10) order by seq) as t from cues where seq % 24 < 4 and seq >= 24 group by all),
+  near as (select m.media_id, m.batch_id, i, row_number() over w - 1 as k, count(*) over (partition by m.media_id, m.batch_id) as c from main m join thumbs t on t.media_id = m.media_id and seconds between a and z window w as (partition by m.media_id, m.batch_id order by seconds)),
+  pics as (select media_id, batch_id, string_agg('[' || i || '] seen', chr(10) order by k) as said, count(*) as n_images from near where c <= 4 or k in (0, cast(floor(c / 4.0) as bigint), cast(floor(2 * c / 4.0) as bigint), cast(floor(3 * c / 4.0) as bigint)) group by all)"""
+_ABOUT = "'About this video:' || chr(10) || 'Keywords: k' || (doc_id % 7) || chr(10) || 'Title: t' || doc_id || chr(10) || 'Description: ' || case when length(text) > 500 then substr(text, 1, 500) || '…' else text end || chr(10) || 'Channel: ' || source || chr(10) || 'Tags: ' || array_to_string(string_split(text, ' ')[1:15], ', ')"
+
+
+@query(
+    "x20_translation_requests",
+    f"""with {_ASKED} select m.media_id, m.batch_id, {_ABOUT} || case when p.said is null then '' else chr(10) || 'Screenshots:' || chr(10) || p.said end || chr(10)
+      || 'Translate the entries into French for dubbing, close to their target_words. Return a JSON array of index and text, in order.' || chr(10) || chr(10)
+      || coalesce('## Before (context only, not to be returned)' || chr(10) || b.t || chr(10) || chr(10), '') || '## Entries' || chr(10) || main || coalesce(chr(10) || chr(10) || '## After (context only, not to be returned)' || chr(10) || f.t, '') as said, coalesce(n_images, 0) as n_images
+    from main m join documents d on doc_id = m.media_id left join pics p using (media_id, batch_id) left join before b using (media_id, batch_id) left join after f using (media_id, batch_id)""",
+)
+def translation_requests(spark, sf):
+    """Whole translation requests: context, images, and entries between their neighbours."""
+    c = intervals.batch_with_context(fx.cues(spark, sf)).withColumn("target_words", X.word_budget(F.col("end") - F.col("start"), F.lit(3.0)))
+    none = F.lit(None).cast("string")
+    media = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("media_id"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("description"), none.alias("channel"), F.col("source").alias("uploader"), F.split("text", " ", -1).alias("tags"), F.array(F.concat(F.lit("k"), (F.col("doc_id") % 7).cast("string"))).alias("keywords"), F.array().cast("array<string>").alias("keypoints"))
+    thumbs = fx.thumbs(spark, sf).select("media_id", "seconds", F.col("i").cast("string").alias("timestamp"), F.lit("seen").alias("reason"), F.concat(F.lit("data:image/jpeg;base64,"), F.col("i").cast("string")).alias("url"))
+    asked = requests.translation_requests(c, media, thumbs, F.lit("Translate to French."), "French")
+    flat = asked.select("media_id", "batch_id", reconcile.flatten_messages(F.get("messages", F.lit(1))["content"]).alias("m"))
+    return flat.select("media_id", F.col("batch_id").cast("bigint").alias("batch_id"), F.col("m.text").alias("said"), F.size("m.images").cast("bigint").alias("n_images"))
