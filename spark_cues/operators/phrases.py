@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ends_sentence, strip
-from .ranges import WIDTH, running_sum, with_neighbours
+from .ranges import WIDTH, numbered_groups
 
 KEY = ["media_id", "track"]
 
@@ -22,10 +22,11 @@ def phrase_groups(cues: DataFrame, gap: float = 2.0, keys: list[str] = KEY, widt
 
     A long medium is numbered in ranges of ``width`` cue numbers, on top of the phrases that the ranges before it begin.
     """
-    near = with_neighbours(cues.withColumn("__t", strip(F.col("text"))), list(keys), "seq", lag=["__t", "end"], width=width)
-    said = F.col("before.__t")
-    begins = said.isNull() | ends_sentence(said) | (F.round(F.col("start") - F.col("before.end"), 6) > gap)
-    return running_sum(near.withColumn("__s", begins.cast("int")), list(keys), "seq", F.col("__s"), "phrase_no", width).select(*cues.columns, "phrase_no")
+    def begins(row, last):
+        return last.isNull() | ends_sentence(last["__t"]) | (F.round(row["start"] - last["end"], 6) > gap) | last["__t"].isNull()
+
+    said = cues.withColumn("__t", strip(F.col("text")))
+    return numbered_groups(said, list(keys), "seq", ["start"], ["__t", "end"], begins, "phrase_no", width).drop("__t")
 
 
 def merge_phrases(cues: DataFrame, gap: float = 2.0, keys: list[str] = KEY, width: int = WIDTH) -> DataFrame:

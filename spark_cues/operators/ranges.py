@@ -45,15 +45,23 @@ def with_neighbours(df: DataFrame, keys: list[str], order: str, lag: list[str] =
     return both.select(*df.columns, "__b", F.coalesce("__before", "__left").alias("before"), F.coalesce("__after", "__right").alias("after"))
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str, width: float = WIDTH) -> DataFrame:
-    """``df`` with ``name``, the sum of ``value`` up to each row: sums within a range, on top of the ranges before it."""
-    ranged = df.withColumn("__b", range_of(order, width)).withColumn("__v", value)
-    inner = F.sum("__v").over(Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    sums = ranged.groupBy(*keys, "__b").agg(F.sum("__v").alias("__s"))
-    so_far = F.sum("__s").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    base = sums.select(*keys, "__b", F.coalesce(so_far, F.lit(0)).alias("__base"))
-    rows = _beside(ranged.withColumn("__inner", inner), base, [*keys, "__b"])
-    return rows.select(*[c for c in df.columns if c != "__b"], (F.col("__inner") + F.col("__base")).alias(name))
+def numbered_groups(df: DataFrame, keys: list[str], order: str, own: list[str], before: list[str], begins: Callable[[Column, Column], Column], name: str, width: float = WIDTH) -> DataFrame:
+    """``df`` with ``name``: how many groups have begun up to each row, where ``begins(row, last)`` says whether a row begins one after the last row.
+
+    ``row`` is a struct of the columns ``own``, ``last`` one of ``before``, null for a group's very first row.  Rows are counted within their range;
+    whether a range's first row begins a group, and how many begin in the ranges before it, comes from a row a range.
+    """
+    ranged = df.withColumn("__b", range_of(order, width))
+    w = Window.partitionBy(*keys, "__b").orderBy(order)
+    row, last = F.struct(*own), F.struct(*before)
+    inner = ranged.withColumn("__l", F.lag(last).over(w)).withColumn("__v", F.when(F.col("__l").isNotNull() & begins(row, F.col("__l")), 1).otherwise(0))
+    edges = inner.groupBy(*keys, "__b").agg(F.min_by(row, order).alias("__first"), F.max_by(last, order).alias("__last"), F.sum("__v").alias("__s"))
+    by_group = Window.partitionBy(*keys).orderBy("__b")
+    opened = edges.withColumn("__open", F.when(begins(F.col("__first"), F.lag("__last").over(by_group)), 1).otherwise(0))
+    before_it = F.sum(F.col("__s") + F.col("__open")).over(by_group.rowsBetween(Window.unboundedPreceding, -1))
+    base = opened.select(*keys, "__b", (F.coalesce(before_it, F.lit(0)) + F.col("__open")).alias("__base"))
+    counted = inner.withColumn("__n", F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return _beside(counted, base, [*keys, "__b"]).select(*df.columns, (F.col("__n") + F.col("__base")).alias(name))
 
 
 # --- folds by next-begin pointers --------------------------------------------------------------------------------------

@@ -75,15 +75,16 @@ def test_a_long_group_spreads_over_tasks(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, folds.merge_long(rows).collect()))
 
 
-def test_neighbours_and_sums(spark):
+def test_neighbours_and_counts(spark):
     rows = spark.createDataFrame([(m, s, float(s)) for m, n in ((None, 9), (1, 23), (2, 1)) for s in range(0, 3 * n, 3)], "m long, s long, v double")
-    got = ranges.running_sum(ranges.with_neighbours(rows, ["m"], "s", lag=["v"], lead=["v"], width=10), ["m"], "s", F.col("v"), "upto", width=10).collect()
+    near = ranges.with_neighbours(rows, ["m"], "s", lag=["v"], lead=["v"], width=10)
+    got = ranges.numbered_groups(near, ["m"], "s", ["v"], ["v"], lambda row, last: last.isNull() | (row["v"] % 2 == 0), "upto", width=10).collect()
     assert len(got) == 33
     for r in got:
         last = {None: 24, 1: 66, 2: 0}[r["m"]]
         assert (r["before"] and r["before"]["v"]) == (r["s"] - 3.0 if r["s"] else None)
         assert (r["after"] and r["after"]["v"]) == (r["s"] + 3.0 if r["s"] < last else None)
-        assert r["upto"] == sum(range(0, r["s"] + 1, 3))
+        assert r["upto"] == sum(v % 2 == 0 for v in range(0, r["s"] + 1, 3))
 
 
 @pytest.mark.parametrize("width", [4, 33])
