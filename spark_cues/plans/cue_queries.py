@@ -10,6 +10,7 @@ from ..functions.dimensions import languages as language_table
 from ..operators import documents, folds, intervals, phrases, reconcile, rollups, selection
 from ..sources import srt
 from . import fixtures as fx
+from . import fold_sql
 from .registry import query
 
 R3 = lambda *names: {n: F.round(n, 3) for n in names}
@@ -271,36 +272,61 @@ def dedup_min_gap(spark, sf):
     return folds.dedup_min_gap(fx.thumbs(spark, sf))
 
 
-@query("f04_pack_words")
+@query(
+    "f04_pack_words",
+    f"""with {fx.LONG_CUES_SQL} select media_id, seq, cast(unnest(range(0, len(p))) as integer) as piece_no, unnest(p) as piece from (select media_id, seq, {fold_sql.pack(fold_sql.words('text'), 84)} as p from long_cues)""",
+)
 def pack_words(spark, sf):
     return fx.long_cues(spark, sf).select("media_id", "seq", F.posexplode(folds.pack_words(F.col("text"), 84)).alias("piece_no", "piece"))
 
 
-@query("f05_pack_sentences")
+@query(
+    "f05_pack_sentences",
+    f"""with {fx.LONG_CUES_SQL} select media_id, seq, cast(unnest(range(0, len(p))) as integer) as piece_no, unnest(p) as piece from (select media_id, seq, {fold_sql.pack_sentences('text', 300)} as p from long_cues)""",
+)
 def pack_sentences(spark, sf):
     return fx.long_cues(spark, sf).select("media_id", "seq", F.posexplode(folds.pack_sentences(F.col("text"), 300)).alias("piece_no", "piece"))
 
 
-@query("f06_pack_display")
+@query(
+    "f06_pack_display",
+    f"""with {fx.LONG_CUES_SQL} select media_id, seq, cast(unnest(range(0, len(p))) as integer) as piece_no, unnest(p) as piece from (select media_id, seq, {fold_sql.pack_display('text', 120)} as p from long_cues)""",
+)
 def pack_display(spark, sf):
     return fx.long_cues(spark, sf).select("media_id", "seq", F.posexplode(folds.pack_display(F.col("text"), 120)).alias("piece_no", "piece"))
 
 
-@query("f10_split_for_display")
+@query(
+    "f10_split_for_display",
+    f"""with {fx.LONG_CUES_SQL}, flat as (select media_id, seq, start, "end" as e, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) as f from long_cues),
+    cut as (select media_id, seq, start, e, case when length(f) > 120 then {fold_sql.pack_display('f', 120)} else [text] end as p from flat),
+    parts as (select media_id, seq, start, e, list_sum(list_transform(p, lambda x: length(x))) as total, unnest(p) as piece, unnest(range(0, len(p))) as piece_no from cut),
+    timed as (select *, greatest(0.5, (e - start) * length(piece) / total) as d, start + sum(greatest(0.5, (e - start) * length(piece) / total)) over (partition by media_id, seq order by piece_no rows unbounded preceding) as upto from parts)
+    select media_id, seq, cast(piece_no as integer) as piece_no, piece, round(least(upto - d, e), 6) as start, round(least(upto, e), 6) as "end" from timed""",
+)
 def split_for_display(spark, sf):
-    return folds.split_for_display(fx.long_cues(spark, sf), ["media_id", "seq"]).select("media_id", "seq", "piece_no", "piece", F.round("piece_start", 3).alias("start"), F.round("piece_end", 3).alias("end"))
+    return folds.split_for_display(fx.long_cues(spark, sf), ["media_id", "seq"]).select("media_id", "seq", "piece_no", "piece", F.round("piece_start", 6).alias("start"), F.round("piece_end", 6).alias("end"))
 
 
-@query("f09_resegment_captions")
+@query(
+    "f09_resegment_captions",
+    f"""with {fx.CUES_SQL}, {_PHRASES}, merged as (select media_id, cast(g as bigint) as phrase_no, arg_min(start, seq) as start, arg_max("end", seq) as e, trim(string_agg(t, ' ' order by seq)) as text from grouped group by media_id, g),
+    long as (select media_id, phrase_no, start, e, case when length(text) <= 300 then [text] else {fold_sql.pack_sentences('text', 300)} end as pieces from merged), {fold_sql.distributed('long', 'media_id, phrase_no')}
+    select media_id, phrase_no, piece_no, piece, start, "end" from timed""",
+)
 def resegment_captions(spark, sf):
     merged = phrases.merge_phrases(fx.cues(spark, sf))
     return folds.resegment_captions(merged, ["media_id", "phrase_no"], 300).select("media_id", "phrase_no", "piece_no", "piece", F.round("piece_start", 3).alias("start"), F.round("piece_end", 3).alias("end"))
 
 
-@query("f07_distribute_words")
+@query(
+    "f07_distribute_words",
+    f"""with {fx.LONG_CUES_SQL}, long as (select media_id, seq, start, "end" as e, {fold_sql.pack_sentences('text', 100)} as pieces from long_cues), {fold_sql.distributed('long', 'media_id, seq', places=6)}
+    select media_id, seq, piece_no, start, "end" from timed""",
+)
 def distribute_words(spark, sf):
     parents = fx.long_cues(spark, sf).select("media_id", "seq", "start", "end", folds.pack_sentences(F.col("text"), 100).alias("pieces"))
-    return folds.distribute_words(parents).select("media_id", "seq", "piece_no", F.round("piece_start", 3).alias("start"), F.round("piece_end", 3).alias("end"))
+    return folds.distribute_words(parents).select("media_id", "seq", "piece_no", F.round("piece_start", 6).alias("start"), F.round("piece_end", 6).alias("end"))
 
 
 def _segments(spark, sf):
@@ -316,12 +342,26 @@ def _segments(spark, sf):
     return fx.long_cues(spark, sf).select("media_id", "seq", "start", "end", "text", said.alias("words"))
 
 
-@query("f03_split_by_words")
+_SEGMENTS = f"""{fx.LONG_CUES_SQL}, segs as (select media_id, seq, start, "end" as e, text, w, list_transform(range(1, len(w) + 1), lambda i: {{'word': w[i], 'a': cast((start_ms + floor((i - 1) * (end_ms - start_ms) / len(w))) / 1000.0 as double),
+  'z': cast((start_ms + floor(i * (end_ms - start_ms) / len(w))) / 1000.0 as double) - case when (seq + i - 1) % 4 = 0 then cast(0.12 as double) else cast(0.0 as double) end}}) as said from (select *, {fold_sql.words('text')} as w from long_cues))"""
+_CHUNKS = "select media_id, seq, cast(piece_no as integer) as piece_no, x.t as piece, round(x.a, 3) as start, round(x.z, 3) as \"end\" from (select media_id, seq, unnest(c) as x, unnest(range(0, len(c))) as piece_no from chunks)"
+
+
+@query("f03_split_by_words", f"with {_SEGMENTS}, chunks as (select media_id, seq, {fold_sql.spoken_chunks('said', 84, 5.0)} as c from segs where seq % 5 <> 4) {_CHUNKS}")
 def split_by_words(spark, sf):
     return folds.split_by_words(_segments(spark, sf).where("seq % 5 <> 4")).select("media_id", "seq", "piece_no", "piece", F.round("piece_start", 3).alias("start"), F.round("piece_end", 3).alias("end"))
 
 
-@query("f08_resegment_asr")
+_SHARES = "list_transform(range(1, len(p) + 1), lambda i: {'a': least(start + list_sum(list_transform(p[1:i], lambda x: (e - start) * length(x) / greatest(length(text), 1))) - (e - start) * length(p[i]) / greatest(length(text), 1), e), 'z': case when i = len(p) then e else least(start + list_sum(list_transform(p[1:i], lambda x: (e - start) * length(x) / greatest(length(text), 1))), e) end, 't': p[i]})"
+
+
+@query(
+    "f08_resegment_asr",
+    f"""with {_SEGMENTS}, packed as (select *, {fold_sql.pack('w', 84)} as p from segs),
+    chunks as (select media_id, seq, [{{'a': start, 'z': e, 't': trim(text)}}] as c from packed where length(trim(text)) <= 84 and e - start <= 5.0
+      union all select media_id, seq, {fold_sql.spoken_chunks('said', 84, 5.0)} from packed where not (length(trim(text)) <= 84 and e - start <= 5.0) and seq % 5 <> 4
+      union all select media_id, seq, {_SHARES} from packed where not (length(trim(text)) <= 84 and e - start <= 5.0) and seq % 5 = 4) {_CHUNKS}""",
+)
 def resegment_asr(spark, sf):
     return folds.resegment_asr(_segments(spark, sf), ["media_id", "seq"]).select("media_id", "seq", "piece_no", "piece", F.round("piece_start", 3).alias("start"), F.round("piece_end", 3).alias("end"))
 
