@@ -302,10 +302,10 @@ def pack_display(spark, sf):
     cut as (select media_id, seq, start, e, case when length(f) > 120 then {fold_sql.pack_display('f', 120)} else [text] end as p from flat),
     parts as (select media_id, seq, start, e, list_sum(list_transform(p, lambda x: length(x))) as total, unnest(p) as piece, unnest(range(0, len(p))) as piece_no from cut),
     timed as (select *, greatest(0.5, (e - start) * length(piece) / total) as d, start + sum(greatest(0.5, (e - start) * length(piece) / total)) over (partition by media_id, seq order by piece_no rows unbounded preceding) as upto from parts)
-    select media_id, seq, cast(piece_no as integer) as piece_no, piece, round(least(upto - d, e), 6) as start, round(least(upto, e), 6) as "end" from timed""",
+    select media_id, seq, cast(piece_no as integer) as piece_no, piece, round(least(upto - d, e) + {fold_sql.CLEAR}, 3) as start, round(least(upto, e) + {fold_sql.CLEAR}, 3) as "end" from timed""",
 )
 def split_for_display(spark, sf):
-    return folds.split_for_display(fx.long_cues(spark, sf), ["media_id", "seq"]).select("media_id", "seq", "piece_no", "piece", F.round("piece_start", 6).alias("start"), F.round("piece_end", 6).alias("end"))
+    return folds.split_for_display(fx.long_cues(spark, sf), ["media_id", "seq"]).select("media_id", "seq", "piece_no", "piece", F.round(F.col("piece_start") + fold_sql.CLEAR, 3).alias("start"), F.round(F.col("piece_end") + fold_sql.CLEAR, 3).alias("end"))
 
 
 @query(
@@ -321,12 +321,12 @@ def resegment_captions(spark, sf):
 
 @query(
     "f07_distribute_words",
-    f"""with {fx.LONG_CUES_SQL}, long as (select media_id, seq, start, "end" as e, {fold_sql.pack_sentences('text', 100)} as pieces from long_cues), {fold_sql.distributed('long', 'media_id, seq', places=6)}
+    f"""with {fx.LONG_CUES_SQL}, long as (select media_id, seq, start, "end" as e, {fold_sql.pack_sentences('text', 100)} as pieces from long_cues), {fold_sql.distributed('long', 'media_id, seq', clear=fold_sql.CLEAR)}
     select media_id, seq, piece_no, start, "end" from timed""",
 )
 def distribute_words(spark, sf):
     parents = fx.long_cues(spark, sf).select("media_id", "seq", "start", "end", folds.pack_sentences(F.col("text"), 100).alias("pieces"))
-    return folds.distribute_words(parents).select("media_id", "seq", "piece_no", F.round("piece_start", 6).alias("start"), F.round("piece_end", 6).alias("end"))
+    return folds.distribute_words(parents).select("media_id", "seq", "piece_no", F.round(F.col("piece_start") + fold_sql.CLEAR, 3).alias("start"), F.round(F.col("piece_end") + fold_sql.CLEAR, 3).alias("end"))
 
 
 def _segments(spark, sf):

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 _MARK = "chr(1)"
+#: Added to seconds before they are rounded to milliseconds: shares of whole milliseconds often lie half between two, where
+#: the engines' last bits would decide.
+CLEAR = 0.0000123
 CAPTION, DISPLAY = "([.!?…؟])\\s+", "([.!?…؟。！？])\\s*"
 
 
@@ -45,7 +48,7 @@ def pack_display(text: str, most: int) -> str:
     return f"(case when length({text}) <= {most} then [{text}] else {_finer(pack(sentences(text, DISPLAY), most), 's1', most, by_words)} end)"
 
 
-def distributed(source: str, keys: str, least: float = 1.0, most: float = 30.0, rounds: int = 5, places: int = 3) -> str:
+def distributed(source: str, keys: str, least: float = 1.0, most: float = 30.0, rounds: int = 5, clear: float = 0.0) -> str:
     """CTEs from ``source (keys, start, e, pieces)`` to ``timed (keys, piece_no, piece, start, end)``: seconds by words, held in bounds over rounds."""
     held = f"least(greatest(x.s, {least}), {most})"
     n_words = f"greatest(len({words('p')}), 1)::double"
@@ -57,7 +60,7 @@ def distributed(source: str, keys: str, least: float = 1.0, most: float = 30.0,
     out.append(f"sums as (select *, list_transform(r, lambda x: x.s) as d from r{rounds})")
     out.append("scaled as (select * exclude (d), case when abs(list_sum(d) - (e - start)) > 0.001 and list_sum(d) > 0 then list_transform(d, lambda x: x * (e - start) / list_sum(d)) else d end as d from sums)")
     out.append(f"placed as (select {keys}, start, e, d, len(pieces) as n, unnest(pieces) as piece, unnest(range(0, len(pieces))) as piece_no from scaled)")
-    out.append(f"""timed as (select {keys}, cast(piece_no as integer) as piece_no, piece, round(start + list_sum(d[1:piece_no + 1]) - d[piece_no + 1], {places}) as start, round(case when piece_no = n - 1 then e else start + list_sum(d[1:piece_no + 1]) end, {places}) as "end" from placed)""")
+    out.append(f"""timed as (select {keys}, cast(piece_no as integer) as piece_no, piece, round(start + list_sum(d[1:piece_no + 1]) - d[piece_no + 1] + {clear}, 3) as start, round(case when piece_no = n - 1 then e else start + list_sum(d[1:piece_no + 1]) end + {clear}, 3) as "end" from placed)""")
     return ", ".join(out)
 
 
