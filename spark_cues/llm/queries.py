@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_spread": line_dedup.op4_line_spread,
         "op5_concat_and_cut": packing.op5_concat_and_cut,
         "op6_secret_ledger": secret_scan.op6_secret_ledger,
+        "ledger_history": secret_scan.ledger_history,
         "op7_keyed_surrogates": surrogates.op7_keyed_surrogates,
         "op8_template_windows": decontaminate.op8_template_windows,
         "op9_toxicity_lexicon": toxicity.op9_toxicity_lexicon,
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_spread": line_dedup.ORACLE_SQL, "op6_secret_ledger": secret_scan.ORACLE_SQL, "op8_template_windows": decontaminate.ORACLE_SQL}
+    return {"op4_line_spread": line_dedup.ORACLE_SQL, "op6_secret_ledger": secret_scan.ORACLE_SQL, "ledger_history": secret_scan.HISTORY_SQL, "op8_template_windows": decontaminate.ORACLE_SQL}

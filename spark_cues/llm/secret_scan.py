@@ -14,15 +14,18 @@ RULES = {
     "hex": (r"[0-9a-f]+", 0, 24),
 }
 VERSION = "base-1"
+#: Rule sets by version; another version's name stands for the base rules.  A later version adds kinds, its base spans stay.
+LATER = "base-2"
+VERSIONS = {VERSION: RULES, LATER: RULES | {"pem": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1), "jwt": (r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 1)}}
 
 #: The same spans with less work: a run of one class is matched whole, so its least length may stand in the pattern.
 _RUNS = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
-def _spans(text: Column, kind: str) -> Column:
+def _spans(text: Column, kind: str, rules: dict[str, tuple[str, int, int]] = RULES) -> Column:
     """Spans of one kind: pieces between matches and matches in turn give each match's place, in code points."""
-    pattern, group, least = RULES[kind]
+    pattern, group, least = rules[kind]
     pattern = _RUNS.get(kind, pattern)
     sizes = F.zip_with(
         F.transform(F.split(text, pattern, -1), F.length),
@@ -42,10 +45,10 @@ def _spans(text: Column, kind: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), ends).otherwise(F.expr(f"cast(array() as {_SPAN})"))
 
 
-def find_spans(text: Column) -> Column:
-    """All spans ``(kind, start, end)`` by start, then kind in the order of RULES; end is exclusive."""
-    order = F.create_map(*[F.lit(x) for k, kind in enumerate(RULES) for x in (kind, k)])
-    every = F.concat(*[_spans(text, kind) for kind in RULES])
+def find_spans(text: Column, rules: dict[str, tuple[str, int, int]] = RULES) -> Column:
+    """All spans ``(kind, start, end)`` by start, then kind in the order of the rules; end is exclusive."""
+    order = F.create_map(*[F.lit(x) for k, kind in enumerate(rules) for x in (kind, k)])
+    every = F.concat(*[_spans(text, kind, rules) for kind in rules])
     keyed = F.array_sort(F.transform(every, lambda x: F.struct(x["start"].alias("start"), order[x["kind"]].alias("rank"), x["kind"].alias("kind"), x["end"].alias("end"))))
     return F.transform(keyed, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
@@ -68,7 +71,7 @@ def scan_with_ledger(docs: DataFrame, ledger: str, version: str = VERSION, id_co
         first = first.join(known.select("blob"), "blob", "left_anti")
     fresh = rows.withColumn("at", key).join(first, "at").where(F.sha2("text", 256) == F.col("blob"))
     # A repeated (id, blob) would scan twice; the digest of the row decides nothing, so one is taken.
-    found = fresh.select("blob", find_spans(F.col("text")).alias("spans")).groupBy("blob").agg(F.first("spans").alias("spans"))
+    found = fresh.select("blob", find_spans(F.col("text"), VERSIONS.get(version, RULES)).alias("spans")).groupBy("blob").agg(F.first("spans").alias("spans"))
     found.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").option("compression", "zstd").parquet(ledger)
     after = _ledger(spark, ledger, version)
     return named.select("doc_id", "blob").join(after if after is not None else found, "blob", "left").select("doc_id", "blob", "spans")
@@ -82,6 +85,35 @@ def _ledger(spark: SparkSession, path: str, version: str) -> DataFrame | None:
     return spark.read.schema(f"blob string, spans {_SPAN}, version string").parquet(path).where(F.col("version") == version).select("blob", "spans")
 
 
+def scan_history(snapshots: list[tuple[str, DataFrame, str]], ledger: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(step, snapshot, version, n_rows, n_blobs, n_scanned)``: snapshots ``(name, docs, rule version)`` scanned in turn over one ledger.
+
+    ``n_scanned`` counts the blobs that the step had to scan: those that no earlier step has scanned under its version.  An empty
+    snapshot scans nothing.
+    """
+    spark, out = snapshots[0][1].sparkSession, []
+    for step, (name, docs, version) in enumerate(snapshots):
+        known = _ledger(spark, ledger, version)
+        before = known.count() if known is not None else 0
+        seen = scan_with_ledger(docs, ledger, version, id_col, text_col).agg(F.count("*").alias("rows"), F.count_distinct("blob").alias("blobs")).first()
+        after = _ledger(spark, ledger, version)
+        out.append((step, name, version, seen["rows"], seen["blobs"], (after.count() if after is not None else 0) - before))
+    return spark.createDataFrame(out, "step int, snapshot string, version string, n_rows long, n_blobs long, n_scanned long")
+
+
+def ledger_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts of all documents (their first halves), then the documents, then both again, then the documents under a later rule version."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    drafts = docs.withColumn("text", F.expr("substring(text, 1, cast(floor(length(text) / 2) as int))"))
+    steps = [("drafts", drafts, VERSION), ("documents", docs, VERSION), ("drafts", drafts, VERSION), ("documents", docs, VERSION), ("documents", docs, LATER)]
+    return scan_history(steps, scratch_path(spark, "secret-history"))
+
+
+HISTORY_SQL = """with d as (select coalesce(text, '') as text, substr(coalesce(text, ''), 1, length(coalesce(text, '')) // 2) as draft from documents), n as (select count(*) as n_rows, count(distinct draft) as drafts, count(distinct text) as texts, (select count(*) from (select distinct text from d except select draft from d)) as fresh from d)
+select 0 as step, 'drafts' as snapshot, 'base-1' as version, n_rows, drafts as n_blobs, drafts as n_scanned from n union all select 1, 'documents', 'base-1', n_rows, texts, fresh from n
+union all select 2, 'drafts', 'base-1', n_rows, drafts, 0 from n union all select 3, 'documents', 'base-1', n_rows, texts, 0 from n union all select 4, 'documents', 'base-2', n_rows, texts, texts from n"""
+
+
 def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 

@@ -54,3 +54,19 @@ def test_digest_columns(spark, tiny):
         want = plain(texts[r["doc_id"]])
         assert r["spans"] == want and r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
         assert r["n_assign"] == want.count("assign:") and r["n_hex"] == want.count("hex:")
+
+
+def test_history_scans_unseen_pairs_only_and_later_rules_add_spans(spark, tiny):
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJlLXBhcnQ"
+    docs = spark.createDataFrame([(1, f"{token} token=abcdefg"), (2, "-----BEGIN RSA PRIVATE KEY-----"), (3, "clean")], "doc_id long, text string")
+    ledger = scratch_path(spark, "ledger")
+    got = secret_scan.scan_history([("a", docs.where("doc_id < 3"), secret_scan.VERSION), ("b", docs, secret_scan.VERSION), ("b", docs, secret_scan.LATER), ("none", docs.limit(0), secret_scan.LATER), ("a", docs, secret_scan.LATER)], ledger).collect()
+    assert [(r["n_rows"], r["n_blobs"], r["n_scanned"]) for r in got] == [(2, 2, 2), (3, 3, 1), (3, 3, 3), (0, 0, 0), (3, 3, 0)]
+    kinds = lambda v: {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.scan_with_ledger(docs, ledger, v).collect()}
+    assert kinds(secret_scan.VERSION) == {1: ["assign"], 2: [], 3: []} and kinds(secret_scan.LATER) == {1: ["jwt", "assign"], 2: ["pem"], 3: []}
+    import duckdb
+
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tiny}/documents.parquet'")
+    want = db.sql(secret_scan.HISTORY_SQL).fetchall()
+    assert sorted(map(tuple, secret_scan.ledger_history(spark, tiny).collect())) == sorted(want)
