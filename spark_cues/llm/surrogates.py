@@ -29,6 +29,17 @@ GIVEN = {
 }
 # What stands before a surname, besides a given name; and what may stand between.
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Professor", "Sir", "Madam", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora", "Signor", "Signora", "господин", "госпожа")
+# Words beside which a capitalised word is a person, whatever the name.
+SAYING = ("said", "says", "wrote", "writes", "asked", "replied", "answered", "explained", "dijo", "escribió", "a dit", "a écrit")
+MEETING = ("met", "told", "asked", "called", "emailed", "phoned", "thanked", "contacted", "interviewed", "hired")
+GREETING, PARTING = ("Dear", "Hi", "Hello"), ("regards", "Regards", "sincerely", "Sincerely", "Cheers", "Thanks")
+# What stands in a person's place without being one.
+DETERMINERS = ("The", "This", "That", "These", "Those", "Our", "My", "His", "Her", "Its", "Your", "Their", "Every", "Each", "No", "Some", "Many", "Most", "Two")
+NO_PERSON = (
+    "later", "yesterday", "today", "tomorrow", "now", "when", "while", "after", "before", "but", "and", "if", "as", "for", "here", "finally", "once", "he", "she", "it", "we", "you", "who", "what", "his", "her", "its", "our", "my", "your", "their", "nobody", "people", "all", "the", "this", "that", "these", "they", "there", "then", "team", "sir", "madam", "customer", "customers", "colleague", "colleagues", "friend", "friends", "everyone", "editor", "reader", "readers", "world", "user", "users", "support",
+    "service", "sales", "info", "contact", "admin", "office", "press", "news", "reply", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "january", "february", "march", "april", "june", "july", "august", "september",
+    "october", "november", "december",
+)
 PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "la", "le", "bin", "al")
 # Letters and digits are replaced within their class, so script, case and shape stay.
 CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèìòùâêîôûäëïöüãõåæø", "çñßśźżčšž", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "0123456789")
@@ -48,32 +59,66 @@ _NAMES = {n: n for names in GIVEN.values() for n in names} | {n.upper(): n for n
 _GIVEN = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_any_of(_NAMES)})(?!\p{{L}})"
 #: One word of a surname, as in Smith, McDonald, O'Brien, Smith-Jones or SMITH.
 _SURNAME = r"(?:\p{Lu}['’])?\p{Lu}\p{L}+(?:['’-]\p{Lu}\p{L}++)*+"
+#: Up to three words of a name, and where they stand as a person: who speaks, who is met (also in a list), who is greeted, who signs.
+_PERSON = r"\p{Lu}\p{Ll}++(?:[-'’]\p{Lu}\p{Ll}++){0,2}"
+_FULL = f"{_PERSON}(?: {_PERSON}){{1,2}}"
+EVIDENCE = (
+    rf"(?<!\p{{L}})(?:{_FULL}|(?<=[\p{{Ll}},;] ){_PERSON}) (?:{'|'.join(SAYING)})(?!\p{{L}})"
+    rf"|(?<!\p{{L}})(?:{'|'.join(MEETING)}) {_FULL}(?:, {_FULL}){{0,9}}(?:,? and {_FULL})?(?!\p{{L}})"
+    rf"|(?<!\p{{L}})(?:{'|'.join(GREETING)}) {_PERSON}(?: {_PERSON}){{0,2}}(?=[,:])"
+    rf"|(?<!\p{{L}})(?:{'|'.join(PARTING)}),\s{{1,2}}{_PERSON}(?: {_PERSON}){{0,2}}(?=\.?(?:\n|$))"
+)
+_DETERMINED = rf"(?<!\p{{L}})(?:{'|'.join(DETERMINERS)})(?!\p{{L}})"
+#: A mail address made of two names, and words in lower case outside of addresses.
+_LOCAL = rf"(?<![\p{{L}}\p{{N}}._%+-])(?!(?:{'|'.join(NO_PERSON)})[._])(\p{{L}}{{3,20}})[._](?!(?:{'|'.join(NO_PERSON)})@)(\p{{L}}{{3,20}})@(?=[A-Za-z0-9])"
+_LOW = r"(?<![\p{L}\p{N}._%+@-])\p{Ll}++(?![\p{L}\p{N}_%+@-]|\.\p{L})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _AFTER = r"(?![\p{L}\p{N}])"
+#: Eight groups of hex digits, or fewer around one "::"; a digit must be among them.
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IP6 = rf"(?<![\p{{L}}\p{{N}}:.])(?=[A-Fa-f]{{0,4}}:{{0,2}}[0-9A-Fa-f:]{{0,38}}?\d)(?=[0-9A-Fa-f]{{0,4}}:)(?:{_HEX}(?::{_HEX}){{7}}|(?:{_HEX}(?::{_HEX}){{0,5}})?::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\p{{L}}\p{{N}}:]|\.\d)"
+#: A number as it is dialled within a country: a zero, 9 to 11 digits in all, one kind of sign between its parts.
+_NATIONAL = "|".join(rf"(?<![\p{{L}}\p{{N}}.,:+/-])(?=0[1-9](?:{s}?\d){{7,9}}(?![\p{{L}}\p{{N}}]|[.:/-]\d))0\d{{1,4}}(?:{s}\d{{2,8}}){{1,4}}" for s in (" ", r"\.", "-")) + rf"|(?<![\p{{L}}\p{{N}}])\(0\d{{1,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}{_AFTER}"
 #: Kinds in order of precedence; a match is of the first kind whose pattern fits it whole.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "iban": r"(?<![\p{L}\p{N}])(?=[A-Z]{2}\d)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
-    "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)",
+    "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)|{_IP6}",
     "card": rf"(?<![\p{{L}}\p{{N}}])\d{{4}}(?:[ -]?\d{{4}}){{3}}(?:[ -]?\d{{3}})?{_AFTER}|(?<![\p{{L}}\p{{N}}])\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}}{_AFTER}|(?<![\p{{L}}\p{{N}}+])\d{{13,19}}{_AFTER}",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "phone": rf"(?<![\p{{L}}\p{{N}}])(?:\+?\d{{1,3}}[ .-]?)?\(\d{{2,4}}\)[ .-]?\d{{3}}[ .-]?\d{{3,4}}{_AFTER}|(?<![\p{{L}}\p{{N}}])(?:\+\d{{1,3}}[ .-])?\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}{_AFTER}"
-    rf"|(?<![\p{{L}}\p{{N}}])\+(?=(?:[ .()-]{{0,2}}\d){{7,15}}{_AFTER})[1-9]\d{{0,14}}(?:[ .-]?\(\d{{1,4}}\))?(?:[ .-]?\d{{1,12}}){{0,14}}{_AFTER}|(?<![\p{{L}}\p{{N}}.,+-])[2-9]\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}-])",
+    rf"|(?<![\p{{L}}\p{{N}}])\+(?=(?:[ .()-]{{0,2}}\d){{7,15}}{_AFTER})[1-9]\d{{0,14}}(?:[ .-]?\(\d{{1,4}}\))?(?:[ .-]?\d{{1,12}}){{0,14}}{_AFTER}|(?<![\p{{L}}\p{{N}}.,+-])[2-9]\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}-])|{_NATIONAL}",
     "given": _GIVEN,
     "surname": rf"(?<!\p{{L}})(?:(?=\p{{Lu}})(?:{_any_of(_NAMES)})(?!\p{{L}})|(?:{_any_of(TITLES)})\.?)(?= (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}({_SURNAME})(?!\p{{L}}))",
 }
 #: All kinds but surnames, which a text's own pattern adds; each branch first looks at one sign.
-ANY = "|".join(rf"(?:{PATTERNS[k]})" for k in ("email", "iban")) + r"|(?=[\d(+])(?:" + "|".join(rf"(?:{PATTERNS[k]})" for k in ("ip", "card", "ssn", "phone")) + f")|{PATTERNS['given']}"
+ANY = "|".join(rf"(?:{PATTERNS[k]})" for k in ("email", "iban")) + r"|(?=[\d(+])(?:" + "|".join(rf"(?:{PATTERNS[k]})" for k in ("ip", "card", "ssn", "phone")) + f")|(?=[A-Fa-f:]){_IP6}|{PATTERNS['given']}"
 #: What a text must hold to have any entity at all: looked for before the costly pattern.
 HINT = rf"[@\d]|{_GIVEN}|(?<!\p{{L}})(?:{_any_of(TITLES)})(?!\p{{L}})"
+CONTEXT_HINT = rf"{HINT}|(?<!\p{{L}})(?:{_any_of({*SAYING, *MEETING, *GREETING, *PARTING})})(?!\p{{L}})"
 _DIGIT_KINDS = ("card", "ssn", "phone")
 #: Set around matches; a code point that no text should hold (one that does is cut in two passes).
 _SIGN = "\ufdd0"
 
 
-def pattern(text: Column) -> Column:
-    """``ANY``, and the text's own surnames wherever they stand, also in capitals."""
-    names = F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERNS["surname"]), F.lit(1)))
+def people(text: Column) -> Column:
+    """Words that the text itself shows to be names: by what stands beside them (``EVIDENCE``), or by a mail address of two names.
+
+    A word that the text also has in lower case, outside of addresses, is no name; words behind a determiner are none either.
+    """
+    phrases = F.filter(F.regexp_extract_all(text, F.lit(EVIDENCE), F.lit(0)), lambda m: ~F.regexp_like(m, F.lit(_DETERMINED)))
+    beside = F.flatten(F.transform(phrases, lambda m: F.regexp_extract_all(m, F.lit(r"\p{Lu}\p{Ll}+"), F.lit(0))))
+    said = F.array_except(beside, F.lit([*GREETING, *PARTING]))
+    mailed = F.concat(*[F.regexp_extract_all(text, F.lit(_LOCAL), F.lit(k)) for k in (1, 2)])
+    fresh = F.array_except(F.transform(F.concat(said, mailed), F.lower), F.lit([*NO_PERSON, *(t.lower() for t in TITLES)]))
+    kept = lambda n: F.when(F.size(n) > 0, F.transform(F.array_except(n, F.regexp_extract_all(text, F.lit(_LOW), F.lit(0))), F.initcap)).otherwise(n)
+    return _let(fresh, kept)
+
+
+def pattern(text: Column, context: bool = False) -> Column:
+    """``ANY``, and the text's own surnames (with ``context`` its ``people`` too) wherever they stand, also in capitals."""
+    surnames = F.regexp_extract_all(text, F.lit(PATTERNS["surname"]), F.lit(1))
+    names = F.array_distinct(F.concat(surnames, people(text)) if context else surnames)
     # Longer names first, so that Smith-Lee isn't taken as Smith.
     sized = lambda n: F.array_sort(F.transform(F.array_distinct(F.concat(n, F.transform(n, F.upper))), lambda x: F.struct((-F.length(x)).alias("size"), x.alias("name"))))
     every = lambda n: F.array_join(F.transform(sized(n), lambda x: x["name"]), "|")
@@ -81,11 +126,11 @@ def pattern(text: Column) -> Column:
     return _let(names, own)
 
 
-def parts(text: Column) -> Column:
+def parts(text: Column, context: bool = False) -> Column:
     """The text cut at what the patterns match: gaps at even places, matches at odd ones; null for a null text."""
-    marked = F.split(F.regexp_replace(text, pattern(text), F.lit(f"{_SIGN}$0{_SIGN}")), _SIGN, -1)
-    twice = F.flatten(F.zip_with(F.split(text, pattern(text), -1), F.regexp_extract_all(text, pattern(text), F.lit(0)), lambda gap, m: F.when(m.isNull(), F.array(gap)).otherwise(F.array(gap, m))))
-    return F.when(text.isNull() | ~F.regexp_like(text, F.lit(HINT)), F.when(text.isNotNull(), F.array(text))).when(F.contains(text, F.lit(_SIGN)), twice).otherwise(marked)
+    marked = F.split(F.regexp_replace(text, pattern(text, context), F.lit(f"{_SIGN}$0{_SIGN}")), _SIGN, -1)
+    twice = F.flatten(F.zip_with(F.split(text, pattern(text, context), -1), F.regexp_extract_all(text, pattern(text, context), F.lit(0)), lambda gap, m: F.when(m.isNull(), F.array(gap)).otherwise(F.array(gap, m))))
+    return F.when(text.isNull() | ~F.regexp_like(text, F.lit(CONTEXT_HINT if context else HINT)), F.when(text.isNotNull(), F.array(text))).when(F.contains(text, F.lit(_SIGN)), twice).otherwise(marked)
 
 
 def entities_of(cut_text: Column) -> Column:
@@ -101,7 +146,7 @@ def entities(text: Column) -> Column:
 
 def is_entity(value: Column) -> Column:
     """A number in the layout of a card, but for four groups of four digits, must pass the card checksum; an account number its own."""
-    loose = F.regexp_like(value, F.lit(r"^\d[\d -]{11,}\d$")) & ~F.regexp_like(value, F.lit(r"^\d{4}([ -]?\d{4}){3}$|^\d{3}[ .-]\d{3}[ .-]\d{4}$"))
+    loose = F.regexp_like(value, F.lit(r"^\d[\d -]{11,}\d$")) & ~F.regexp_like(value, F.lit(r"^\d{4}([ -]?\d{4}){3}$|^\d{3}[ .-]\d{3}[ .-]\d{4}$|^0[1-9](?:[ -]?\d){7,9}$"))
     account = F.regexp_like(value, F.lit(_IBAN))
     return F.when(loose, _luhn(F.regexp_replace(value, r"\D", "")) == 0).when(account, _mod97(F.replace(value, F.lit(" "), F.lit(""))) == 1).otherwise(True)
 
@@ -128,7 +173,7 @@ def _let(value: Column, body) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    kind = F.when(F.contains(value, F.lit("@")), "email").when(F.regexp_like(value, F.lit(rf"^{_OCTET}(\.{_OCTET}){{3}}$")), "ip")
+    kind = F.when(F.contains(value, F.lit("@")), "email").when(F.contains(value, F.lit(":")) | F.regexp_like(value, F.lit(rf"^{_OCTET}(\.{_OCTET}){{3}}$")), "ip")
     kind = kind.when(F.regexp_like(value, F.lit(_IBAN)), "iban")
     kind = kind.when(F.regexp_like(value, F.lit(r"^\d{4}([ -]?\d{4}){3}([ -]?\d{3})?$|^\d{4}[ -]\d{6}[ -]\d{4,5}$|^\d{13,19}$")), "card").when(F.regexp_like(value, F.lit(r"^\d{3}-\d{2}-\d{4}$")), "ssn")
     return kind.when(F.regexp_like(value, F.lit(r"\d")), "phone").when(value.isin(*_NAMES), "given").otherwise("surname")
@@ -136,11 +181,11 @@ def kind_of(value: Column) -> Column:
 
 def _identity(value: Column, kind: Column) -> Column:
     by_kind = F.when(kind.isin(*_DIGIT_KINDS), F.regexp_replace(value, r"\D", "")).when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
-    return by_kind.when(kind == "email", F.lower(value)).when(kind == "surname", F.initcap(F.lower(value))).otherwise(value)
+    return by_kind.when(kind.isin("email", "ip"), F.lower(value)).when(kind == "surname", F.initcap(F.lower(value))).otherwise(value)
 
 
 def identity(value: Column) -> Column:
-    """What makes two mentions one entity: digits of a number, an account without spaces, an address in lower case, a surname in any case."""
+    """What makes two mentions one entity: digits of a number, an account without spaces, a mail or network address in lower case, a surname in any case."""
     return _identity(value, kind_of(value))
 
 
@@ -211,6 +256,14 @@ def _email(key: str, value: Column, digest: Column) -> Column:
     return F.concat(_in_class(local, digest), F.lit("@"), _let(_digest(key, F.lit("domain"), F.lower(domain)), lambda d: _in_class(name, d)), top)
 
 
+def _ip6(value: Column, digest: Column, attempt: Column) -> Column:
+    """Hex digits by those of the digest in the address's own layout; from the eighth attempt on all eight groups are written."""
+    groups = F.concat_ws(":", *[F.substring(digest, 4 * k + 1, 4) for k in range(8)])
+    same = F.array_join(F.transform(_chars(value), lambda c, i: F.when(c == ":", c).otherwise(F.substring(digest, i + 1, F.lit(1)))), "")
+    made = F.when(attempt.cast("int") >= 8, groups).otherwise(same)
+    return _let(made, lambda x: F.when(F.regexp_like(value, F.lit("[A-F]")), F.upper(x)).otherwise(x))
+
+
 def surrogate(value: Column, attempt: Column, key: str, kind: Column | None = None) -> Column:
     """The replacement of an entity: same kind, script, case, gender and layout, and always the same for one entity.
 
@@ -225,7 +278,7 @@ def surrogate(value: Column, attempt: Column, key: str, kind: Column | None = No
 
     def made(value: Column, kind: Column, who: Column, digest: Column, attempt: Column) -> Column:
         ip = F.concat_ws(".", *[(F.pmod(_byte(digest, i), F.lit(254)) + 1).cast("string") for i in range(4)])
-        out = F.when(kind == "email", _email(key, F.concat(longer(F.substring_index(value, "@", 1), attempt), F.lit("@"), F.substring_index(value, "@", -1)), digest)).when(kind == "ip", ip)
+        out = F.when(kind == "email", _email(key, F.concat(longer(F.substring_index(value, "@", 1), attempt), F.lit("@"), F.substring_index(value, "@", -1)), digest)).when(kind == "ip", F.when(F.contains(value, F.lit(":")), _ip6(value, digest, attempt)).otherwise(ip))
         out = out.when(kind.isin(*_DIGIT_KINDS), _layout(wider(value, attempt), _digits(kind, wider(who, attempt), digest)))
         out = out.when(kind == "iban", _layout(wider(value, attempt), _account(wider(who, attempt), digest), "A-Z0-9"))
         return out.when(kind == "given", _given(key, value)).otherwise(_in_class(longer(value, attempt), digest))
@@ -255,17 +308,18 @@ def _retries(found: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds")
 
 
-def replace_personal_data(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace_personal_data(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text", context: bool = False) -> DataFrame:
     """``docs`` with entities replaced by surrogates, and ``entities`` (kinds of each, in order).
 
     Replacement needs no join: a surrogate is a function of key and entity.  Only entities whose surrogate collided
     (usually none) are joined back, to the documents that hold them.  Equal entities get equal surrogates in all
-    documents and different ones different surrogates.  Null texts stay null, with no entities;
+    documents and different ones different surrogates.  Persons are found by listed given names and titles; with ``context``
+    also by what their text says of them (``people``).  Null texts stay null, with no entities;
     null ids, repeated rows and empty tables pass through.  A column ``entities`` of ``docs`` is replaced.
     """
     docs = docs.drop("entities")
     text = F.col(text_col).cast("string")
-    cut_up = docs.withColumn("__parts", parts(text))
+    cut_up = docs.withColumn("__parts", parts(text, context))
     own = entities_of(F.col("__parts"))
     mentions = cut_up.select(F.explode(own).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
     found = mentions.select(identity(F.col("value")).alias("who"), kind_of(F.col("value")).alias("kind")).distinct()
@@ -285,6 +339,6 @@ def replace_personal_data(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str =
 
 
 def op7_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = replace_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = replace_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), context=True)
     counts = [F.size(F.filter("entities", lambda x: x == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in PATTERNS]
     return out.select("doc_id", "text", *counts)
