@@ -71,7 +71,7 @@ EVIDENCE = (
 _DETERMINED = rf"(?<!\p{{L}})(?:{'|'.join(DETERMINERS)})(?!\p{{L}})"
 #: A mail address made of two names, and words in lower case outside of addresses.
 _LOCAL = rf"(?<![\p{{L}}\p{{N}}._%+-])(?!(?:{'|'.join(NO_PERSON)})[._])(\p{{L}}{{3,20}})[._](?!(?:{'|'.join(NO_PERSON)})@)(\p{{L}}{{3,20}})@(?=[A-Za-z0-9])"
-_LOW = r"(?<![\p{L}\p{N}._%+@-])\p{Ll}++(?![\p{L}\p{N}_%+@-]|\.\p{L})"
+_LOW = (r"(?<![\p{L}\p{N}._%+@-])(?:", r")(?![\p{L}\p{N}_%+@-]|\.\p{L})")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _AFTER = r"(?![\p{L}\p{N}])"
 #: Eight groups of hex digits, or fewer around one "::"; a digit must be among them.
@@ -95,7 +95,8 @@ PATTERNS = {
 ANY = "|".join(rf"(?:{PATTERNS[k]})" for k in ("email", "iban")) + r"|(?=[\d(+])(?:" + "|".join(rf"(?:{PATTERNS[k]})" for k in ("ip", "card", "ssn", "phone")) + f")|(?=[A-Fa-f:]){_IP6}|{PATTERNS['given']}"
 #: What a text must hold to have any entity at all: looked for before the costly pattern.
 HINT = rf"[@\d]|{_GIVEN}|(?<!\p{{L}})(?:{_any_of(TITLES)})(?!\p{{L}})"
-CONTEXT_HINT = rf"{HINT}|(?<!\p{{L}})(?:{_any_of({*SAYING, *MEETING, *GREETING, *PARTING})})(?!\p{{L}})"
+_CONTEXT = rf"(?<!\p{{L}})(?:{_any_of({*SAYING, *MEETING, *GREETING, *PARTING})})(?!\p{{L}})|\p{{L}}[._]\p{{L}}{{3,20}}@"
+CONTEXT_HINT = f"{HINT}|{_CONTEXT}"
 _DIGIT_KINDS = ("card", "ssn", "phone")
 #: Set around matches; a code point that no text should hold (one that does is cut in two passes).
 _SIGN = "\ufdd0"
@@ -111,8 +112,10 @@ def people(text: Column) -> Column:
     said = F.array_except(beside, F.lit([*GREETING, *PARTING]))
     mailed = F.concat(*[F.regexp_extract_all(text, F.lit(_LOCAL), F.lit(k)) for k in (1, 2)])
     fresh = F.array_except(F.transform(F.concat(said, mailed), F.lower), F.lit([*NO_PERSON, *(t.lower() for t in TITLES)]))
-    kept = lambda n: F.when(F.size(n) > 0, F.transform(F.array_except(n, F.regexp_extract_all(text, F.lit(_LOW), F.lit(0))), F.initcap)).otherwise(n)
-    return _let(fresh, kept)
+    # Only the words in question are looked for: a list of all words of a very long text would fill the memory.
+    low = lambda n: F.regexp_extract_all(text, F.concat(F.lit(_LOW[0]), F.array_join(n, "|"), F.lit(_LOW[1])), F.lit(0))
+    kept = lambda n: F.when(F.size(n) > 0, F.transform(F.array_except(n, low(n)), F.initcap)).otherwise(n)
+    return F.when(F.regexp_like(text, F.lit(_CONTEXT)), _let(fresh, kept)).otherwise(F.array().cast("array<string>"))
 
 
 def pattern(text: Column, context: bool = False) -> Column:
@@ -128,9 +131,12 @@ def pattern(text: Column, context: bool = False) -> Column:
 
 def parts(text: Column, context: bool = False) -> Column:
     """The text cut at what the patterns match: gaps at even places, matches at odd ones; null for a null text."""
-    marked = F.split(F.regexp_replace(text, pattern(text, context), F.lit(f"{_SIGN}$0{_SIGN}")), _SIGN, -1)
-    twice = F.flatten(F.zip_with(F.split(text, pattern(text, context), -1), F.regexp_extract_all(text, pattern(text, context), F.lit(0)), lambda gap, m: F.when(m.isNull(), F.array(gap)).otherwise(F.array(gap, m))))
-    return F.when(text.isNull() | ~F.regexp_like(text, F.lit(CONTEXT_HINT if context else HINT)), F.when(text.isNotNull(), F.array(text))).when(F.contains(text, F.lit(_SIGN)), twice).otherwise(marked)
+    marked = lambda p: F.split(F.regexp_replace(text, p, F.lit(f"{_SIGN}$0{_SIGN}")), _SIGN, -1)
+    twice = lambda p: F.flatten(F.zip_with(F.split(text, p, -1), F.regexp_extract_all(text, p, F.lit(0)), lambda gap, m: F.when(m.isNull(), F.array(gap)).otherwise(F.array(gap, m))))
+    hinted = F.regexp_like(text, F.lit(CONTEXT_HINT if context else HINT))
+    # The text's own pattern is made once, and only where a text may hold an entity.
+    cut_text = _let(pattern(text, context), lambda p: F.when(F.contains(text, F.lit(_SIGN)), twice(p)).otherwise(marked(p)))
+    return F.when(text.isNull() | ~hinted, F.when(text.isNotNull(), F.array(text))).otherwise(cut_text)
 
 
 def entities_of(cut_text: Column) -> Column:
