@@ -13,14 +13,28 @@ from ..runtime import ship_package
 TEMPERATURE = {"merge": 0.1, "split": 0.1, "translate": 0.3, "review": 0.2, "describe": 0.15, "thumbnails": 0.2, "choose": 0.1, "refine": 0.2}
 
 
-def _mapped(rows: DataFrame, make: Callable[[], Callable], schema: str, columns: list[str], keep: list[str]) -> DataFrame:
+#: Values that answers may hold together (characters, samples, entries) before they leave a task.
+HELD = 2_000_000
+
+
+def _held(answer: dict) -> int:
+    return 1 + sum(len(v) for v in answer.values() if hasattr(v, "__len__"))
+
+
+def _mapped(rows: DataFrame, make: Callable[[], Callable], schema: str, columns: list[str], keep: list[str], held: int = HELD) -> DataFrame:
+    """Answers leave in pieces of about ``held`` values, or one answer, however many rows a batch has."""
     ship_package(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = make()
         for batch in batches:
-            answers = [call(row) for row in batch.to_dict("records")]
-            yield batch[keep].assign(**{c: [a.get(c) for a in answers] for c in columns})
+            kept, answers, begun, size = batch[keep], [], 0, 0
+            for at, row in enumerate(batch.to_dict("records"), 1):
+                answers.append(call(row))
+                size += _held(answers[-1])
+                if size >= held or at == len(batch):
+                    yield kept.iloc[begun:at].assign(**{c: [a.get(c) for a in answers] for c in columns})
+                    answers, begun, size = [], at, 0
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
     return rows.mapInPandas(run, f"{fields}, {schema}")
