@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_llm_text, loose_json, range_index, safe_edit, strip
-from ..sources.srt import parse_srt, sanitize_srt
+from ..sources.srt import digit_captions, parse_srt, sanitize_srt
 
 KEY = ["media_id", "track"]
 ANSWER = "array<struct<index:string,text:string>>"
@@ -71,12 +71,13 @@ def translated_batches(cues: DataFrame, responses: DataFrame, keys: list[str]) -
     """``(*keys, from_seq, idx, start, end, text, source)``: each batch by its response's JSON, else by SRT in it, else as it was.
 
     ``keys`` name a batch; ``responses (*keys, raw)`` are what models returned, one a batch.  A response is JSON if it holds a list with an
-    entry, whatever the entry; it is SRT if a caption can be read from it once cleaned.  ``source`` says which (json, srt, original); batches without a
+    entry, whatever the entry; it is SRT if a caption can be read from it once cleaned, or one of digits before.  ``source`` says which (json, srt, original); batches without a
     response stay as they were.
     """
     marked = responses.withColumn("__json", F.size(F.from_json(loose_json(F.col("raw")), ANSWER)) > 0)
     other = responses.where(~F.coalesce(F.size(F.from_json(loose_json(F.col("raw")), ANSWER)) > 0, F.lit(False))).select(*keys, F.col("raw").alias("text"))
-    captions = parse_srt(sanitize_srt(other, keys)).select(*keys, F.col("seq").alias("pos"), "idx", clean_llm_text(F.col("text")).alias("text"))
+    read = parse_srt(sanitize_srt(other, keys)).unionByName(digit_captions(other))
+    captions = read.select(*keys, F.col("seq").alias("pos"), "idx", clean_llm_text(F.col("text")).alias("text"))
     kinds = marked.where("__json").select(*keys, F.lit("json").alias("source")).unionByName(captions.select(*keys, F.lit("srt").alias("source")).distinct())
     known = cues.join(kinds, keys, "left").withColumn("source", F.coalesce("source", F.lit("original")))
     columns = [*keys, "from_seq", "idx", "start", "end", "text", "source"]

@@ -32,14 +32,24 @@ def read_srt(spark: SparkSession, path: str, flat: bool = False) -> DataFrame:
     return parse_srt(files, flat=flat)
 
 
+def _bare(text: str) -> Column:
+    """Without wrapper tags and fences."""
+    return F.regexp_replace(F.regexp_replace(text, rf"(?i)</?(?:{TAGS}|srt|output|subtitles)>", ""), r"(?m)^\s*```[a-z]*\s*$", "")
+
+
+def digit_captions(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Captions of nothing but digits in blocks of their own, as :func:`parse_srt` gives them; :func:`sanitize_srt` takes these for indexes."""
+    some = docs.where(F.regexp_like(text, F.lit(r" --> [^\n]*\n\s*\d+\s*(?:\n\s*\n|$|```)")))
+    return parse_srt(some.withColumn(text, _bare(text)), text).where(F.regexp_like("text", F.lit(r"^\d+$")))
+
+
 def sanitize_srt(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``(*keys, text)`` of documents as models return them, rebuilt: tags, fences and blank lines gone, entries numbered.
 
     A time line opens an entry; a line of digits is the next entry's index (even if it was a caption); other lines are
     text.  Entries without text go.  An entry without an index line takes the last one plus the time lines since.
     """
-    bare = F.regexp_replace(F.regexp_replace(text, rf"(?i)</?(?:{TAGS}|srt|output|subtitles)>", ""), r"(?m)^\s*```[a-z]*\s*$", "")
-    lines = docs.select(*keys, F.posexplode(F.split(F.regexp_replace(bare, "\r\n?", "\n"), "\n", -1)).alias("p", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
+    lines = docs.select(*keys, F.posexplode(F.split(F.regexp_replace(_bare(text), "\r\n?", "\n"), "\n", -1)).alias("p", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
     stamp, digits = F.regexp_like("line", F.lit(r"^[\d:,]+ --> [\d:,]+")), F.regexp_like("line", F.lit(r"^\d+$"))
     w = Window.partitionBy(*keys).orderBy("p")
     one = lines.withColumns({"is_ts": stamp, "is_no": digits & ~stamp})

@@ -2,7 +2,7 @@
 
 import pandas as pd
 from pyspark.sql import types as T
-from spark_cues.operators import models
+from spark_cues.operators import models, reconcile
 
 
 def test_answers_leave_a_task_in_bounded_pieces():
@@ -26,3 +26,12 @@ def test_answers_leave_a_task_in_bounded_pieces():
     assert max(sum(map(len, p["samples"])) for p in parts if len(p) > 1) <= models.HELD + 5_000_000
     assert max(len(p) for p in parts if p["n"].iloc[0] == 400_000) <= 5
     assert [d for p in parts for d in p["actual_dur"]] == [n / 10 for n in lengths]
+
+
+def test_a_caption_of_digits_makes_a_response_srt(spark):
+    """A batch whose one caption is a number was taken for unanswered, since cleaning reads a line of digits as an index."""
+    cues = spark.createDataFrame([(1, 0, 0, "1", 0.0, 1.0, "4088495698897153"), (1, 1, 1, "2", 1.0, 2.0, "uno"), (1, 1, 2, "3", 2.0, 3.0, "42"), (1, 2, 3, "4", 3.0, 4.0, "tres")], "media_id long, batch_id long, seq long, idx string, start double, end double, text string")
+    block = "{}\n00:00:0{},000 --> 00:00:09,000\n{}\n".format
+    said = [(1, 0, block(1, 0, "4088495698897153")), (1, 1, "```srt\n" + block(2, 1, "ONE") + "\n" + block(3, 2, "43") + "```\n"), (1, 2, "4\n00:00:03,000 -->\n7\n")]
+    out = reconcile.translated_batches(cues, spark.createDataFrame(said, "media_id long, batch_id long, raw string"), ["media_id", "batch_id"])
+    assert sorted((r["idx"], r["text"], r["source"]) for r in out.collect()) == [("1", "4088495698897153", "srt"), ("2", "ONE", "srt"), ("3", "43", "srt"), ("4", "tres", "original")]
