@@ -107,9 +107,9 @@ def stream_text(tokens: DataFrame, limit_ms: int | None = None, delay: str = "30
     ship_package(tokens.sparkSession)
     wanted = ["request_id", "token_no", "token", "done"]
     if limit_ms is None:
-        return tokens.select(*wanted).groupBy("request_id").transformWithStateInPandas(TokenText(None), "request_id bigint, text string", "append", "none")
-    timed = tokens.select(*wanted, "ts").withWatermark("ts", delay)
-    return timed.groupBy("request_id").transformWithStateInPandas(TokenText(limit_ms), "request_id bigint, text string, complete boolean", "append", "eventtime")
+        return tokens.select(*wanted).groupBy("request_id").transformWithState(TokenText(None), "request_id bigint, text string", "append", "none")
+    timed = tokens.withWatermark("ts", delay).select(*wanted, F.unix_millis("ts").alias("ms"), "ts")
+    return timed.groupBy("request_id").transformWithState(TokenText(limit_ms), "request_id bigint, text string, complete boolean", "append", "eventtime")
 
 
 def text_concat(tokens: DataFrame) -> DataFrame:

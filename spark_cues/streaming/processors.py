@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import LONG_END, SPACES
@@ -147,47 +148,74 @@ class PhraseMerger(StatefulProcessor):
 
 
 class TokenText(StatefulProcessor):
-    """A request's tokens by number until all have come; with ``limit`` (milliseconds) what is unfinished so long after its last token leaves."""
+    """A request's tokens by number until all have come; with ``limit`` (milliseconds) what is unfinished so long after its last token leaves.
+
+    Tokens are kept in chunks of ``CHUNK`` numbers, the first one beside the counters, so a trigger reads and writes what it touches, a chunk a call.
+    A request has one timer at most: it is set anew when it fires before the time.  Works on rows ``(request_id, token_no, token, done, ms)``, ``ms``
+    with ``limit`` only: what comes out is gathered in batches, where a pandas form makes one of each request.
+    """
+
+    CHUNK = 256
 
     def __init__(self, limit: int | None):
-        self.limit, self.names = limit, ["request_id", "text", *(["complete"] if limit is not None else [])]
+        self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.tokens = handle.getMapState("tokens", "token_no bigint", "token string")
-        self.seen = handle.getValueState("seen", "received bigint, last bigint, ts bigint")
-
-    def _text(self) -> tuple[int, str]:
-        parts = sorted((no, token) for (no,), (token,) in self.tokens.iterator())
-        return len(parts), "".join(t for _, t in parts)
-
-    def _gone(self) -> None:
-        self.tokens.clear()
-        self.seen.clear()
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = _rows(rows)
-        new = new[new["token_no"].notna()]  # a row without a number only moves the time
-        if not len(new):
+        self.held = handle.getValueState("held", "received bigint, last bigint, ts bigint, due bigint, numbers array<bigint>, tokens array<string>")
+        self.further = handle.getMapState("further", "chunk bigint", "numbers array<bigint>, tokens array<string>")
+
+    def _text(self, chunks: dict[int, dict[int, str]], received: int) -> str:
+        """All tokens in order: those of ``chunks``, and of the state where that has others."""
+        if received > sum(map(len, chunks.values())):
+            chunks = {c: dict(zip(*held, strict=True)) for (c,), held in self.further.iterator()} | chunks
+        return "".join(chunk[no] for _, chunk in sorted(chunks.items()) for no in sorted(chunk))
+
+    def _gone(self, received: int, first: int) -> None:
+        self.held.clear()
+        if received > first:
+            self.further.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = [tuple(r)[1:] for r in rows if r[1] is not None]  # a row without a number only moves the time
+        if not new:
             return
-        received, last, ts = self.seen.get() if self.seen.exists() else (0, -1, 0)
-        for row in new.itertuples(index=False):
-            if not self.tokens.containsKey((int(row.token_no),)):
-                self.tokens.updateValue((int(row.token_no),), (row.token or "",))
+        received, last, ts, due, *first = self.held.get() or (0, -1, 0, -1, [], [])
+        chunks, kept = {0: dict(zip(*first, strict=True))}, received - len(first[0])
+        for no, token, done, *_ in new:
+            at = no // self.CHUNK
+            if at not in chunks:
+                chunks[at] = dict(zip(*(kept and self.further.getValue((at,)) or ([], [])), strict=True))
+            if no not in chunks[at]:
+                chunks[at][no] = token or ""
                 received += 1
-            last = int(row.token_no) if row.done else last
+            last = no if done else last
         if last >= 0 and received >= last + 1:
-            out = (key[0], self._text()[1], True)
-            self._gone()
-            yield _frame([out[: len(self.names)]], self.names)
+            text = self._text(chunks, received)
+            if due >= 0:
+                self.handle.deleteTimer(due)
+            if len(first[0]) or kept:
+                self._gone(kept, 0)
+            yield Row(request_id=key[0], text=text) if self.limit is None else Row(request_id=key[0], text=text, complete=True)
             return
         if self.limit is not None:
-            ts = max([ts, *_millis(new["ts"])])
+            ts = max(ts, *(r[3] for r in new))
+            if due < 0:
+                due = ts + self.limit
+                self.handle.registerTimer(due)
+        for at in {r[0] // self.CHUNK for r in new} - {0}:
+            self.further.updateValue((at,), (list(chunks[at]), list(chunks[at].values())))
+        self.held.update((received, last, ts, due, list(chunks[0]), list(chunks[0].values())))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.held.get()
+        if not held:
+            return
+        received, last, ts, _, *first = held
+        if ts + self.limit > timerValues.getCurrentWatermarkInMs():
             self.handle.registerTimer(ts + self.limit)
-        self.seen.update((received, last, ts))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.seen.exists() and self.seen.get()[2] + self.limit <= expiredTimerInfo.getExpiryTimeInMs():
-            text = self._text()[1]
-            self._gone()
-            yield _frame([(key[0], text, False)], self.names)
+            self.held.update((received, last, ts, ts + self.limit, *first))
+            return
+        text = self._text({0: dict(zip(*first, strict=True))}, received)
+        self._gone(received, len(first[0]))
+        yield Row(request_id=key[0], text=text, complete=False)

@@ -1,8 +1,10 @@
 """What must not grow with the input, or must hold however large it is."""
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import types as T
 from spark_cues.operators import models, reconcile
+from spark_cues.streaming import processors
 
 
 def test_answers_leave_a_task_in_bounded_pieces():
@@ -35,3 +37,40 @@ def test_a_caption_of_digits_makes_a_response_srt(spark):
     said = [(1, 0, block(1, 0, "4088495698897153")), (1, 1, "```srt\n" + block(2, 1, "ONE") + "\n" + block(3, 2, "43") + "```\n"), (1, 2, "4\n00:00:03,000 -->\n7\n")]
     out = reconcile.translated_batches(cues, spark.createDataFrame(said, "media_id long, batch_id long, raw string"), ["media_id", "batch_id"])
     assert sorted((r["idx"], r["text"], r["source"]) for r in out.collect()) == [("1", "4088495698897153", "srt"), ("2", "ONE", "srt"), ("3", "43", "srt"), ("4", "tres", "original")]
+
+
+def test_tokens_cost_a_call_of_state_a_chunk_not_a_token():
+    calls = []
+
+    class State(dict):
+        """A value (under no key) or a map, which counts what is asked of it."""
+
+        def get(self):
+            return calls.append("get") or dict.get(self, ())
+
+        def update(self, value):
+            calls.append("put")
+            self[()] = value
+
+        def getValue(self, key):
+            return calls.append("get") or dict.get(self, key)
+
+        def updateValue(self, key, value):
+            calls.append("put")
+            self[key] = value
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    class Handle:
+        getValueState = getMapState = lambda self, *a: State()
+        registerTimer = deleteTimer = lambda self, *a: calls.append("timer")
+
+    text = processors.TokenText(1000)
+    text.init(Handle())
+    tokens = [Row(request_id=1, token_no=n, token=f"{n} ", done=n == 999, ms=n) for n in range(1000)]
+    assert list(text.handleInputRows((1,), iter(tokens[1::2]), None)) == [] and list(text.handleInputRows((1,), iter(tokens[2::2] + tokens[:500]), None)) != []
+    assert len(calls) <= 20
+    assert not text.held and not text.further
+    assert list(text.handleInputRows((1,), iter(tokens[:3]), None)) == []
+    assert [r.text for r in text.handleInputRows((1,), iter([tokens[3], tokens[3].__class__(request_id=1, token_no=4, token=None, done=True, ms=4)]), None)] == ["0 1 2 3 "]
