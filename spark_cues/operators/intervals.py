@@ -27,13 +27,16 @@ def find_gaps(cues: DataFrame, durations: DataFrame, threshold: float = 5.0, wid
     A long medium is looked at in ranges of ``width`` cue numbers.
     """
     near = with_neighbours(cues.select("media_id", "seq", "start", "end"), list(KEY), "seq", lag=["seq"], lead=["start"], width=width)
-    marked = near.select("media_id", "seq", "start", "end", F.col("after.start").alias("next"), F.col("before").isNull().alias("first"))
-    known = marked.join(durations, "media_id", "left")
-    head = F.struct(F.lit(0.0).alias("a"), F.col("start").alias("b"), F.col("first").alias("on"))
-    inner = F.struct(F.col("end").alias("a"), F.coalesce("next", "duration").alias("b"), F.lit(True).alias("on"))
-    found = known.select("media_id", F.explode(F.array(head, inner)).alias("g")).where("g.on")
-    empty = durations.join(cues.select("media_id"), "media_id", "left_anti").select("media_id", F.lit(0.0).alias("gap_start"), F.col("duration").alias("gap_end"))
-    every = found.select("media_id", F.col("g.a").alias("gap_start"), F.col("g.b").alias("gap_end")).unionByName(empty)
+    first, after = F.col("before").isNull(), F.col("after.start")
+    # A cue goes on only if a gap may be beside it: at the head, within, or at the tail, where the duration decides; a medium's first and last cue do always.
+    wide = first | after.isNull() | (after - F.col("end") > threshold)
+    marked = near.where(wide).select("media_id", "start", "end", after.alias("next"), first.alias("first"))
+    # Media without cues come from the same join, so cues are read for it once.
+    known = marked.join(durations, "media_id", "full")
+    bare = F.col("first").isNull()
+    head = F.struct(F.lit(0.0).alias("a"), F.when(bare, F.col("duration")).otherwise(F.col("start")).alias("b"), (bare | F.col("first")).alias("on"))
+    inner = F.struct(F.col("end").alias("a"), F.coalesce("next", "duration").alias("b"), (~bare).alias("on"))
+    every = known.select("media_id", F.explode(F.array(head, inner)).alias("g")).where("g.on").select("media_id", F.col("g.a").alias("gap_start"), F.col("g.b").alias("gap_end"))
     return every.where(F.col("gap_end") - F.col("gap_start") > threshold)
 
 
