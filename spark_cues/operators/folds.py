@@ -49,9 +49,11 @@ def merge_long(cues: DataFrame, least: float = 8.0, most: float = 30.0, pause: f
     """
     keys = list(keys)
     silent = F.col("quiet_after") if "quiet_after" in cues.columns else F.lit(False)
-    closes = F.right(strip(F.col("text")), F.lit(1)).isin(*LONG_END) | F.coalesce(F.round(F.col("after.start") - F.col("end"), 6) >= pause, F.lit(False)) | F.coalesce(silent, F.lit(False))
-    near = with_neighbours(cues, keys, "seq", lead=["start"], width=width)
-    rows = near.withColumn("closes", closes).where(strip(F.col("text")) != "").select(*keys, "__b", "seq", "start", "end", "text", "closes")
+    closes = F.col("__ends") | F.coalesce(F.round(F.col("after.start") - F.col("end"), 6) >= pause, F.lit(False)) | F.coalesce(silent, F.lit(False))
+    # What is asked of texts is asked before the windows: entries are found without carrying them.
+    asked = cues.withColumns({"__ends": F.right(strip(F.col("text")), F.lit(1)).isin(*LONG_END), "__said": strip(F.col("text")) != ""})
+    near = with_neighbours(asked, keys, "seq", lead=["start"], width=width)
+    rows = near.withColumn("closes", closes).where("__said").select(*keys, "__b", "seq", "start", "end", "text", "closes")
 
     def follow(cols, value, at, own):
         end, ends = cols["end"], cols["closes"]
@@ -263,7 +265,42 @@ def spoken_chunks(spoken: Column, most_chars: int = 84, most_seconds: float = 5.
 
     last = lambda s: F.when(text_of(s["hold"]) != "", put(s["out"], s["hold"])).otherwise(s["out"])
     given = F.coalesce(spoken.cast(f"array<{_WORD}>"), F.array().cast(f"array<{_WORD}>"))
-    return F.aggregate(given, none, step, last)
+    sound = F.forall(given, lambda w: w["start"].isNotNull() & w["end"].isNotNull() & (w["word"] != "") & (strip(w["word"]) == w["word"]))
+    return F.when(F.coalesce(sound, F.lit(False)), _let(given, lambda words: _sound_chunks(words, most_chars, most_seconds))).otherwise(F.aggregate(given, none, step, last))
+
+
+def _sound_chunks(spoken: Column, most_chars: int, most_seconds: float) -> Column:
+    """:func:`spoken_chunks` where every word has its times and no white space beside it: lengths add up, so the fold holds numbers in place of words.
+
+    Its state is where the open chunk begins, its characters and start, the end of the last word, and the stops so far.
+    """
+    plain = F.transform(spoken, lambda w, i: F.struct(i.alias("i"), w["start"].alias("a"), w["end"].alias("b"), F.length(w["word"]).alias("n")))
+    join = lambda part: F.array_join(F.transform(part, lambda w: w["word"]), " ")
+    chunk = lambda part: F.struct(F.get(part, F.lit(0))["start"].alias("a"), F.get(part, F.size(part) - 1)["end"].alias("b"), join(part).alias("t"))
+    state = lambda at, chars, start, end, cut, widest, stops: F.struct(at.alias("at"), chars.alias("chars"), start.alias("start"), end.alias("end"), cut.alias("cut"), widest.alias("widest"), stops.alias("stops"))
+    real = F.lit(None).cast("double")
+    none = state(F.lit(0), F.lit(-1), real, real, F.lit(0), F.lit(-1.0), F.array().cast("array<int>"))
+
+    def step(s: Column, w: Column) -> Column:
+        held, chars = w["i"] - s["at"], s["chars"] + 1 + w["n"]
+        over = (held > 0) & ((chars > most_chars) | (w["b"] - s["start"] > most_seconds))
+        stop = F.when(s["cut"] > 1, s["at"] + s["cut"]).otherwise(w["i"])
+        rest = lambda z: F.aggregate(F.slice(spoken, z + 1, w["i"] - z + 1), F.lit(-1), lambda n, x: n + 1 + F.length(x["word"]))
+        closed = _let(stop, lambda z: state(z, rest(z), F.get(spoken, z)["start"], w["b"], F.lit(0), F.lit(-1.0), F.concat(s["stops"], F.array(z))))
+        pause = F.coalesce(w["a"] - s["end"], F.lit(-1.0))
+        wider = pause > s["widest"]
+        kept = state(s["at"], chars, F.coalesce(s["start"], w["a"]), w["b"], F.when(wider, held).otherwise(s["cut"]), F.when(wider, pause).otherwise(s["widest"]), s["stops"])
+        return F.when(over, closed).otherwise(kept)
+
+    def cut(stops: Column) -> Column:
+        begin = lambda k: F.when(k > 0, F.get(stops, k - 1)).otherwise(F.lit(0))
+        return F.transform(stops, lambda z, k: _let(F.slice(spoken, begin(k) + 1, z - begin(k)), chunk))
+
+    stops = F.aggregate(plain, none, step, lambda s: F.concat(s["stops"], F.array(F.size(spoken))))
+    first, latest = F.get(spoken, F.lit(0))["start"], F.array_max(F.transform(spoken, lambda w: w["end"]))
+    fits = (F.length(join(spoken)) <= most_chars) & (latest - first <= most_seconds)
+    # What fits as a whole is one chunk, whatever its pauses.
+    return F.when(F.size(spoken) == 0, F.array().cast(f"array<{_CHUNK}>")).when(fits, F.array(chunk(spoken))).otherwise(_let(stops, cut))
 
 
 def split_by_words(segments: DataFrame, most_chars: int = 84, most_seconds: float = 5.0) -> DataFrame:

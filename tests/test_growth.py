@@ -1,9 +1,13 @@
 """What must not grow with the input, or must hold however large it is."""
 
+import random
+import re
+
 import pandas as pd
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from spark_cues.operators import models, reconcile
+from spark_cues.operators import folds, models, reconcile
 from spark_cues.plans import fixtures
 from spark_cues.streaming import processors
 
@@ -94,3 +98,29 @@ def test_cue_times_follow_from_the_number_alone(spark, tmp_path):
     got = [(r["media_id"], r["seq"], r["start_ms"], r["end_ms"]) for r in cues.collect()]
     order = lambda rows: sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert order(got) == order(want)
+
+
+def test_chunks_of_sound_words_are_those_of_the_plain_loop(spark):
+    rng, rows = random.Random(3), []
+    for k in range(300):
+        at, said = 0.0, []
+        for _ in range(rng.choice([0, 1, 3, 12, 60])):
+            start, at = at, at + rng.choice([0.2, 0.5, 1.0, 6.0])
+            word = "x" * rng.choice([1, 4, 9, 30, 90])
+            said.append((rng.choice(["", " a", None]) if k % 7 == 6 and rng.random() < 0.2 else word, start, at - rng.choice([0.0, 0.12])))
+        rows.append((k, said))
+    df = spark.createDataFrame(rows, "k long, words array<struct<word:string,start:double,end:double>>")
+    for chars, seconds in ((84, 5.0), (20, 2.0)):
+        want = {k: folds.word_chunks([dict(zip(("word", "start", "end"), w, strict=True)) for w in said], chars, seconds) for k, said in rows}
+        got = {r["k"]: [tuple(x) for x in r["c"]] for r in df.select("k", folds.spoken_chunks(F.col("words"), chars, seconds).alias("c")).collect()}
+        assert got == want
+
+
+def test_entries_of_long_media_are_found_without_their_texts(spark, monkeypatch):
+    seen, find = [], folds.entries
+    monkeypatch.setattr(folds, "entries", lambda rows, *rest: seen.append(rows) or find(rows, *rest))
+    cues = spark.createDataFrame([(1, "t", k, float(k), k + 0.9, "a." if k % 3 else " ") for k in range(20)], "media_id long, track string, seq long, start double, end double, text string")
+    folds.merge_long(cues, width=5)
+    shuffled = seen[0].select("media_id", "__b", "seq", "end", "closes")._jdf.queryExecution().optimizedPlan().toString()
+    carried = [line for line in shuffled.splitlines() if "LogicalRDD" not in line and re.search(r"[\[ ]text#", line)]
+    assert "Window" in shuffled and not carried
