@@ -54,7 +54,8 @@ def sanitize_srt(docs: DataFrame, keys: list[str], text: str = "text") -> DataFr
     w = Window.partitionBy(*keys).orderBy("p")
     one = lines.withColumns({"is_ts": stamp, "is_no": digits & ~stamp})
     run = one.withColumns({"ent": F.sum(F.col("is_ts").cast("int")).over(w), "dgrp": F.sum(F.col("is_no").cast("int")).over(w), "lastd": F.last(F.when(F.col("is_no"), F.col("line").cast("bigint")), True).over(w)})
-    since = F.sum(F.col("is_ts").cast("int")).over(Window.partitionBy(*keys, "dgrp").orderBy("p"))
+    # Time lines since the last index: both counts run along the same order, so nothing is sorted anew.
+    since = F.col("ent") - F.coalesce(F.last(F.when(F.col("is_no"), F.col("ent")), True).over(w), F.lit(0))
     label = F.when((F.col("dgrp") > 0) & (F.col("since") == 1), F.col("lastd")).otherwise(F.coalesce("lastd", F.lit(0)) + F.col("since"))
     placed = run.withColumn("since", since).withColumn("label", label).where("ent > 0")
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_ts") & ~F.col("is_no"), F.struct("p", "line")))), lambda x: x["line"]), " ")

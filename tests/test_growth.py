@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from spark_cues.operators import folds, models, reconcile
 from spark_cues.plans import fixtures
+from spark_cues.sources import srt
 from spark_cues.streaming import processors
 
 
@@ -124,3 +125,11 @@ def test_entries_of_long_media_are_found_without_their_texts(spark, monkeypatch)
     shuffled = seen[0].select("media_id", "__b", "seq", "end", "closes")._jdf.queryExecution().optimizedPlan().toString()
     carried = [line for line in shuffled.splitlines() if "LogicalRDD" not in line and re.search(r"[\[ ]text#", line)]
     assert "Window" in shuffled and not carried
+
+
+def test_documents_are_cleaned_in_one_order(spark):
+    docs = spark.createDataFrame([(1, "3\n00:00:01,000 --> 00:00:02,000\na\n00:00:02,000 --> 00:00:03,000\nb\n00:00:03,000 --> 00:00:04,000\nc\n9\n00:00:05,000 --> 00:00:06,000\nd"), (2, "00:00:01,000 --> 00:00:02,000\nx\n00:00:02,000 --> 00:00:03,000\ny")], "media_id long, text string")
+    clean = srt.sanitize_srt(docs, ["media_id"])
+    assert {r["media_id"]: [b.split("\n")[0] for b in r["text"].split("\n\n")] for r in clean.collect()} == {1: ["3", "5", "6", "9"], 2: ["1", "2"]}
+    specs = re.findall(r"windowspecdefinition\(([^)]*)\)", clean._jdf.queryExecution().optimizedPlan().toString())
+    assert specs and not any("dgrp" in spec for spec in specs)
