@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from spark_cues.operators import folds, models, reconcile
+from spark_cues.operators import folds, intervals, models, reconcile
 from spark_cues.plans import fixtures
 from spark_cues.sources import srt
 from spark_cues.streaming import processors
@@ -133,3 +133,11 @@ def test_documents_are_cleaned_in_one_order(spark):
     assert {r["media_id"]: [b.split("\n")[0] for b in r["text"].split("\n\n")] for r in clean.collect()} == {1: ["3", "5", "6", "9"], 2: ["1", "2"]}
     specs = re.findall(r"windowspecdefinition\(([^)]*)\)", clean._jdf.queryExecution().optimizedPlan().toString())
     assert specs and not any("dgrp" in spec for spec in specs)
+
+
+def test_gaps_read_cues_once_for_gaps_and_media_without_cues(spark):
+    cues = spark.createDataFrame([(1, 0, 7.0, 8.0), (1, 1, 8.5, 9.0), (1, 2, 20.0, 21.0), (2, 0, 0.0, 1.0), (3, 0, 9.0, 9.5)], "media_id long, seq long, start double, end double").where("seq > -12345")
+    durations = spark.createDataFrame([(1, 30.0), (2, 2.0), (4, 50.0), (5, 3.0), (None, 6.0)], "media_id long, duration double")
+    gaps = intervals.find_gaps(cues, durations)
+    assert sorted((r[0] or 0, r[1], r[2]) for r in gaps.collect()) == [(0, 0.0, 6.0), (1, 0.0, 7.0), (1, 9.0, 20.0), (1, 21.0, 30.0), (3, 0.0, 9.0), (4, 0.0, 50.0)]
+    assert gaps._jdf.queryExecution().optimizedPlan().toString().count("-12345") <= 2  # rows, and the edges of ranges
