@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,16 +38,24 @@ def word_count(c: Column) -> Column:
     return F.size(words(c))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: within lambdas nothing else shares what is asked for twice."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def srt_to_seconds(c: Column) -> Column:
     """``HH:MM:SS,mmm`` or with a point, as seconds; null otherwise."""
-    part = lambda k: F.regexp_extract(c, r"^\s*(\d+):(\d+):(\d+)[,.](\d{1,3})\s*$", k)
-    ms = (part(1).cast("bigint") * 3600 + part(2).cast("bigint") * 60 + part(3).cast("bigint")) * 1000 + F.rpad(part(4), 3, "0").cast("bigint")
+    # One pattern tells whether there are times; their parts lie between plain signs.
+    plain = F.translate(F.btrim(c, F.lit(" \t\n\x0b\f\r")), ".", ",")
+    clock = F.substring_index(plain, ",", 1)
+    part = lambda k: F.substring_index(F.substring_index(clock, ":", k), ":", -1).cast("bigint")
+    ms = (part(1) * 3600 + part(2) * 60 + part(3)) * 1000 + F.rpad(F.substring_index(plain, ",", -1), 3, "0").cast("bigint")
     return F.when(F.regexp_like(c, F.lit(r"^\s*\d+:\d+:\d+[,.]\d{1,3}\s*$")), ms / 1000.0)
 
 
 def millis(seconds: Column) -> Column:
     """Whole milliseconds, ties to even; negative times count as 0."""
-    return F.bround(F.greatest(seconds, F.lit(0.0)) * 1000, 0).cast("bigint")
+    return F.rint(F.greatest(seconds, F.lit(0.0)) * 1000).cast("bigint")
 
 
 def _clock(ms: Column, mark: str) -> Column:
@@ -60,6 +70,11 @@ def seconds_to_srt(c: Column, mark: str = ",") -> Column:
     return _clock(millis(c), mark)
 
 
+def seconds_to_srt_within(c: Column, mark: str = ",") -> Column:
+    """:func:`seconds_to_srt` for use within lambdas."""
+    return let(millis(c), lambda ms: _clock(ms, mark))
+
+
 def parse_timestamp(c: Column) -> Column:
     """``HH:MM:SS[.m]``, ``MM:SS[.m]`` or seconds, as seconds; null for anything else."""
     parts = F.split(F.trim(c), ":", -1)

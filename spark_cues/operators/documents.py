@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import seconds_to_srt, srt_to_seconds
+from ..functions.text import let as _let
+from ..functions.text import seconds_to_srt_within, srt_to_seconds
 from ..sources.srt import build_srt, parse_srt, sanitize_srt
 from .folds import pack_display, resegment_captions
 from .phrases import merge_by_groups, merge_phrases
@@ -28,11 +29,6 @@ def resegment_documents(docs: DataFrame, keys: list[str], groups: DataFrame | No
 _TIMES = r"(\d{2}:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}[,.]\d{3})"
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def display_text(srt: Column, most: int = 120) -> Column:
     """An SRT text with captions over ``most`` characters cut and timed by characters, blocks numbered anew; null where nothing has to be cut.
 
@@ -41,25 +37,34 @@ def display_text(srt: Column, most: int = 120) -> Column:
     """
     join = lambda x: F.array_join(x, "\n")
     rest = lambda lines, k: F.slice(lines, F.lit(k), F.greatest(F.size(lines), F.lit(1)))
-    stamp = lambda line, k: srt_to_seconds(F.regexp_extract(line, _TIMES, k))
-    piece = lambda a, b, text: F.concat(seconds_to_srt(a), F.lit(" --> "), seconds_to_srt(b), F.lit("\n"), text)
+    stamp = lambda line, k: _let(F.regexp_extract(line, _TIMES, k), srt_to_seconds)
+    # Every value that is used more than once is bound: times would be read anew for each piece, and for each part of a clock.
+    piece = lambda a, b, text: F.concat(seconds_to_srt_within(a), F.lit(" --> "), seconds_to_srt_within(b), F.lit("\n"), text)
+
+    def cut(line: Column, flat: Column) -> Column:
+        def timed(t: Column) -> Column:
+            start, end, parts = t["a"], t["z"], t["p"]
+            none = F.struct(F.array().cast("array<double>").alias("out"), start.alias("at"))
+
+            def step(total: Column, s: Column, p: Column) -> Column:
+                to = F.least(s["at"] + F.greatest(F.lit(0.5), (end - start) * (F.length(p) / total)), end)
+                return _let(to, lambda to: F.struct(F.concat(s["out"], F.array(to)).alias("out"), to.alias("at")))
 
-    def cut(lines: Column, flat: Column) -> Column:
-        start, end = stamp(F.get(lines, F.lit(1)), 1), stamp(F.get(lines, F.lit(1)), 2)
-        none = F.struct(F.array().cast("array<string>").alias("out"), start.alias("at"))
+            def put(total: Column) -> Column:
+                ends = F.aggregate(parts, none, lambda s, p: step(total, s, p), lambda s: s["out"])
+                return _let(ends, lambda e: F.transform(parts, lambda p, i: piece(F.when(i > 0, F.get(e, i - 1)).otherwise(start), F.get(e, i), p)))
 
-        def put(parts: Column) -> Column:
-            total = F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(p))
-            to = lambda s, p: F.least(s["at"] + F.greatest(F.lit(0.5), (end - start) * (F.length(p) / total)), end)
-            return F.aggregate(parts, none, lambda s, p: F.struct(F.concat(s["out"], F.array(piece(s["at"], to(s, p), p))).alias("out"), to(s, p).alias("at")), lambda s: s["out"])
+            return _let(F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(p)), put)
 
-        return _let(pack_display(flat, most), put)
+        return _let(F.struct(stamp(line, 1).alias("a"), stamp(line, 2).alias("z"), pack_display(flat, most).alias("p")), timed)
 
     def block(lines: Column) -> Column:
         flat = F.btrim(F.regexp_replace(join(rest(lines, 3)), r"[\s\p{Z}]+", " "))
         keep = F.array(F.when(F.size(lines) > 1, join(rest(lines, 2))))
-        fits = lambda f: (F.size(lines) < 3) | ~F.regexp_like(F.get(lines, F.lit(1)), F.lit(_TIMES)) | (F.length(f) <= most)
-        return _let(flat, lambda f: F.struct(F.when(fits(f), keep).otherwise(cut(lines, f)).alias("bodies"), (~fits(f)).alias("cut")))
+        line = F.get(lines, F.lit(1))
+        long = lambda f: (F.size(lines) >= 3) & (F.length(f) > most) & F.regexp_like(line, F.lit(_TIMES))
+        put = lambda t: F.struct(F.when(t["cut"], cut(line, t["flat"])).otherwise(keep).alias("bodies"), t["cut"].alias("cut"))
+        return _let(flat, lambda f: _let(F.struct(f.alias("flat"), long(f).alias("cut")), put))
 
     blocks = F.transform(F.split(F.btrim(srt, F.lit(" \t\n\r\x0b\f")), r"\n\n+", -1), lambda b: _let(F.split(b, "\n", -1), block))
     numbered = lambda bodies: F.concat(F.array_join(F.transform(bodies, lambda b, i: F.concat_ws("\n", (i + 1).cast("string"), b)), "\n\n"), F.lit("\n"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CAPTION_MARKS, DISPLAY_MARKS, LONG_END, strip, word_count, words
+from ..functions.text import let as _let
 from ..runtime import ship_package
 from .intervals import timed_pieces
 from .ranges import WIDTH, entries, range_of, with_entries, with_neighbours
@@ -169,11 +170,6 @@ def shared_seconds(counts: list[int], total: float, least: float = 1.0, most: fl
     return out
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def share_seconds(counts: Column, total: Column, least: float = 1.0, most: float = 30.0) -> Column:
     """:func:`shared_seconds` of a column of counts: five rounds over an array of (seconds, weight, fixed)."""
     row = lambda s, w, f: F.struct(s.alias("s"), w.alias("w"), f.alias("f"))

@@ -70,8 +70,9 @@ def cue_block(idx: Column, start: Column, end: Column, text: Column) -> Column:
 
 def srt_documents(cues: DataFrame, keys: list[str]) -> DataFrame:
     """``(*keys, srt)``: one document a group, in order, indexes kept."""
-    block = cue_block(F.col("idx"), F.col("start"), F.col("end"), F.col("text"))
-    return cues.groupBy(*keys).agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))), lambda x: x["b"]), "\n\n"), F.lit("\n")).alias("srt"))
+    # Blocks are made before they are collected: an aggregate works its inputs out one by one, with nothing shared between them.
+    blocks = cues.select(*keys, "seq", cue_block(F.col("idx"), F.col("start"), F.col("end"), F.col("text")).alias("b"))
+    return blocks.groupBy(*keys).agg(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "b"))), lambda x: x["b"]), "\n\n"), F.lit("\n")).alias("srt"))
 
 
 def build_srt(cues: DataFrame, keys: list[str], wrap_at: int = 42) -> DataFrame:
