@@ -40,7 +40,12 @@ def word_count(c: Column) -> Column:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once: within lambdas nothing else shares what is asked for twice."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def known(value: Column) -> Column:
+    """``value`` as a column of its rows that aren't null: a filter on it would have it worked out twice."""
+    return F.explode(F.filter(F.array(value), lambda x: x.isNotNull()))
 
 
 def srt_to_seconds(c: Column) -> Column:
@@ -58,7 +63,8 @@ def millis(seconds: Column) -> Column:
     return F.rint(F.greatest(seconds, F.lit(0.0)) * 1000).cast("bigint")
 
 
-def _clock(ms: Column, mark: str) -> Column:
+def clock(ms: Column, mark: str = ",") -> Column:
+    """Whole milliseconds as ``HH:MM:SS,mmm``."""
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     hours = F.floor(ms / 3600000)
     head = F.when(hours > 99, hours.cast("string")).otherwise(two(hours))
@@ -67,12 +73,12 @@ def _clock(ms: Column, mark: str) -> Column:
 
 def seconds_to_srt(c: Column, mark: str = ",") -> Column:
     """``HH:MM:SS,mmm``; a fraction that rounds to 1000 ms carries into the seconds."""
-    return _clock(millis(c), mark)
+    return clock(millis(c), mark)
 
 
 def seconds_to_srt_within(c: Column, mark: str = ",") -> Column:
     """:func:`seconds_to_srt` for use within lambdas."""
-    return let(millis(c), lambda ms: _clock(ms, mark))
+    return let(millis(c), lambda ms: clock(ms, mark))
 
 
 def parse_timestamp(c: Column) -> Column:
@@ -106,13 +112,20 @@ def wrap_mid(c: Column, at: int = 42, reach: int = 10) -> Column:
     It falls on the last space before middle + ``reach`` or the first from middle - ``reach``, whichever is nearer
     the middle (the former on ties), or in the middle itself without spaces.
     """
-    middle = F.floor(F.length(c) / 2).cast("int")
-    head = F.substring(c, F.lit(1), middle + reach)
-    back, ahead = F.instr(F.reverse(head), F.lit(" ")), F.instr(F.substring(c, middle - reach + 1, F.length(c)), F.lit(" "))
-    left = F.when(back > 0, F.length(head) - back).otherwise(middle)
-    right = F.when(ahead > 0, middle - reach + ahead - 1).otherwise(middle)
-    place = F.when(F.abs(left - middle) <= F.abs(right - middle), left).otherwise(right)
-    return F.when(F.length(c) > at, F.concat(strip(F.substring(c, F.lit(1), place)), F.lit("\n"), strip(F.substring(c, place + 1, F.length(c))))).otherwise(c)
+
+    def place(t: Column) -> Column:
+        """From ``(c, middle, head, ahead)``, each worked out once."""
+        middle, tail = t["middle"], F.length(F.substring_index(t["head"], " ", -1))
+        left = F.when(tail < F.length(t["head"]), F.length(t["head"]) - tail - 1).otherwise(middle)
+        right = F.when(t["ahead"] > 0, middle - reach + t["ahead"] - 1).otherwise(middle)
+        return let(F.struct(left.alias("l"), right.alias("r")), lambda x: F.when(F.abs(x["l"] - middle) <= F.abs(x["r"] - middle), x["l"]).otherwise(x["r"]))
+
+    def asked(m: Column) -> Column:
+        return F.struct(m.alias("middle"), F.substring(c, F.lit(1), m + reach).alias("head"), F.instr(F.substring(c, m - reach + 1, F.length(c)), F.lit(" ")).alias("ahead"))
+
+    cut = lambda k: F.concat(strip(F.substring(c, F.lit(1), k)), F.lit("\n"), strip(F.substring(c, k + 1, F.length(c))))
+    broken = let(F.floor(F.length(c) / 2).cast("int"), lambda m: let(let(asked(m), place), cut))
+    return F.when(F.length(c) > at, broken).otherwise(c)
 
 
 def starts_rtl(c: Column) -> Column:
