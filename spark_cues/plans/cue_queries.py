@@ -507,7 +507,7 @@ def media_without_cues(spark, sf):
 
 def _raw_documents(spark, sf):
     """Captions of each document as one SRT text, as a model returns it."""
-    return srt.srt_documents(fx.cues(spark, sf), ["media_id"]).select("media_id", F.concat(F.lit("```srt\n"), "srt", F.lit("```\n")).alias("text"))
+    return fx.srt_texts(spark, sf).select("media_id", F.concat(F.lit("```srt\n"), "srt", F.lit("```\n")).alias("text"))
 
 
 @query("f09_resegment_documents")
