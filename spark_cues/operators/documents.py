@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let as _let
-from ..functions.text import seconds_to_srt_within, srt_to_seconds
-from ..sources.srt import build_srt, parse_srt, sanitize_srt
-from .folds import pack_display, resegment_captions
+from ..functions.text import ends_sentence, known, seconds_to_srt_within, srt_to_seconds, word_count, wrap_mid
+from ..sources.srt import build_srt, clean_entries, parse_srt, sanitize_srt
+from .folds import pack_display, pack_sentences, resegment_captions, share_seconds
 from .phrases import merge_by_groups, merge_phrases
 
 
@@ -17,7 +17,10 @@ def resegment_documents(docs: DataFrame, keys: list[str], groups: DataFrame | No
 
     ``groups`` and ``answers`` are what models said: groupings for :func:`merge_by_groups`, and pieces ``(*keys, first_seq, pieces)`` of long phrases,
     used where their words are the phrase's.  Without them, or where they don't hold, the rules decide.  Documents without a caption give no row.
+    Where nothing has to be joined, a document is taken through all steps within its row.
     """
+    if groups is None and answers is None:
+        return docs.select(*keys, known(resegmented_text(F.col("text"), most_chars)).alias("srt"))
     cues = parse_srt(sanitize_srt(docs, keys))
     merged = merge_phrases(cues, keys=keys) if groups is None else merge_by_groups(cues, groups, keys=keys)
     pieces = resegment_captions(merged, [*keys, "first_seq"], most_chars, answers)
@@ -25,6 +28,40 @@ def resegment_documents(docs: DataFrame, keys: list[str], groups: DataFrame | No
     return build_srt(ordered, keys)
 
 
+def resegmented_text(text: Column, most_chars: int = 300, gap: float = 2.0, wrap_at: int = 42) -> Column:
+    """:func:`resegment_documents` by rule of one text; null without a caption.  Indexes are numbered anew, so those of the text don't matter."""
+
+    def phrases(cues: Column) -> Column:
+        def begins(x: Column, k: Column) -> Column:
+            before = F.get(cues, k - 1)
+            return (k == 0) | ends_sentence(before["text"]) | F.coalesce(F.round(x["start"] - before["end"], 6) > gap, F.lit(False))
+
+        def phrase(at: Column, places: Column, k: Column) -> Column:
+            part = F.slice(cues, at + 1, F.coalesce(F.get(places, k + 1), F.size(cues)) - at)
+            return _let(part, lambda p: F.struct(F.get(p, F.lit(0))["start"].alias("start"), F.get(p, F.size(p) - 1)["end"].alias("end"), F.array_join(F.transform(p, lambda x: x["text"]), " ").alias("text")))
+
+        places = F.filter(F.transform(cues, lambda x, k: F.when(begins(x, k), k)), lambda k: k.isNotNull())
+        return _let(places, lambda p: F.transform(p, lambda at, k: phrase(at, p, k)))
+
+    def pieces(x: Column) -> Column:
+        """Of one phrase, timed as in ``distribute_words``."""
+        parts = F.when(F.length(x["text"]) <= most_chars, F.array(x["text"])).otherwise(pack_sentences(x["text"], most_chars))
+
+        def timed(t: Column) -> Column:
+            upto = lambda i: F.aggregate(F.slice(t["s"], F.lit(1), i + 1), F.lit(0.0), lambda a, s: a + s)
+            last = lambda i: i == F.size(t["p"]) - 1
+            return F.transform(t["p"], lambda p, i: _let(upto(i), lambda u: F.struct((x["start"] + u - F.get(t["s"], i)).alias("start"), F.when(last(i), x["end"]).otherwise(x["start"] + u).alias("end"), p.alias("text"))))
+
+        shared = lambda p: _let(F.struct(p.alias("p"), share_seconds(F.transform(p, word_count), x["end"] - x["start"]).alias("s")), timed)
+        whole = lambda p: F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), F.get(p, F.lit(0)).alias("text")))
+        return _let(parts, lambda p: F.when(F.size(p) == 1, whole(p)).otherwise(shared(p)))
+
+    block = lambda x, i: F.concat_ws("\n", (i + 1).cast("string"), F.concat(seconds_to_srt_within(x["start"]), F.lit(" --> "), seconds_to_srt_within(x["end"])), wrap_mid(x["text"], wrap_at))
+    cut = lambda cues: F.flatten(F.transform(_let(cues, phrases), pieces))
+    written = lambda parts: F.when(F.size(parts) > 0, F.concat(F.array_join(F.transform(parts, block), "\n\n"), F.lit("\n")))
+    return _let(cut(clean_entries(text)), written)
+
+
 # Fixed value: a time line as display splitting reads it.
 _TIMES = r"(\d{2}:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}[,.]\d{3})"
 

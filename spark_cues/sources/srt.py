@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TAGS, seconds_to_srt, srt_to_seconds, strip, wrap_mid
+from ..functions.text import TAGS, let, seconds_to_srt, srt_to_seconds, strip, wrap_mid
 
 _ARROW = r"^\s*([\d:,]+) --> ([\d:,]+)"
 
@@ -64,6 +64,24 @@ def sanitize_srt(docs: DataFrame, keys: list[str], text: str = "text") -> DataFr
     return entries.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ent", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text"))
 
 
+def clean_entries(text: Column) -> Column:
+    """What :func:`sanitize_srt` makes of a text and :func:`parse_srt` reads back, as ``array<struct<start,end,text>>``: for a document that is taken on within its row."""
+    lines = F.filter(F.transform(F.split(F.regexp_replace(_bare(text), "\r\n?", "\n"), "\n", -1), strip), lambda x: x != "")
+    kind = lambda x: F.when(F.regexp_like(x, F.lit(r"^[\d:,]+ --> [\d:,]+")), "t").when(F.regexp_like(x, F.lit(r"^\d+$")), "n").otherwise("s")
+    stamp = lambda line, k: let(F.regexp_extract(line, _ARROW, k), srt_to_seconds)
+
+    def cut(marked: Column) -> Column:
+        def entry(at: Column, places: Column, k: Column) -> Column:
+            body = F.filter(F.slice(marked, at + 1, F.coalesce(F.get(places, k + 1), F.size(marked)) - at), lambda x: x["k"] == "s")
+            line = F.get(marked, at)["x"]
+            return F.struct(stamp(line, 1).alias("start"), stamp(line, 2).alias("end"), F.array_join(F.transform(body, lambda x: x["x"]), " ").alias("text"))
+
+        places = F.filter(F.transform(marked, lambda x, i: F.when(x["k"] == "t", i)), lambda i: i.isNotNull())
+        return let(places, lambda p: F.transform(p, lambda at, k: entry(at, p, k)))
+
+    return F.filter(let(F.transform(lines, lambda x: F.struct(x.alias("x"), kind(x).alias("k"))), cut), lambda e: e["text"] != "")
+
+
 def cue_block(idx: Column, start: Column, end: Column, text: Column) -> Column:
     return F.concat_ws("\n", idx, F.concat(seconds_to_srt(start), F.lit(" --> "), seconds_to_srt(end)), text)
 

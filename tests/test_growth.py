@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from spark_cues.operators import folds, intervals, models, reconcile
-from spark_cues.plans import fixtures
+from spark_cues.functions import text
+from spark_cues.operators import documents, folds, intervals, models, reconcile
+from spark_cues.plans import fixtures, registry
 from spark_cues.sources import srt
 from spark_cues.streaming import processors
 
@@ -141,3 +142,33 @@ def test_gaps_read_cues_once_for_gaps_and_media_without_cues(spark):
     gaps = intervals.find_gaps(cues, durations)
     assert sorted((r[0] or 0, r[1], r[2]) for r in gaps.collect()) == [(0, 0.0, 6.0), (1, 0.0, 7.0), (1, 9.0, 20.0), (1, 21.0, 30.0), (3, 0.0, 9.0), (4, 0.0, 50.0)]
     assert gaps._jdf.queryExecution().optimizedPlan().toString().count("-12345") <= 2  # rows, and the edges of ranges
+
+
+def test_values_used_twice_are_worked_out_once(spark):
+    """A caption's times were read anew for every use in every piece, and a line break's place for every use of it."""
+    made = lambda c, part: spark.range(1).select(F.lit("x").alias("t")).select(c.alias("x"))._jdf.queryExecution().analyzed().toString().count(part)
+    assert made(documents.display_text(F.col("t")), "regexp_extract") == 2
+    assert made(text.wrap_mid(F.col("t")), "instr(") == 1
+
+
+def test_srt_texts_come_from_their_documents_without_a_shuffle(spark, tiny):
+    texts = fixtures.srt_texts(spark, tiny)
+    assert sorted(map(tuple, texts.collect())) == sorted(map(tuple, srt.srt_documents(fixtures.cues(spark, tiny), ["media_id"]).collect()))
+    for name in ("s01_parse_srt", "f09_resegment_documents"):
+        assert "Exchange" not in registry.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_within_their_row_are_those_of_the_joined_steps(spark):
+    rng, rows = random.Random(5), []
+    for k in range(60):
+        at, lines = 0.0, []
+        for n in range(rng.choice([0, 1, 2, 9, 40])):
+            start, at = at + rng.choice([0.0, 0.5, 3.0]), at + rng.choice([0.2, 1.5, 4.0])
+            stamp = lambda t: f"00:{int(t) // 60:02}:{int(t) % 60:02},{int(t * 10) % 10}00"
+            said = rng.choice(["one", "two.", "three; four", "42", "", "<b>five</b>!", "<text>six", "one two. three; four " * 20, "word " * 90])
+            lines += [rng.choice([str(n), "", "x"]), f"{stamp(start)} --> {rng.choice([stamp(at), '0', '99'])}", *rng.choice([[said], [said, " seven　"], [], ["", said]])]
+        rows.append((k, rng.choice(["\n", "\r\n", "\n\n"]).join(lines)))
+    docs = spark.createDataFrame([*rows, (98, "7\n8"), (99, None)], "media_id long, text string")
+    joined = documents.resegment_documents(docs, ["media_id"], answers=spark.createDataFrame([], "media_id long, first_seq long, pieces array<string>"))
+    got = {r["media_id"]: r["srt"] for r in documents.resegment_documents(docs, ["media_id"]).collect()}
+    assert len(got) > 20 and got == {r["media_id"]: r["srt"] for r in joined.collect()}
