@@ -171,7 +171,10 @@ def shared_seconds(counts: list[int], total: float, least: float = 1.0, most: fl
 
 
 def share_seconds(counts: Column, total: Column, least: float = 1.0, most: float = 30.0) -> Column:
-    """:func:`shared_seconds` of a column of counts: five rounds over an array of (seconds, weight, fixed)."""
+    """:func:`shared_seconds` of a column of counts: five rounds over an array of (seconds, weight, fixed).
+
+    Where the first shares lie within the bounds no round changes them.
+    """
     row = lambda s, w, f: F.struct(s.alias("s"), w.alias("w"), f.alias("f"))
     add = lambda rows, f: F.aggregate(rows, F.lit(0.0), lambda a, x: a + f(x))
 
@@ -187,14 +190,19 @@ def share_seconds(counts: Column, total: Column, least: float = 1.0, most: float
 
     weights = F.transform(counts, lambda n: F.greatest(n.cast("double"), F.lit(1.0)))
     begun = _let(weights, lambda w: _let(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), lambda all_: F.transform(w, lambda x: row(total * x / all_, x, F.lit(False)))))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(5)), begun, lambda rows, _: round_of(rows), lambda rows: F.transform(rows, lambda x: x["s"]))
+    rounds = lambda rows: F.aggregate(F.sequence(F.lit(1), F.lit(5)), rows, lambda rows, _: round_of(rows))
+    within = lambda rows: F.coalesce(F.forall(rows, lambda x: (x["s"] >= least) & (x["s"] <= most)), F.lit(False))
+    done = F.transform(_let(begun, lambda rows: F.when(within(rows), rows).otherwise(rounds(rows))), lambda x: x["s"])
     scaled = lambda out: _let(F.aggregate(out, F.lit(0.0), lambda a, x: a + x), lambda sum_: F.when((F.abs(sum_ - total) > 0.001) & (sum_ > 0), F.transform(out, lambda x: x * total / sum_)).otherwise(out))
     return F.when(F.size(counts) > 0, _let(done, scaled)).otherwise(F.array().cast("array<double>"))
 
 
 def distribute_words(parents: DataFrame, pieces: str = "pieces", least: float = 1.0, most: float = 30.0) -> DataFrame:
     """Parents ``(…, start, end, pieces array<string>)`` to pieces with ``piece_no, piece, piece_start, piece_end``; a single piece keeps the span."""
-    seconds = share_seconds(F.transform(pieces, word_count), F.col("end") - F.col("start"), least, most)
+    total = F.col("end") - F.col("start")
+    # Most parents are a piece alone, whose words needn't be counted; of others they are counted once.
+    shared = _let(F.transform(pieces, word_count), lambda counts: share_seconds(counts, total, least, most))
+    seconds = F.when((F.size(pieces) == 1) & total.isNotNull(), F.array(total.cast("double"))).otherwise(shared)
     timed = parents.withColumn("__s", seconds).select(*[c for c in parents.columns if c != pieces], F.posexplode(F.arrays_zip(F.col(pieces).alias("p"), F.col("__s").alias("d"))).alias("piece_no", "__x"), "__s")
     upto = F.aggregate(F.slice("__s", F.lit(1), F.col("piece_no") + 1), F.lit(0.0), lambda a, x: a + x)
     last = F.col("piece_no") == F.size("__s") - 1

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ends_sentence, strip
+from ..functions.text import LONG_END, strip
 from .ranges import WIDTH, numbered_groups
 
 KEY = ["media_id", "track"]
@@ -22,11 +22,17 @@ def phrase_groups(cues: DataFrame, gap: float = 2.0, keys: list[str] = KEY, widt
 
     A long medium is numbered in ranges of ``width`` cue numbers, on top of the phrases that the ranges before it begin.
     """
-    def begins(row, last):
-        return last.isNull() | ends_sentence(last["__t"]) | (F.round(row["start"] - last["end"], 6) > gap) | last["__t"].isNull()
+    asked = cues.withColumn("__ends", _ends(F.col("text")))
+    return numbered_groups(asked, list(keys), "seq", ["start"], ["__ends", "end"], lambda row, last: _begins(row, last, gap), "phrase_no", width).drop("__ends")
 
-    said = cues.withColumn("__t", strip(F.col("text")))
-    return numbered_groups(said, list(keys), "seq", ["start"], ["__t", "end"], begins, "phrase_no", width).drop("__t")
+
+def _ends(text: Column) -> Column:
+    """Whether a cue ends a sentence or has no text: asked before the windows, so that edges of ranges are found without carrying texts."""
+    return F.coalesce(F.right(strip(text), F.lit(1)).isin(*LONG_END), F.lit(True))
+
+
+def _begins(row: Column, last: Column, gap: float) -> Column:
+    return last.isNull() | last["__ends"] | (F.round(row["start"] - last["end"], 6) > gap)
 
 
 def merge_phrases(cues: DataFrame, gap: float = 2.0, keys: list[str] = KEY, width: int = WIDTH) -> DataFrame:

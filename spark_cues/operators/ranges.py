@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,21 +28,28 @@ def range_of(order: str, width: float = WIDTH) -> Column:
 # --- windows with carried edges ----------------------------------------------------------------------------------------
 
 
+def _placed(df: DataFrame, keys: list[str], order: str, width: float) -> tuple[DataFrame, WindowSpec, WindowSpec]:
+    """``df`` with ``__k``, the range of a row, and the windows over a range's rows and over a group's ranges.
+
+    The range is one struct of keys and number, equal where its nulls are, so that rows lie after the window where a join by it wants them.
+    """
+    ranged = df.withColumn("__k", F.struct(*keys, range_of(order, width).alias("__b")))
+    return ranged, Window.partitionBy("__k").orderBy(order), Window.partitionBy(*[F.col("__k")[k] for k in keys]).orderBy(F.col("__k")["__b"])
+
+
 def with_neighbours(df: DataFrame, keys: list[str], order: str, lag: list[str] = (), lead: list[str] = (), width: float = WIDTH) -> DataFrame:
     """``df`` with structs ``before`` and ``after``: the columns ``lag`` of the row before and ``lead`` of the row after, null where there is none.
 
     A window holds a range of a group at most; rows at its edges meet the last and first rows of the ranges beside it, of which
     there is one each.
     """
-    ranged = df.withColumn("__b", range_of(order, width))
-    w = Window.partitionBy(*keys, "__b").orderBy(order)
+    ranged, w, by_group = _placed(df, keys, order, width)
     ahead, behind = F.struct(*(lead or [order])), F.struct(*(lag or [order]))
     rows = ranged.withColumns({"__before": F.lag(behind).over(w), "__after": F.lead(ahead).over(w)})
-    edges = ranged.groupBy(*keys, "__b").agg(F.min_by(ahead, order).alias("__first"), F.max_by(behind, order).alias("__last"))
-    by_group = Window.partitionBy(*keys).orderBy("__b")
-    beside = edges.select(*keys, "__b", F.lag("__last").over(by_group).alias("__left"), F.lead("__first").over(by_group).alias("__right"))
-    both = _beside(rows, beside, [*keys, "__b"])
-    return both.select(*df.columns, "__b", F.coalesce("__before", "__left").alias("before"), F.coalesce("__after", "__right").alias("after"))
+    edges = ranged.groupBy("__k").agg(F.min_by(ahead, order).alias("__first"), F.max_by(behind, order).alias("__last"))
+    beside = edges.select("__k", F.lag("__last").over(by_group).alias("__left"), F.lead("__first").over(by_group).alias("__right"))
+    both = rows.join(beside, "__k", "left")
+    return both.select(*df.columns, F.col("__k")["__b"].alias("__b"), F.coalesce("__before", "__left").alias("before"), F.coalesce("__after", "__right").alias("after"))
 
 
 def numbered_groups(df: DataFrame, keys: list[str], order: str, own: list[str], before: list[str], begins: Callable[[Column, Column], Column], name: str, width: float = WIDTH) -> DataFrame:
@@ -51,17 +58,15 @@ def numbered_groups(df: DataFrame, keys: list[str], order: str, own: list[str],
     ``row`` is a struct of the columns ``own``, ``last`` one of ``before``, null for a group's very first row.  Rows are counted within their range;
     whether a range's first row begins a group, and how many begin in the ranges before it, comes from a row a range.
     """
-    ranged = df.withColumn("__b", range_of(order, width))
-    w = Window.partitionBy(*keys, "__b").orderBy(order)
+    ranged, w, by_group = _placed(df, keys, order, width)
     row, last = F.struct(*own), F.struct(*before)
     inner = ranged.withColumn("__l", F.lag(last).over(w)).withColumn("__v", F.when(F.col("__l").isNotNull() & begins(row, F.col("__l")), 1).otherwise(0))
-    edges = inner.groupBy(*keys, "__b").agg(F.min_by(row, order).alias("__first"), F.max_by(last, order).alias("__last"), F.sum("__v").alias("__s"))
-    by_group = Window.partitionBy(*keys).orderBy("__b")
+    edges = inner.groupBy("__k").agg(F.min_by(row, order).alias("__first"), F.max_by(last, order).alias("__last"), F.sum("__v").alias("__s"))
     opened = edges.withColumn("__open", F.when(begins(F.col("__first"), F.lag("__last").over(by_group)), 1).otherwise(0))
     before_it = F.sum(F.col("__s") + F.col("__open")).over(by_group.rowsBetween(Window.unboundedPreceding, -1))
-    base = opened.select(*keys, "__b", (F.coalesce(before_it, F.lit(0)) + F.col("__open")).alias("__base"))
+    base = opened.select("__k", (F.coalesce(before_it, F.lit(0)) + F.col("__open")).alias("__base"))
     counted = inner.withColumn("__n", F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return _beside(counted, base, [*keys, "__b"]).select(*df.columns, (F.col("__n") + F.col("__base")).alias(name))
+    return counted.join(base, "__k", "left").select(*df.columns, (F.col("__n") + F.col("__base")).alias(name))
 
 
 # --- folds by next-begin pointers --------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from spark_cues.functions import text
-from spark_cues.operators import documents, folds, intervals, models, reconcile
+from spark_cues.operators import documents, folds, intervals, models, phrases, reconcile
 from spark_cues.plans import fixtures, registry
 from spark_cues.sources import srt
 from spark_cues.streaming import processors
@@ -172,3 +172,46 @@ def test_documents_within_their_row_are_those_of_the_joined_steps(spark):
     joined = documents.resegment_documents(docs, ["media_id"], answers=spark.createDataFrame([], "media_id long, first_seq long, pieces array<string>"))
     got = {r["media_id"]: r["srt"] for r in documents.resegment_documents(docs, ["media_id"]).collect()}
     assert len(got) > 20 and got == {r["media_id"]: r["srt"] for r in joined.collect()}
+
+
+def shuffled_with(df, column):
+    """Exchanges of a plan without broadcasts whose rows hold the column or, once it is used, what was made of it."""
+    conf, name = df.sparkSession.conf, "spark.sql.autoBroadcastJoinThreshold"
+    before = conf.get(name)
+    conf.set(name, "-1")
+    try:
+        todo, found = [df.select("*")._jdf.queryExecution().executedPlan().initialPlan()], 0
+    finally:
+        conf.set(name, before)
+    while todo:
+        node = todo.pop()
+        found += node.nodeName() == "Exchange" and re.search(rf"\b{column}#", node.output().mkString(",")) is not None
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+CAPTIONS = "media_id long, track string, seq long, idx string, start double, end double, text string"
+
+
+def test_phrases_carry_texts_over_two_shuffles(spark):
+    """Texts went to the edges of ranges too, and were shuffled again to meet these."""
+    cues = spark.createDataFrame([(1, "t", k, str(k + 1), k * 1.0, k + 0.9, text) for k, text in enumerate(["a", "b. ", None, " ", "c", "d!　", "e"])] + [(None, None, 0, "1", 0.0, 1.0, "x"), (None, None, 1, "2", 4.0, 5.0, "y")], CAPTIONS)
+    grouped = phrases.phrase_groups(cues, width=2)
+    assert shuffled_with(grouped, "text") == 1 and shuffled_with(phrases.merge_phrases(cues), "text|buf") == 2
+    assert {(r["media_id"], r["seq"]): r["phrase_no"] for r in grouped.collect()} == {(1, 0): 1, (1, 1): 1, (1, 2): 2, (1, 3): 3, (1, 4): 3, (1, 5): 3, (1, 6): 4, (None, 0): 1, (None, 1): 2}
+
+
+def test_words_are_counted_once_and_only_where_seconds_are_shared(spark):
+    parents = spark.createDataFrame([(1, 0.0, 90.0, ["a b", "c", "d e f"]), (2, 1.0, 1.0, ["x"]), (3, 5.0, 45.0, ["y"]), (4, 2.0, 8.0, ["a b", "c"]), (5, 0.0, 1.0, [])], "k long, start double, end double, pieces array<string>")
+    timed = folds.distribute_words(parents)
+    assert timed._jdf.queryExecution().analyzed().toString().count(", -1)") == 1
+    got = {k: [] for k in range(1, 6)}
+    for r in sorted(timed.collect(), key=lambda r: r["piece_no"]):
+        got[r["k"]].append((round(r["piece_start"], 6), round(r["piece_end"], 6)))
+    want = {k: [] for k in got}
+    for r in parents.collect():
+        at = r["start"]
+        for seconds in folds.shared_seconds([len(p.split()) for p in r["pieces"]], r["end"] - r["start"]) if r["pieces"] else []:
+            want[r["k"]].append((round(at, 6), round(at + seconds, 6)))
+            at += seconds
+    assert got == want
