@@ -39,6 +39,10 @@ def apply_translations(cues: DataFrame, answers: DataFrame, keys: list[str] = KE
     with an unknown end counts as its first index.  Cues without an answer keep theirs.  Rows come with ``from_seq``, ordered by start.
     """
     number = lambda c: F.when(F.regexp_like(F.trim(c), F.lit(r"^\d+$")), F.trim(c).cast("bigint"))
+    # Labels that are one number meet under it, in one struct with the keys, so that ranges, by number, and answers, by label, are joined over
+    # one shuffle of the cues and one of the answers.
+    under = lambda c: F.when(F.regexp_like(F.trim(c), F.lit(r"^\d+$")), F.regexp_replace(F.trim(c), r"^0+(?=\d)", "")).otherwise(c)
+    place = lambda c: F.struct(*keys, c.alias("under")).alias("__at")
     known = cues.select(*keys, "seq", F.col("idx").alias("label"), number(F.col("idx")).alias("n"), "start", "end", F.col("text").alias("original"))
     said = answers.select(*keys, F.col("pos").cast("bigint").alias("pos"), F.trim("idx").alias("label"), range_index(F.trim("idx")).alias("r"), clean_llm_text(F.col("text")).alias("new"))
     ranged = said.where("r is not null and r.b > r.a and new <> ''").select(*keys, "pos", "label", "new", F.col("r.a").alias("a"), F.col("r.b").alias("b"))
@@ -47,13 +51,13 @@ def apply_translations(cues: DataFrame, answers: DataFrame, keys: list[str] = KE
     # By number: the ranges that begin at a cue, and the first answer whose range has swallowed it.
     covered = spans.withColumn("n", F.explode(F.sequence("a", F.when(F.col("b_end").isNotNull(), F.col("b")).otherwise(F.col("a")))))
     begins = F.collect_list(F.when(F.col("n") == F.col("a"), F.struct("pos", "label", "new", "b_end")))
-    marks = covered.groupBy(*keys, "n").agg(F.min(F.when(F.col("n") > F.col("a"), F.col("pos"))).alias("gone"), begins.alias("begins"))
-    singles = said.where("r is null").groupBy(*keys, "label").agg(F.collect_list(F.struct("pos", "new")).alias("singles"))
-    both = known.join(marks, [*keys, "n"], "left").join(singles, [*keys, "label"], "left")
+    marks = covered.groupBy(place(F.col("n").cast("string"))).agg(F.min(F.when(F.col("n") > F.col("a"), F.col("pos"))).alias("gone"), begins.alias("begins"))
+    singles = said.where("r is null").dropna(subset=keys).groupBy(place(under(F.col("label")))).agg(F.collect_list(F.struct("pos", "label", "new")).alias("singles"))
+    both = known.drop("n").withColumn("__at", place(under(F.col("label")))).join(marks, "__at", "left").join(singles, "__at", "left")
     row = lambda pos, label, end, text: F.struct(pos.alias("pos"), F.col("seq").alias("from_seq"), label.alias("idx"), F.col("start").alias("start"), end.alias("end"), text.alias("text"))
     label, end, original = F.col("label"), F.col("end"), F.col("original")
     wide = F.transform("begins", lambda x: row(x["pos"], F.when(x["b_end"].isNotNull(), x["label"]).otherwise(label), F.coalesce(x["b_end"], end), x["new"]))
-    live = F.filter("singles", lambda x: F.col("gone").isNull() | (F.col("gone") > x["pos"]))
+    live = F.filter("singles", lambda x: (x["label"] == F.col("label")) & (F.col("gone").isNull() | (F.col("gone") > x["pos"])))
     plain = F.transform(live, lambda x: row(x["pos"], label, end, F.when(x["new"] != "", x["new"]).otherwise(original)))
     given = F.concat(F.coalesce(wide, F.array()), F.coalesce(plain, F.array()))
     own = F.when(F.col("gone").isNull(), F.array(row(F.lit(None).cast("bigint"), label, end, original)))

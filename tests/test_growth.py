@@ -215,3 +215,13 @@ def test_words_are_counted_once_and_only_where_seconds_are_shared(spark):
             want[r["k"]].append((round(at, 6), round(at + seconds, 6)))
             at += seconds
     assert got == want
+
+
+def test_translations_carry_cues_and_answers_over_one_shuffle_each(spark):
+    """Cues were shuffled by number, then by label; numbers written in several ways and labels that are none keep their own answers."""
+    labels = ["1", "2", "03", "4", "b", "6", None, "8"]
+    cues = spark.createDataFrame([(1, "t", k, x, k * 1.0, k + 0.9, f"c{k}") for k, x in enumerate(labels)] + [(None, "t", 0, "1", 0.0, 0.9, "n")], CAPTIONS)
+    said = [(1, "t", 0, "1-2", "one two"), (1, "t", 1, "2", "gone"), (1, "t", 2, "3", "none"), (1, "t", 3, "03", "three"), (1, "t", 4, "b", "bee"), (1, "t", 5, "6-9", "six"), (1, "t", 6, None, "null"), (None, "t", 7, "1", "null"), (1, "t", 8, " 8 ", " ")]
+    out = reconcile.apply_translations(cues, spark.createDataFrame(said, "media_id long, track string, pos long, idx string, text string"))
+    assert shuffled_with(out, "original") == 1
+    assert sorted((r["media_id"] or 0, r["from_seq"], r["idx"] or "", r["end"], r["text"]) for r in out.collect()) == [(0, 0, "1", 0.9, "n"), (1, 0, "1-2", 1.9, "one two"), (1, 2, "03", 2.9, "three"), (1, 3, "4", 3.9, "c3"), (1, 4, "b", 4.9, "bee"), (1, 5, "6", 5.9, "six"), (1, 6, "", 6.9, "c6"), (1, 7, "8", 7.9, "c7")]
