@@ -45,14 +45,20 @@ def group_faults(groups: DataFrame, sizes: DataFrame, keys: list[str], most: int
 
     Valid: each number once, groups in order, members consecutive, at most ``most`` of them.  Repairable: the same but for missing numbers.
     """
+    known = _checked_groups(groups, sizes, keys, most)
+    return known.select(*keys, (F.col("__inside") & (F.col("covered") == F.col("total"))).alias("valid"), F.col("__inside").alias("repairable"))
+
+
+def _checked_groups(groups: DataFrame, sizes: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """A row a grouping: ``__inside``, whether it is repairable, how many numbers it covers of ``total``, and its groups ``spans (low, high)`` in order."""
     one = groups.select(*keys, "group_no", F.size("members").alias("n"), F.array_min("members").alias("low"), F.array_max("members").alias("high"), F.size(F.array_distinct("members")).alias("d"))
     rising = F.lag("high").over(Window.partitionBy(*keys).orderBy("group_no")).isNull() | (F.lag("high").over(Window.partitionBy(*keys).orderBy("group_no")) < F.col("low"))
     sound = (F.col("n") > 0) & (F.col("n") <= most) & (F.col("d") == F.col("n")) & (F.col("high") - F.col("low") + 1 == F.col("n"))
     each = one.withColumn("ok", F.coalesce(sound & rising, F.lit(False)))
-    per = each.groupBy(*keys).agg(F.bool_and("ok").alias("ok"), F.sum("n").alias("covered"), F.min("low").alias("low"), F.max("high").alias("high"))
+    spans = F.array_sort(F.collect_list(F.struct("low", "high")))
+    per = each.groupBy(*keys).agg(F.bool_and("ok").alias("ok"), F.sum("n").alias("covered"), F.min("low").alias("low"), F.max("high").alias("high"), spans.alias("spans"))
     known = per.join(sizes, keys)
-    inside = F.col("ok") & (F.col("low") >= 1) & (F.col("high") <= F.col("total"))
-    return known.select(*keys, (inside & (F.col("covered") == F.col("total"))).alias("valid"), inside.alias("repairable"))
+    return known.withColumn("__inside", F.col("ok") & (F.col("low") >= 1) & (F.col("high") <= F.col("total")))
 
 
 def fix_groups(groups: DataFrame, sizes: DataFrame, keys: list[str], most: int = 8) -> DataFrame:
@@ -70,15 +76,25 @@ def merge_by_groups(cues: DataFrame, groups: DataFrame, batch: int = 40, cut_gap
     """
     here = [*keys, "batch_id"]
     w = Window.partitionBy(*keys).orderBy("seq")
-    placed = cues.withColumn("__p", F.row_number().over(w) - 1).withColumn("batch_id", F.floor(F.col("__p") / batch).cast("bigint")).withColumn("number", (F.col("__p") % batch + 1).cast("int"))
-    sizes = placed.groupBy(*here).agg(F.count("*").alias("total"))
-    fixed = fix_groups(groups, sizes, here, most)
-    both = phrase_groups(placed, rule_gap, here).join(fixed, [*here, "number"], "left").withColumn("by_rule", F.col("group_key").isNull())
-    key = F.coalesce("group_key", F.col("phrase_no") + 100_000)
-    inner = Window.partitionBy(*here, "__g").orderBy("seq")
+    number = lambda rows: rows.withColumn("__p", F.row_number().over(w) - 1).withColumn("batch_id", F.floor(F.col("__p") / batch).cast("bigint")).withColumn("number", (F.col("__p") % batch + 1).cast("int"))
+    placed = number(cues.withColumn("__ends", _ends(F.col("text"))))
+    sizes = number(cues).groupBy(*here).agg(F.count("*").alias("total"))
+    # A repairable grouping, whose groups are runs of numbers, as one array: the first number of each number's group; it meets the batch's
+    # cues as one row, and all that follows lies within the batch, so cues aren't shuffled again.
+    good = _checked_groups(groups, sizes, here, most).where("__inside")
+    until = lambda i: F.when(i > 0, F.get("spans", i - 1)["high"]).otherwise(F.lit(0))
+    alone = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    firsts = F.flatten(F.transform("spans", lambda x, i: F.concat(alone(until(i) + 1, x["low"].cast("int") - 1), F.array_repeat(x["low"].cast("int"), x["high"].cast("int") - x["low"].cast("int") + 1))))
+    fixed = good.select(F.struct(*here).alias("__k"), firsts.alias("__firsts"))
+    both = placed.withColumn("__k", F.struct(*here)).join(fixed, "__k", "left").withColumn("by_rule", F.col("__firsts").isNull())
+    own = Window.partitionBy("__k").orderBy("seq")
+    begun = both.withColumn("__l", F.lag(F.struct("__ends", "end")).over(own)).withColumn("__v", F.when(_begins(F.struct("start"), F.col("__l"), rule_gap), 1).otherwise(0))
+    phrase = F.sum("__v").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    key = F.when(F.col("by_rule"), phrase + 100_000).otherwise(F.coalesce(F.get("__firsts", F.col("number") - 1), F.col("number")))
+    inner = Window.partitionBy("__k", "__g").orderBy("seq")
     cuts = F.round(F.col("start") - F.lag("end").over(inner), 6) > cut_gap
-    marked = both.withColumn("__g", key).withColumn("__c", (F.coalesce(cuts, F.lit(False)) & ~F.col("by_rule")).cast("int")).withColumn("part", F.sum("__c").over(inner))
-    return _joined(marked, [*here, "__g", "part"]).select(*keys, "batch_id", "first_seq", "n_cues", "start", "end", "text")
+    marked = begun.withColumn("__g", key).withColumn("__c", (F.coalesce(cuts, F.lit(False)) & ~F.col("by_rule")).cast("int")).withColumn("part", F.sum("__c").over(inner))
+    return _joined(marked, ["__k", "__g", "part"]).select(*[F.col("__k")[k].alias(k) for k in here], "first_seq", "n_cues", "start", "end", "text")
 
 
 def order_merge(*tables: DataFrame, keys: list[str] = KEY) -> DataFrame:

@@ -225,3 +225,16 @@ def test_translations_carry_cues_and_answers_over_one_shuffle_each(spark):
     out = reconcile.apply_translations(cues, spark.createDataFrame(said, "media_id long, track string, pos long, idx string, text string"))
     assert shuffled_with(out, "original") == 1
     assert sorted((r["media_id"] or 0, r["from_seq"], r["idx"] or "", r["end"], r["text"]) for r in out.collect()) == [(0, 0, "1", 0.9, "n"), (1, 0, "1-2", 1.9, "one two"), (1, 2, "03", 2.9, "three"), (1, 3, "4", 3.9, "c3"), (1, 4, "b", 4.9, "bee"), (1, 5, "6", 5.9, "six"), (1, 6, "", 6.9, "c6"), (1, 7, "8", 7.9, "c7")]
+
+
+def test_cues_meet_their_groups_over_two_shuffles(spark):
+    """Texts went to the edges of ranges, to these, to each number's group and to the phrases: five shuffles."""
+    cues = spark.createDataFrame([(m, "t", k, str(k + 1), k * 1.0 + (2 if k > 5 else 0), k + 0.9 + (2 if k > 5 else 0), f"w{k}" + ("." if k % 4 == 3 else "")) for m in (1, 2, 3) for k in range(13)] + [(None, "t", 0, "1", 0.0, 0.9, "a."), (None, "t", 1, "2", 1.0, 1.9, "b")], CAPTIONS)
+    given = [(1, "t", 0, 0, [2, 3]), (1, "t", 0, 1, [5, 6, 7]), (1, "t", 0, 2, [8]), (1, "t", 1, 0, [1, 2, 3]), (2, "t", 0, 0, [1, 2]), (2, "t", 0, 1, [2, 3]), (2, "t", 1, 0, [1, 4]), (None, "t", 0, 0, [1, 2])]
+    merged = phrases.merge_by_groups(cues, spark.createDataFrame(given, "media_id long, track string, batch_id long, group_no long, members array<int>"), batch=10)
+    assert shuffled_with(merged, "text|buf") == 2
+    got = {(m, b): [] for m in (None, 1, 2, 3) for b in (0, 1)}
+    for r in sorted(merged.collect(), key=lambda r: r["first_seq"]):
+        got[r["media_id"], r["batch_id"]].append(r["text"])
+    rule = {0: ["w0 w1 w2 w3.", "w4 w5", "w6 w7.", "w8 w9"], 1: ["w10 w11.", "w12"]}
+    assert got == {(1, 0): ["w0", "w1 w2", "w3.", "w4 w5", "w6", "w7.", "w8", "w9"], (1, 1): ["w10 w11. w12"], **{(m, b): rule[b] for m in (2, 3) for b in (0, 1)}, (None, 0): ["a.", "b"], (None, 1): []}
