@@ -47,7 +47,7 @@ def stream_statuses(lines: DataFrame, patterns: DataFrame, last: int = 20) -> Da
     ship_package(lines.sparkSession)
     known = [(r["priority"], r["status"], r["pattern"]) for r in patterns.select("priority", "status", "pattern").collect()]
     schema = "run_id bigint, version bigint, status string"
-    return lines.select("run_id", "line_no", "line").groupBy("run_id").transformWithStateInPandas(RunLog(known, last), schema, "update", "none")
+    return lines.select("run_id", "line_no", "line").groupBy("run_id").transformWithState(RunLog(known, last), schema, "update", "none")
 
 
 def stream_phase(lines: DataFrame, patterns: DataFrame, path: str, checkpoint: str, last: int = 20) -> StreamingQuery:

@@ -37,25 +37,26 @@ def phase_of(lines: list[tuple[int, str]], patterns: list[tuple[int, str, str]])
 
 
 class RunLog(StatefulProcessor):
-    """A run's last lines; gives ``(run_id, version, status)`` whenever lines of the run arrive."""
+    """A run's last lines; gives ``(run_id, version, status)`` whenever lines of the run arrive.
 
-    NAMES = ["run_id", "version", "status"]
+    Works on rows ``(run_id, line_no, line)``: a pandas form makes frames for every run, which costs more than its lines.
+    """
 
     def __init__(self, patterns: list[tuple[int, str, str]], last: int):
-        self.patterns, self.last = patterns, last
+        self.patterns, self.last = sorted(patterns), last
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("held", "numbers array<bigint>, lines array<string>, version bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        numbers, lines, version = self.held.get() if self.held.exists() else ([], [], -1)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        numbers, lines, version = self.held.get() or ([], [], -1)
         known = dict(zip(numbers, lines, strict=True))
-        for row in _rows(rows).itertuples(index=False):
-            known.setdefault(int(row.line_no), row.line or "")
+        for _, number, line in rows:
+            known.setdefault(number, line or "")
         top = max(known)
         kept = sorted((n, x) for n, x in known.items() if n > top - self.last)
         self.held.update(([n for n, _ in kept], [x for _, x in kept], version + 1))
-        yield _frame([(key[0], version + 1, phase_of(kept, self.patterns))], self.NAMES)
+        yield Row(run_id=key[0], version=version + 1, status=phase_of(kept, self.patterns))
 
 
 class PhraseMerger(StatefulProcessor):

@@ -238,3 +238,27 @@ def test_cues_meet_their_groups_over_two_shuffles(spark):
         got[r["media_id"], r["batch_id"]].append(r["text"])
     rule = {0: ["w0 w1 w2 w3.", "w4 w5", "w6 w7.", "w8 w9"], 1: ["w10 w11.", "w12"]}
     assert got == {(1, 0): ["w0", "w1 w2", "w3.", "w4 w5", "w6", "w7.", "w8", "w9"], (1, 1): ["w10 w11. w12"], **{(m, b): rule[b] for m in (2, 3) for b in (0, 1)}, (None, 0): ["a.", "b"], (None, 1): []}
+
+
+def test_a_run_costs_two_calls_of_state_and_no_frame():
+    calls = []
+
+    class State:
+        value = None
+
+        def get(self):
+            return calls.append("get") or self.value
+
+        def update(self, value):
+            calls.append("put")
+            self.value = value
+
+    class Handle:
+        getValueState = lambda self, *a: State()
+
+    log = processors.RunLog([(2, "synthesising", "segment"), (1, "failed", "error")], 3)
+    log.init(Handle())
+    said = lambda *lines: list(log.handleInputRows((7,), iter([Row(run_id=7, line_no=n, line=x) for n, x in lines]), None))
+    assert said((2, "segment 1/2"), (0, "error"), (0, "other")) == [Row(run_id=7, version=0, status="synthesising segment 1/2")] and calls == ["get", "put"]
+    assert said((4, None), (2, "error")) == [Row(run_id=7, version=1, status="synthesising segment 1/2")]
+    assert said((5, "x")) == [Row(run_id=7, version=2, status="processing")] and len(calls) == 6
