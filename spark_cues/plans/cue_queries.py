@@ -534,10 +534,5 @@ _BATCHES = f"""{fx.CUES_SQL}, b as (select *, seq // 24 as batch_id, seq % 24 as
 def translated_batches(spark, sf):
     """Batches answered by JSON that skips some entries, by SRT, by nothing usable, and by JSON in a fence."""
     c = fx.cues(spark, sf).withColumn("batch_id", F.floor(F.col("seq") / 24))
-    keys = ["media_id", "batch_id"]
-    said = c.withColumn("text", fx.upper("text"))
-    lists = reconcile.entries_json(said.where("batch_id % 4 in (0, 3) and not (batch_id % 4 = 0 and seq % 24 % 7 = 3)"), keys).select(*keys, F.concat(F.lit("Here it is:\n```json\n"), "entries", F.lit("\n```\n")).alias("raw"))
-    texts = srt.srt_documents(said.where("batch_id % 4 = 1"), keys).select(*keys, F.col("srt").alias("raw"))
-    refused = c.where("batch_id % 4 = 2").select(*keys).distinct().withColumn("raw", F.lit("I can't do that."))
-    out = reconcile.translated_batches(c, lists.unionByName(texts).unionByName(refused), keys)
+    out = reconcile.translated_batches(c, fx.batch_answers(spark, sf), ["media_id", "batch_id"])
     return out.withColumns(R3("start", "end"))

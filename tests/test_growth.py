@@ -1,5 +1,6 @@
 """What must not grow with the input, or must hold however large it is."""
 
+import json
 import random
 import re
 
@@ -262,3 +263,75 @@ def test_a_run_costs_two_calls_of_state_and_no_frame():
     assert said((2, "segment 1/2"), (0, "error"), (0, "other")) == [Row(run_id=7, version=0, status="synthesising segment 1/2")] and calls == ["get", "put"]
     assert said((4, None), (2, "error")) == [Row(run_id=7, version=1, status="synthesising segment 1/2")]
     assert said((5, "x")) == [Row(run_id=7, version=2, status="processing")] and len(calls) == 6
+
+
+def batches_by_joins(cues, responses, keys):
+    """Translated batches as joined steps over rows."""
+    answers = reconcile.answer_rows(responses)
+    is_json = F.coalesce(F.size(F.from_json(text.loose_json(F.col("raw")), reconcile.ANSWER)) > 0, F.lit(False))
+    other = responses.where(~is_json).select(*keys, F.col("raw").alias("text"))
+    at = lambda found, later: found.withColumn("pos", F.col("seq") * 2 + later)
+    read = at(srt.parse_srt(srt.sanitize_srt(other, keys)), 0).unionByName(at(srt.digit_captions(other), 1))
+    captions = read.select(*keys, "pos", "idx", text.clean_llm_text(F.col("text")).alias("text"))
+    kinds = responses.where(is_json).select(*keys, F.lit("json").alias("source")).unionByName(captions.select(*keys, F.lit("srt").alias("source")).distinct())
+    known = cues.join(kinds, keys, "left").withColumn("source", F.coalesce("source", F.lit("original")))
+    by_json = reconcile.apply_translations(known.where("source = 'json'"), answers, keys).withColumn("source", F.lit("json"))
+    by_srt = reconcile.srt_fallback(known.where("source = 'srt'"), captions, keys).withColumn("from_seq", F.col("seq"))
+    as_were = known.where("source = 'original'").withColumn("from_seq", F.col("seq"))
+    columns = [*keys, "from_seq", "idx", "start", "end", "text", "source"]
+    return by_json.select(*columns).unionByName(by_srt.select(*columns)).unionByName(as_were.select(*columns))
+
+
+def test_batches_meet_their_responses_over_one_shuffle(spark, tiny):
+    """Cues, responses, their lines and their captions were shuffled on their own, most of them twice or more."""
+    rng, cues, said = random.Random(7), [], []
+    for m in range(400):
+        n, odd = rng.choice([1, 2, 6, 24]), m % 3 == 0
+        labels = [rng.choice([str(k + 1), f"0{k + 1}", f" {k + 1}", "b", "2", "", None]) if odd and rng.random() < 0.3 else str(k + 1) for k in range(n)]
+        cues += [(m, m % 2, k, labels[k], k * 1.0, None if odd and rng.random() < 0.1 else k + 0.9, rng.choice([f"t{k}", "", None])) for k in range(n)]
+        spoken = lambda: rng.choice(["uno", " dos ", "2. tres", "", " ", "```json", "[00:01] x", "42", "<b>q</b>", "7　"])
+        if m % 4 == 0:
+            items = [{"index": rng.choice([str(rng.randint(1, n)), f"{rng.randint(0, n)}-{rng.randint(1, n + 1)}", f" {rng.randint(1, n)} ", f"0{rng.randint(1, n)}", "b", "", None]), "text": rng.choice([spoken(), None])} for _ in range(rng.choice([0, 1, n, n + 2]))]
+            raw = rng.choice(["", "Here:\n```json\n"]) + json.dumps(items) + rng.choice(["", "\n```\n", "]"])
+        elif m % 4 == 3:
+            raw = rng.choice([None, "", "no.", "[", "[]", "1\n2", '[{"a": 1}]', "12 --> 13", "00:00:01,000 --> 00:00:02,000"])
+        else:
+            lines = ["```srt"] if m % 8 == 1 else []
+            for k in range(rng.choice([1, n, n + 1])):
+                index = str(k + 1) if m % 4 == 1 else rng.choice([str(k + 1), str(rng.randint(0, n)), "", "x", f"00{k + 1}"])
+                lines += [index, rng.choice(["00:00:01,000 --> 00:00:02,000", "0 --> 1", "00:00:01,000 -->"]) if odd else "00:00:01,000 --> 00:00:02,000", "x" if m % 4 == 2 and spoken() == "42" else f"{spoken()}{k}", *rng.choice([[], [""], ["", ""], ["more"]]), ""]
+            raw = rng.choice(["\n", "\r\n", "\r"]).join(lines)
+        said += [(m, m % 2, raw)] if m % 11 else []
+    cues += [(None, 1, k, str(k + 1), 0.0, 1.0, "n") for k in range(5)] + [(None, 1, 0, "1", 0.0, 1.0, "n")] + [(1, None, 0, "1", 0.0, 1.0, "o")]
+    said += [(None, 1, '[{"index": "1", "text": "never"}]'), (1, None, '[{"index": "1", "text": "never"}]'), (9999, 0, '[{"index": "1", "text": "never"}]')]
+    keys = ["media_id", "batch_id"]
+    rows = spark.createDataFrame(cues, "media_id long, batch_id long, seq long, idx string, start double, end double, text string")
+    responses = spark.createDataFrame(said, "media_id long, batch_id long, raw string")
+    out, joined = reconcile.translated_batches(rows, responses, keys), batches_by_joins(rows, responses, keys)
+    in_order = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    got = in_order(out)
+    assert out.schema.simpleString() == joined.schema.simpleString() and got == in_order(joined)
+    assert {"json", "srt", "original"} == {r[-1] for r in got} and any("-" in (r[3] or "") for r in got)
+    for df in (out, registry.queries()["j05_translated_batches"](spark, tiny)):
+        assert shuffled_with(df, ".*") == 1
+
+
+def test_answers_to_batches_come_from_their_documents(spark, tiny):
+    cues, keys = fixtures.cues(spark, tiny).withColumn("batch_id", F.floor(F.col("seq") / 24)).withColumn("text", fixtures.upper("text")), ["media_id", "batch_id"]
+    lists = reconcile.entries_json(cues.where("batch_id % 4 in (0, 3) and not (batch_id % 4 = 0 and seq % 24 % 7 = 3)"), keys).select(*keys, F.concat(F.lit("Here it is:\n```json\n"), "entries", F.lit("\n```\n")).alias("raw"))
+    texts = srt.srt_documents(cues.where("batch_id % 4 = 1"), keys).withColumnRenamed("srt", "raw")
+    refused = cues.where("batch_id % 4 = 2").select(*keys).distinct().withColumn("raw", F.lit("I can't do that."))
+    answers = fixtures.batch_answers(spark, tiny)
+    assert sorted(map(tuple, answers.collect())) == sorted(map(tuple, lists.unionByName(texts).unionByName(refused).collect()))
+    assert "Exchange" not in answers._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_long_batch_and_numbers_past_counting(spark):
+    """Labels of a long batch aren't compared each with each, and digits past a long are an index or none."""
+    n, long = 3000, "9" * 30
+    cues = spark.createDataFrame([(m, k, str(k + 1) if m < 3 else long, k * 1.0, k + 0.9, f"t{k}") for m in (1, 2) for k in range(n)] + [(3, 0, long, 0.0, 0.9, "t")], "media_id long, seq long, idx string, start double, end double, text string")
+    block = "{}\n00:00:01,000 --> 00:00:02,000\n{}\n".format
+    said = [(1, json.dumps([{"index": str(k + 1), "text": f"j{k}"} for k in reversed(range(n)) if k % 3])), (2, "\n".join(block(k + 1, f"s{k}") for k in range(n))), (3, block("0" + long, "s") + "\n" + block("", "u"))]
+    got = reconcile.translated_batches(cues, spark.createDataFrame(said, "media_id long, raw string"), ["media_id"]).collect()
+    want = [(1, k, f"j{k}" if k % 3 else f"t{k}", "json") for k in range(n)] + [(2, k, f"s{k}", "srt") for k in range(n)] + [(3, 0, "s", "srt")]
+    assert sorted((r["media_id"], r["from_seq"], r["text"], r["source"]) for r in got) == want
