@@ -232,6 +232,12 @@ def clean_llm_text(c: Column) -> Column:
     return strip(F.regexp_replace(out, r"^\d+[.:]\s+", ""))
 
 
+def clean_llm_text_within(c: Column) -> Column:
+    """:func:`clean_llm_text` for use within lambdas, where every pattern costs: one tells whether a line has anything to take out."""
+    marked = rf"[\[<]|-->|```|{WS}{{2}}|^{WS}*\d+[.:]"
+    return F.when(F.regexp_like(c, F.lit(marked)), clean_llm_text(c)).otherwise(strip(c))
+
+
 def safe_edit(original: Column, corrected: Column) -> Column:
     """Whether a correction may stand: not blank, and of like length (up to 30 for originals of 5 or fewer)."""
     a, b = F.length(original), F.length(corrected)

@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_llm_text, let, loose_json, range_index, safe_edit, strip
+from ..functions.text import clean_llm_text, clean_llm_text_within, let, loose_json, range_index, safe_edit, strip
 from ..sources.srt import read_captions
 
 KEY = ["media_id", "track"]
@@ -88,71 +88,74 @@ def translated_batches(cues: DataFrame, responses: DataFrame, keys: list[str]) -
     own = cues.select(*keys, alone.alias("__alone"), cue.alias("__cue"), F.lit(None).cast("string").alias("raw"))
     said = responses.dropna(subset=keys).select(*keys, F.lit(None).cast("bigint").alias("__alone"), F.lit(None).cast(own.schema["__cue"].dataType).alias("__cue"), "raw")
     # Dealt out before they are grouped: tasks that read would sort all they have to group a part of it.
-    met = own.unionByName(said).repartition(*keys, "__alone").groupBy(*keys, "__alone").agg(F.collect_list("__cue").alias("__cues"), F.max("raw").alias("__raw"))
-    rows = met.select(*[F.col(k).cast(cues.schema[k].dataType) for k in keys], F.explode(translated_batch(F.col("__cues"), F.col("__raw"))).alias("x"))
+    met = own.unionByName(said).repartition(*keys, "__alone").groupBy(*keys, "__alone").agg(F.collect_list("__cue").alias("__cues"), F.max("raw").alias("raw"))
+    marked = met.withColumn("__items", F.from_json(loose_json(F.col("raw")), ANSWER))
+    rows = marked.select(*[F.col(k).cast(cues.schema[k].dataType) for k in keys], F.explode(_batch_rows(F.col("__cues"), F.col("raw"), F.col("__items"))).alias("x"))
     return rows.select(*keys, "x.*")
 
 
-def translated_batch(cues: Column, raw: Column) -> Column:
-    """:func:`translated_batches` of one batch, as ``array<struct<from_seq,idx,start,end,text,source>>``; cues are ``array<struct<from_seq,idx,start,end,text>>``."""
+def _batch_rows(cues: Column, raw: Column, items: Column) -> Column:
+    """One batch's rows, as ``array<struct<from_seq,idx,start,end,text,source>>``, of its cues ``array<struct<from_seq,idx,start,end,text>>``, its response and the JSON read from that."""
 
     def row(x: Column, source: str, **new: Column) -> Column:
         return F.struct(*[new.get(c, x[c]).alias(c) for c in ("from_seq", "idx", "start", "end", "text")], F.lit(source).alias("source"))
 
-    def by_json(items: Column) -> Column:
+    number = lambda c: F.when(F.regexp_like(F.trim(c), F.lit(r"^\d+$")), F.trim(c).try_cast("bigint"))
+    said = lambda x, pos: let(F.trim(x["index"]), lambda label: F.struct(pos.alias("pos"), label.alias("idx"), range_index(label).alias("r"), clean_llm_text_within(x["text"]).alias("text")))
+    plain = lambda x, a: row(x, "json", text=F.when(a["text"] != "", a["text"]).otherwise(x["text"]))
+
+    def spans(answers: Column) -> Column:
+        """Ranges that begin at a cue, each with the end of the cue they end at, null without one; null where no answer is a range."""
+        ranged = F.filter(answers, lambda x: F.coalesce((x["r"]["b"] > x["r"]["a"]) & (x["text"] != ""), F.lit(False)))
+        numbered = F.filter(F.transform(cues, lambda c: F.struct(number(c["idx"]).alias("n"), c["end"].alias("end"))), lambda c: c["n"].isNotNull())
+        ends = lambda x, of: F.transform(F.filter(of, lambda c: c["n"] == x["r"]["b"]), lambda c: c["end"])
+        every = lambda e: F.when(F.size(e) > 0, e).otherwise(F.array(F.get(e, F.lit(0))))
+        span = lambda x, of: F.transform(let(ends(x, of), every), lambda e: F.struct(x["pos"].alias("pos"), x["idx"].alias("idx"), x["r"]["a"].alias("a"), x["r"]["b"].alias("b"), e.alias("end"), x["text"].alias("text")))
+        begun = lambda some, of: F.filter(some, lambda x: F.exists(of, lambda c: c["n"] == x["r"]["a"]))
+        known = lambda some: let(numbered, lambda of: F.flatten(F.transform(begun(some, of), lambda x: span(x, of))))
+        return let(ranged, lambda some: F.when(F.size(some) > 0, known(some)))
+
+    def among(x: Column, found: Column, spans: Column) -> Column:
+        """Rows of a cue where there are ranges: those that begin at it, and the answers that no earlier range has swallowed."""
+
+        def rows(at: Column) -> Column:
+            live = F.filter(found, lambda a: at["gone"].isNull() | (at["gone"] > a["pos"]))
+            own = F.filter(F.array(row(x, "json")), lambda _: at["gone"].isNull())
+            wide = lambda s: row(x, "json", idx=F.when(s["end"].isNotNull(), s["idx"]).otherwise(x["idx"]), end=F.coalesce(s["end"], x["end"]), text=s["text"])
+            given = F.concat(F.transform(F.filter(spans, lambda s: F.coalesce(s["a"] == at["n"], F.lit(False))), wide), F.transform(live, lambda a: plain(x, a)))
+            return let(given, lambda g: F.when(F.size(g) > 0, g).otherwise(own))
+
+        over = lambda n: F.filter(spans, lambda s: F.coalesce(s["end"].isNotNull() & (s["a"] < n) & (n <= s["b"]), F.lit(False)))
+        return let(let(number(x["idx"]), lambda n: F.struct(n.alias("n"), F.array_min(F.transform(over(n), lambda s: s["pos"])).alias("gone"))), rows)
+
+    def by_json(answers: Column) -> Column:
         """As :func:`apply_translations`."""
-        said = lambda x, pos: let(F.trim(x["index"]), lambda label: F.struct(pos.alias("pos"), label.alias("idx"), range_index(label).alias("r"), clean_llm_text(x["text"]).alias("text")))
-        number = lambda c: F.when(F.regexp_like(F.trim(c), F.lit(r"^\d+$")), F.trim(c).cast("bigint"))
-
-        def spans(answers: Column) -> Column:
-            """Ranges that begin at a cue, each with the end of the cue they end at, null without one."""
-            ranged = F.filter(answers, lambda x: F.coalesce((x["r"]["b"] > x["r"]["a"]) & (x["text"] != ""), F.lit(False)))
-            numbered = F.filter(F.transform(cues, lambda c: F.struct(number(c["idx"]).alias("n"), c["end"].alias("end"))), lambda c: c["n"].isNotNull())
-            ends = lambda x, of: F.transform(F.filter(of, lambda c: c["n"] == x["r"]["b"]), lambda c: c["end"])
-            every = lambda e: F.when(F.size(e) > 0, e).otherwise(F.array(F.get(e, F.lit(0))))
-            span = lambda x, of: F.transform(let(ends(x, of), every), lambda e: F.struct(x["pos"].alias("pos"), x["idx"].alias("idx"), x["r"]["a"].alias("a"), x["r"]["b"].alias("b"), e.alias("end"), x["text"].alias("text")))
-            found = lambda x, of: F.when(F.exists(of, lambda c: c["n"] == x["r"]["a"]), span(x, of))
-            known = lambda some: let(numbered, lambda of: F.flatten(F.filter(F.transform(some, lambda x: found(x, of)), lambda s: s.isNotNull())))
-            return let(ranged, lambda some: F.when(F.size(some) > 0, known(some)))
-
-        def given(x: Column, find: Callable[[Column], Column], spans: Column) -> Column:
-            def at(n: Column) -> Column:
-                over = F.filter(spans, lambda s: s["end"].isNotNull() & (s["a"] < n) & (n <= s["b"]))
-                begun = F.transform(F.filter(spans, lambda s: s["a"] == n), lambda s: row(x, "json", idx=F.when(s["end"].isNotNull(), s["idx"]).otherwise(x["idx"]), end=F.coalesce(s["end"], x["end"]), text=s["text"]))
-                return F.struct(F.array_min(F.transform(over, lambda s: s["pos"])).alias("gone"), begun.alias("begun"))
-
-            def rows(at: Column) -> Column:
-                live = F.filter(find(x["idx"]), lambda a: at["gone"].isNull() | (at["gone"] > a["pos"]))
-                plain = F.transform(live, lambda a: row(x, "json", text=F.when(a["text"] != "", a["text"]).otherwise(x["text"])))
-                own = F.filter(F.array(row(x, "json")), lambda _: at["gone"].isNull())
-                return let(F.concat(F.coalesce(at["begun"], F.filter(plain, lambda _: F.lit(False))), plain), lambda g: F.when(F.size(g) > 0, g).otherwise(own))
-
-            return let(F.when(spans.isNotNull(), let(number(x["idx"]), at)), rows)
-
-        def put(answers: Column) -> Column:
-            singles = F.filter(answers, lambda x: x["r"].isNull())
-            return _finding(singles, lambda find: let(spans(answers), lambda s: F.flatten(F.transform(cues, lambda x: given(x, find, s)))))
-
-        return let(F.transform(items, said), put)
+        singly = lambda x, found: F.when(F.size(found) > 0, F.transform(found, lambda a: plain(x, a))).otherwise(F.array(row(x, "json")))
+        given = lambda x, find, s: let(find(x["idx"]), lambda found: F.when(s.isNull(), singly(x, found)).otherwise(among(x, found, s)))
+        singles = F.filter(answers, lambda x: x["r"].isNull())
+        asked = F.struct(let(singles, _dealt).alias("by_label"), spans(answers).alias("spans"))
+        return let(asked, lambda t: F.flatten(F.transform(cues, lambda x: given(x, _finding(t["by_label"]), t["spans"]))))
 
     def by_srt(captions: Column) -> Column:
         """As :func:`srt_fallback`."""
-        last = lambda found: strip(clean_llm_text(F.array_max(F.transform(found, lambda a: F.struct(a["pos"], a["text"])))["text"]))
-        new = lambda x, find: let(last(find(x["idx"])), lambda t: F.when(t != "", t).otherwise(x["text"]))
-        return _finding(captions, lambda find: F.transform(cues, lambda x: row(x, "srt", text=new(x, find))))
+        last = lambda found: let(F.array_max(F.transform(found, lambda a: F.struct(a["pos"], a["text"])))["text"], lambda t: clean_llm_text_within(t))
+        return let(_dealt(captions), lambda p: F.transform(cues, lambda x: let(last(_finding(p)(x["idx"])), lambda t: row(x, "srt", text=F.when(t != "", t).otherwise(x["text"])))))
 
     as_were = F.transform(cues, lambda x: row(x, "original"))
     else_srt = let(read_captions(raw), lambda c: F.when(F.size(c) > 0, by_srt(c)).otherwise(as_were))
-    return let(F.from_json(loose_json(raw), ANSWER), lambda items: F.when(F.size(items) > 0, by_json(items)).otherwise(else_srt))
+    return F.when(F.size(items) > 0, let(F.transform(items, said), by_json)).otherwise(else_srt)
 
 
-def _finding(items: Column, body: Callable) -> Column:
-    """``body(find)``, where ``find(label)`` are the items whose ``idx`` it is: looked for in one of about sqrt(n) parts, as a batch may be long."""
-    place = lambda label, n: F.pmod(F.xxhash64(label), n)
-    dealt = F.transform(items, lambda x: F.struct(place(x["idx"], F.ceil(F.sqrt(F.size(items)))).alias("at"), x.alias("x")))
-    parts = lambda d: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.sqrt(F.size(d))), F.lit(1)) - 1), lambda k: F.transform(F.filter(d, lambda x: x["at"] == k), lambda x: x["x"]))
-    find = lambda p: lambda label: F.filter(F.get(p, place(label, F.size(p)).cast("int")), lambda x: x["idx"] == label)
-    return let(let(dealt, parts), lambda p: body(find(p)))
+def _dealt(items: Column) -> Column:
+    """Items by ``idx`` in about sqrt(n) parts: a batch may be long, and a label is looked for in one of them."""
+    n = F.greatest(F.ceil(F.sqrt(F.size(items))), F.lit(1))
+    placed = F.transform(items, lambda x: F.struct(F.pmod(F.xxhash64(x["idx"]), n).alias("at"), x.alias("x")))
+    return let(placed, lambda d: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.transform(F.filter(d, lambda x: x["at"] == k), lambda x: x["x"])))
+
+
+def _finding(parts: Column) -> Callable[[Column], Column]:
+    """Of :func:`_dealt` items those whose ``idx`` is a label."""
+    return lambda label: F.filter(F.get(parts, F.pmod(F.xxhash64(label), F.size(parts)).cast("int")), lambda x: x["idx"] == label)
 
 
 def apply_refinements(segments: DataFrame, lines: DataFrame, keys: list[str] = KEY) -> DataFrame:

@@ -335,3 +335,10 @@ def test_a_long_batch_and_numbers_past_counting(spark):
     got = reconcile.translated_batches(cues, spark.createDataFrame(said, "media_id long, raw string"), ["media_id"]).collect()
     want = [(1, k, f"j{k}" if k % 3 else f"t{k}", "json") for k in range(n)] + [(2, k, f"s{k}", "srt") for k in range(n)] + [(3, 0, "s", "srt")]
     assert sorted((r["media_id"], r["from_seq"], r["text"], r["source"]) for r in got) == want
+
+
+def test_lines_without_marks_are_cleaned_as_others(spark):
+    rng, signs = random.Random(11), ["a", "b c", " ", "  ", "\u3000", "\x85", "\n", "1", "12", ".", ":", "[00:01]", "[", "<text>", "<", "-->", "00:00:01,000 --> 00:00:02,000", "```json", "`", "\x1c"]
+    lines = spark.createDataFrame([("".join(rng.choices(signs, k=rng.randint(0, 6))),) for _ in range(3000)] + [(None,)], "t string")
+    within = F.get(F.transform(F.array("t"), text.clean_llm_text_within), F.lit(0))
+    assert lines.where(~within.eqNullSafe(text.clean_llm_text(F.col("t")))).collect() == []
