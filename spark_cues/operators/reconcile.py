@@ -87,8 +87,7 @@ def translated_batches(cues: DataFrame, responses: DataFrame, keys: list[str]) -
     alone = F.when(reduce(or_, [F.col(k).isNull() for k in keys]), F.xxhash64("seq", "idx", "start", "end", "text"))
     own = cues.select(*keys, alone.alias("__alone"), cue.alias("__cue"), F.lit(None).cast("string").alias("raw"))
     said = responses.dropna(subset=keys).select(*keys, F.lit(None).cast("bigint").alias("__alone"), F.lit(None).cast(own.schema["__cue"].dataType).alias("__cue"), "raw")
-    # Dealt out before they are grouped: tasks that read would sort all they have to group a part of it.
-    met = own.unionByName(said).repartition(*keys, "__alone").groupBy(*keys, "__alone").agg(F.collect_list("__cue").alias("__cues"), F.max("raw").alias("raw"))
+    met = own.unionByName(said).groupBy(*keys, "__alone").agg(F.collect_list("__cue").alias("__cues"), F.max("raw").alias("raw"))
     marked = met.withColumn("__items", F.from_json(loose_json(F.col("raw")), ANSWER))
     rows = marked.select(*[F.col(k).cast(cues.schema[k].dataType) for k in keys], F.explode(_batch_rows(F.col("__cues"), F.col("raw"), F.col("__items"))).alias("x"))
     return rows.select(*keys, "x.*")
